@@ -97,6 +97,8 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent))
     spark.sparkContext.addPyFile(target)
+    # batches of bounded size for Python workers: texts may be very long
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     _shipped.add(app)
 
 
