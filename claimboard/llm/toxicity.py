@@ -1,15 +1,15 @@
 """Toxicity by a counterfactually regularised classifier (operator 5).
 
-Logistic regression on which words a text has. Words are chosen by how far their share of toxic texts departs
-from their share of the others; every identity term is a feature too. For each labelled text with an identity
+Logistic regression on which words and word beginnings (of PREFIXES characters) a text has. Features are chosen by
+how far their share of toxic texts departs from their share of the others; every identity term is one too. For each labelled text with an identity
 term, copies with the term swapped for the others of its group and for a neutral word are made, and the square
 of the change of score is added to the loss, so that naming a group neither raises nor lowers a score.
 
 The classifier is fitted on at most about TRAIN_TOXIC toxic and TRAIN_OTHER other labelled documents (a hash of
-doc_id chooses them at a rate that follows the class' count; equal texts count once) with at most FEATURES words,
-which bounds what is collected and broadcast. Scoring covers all rows and whole texts.
+doc_id chooses them at a rate that follows the class' count; equal texts count once) with at most FEATURES
+features, which bounds what is collected and broadcast. Scoring covers all rows and whole texts.
 
-Defined results: a null or empty text gets the score of a text without any known word; a document labelled both
+Defined results: a null or empty text gets the score of a text without any feature; a document labelled both
 ways counts as toxic; without two classes to learn from every score is the toxic share (0 if none); rows without
 doc_id are scored and not learned from; repeated rows score alike; other columns are ignored.
 """
@@ -21,11 +21,12 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, table
 from .langid import _Sent, fold
 
-TRAIN_TOXIC, TRAIN_OTHER, FEATURES, FOLDS = 6000, 12_000, 400, 3
-LEAST_DOCS, RIDGE, SWAP_WEIGHT, STEPS, THRESHOLD = 4, 1e-3, 5.0, 400, 0.7
+TRAIN_TOXIC, TRAIN_OTHER, FEATURES, FOLDS = 4000, 8000, 500, 3
+LEAST_DOCS, RIDGE, SWAP_WEIGHT, STEPS, THRESHOLD = 4, 2e-4, 5.0, 500, 0.7
+PREFIXES = (4, 5, 6, 7)
 #: Identity terms by group, and the neutral word that any of them may be swapped for.
 IDENTITY = {
     "religion": ["muslim", "jewish", "christian", "catholic", "hindu", "buddhist", "atheist"],
@@ -45,6 +46,15 @@ def words_in(text: str | None) -> set[str]:
     return set(_WORDS.findall((text or "").lower()))
 
 
+def features_in(text: str | None) -> set[str]:
+    """Features of a text: its words, and the beginnings of its words with a star."""
+    words = words_in(text)
+    out = set(words)
+    for n in PREFIXES:
+        out.update(w[:n] + "*" for w in words if len(w) > n)
+    return out
+
+
 def swaps(present: set[str], index: dict[str, int]) -> list[tuple[int, int]]:
     """(removed, added) features of every counterfactual of a text."""
     out = []
@@ -86,12 +96,28 @@ def fit(rows: list[list[int]], toxic: list[int], pairs: list[list[tuple[int, int
     return w, b
 
 
-def _features(batches):
+def _count(batches):
     import pyarrow as pa
+    from collections import Counter
 
     for b in batches:
-        sets = [sorted(words_in(t)) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("doc_id"), pa.array(sets, pa.list_(pa.string()))], ["toxic", "doc_id", "words"])
+        counts = (Counter(), Counter())
+        for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist()):
+            counts[toxic == 1].update(features_in(text))
+        names = sorted(counts[0].keys() | counts[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][n] for n in names], pa.int64()) for k in (1, 0))], ["word", "a", "b"])
+
+
+def _index(sent):
+    def run(batches):
+        import pyarrow as pa
+
+        known = sent.value.keys()
+        for b in batches:
+            sets = [sorted(features_in(t) & known) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(sets, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+
+    return run
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC, most_other: int = TRAIN_OTHER, swap_weight: float = SWAP_WEIGHT) -> dict:
@@ -110,22 +136,20 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC, mos
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000.0
     chosen = marks.filter(place < rate)  # about most_toxic + most_other rows, so it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.dropDuplicates(["text"]).mapInArrow(_features, "toxic int, doc_id long, words array<string>").persist()
-    try:
-        seen = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-        p, q = seen.get(1, 0), sum(n for k, n in seen.items() if k != 1)
-        if not p or not q:
-            return none
-        by_word = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") != 1).alias("b"))
-        x, y = (F.col("a") + 0.5) / (p + 1), (F.col("b") + 0.5) / (q + 1)
-        pooled = (F.col("a") + F.col("b") + 1) / (p + q + 2)
-        far = F.abs(x - y) / F.sqrt(pooled * (1 - pooled) * (1 / p + 1 / q))
-        top = by_word.filter(F.col("a") + F.col("b") >= LEAST_DOCS).filter(pooled < 0.95).orderBy(far.desc(), "word").limit(FEATURES).select("word").collect()
-        names = sorted({r["word"] for r in top} | {t for g in IDENTITY.values() for t in g} | {NEUTRAL})
-        index = {w: i for i, w in enumerate(names)}
-        kept = rows.select("doc_id", "toxic", F.array_intersect("words", F.array(*map(F.lit, names))).alias("words")).orderBy("doc_id").collect()
-    finally:
-        rows.unpersist()
+    rows = table(rows.dropDuplicates(["text"]), "toxicity-sample")
+    seen = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    p, q = seen.get(1, 0), sum(n for k, n in seen.items() if k != 1)
+    if not p or not q:
+        return none
+    by_word = rows.select("toxic", "text").mapInArrow(_count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    x, y = (F.col("a") + 0.5) / (p + 1), (F.col("b") + 0.5) / (q + 1)
+    pooled = (F.col("a") + F.col("b") + 1) / (p + q + 2)
+    far = F.abs(x - y) / F.sqrt(pooled * (1 - pooled) * (1 / p + 1 / q))
+    top = by_word.filter(F.col("a") + F.col("b") >= LEAST_DOCS).filter(pooled < 0.95).orderBy(far.desc(), "word").limit(FEATURES).select("word").collect()
+    names = sorted({r["word"] for r in top} | {t for g in IDENTITY.values() for t in g} | {NEUTRAL})
+    index = {w: i for i, w in enumerate(names)}
+    sent = _Sent(docs.sparkSession.sparkContext.broadcast(index), "toxicity-features")
+    kept = rows.select("doc_id", "toxic", "text").mapInArrow(_index(sent), "doc_id long, toxic int, words array<string>").orderBy("doc_id").collect()
     sets = [set(r["words"]) for r in kept]
     w, b = fit([[index[x] for x in s] for s in sets], [int(r["toxic"] == 1) for r in kept], [swaps(s, index) for s in sets], len(names), swap_weight)
     return {"index": index, "weights": w.tolist(), "bias": float(b), "fixed": None}
@@ -139,7 +163,7 @@ def score_text(text: str | None, model: dict) -> float:
         return float(model["fixed"])
     index, weights = model["index"], model["weights"]
     # sorted, so that the sum does not depend on a set's order
-    z = model["bias"] + sum(weights[i] for i in sorted(index[w] for w in words_in(text) & index.keys()))
+    z = model["bias"] + sum(weights[i] for i in sorted(index[w] for w in features_in(text) & index.keys()))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
