@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import cosets, inverses, normaliser
+from .graph import cosets, normaliser
 from .normalize import xor_normalise
 
 
@@ -25,53 +25,60 @@ def torus_code(specs: DataFrame) -> DataFrame:
     return xor_normalise(out, ["spec", "side", "check_idx"], "qubit")
 
 
-def cyclic_product(spark: SparkSession, orders: list[int], name: str = "g") -> DataFrame:
-    """(grp, g, h, gh) of a direct product of cyclic groups; g counts in mixed radix, last order fastest."""
-    size = 1
-    for o in orders:
-        size *= o
-    rows = spark.range(size * size).select(F.floor(F.col("id") / size).alias("g"), (F.col("id") % size).alias("h"))
-    gh, step = F.lit(0), 1
-    for o in reversed(orders):
-        digit = lambda c, s=step, o=o: F.floor(F.col(c) / s) % o
-        gh = gh + ((digit("g") + digit("h")) % o) * step
-        step *= o
-    return rows.select(F.lit(name).alias("grp"), "g", "h", gh.cast("long").alias("gh"))
-
-
-def table_product(a: DataFrame, b: DataFrame, size_b: int, name: str = "axb") -> DataFrame:
-    """Table of A x B from two tables: element (x, y) is x * |B| + y."""
-    x = a.select(F.col("g").alias("ga"), F.col("h").alias("ha"), F.col("gh").alias("gha"))
-    y = b.select(F.col("g").alias("gb"), F.col("h").alias("hb"), F.col("gh").alias("ghb"))
-    both = x.crossJoin(y)
-    pack = lambda p, q: (F.col(p) * size_b + F.col(q)).cast("long")
-    return both.select(F.lit(name).alias("grp"), pack("ga", "gb").alias("g"), pack("ha", "hb").alias("h"), pack("gha", "ghb").alias("gh"))
-
-
-def metacyclic(spark: SparkSession, n: int, k: int, r: int, name: str = "mc") -> DataFrame:
-    """Table of <a, b | a^n, b^k, b a b^-1 = a^r>; a^i b^j is i * k + j. r^k must be 1 modulo n; r = n - 1, k = 2 is
-    the dihedral group."""
-    if pow(r, k, n) != 1 % n:
-        raise ValueError("r^k must be 1 modulo n")
-    power = F.array(*(F.lit(pow(r, j, n)) for j in range(k)))
-    size = n * k
-    rows = spark.range(size * size).select(F.floor(F.col("id") / size).alias("g"), (F.col("id") % size).alias("h"))
-    i, j, p, q = (F.floor(F.col("g") / k), F.col("g") % k, F.floor(F.col("h") / k), F.col("h") % k)
-    gh = F.pmod(i + F.get(power, j.cast("int")) * p, F.lit(n)) * k + (j + q) % k
-    return rows.select(F.lit(name).alias("grp"), "g", "h", gh.cast("long").alias("gh"))
-
-
-def group_code(mul: DataFrame, left: DataFrame, right: DataFrame, size: int) -> DataFrame:
+def _square(specs: DataFrame, size: Column) -> DataFrame:
+    """Every (g, h) below each spec's size; groups are small, specs are many."""
+    rows = specs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("g"))
+    return rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("h"))
+
+
+def cyclic_tables(specs: DataFrame) -> DataFrame:
+    """(grp, g, h, gh) of Z_a x Z_b for each spec (grp, a, b); element (x, y) is x * b + y."""
+    rows = _square(specs, (F.col("a") * F.col("b")).cast("long"))
+    x = (F.floor(F.col("g") / F.col("b")) + F.floor(F.col("h") / F.col("b"))) % F.col("a")
+    y = (F.col("g") % F.col("b") + F.col("h") % F.col("b")) % F.col("b")
+    return rows.select("grp", "g", "h", (x * F.col("b") + y).cast("long").alias("gh"))
+
+
+def table_product(a: DataFrame, b: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Tables of A x B for groups of the same name in both; element (x, y) is x * |B| + y. sizes: (grp, size_b)."""
+    x = a.select("grp", F.col("g").alias("ga"), F.col("h").alias("ha"), F.col("gh").alias("gha"))
+    y = b.select("grp", F.col("g").alias("gb"), F.col("h").alias("hb"), F.col("gh").alias("ghb"))
+    both = x.join(y, "grp").join(sizes, "grp")
+    pack = lambda p, q: (F.col(p) * F.col("size_b") + F.col(q)).cast("long")
+    return both.select("grp", pack("ga", "gb").alias("g"), pack("ha", "hb").alias("h"), pack("gha", "ghb").alias("gh"))
+
+
+def metacyclic_tables(specs: DataFrame) -> DataFrame:
+    """(grp, g, h, gh) of <a, b | a^n, b^k, b a b^-1 = a^r> for each spec (grp, n, k, r); a^i b^j is i * k + j. Specs
+    whose r^k is not 1 modulo n give no rows; r = n - 1, k = 2 is the dihedral group."""
+    power = lambda j: F.aggregate(F.sequence(F.lit(1).cast("long"), j), F.lit(1).cast("long"), lambda acc, _: acc * F.col("r") % F.col("n"))
+    at = lambda j: F.when(j == 0, F.lit(1).cast("long") % F.col("n")).otherwise(power(F.greatest(j, F.lit(1).cast("long"))))
+    valid = specs.select("grp", *(F.col(c).cast("long").alias(c) for c in ("n", "k", "r"))).filter(power(F.col("k")) % F.col("n") == F.lit(1) % F.col("n"))
+    rows = _square(valid, F.col("n") * F.col("k"))
+    k = F.col("k")
+    i, j, p, q = F.floor(F.col("g") / k), F.col("g") % k, F.floor(F.col("h") / k), F.col("h") % k
+    return rows.select("grp", "g", "h", (F.pmod(i + at(j) * p, F.col("n")) * k + (j + q) % k).cast("long").alias("gh"))
+
+
+def group_code(mul: DataFrame, left: DataFrame, right: DataFrame, sizes: DataFrame) -> DataFrame:
     """(grp, side, check_idx, qubit) of a two-block code: left multiplication by one support, right by the other.
-    left, right: (grp, s)."""
+    left, right: (grp, s); sizes: (grp, size)."""
     by_left = mul.join(left.select("grp", F.col("s").alias("g")), ["grp", "g"]).select("grp", F.col("h").alias("x"), F.col("gh").alias("y"))
     by_right = mul.join(right.select("grp", F.col("s").alias("h")), ["grp", "h"]).select("grp", F.col("g").alias("x"), F.col("gh").alias("y"))
-    rows = lambda df, side, row, q, off: df.select("grp", F.lit(side).alias("side"), F.col(row).alias("check_idx"), (F.col(q) + off).alias("qubit"))
-    every = rows(by_left, "X", "x", "y", 0).unionByName(rows(by_right, "X", "x", "y", size)).unionByName(rows(by_right, "Z", "y", "x", 0)).unionByName(rows(by_left, "Z", "y", "x", size))
+    return _two_blocks(by_left, by_right, sizes)
+
+
+def _two_blocks(by_left: DataFrame, by_right: DataFrame, sizes: DataFrame) -> DataFrame:
+    """X = [left | right] and Z = [right transposed | left transposed] of two (grp, x, y) relations."""
+
+    def rows(df: DataFrame, side: str, row: str, q: str, block: int) -> DataFrame:
+        return df.join(sizes, "grp").select("grp", F.lit(side).alias("side"), F.col(row).cast("long").alias("check_idx"), (F.col(q) + block * F.col("size")).cast("long").alias("qubit"))
+
+    every = rows(by_left, "X", "x", "y", 0).unionByName(rows(by_right, "X", "x", "y", 1)).unionByName(rows(by_right, "Z", "y", "x", 0)).unionByName(rows(by_left, "Z", "y", "x", 1))
     return xor_normalise(every, ["grp", "side", "check_idx"], "qubit")
 
 
-def coset_code(mul: DataFrame, subgroup: DataFrame, left: DataFrame, right: DataFrame, n_cosets: int) -> DataFrame:
+def coset_code(mul: DataFrame, subgroup: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """The same over the cosets of a subgroup; right supports outside the normaliser are left out."""
     numbered = cosets(mul, subgroup).select("grp", "g", "rep", "coset")
     reps = numbered.filter("g = rep").select("grp", F.col("rep").alias("h"), F.col("coset").alias("x"))
@@ -80,9 +87,7 @@ def coset_code(mul: DataFrame, subgroup: DataFrame, left: DataFrame, right: Data
     allowed = right.select("grp", F.col("s").alias("g")).join(normaliser(mul, subgroup), ["grp", "g"], "left_semi").select("grp", F.col("g").alias("h"))
     own = reps.select("grp", F.col("h").alias("g"), "x")
     by_right = mul.join(allowed, ["grp", "h"]).join(own, ["grp", "g"]).join(image, ["grp", "gh"]).select("grp", "x", "y")
-    rows = lambda df, side, row, q, off: df.select("grp", F.lit(side).alias("side"), F.col(row).alias("check_idx"), (F.col(q) + off).alias("qubit"))
-    every = rows(by_left, "X", "x", "y", 0).unionByName(rows(by_right, "X", "x", "y", n_cosets)).unionByName(rows(by_right, "Z", "y", "x", 0)).unionByName(rows(by_left, "Z", "y", "x", n_cosets))
-    return xor_normalise(every, ["grp", "side", "check_idx"], "qubit")
+    return _two_blocks(by_left, by_right, numbered.groupBy("grp").agg(F.count_distinct("coset").alias("size")))
 
 
 def hypergraph_product(a: DataFrame, b: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -105,11 +110,11 @@ def hypergraph_product(a: DataFrame, b: DataFrame, sizes: DataFrame) -> DataFram
     return xor_normalise(out, ["key", "side", "check_idx"], "qubit")
 
 
-def product_of_group_codes(mul: DataFrame, left: DataFrame, right: DataFrame, size: int) -> DataFrame:
-    """Hypergraph product of the X sides of two two-block codes with the same group, as one of a key per group."""
-    rows = group_code(mul, left, right, size).filter("side = 'X'").select(F.col("grp").alias("key"), F.col("check_idx").alias("row"), F.col("qubit").alias("col"))
-    sizes = rows.select("key").distinct().select("key", F.lit(size).alias("ra"), F.lit(2 * size).alias("ca"), F.lit(size).alias("rb"), F.lit(2 * size).alias("cb"))
-    return hypergraph_product(rows, rows, sizes)
+def product_of_group_codes(mul: DataFrame, left: DataFrame, right: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Hypergraph product of the X side of each group's two-block code with itself."""
+    rows = group_code(mul, left, right, sizes).filter("side = 'X'").select(F.col("grp").alias("key"), F.col("check_idx").alias("row"), F.col("qubit").alias("col"))
+    dims = sizes.select(F.col("grp").alias("key"), F.col("size").alias("ra"), (2 * F.col("size")).alias("ca"), F.col("size").alias("rb"), (2 * F.col("size")).alias("cb"))
+    return hypergraph_product(rows, rows, dims)
 
 
 def planar_code(specs: DataFrame) -> DataFrame:
@@ -156,4 +161,4 @@ def sample_specs(spark: SparkSession, seed: int, count: int, limits: dict[str, i
     return out.join(chosen, "spec")
 
 
-__all__ = ["coset_code", "cyclic_product", "group_code", "hypergraph_product", "inverses", "metacyclic", "planar_code", "product_of_group_codes", "sample_specs", "table_product", "torus_code"]
+__all__ = ["coset_code", "cyclic_tables", "group_code", "hypergraph_product", "metacyclic_tables", "planar_code", "product_of_group_codes", "sample_specs", "table_product", "torus_code"]

@@ -45,7 +45,8 @@ def xor_normalise(df: DataFrame, row: list[str], element: str) -> DataFrame:
 def bit_pack(df: DataFrame, row: list[str], element: str, bits: int = 64) -> DataFrame:
     """(row..., word, packed): bit `element % bits` of word `element / bits`, repeats cancelling."""
     word = F.floor(F.col(element) / bits).cast("int")
-    bit = F.shiftleft(F.lit(1).cast("long"), F.pmod(F.col(element), F.lit(bits)).cast("int"))
+    place = F.pmod(F.col(element), F.lit(bits)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
     return df.groupBy(*row, word.alias("word")).agg(F.bit_xor(bit).alias("packed"))
 
 

@@ -1 +1,6 @@
-"""Subpackage of claimboard."""
+"""Queries of the engine's operators over the test tables."""
+
+from . import structure  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
