@@ -63,7 +63,7 @@ def ensemble_text(model: Column) -> Column:
 
 def ensemble_parts(display: Column) -> Column:
     """Names behind a display string, split at + and commas."""
-    parts = F.transform(F.split(F.coalesce(display, F.lit("")), "[+,]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(display, F.lit("")), "[+,]"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 

@@ -31,7 +31,7 @@ def arxiv_id(text: Column) -> Column:
 
 def surnames(authors: Column) -> Column:
     """Lower-case surnames of `Last, First and First Last` lists."""
-    people = F.filter(F.transform(F.split(F.coalesce(authors, F.lit("")), " and "), F.trim), lambda p: p != "")
+    people = F.filter(F.transform(F.split(F.coalesce(authors, F.lit("")), " and "), lambda p: F.trim(p)), lambda p: p != "")
     last = lambda p: F.when(F.contains(p, F.lit(",")), F.trim(F.get(F.split(p, ","), F.lit(0)))).otherwise(F.element_at(F.split(p, "\\s+"), -1))
     return F.filter(F.transform(people, lambda p: F.lower(last(p))), lambda s: s != "")
 
@@ -101,7 +101,7 @@ def powers(text: Column) -> Column:
 def compact_integer(value: Column) -> Column:
     """Below 10,000 as it is, else m x 10^e with one decimal place, without a factor of 1."""
     e = F.length(value.cast("string")) - 1
-    m = F.regexp_replace(F.format_string("%.1f", value / F.pow(F.lit(10.0), e)), "\\.0$", "")
+    m = F.regexp_replace(F.format_string("%.1f", F.bround(value / F.pow(F.lit(10.0), e), 1)), "\\.0$", "")
     power = F.concat(F.lit("10^"), e.cast("string"))
     return F.when(value < 10_000, value.cast("string")).when(m == "1", power).otherwise(F.concat(m, F.lit("x"), power))
 
