@@ -51,7 +51,7 @@ def read_certs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(key, file, text) of whole text files."""
-    return spark.read.options(wholetext=True, pathGlobFilter=glob).text(path).select(_stem().alias("key"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(_stem().alias("key"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
 def front_matter(docs: DataFrame, keys: list[str], text: str = "text", file: str = "file") -> DataFrame:
