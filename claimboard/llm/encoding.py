@@ -8,11 +8,17 @@ Pieces repeat, so each worker keeps a bounded memo of their ids.
 from __future__ import annotations
 
 import os
+import re
+import struct
 
-#: Pieces a worker remembers, and the longest piece it remembers.
-MEMO_PIECES, MEMO_CHARS = 300_000, 40
+#: Pieces a worker remembers, and the longest piece it remembers. When the memo is full, pieces that were met again
+#: since it was last full are kept.
+MEMO_PIECES, MEMO_CHARS = 700_000, 40
 #: Characters encoded in one call of the library.
 CALL_CHARS = 200_000
+#: Marks that may follow a word in a piece.
+MARKS = ".,;:!?*#$%&|"
+_MIXED = re.compile(r"\s | \s|^\s|\s$")
 _encoders: dict = {}
 
 
@@ -26,10 +32,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 def pieces_of(text: str) -> list[str]:
     """Pieces of a text, each but the first without the space before it."""
     parts = text.split(" ")
-    for i, p in enumerate(parts):
-        if not p or p[0].isspace() or p[-1].isspace():
-            break
-    else:
+    if not _MIXED.search(text):
         return parts
     out = [parts[0]]
     open_end = not parts[0] or parts[0][-1].isspace()
@@ -47,45 +50,80 @@ class Encoder:
 
     def __init__(self, vocabulary: str, plain_specials: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self.np = np
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.tokenizer.encode_special_tokens = plain_specials
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str], out: dict[str, bytes]) -> None:
+        self.model = self.tokenizer.model
+        # byte-level BPE names each byte by a printable character: the printable Latin-1 ones stand for themselves
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        others = iter(range(256, 512))
+        self.names = [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+        self.memo: dict[str, bytes] = {}  # pieces after a space
+        self.again: set[str] = set()
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and letters, which the pre-tokenizer keeps whole."""
+        name = self.names[32] + (word if word.isascii() else "".join([self.names[b] for b in word.encode()]))
+        return self._ids([t.id for t in self.model.tokenize(name)])
+
+    def _encode(self, pieces: list[str], lead: str = " ") -> dict[str, bytes]:
+        """Ids of each piece after `lead`."""
+        out, hard, memo = {}, [], self.memo
+        for p in pieces:
+            word = p.rstrip(MARKS)
+            if not lead or not word.isalpha():
+                hard.append(p)
+                continue
+            tail = p[len(word) :]
+            if tail not in self.marks:
+                if len(self.marks) > MEMO_PIECES or len(tail) > MEMO_CHARS:
+                    hard.append(p)
+                    continue
+                self.marks[tail] = self._ids(self.tokenizer.encode(tail, add_special_tokens=False).ids)
+            head = memo.get(word) or out.get(word)
+            if head is None:
+                head = out[word] = self._word(word)
+            out[p] = head + self.marks[tail]
         at = 0
-        while at < len(pieces):
+        while at < len(hard):
             end, chars = at, 0
-            while end < len(pieces) and (end == at or chars + len(pieces[end]) <= CALL_CHARS):
-                chars += len(pieces[end])
+            while end < len(hard) and (end == at or chars + len(hard[end]) <= CALL_CHARS):
+                chars += len(hard[end])
                 end += 1
-            for p, e in zip(pieces[at:end], self.tokenizer.encode_batch(pieces[at:end], add_special_tokens=False)):
-                out[p] = self.np.array(e.ids, dtype="<u4").tobytes()
+            for p, e in zip(hard[at:end], self.tokenizer.encode_batch([lead + p for p in hard[at:end]], add_special_tokens=False)):
+                out[p] = self._ids(e.ids)
             at = end
+        return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
+        cut = [pieces_of(t) for t in texts]
+        firsts = [c[0] for c in cut]
+        first = self._encode(sorted(set(firsts)), "")
+        for c in cut:
+            c[0] = ""  # the first piece is joined by hand
+        seen = set().union(*cut)
+        missing = seen.difference(self.memo)
+        if len(self.memo) + len(missing) > MEMO_PIECES:
+            self.memo = {p: self.memo[p] for p in self.again if p in self.memo} if len(self.again) < MEMO_PIECES // 2 else {}
+            self.again = set()
+            missing = seen.difference(self.memo)
+        self.again |= seen - missing
         memo = self.memo
-        cut, seen = [], set()
-        for t in texts:
-            first, *rest = pieces_of(t)
-            rest = [" " + p for p in rest]
-            rest.insert(0, first)
-            cut.append(rest)
-            seen.update(rest)
-        missing = [p for p in seen if p not in memo]
-        if len(memo) + len(missing) > MEMO_PIECES:
-            missing = list(seen)
-            memo.clear()
-        rare: dict[str, bytes] = {}
-        self._encode([p for p in missing if len(p) <= MEMO_CHARS], memo)
-        self._encode([p for p in missing if len(p) > MEMO_CHARS], rare)
+        memo[""] = b""
+        missing.discard("")
+        rare = {}
+        if missing:
+            for p, ids in self._encode(list(missing)).items():
+                (memo if len(p) <= MEMO_CHARS else rare)[p] = ids
         if rare:
-            return [b"".join([memo[p] if p in memo else rare[p] for p in c]) for c in cut]
-        return [b"".join([memo[p] for p in c]) for c in cut]
+            return [first[f] + b"".join([memo[p] if p in memo else rare[p] for p in c]) for f, c in zip(firsts, cut)]
+        return [first[f] + b"".join(map(memo.__getitem__, c)) for f, c in zip(firsts, cut)]
 
 
 def encoder(vocabulary: str = "byte_bpe_50k.json", plain_specials: bool = False) -> Encoder:

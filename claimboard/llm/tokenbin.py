@@ -40,14 +40,22 @@ def pack_block(ids) -> bytes:
 
     low = int(ids.min())
     rest = (ids - np.uint32(low)).astype("<u4")
-    ordered = np.sort(rest)
-    width = int(ordered[int(np.ceil(EXACT_SHARE * len(ordered))) - 1]).bit_length()
-    bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    at = int(np.ceil(EXACT_SHARE * len(rest))) - 1
+    width = int(np.partition(rest, at)[at]).bit_length()
+    bits = np.unpackbits(_bytes_of(rest, width), axis=1, bitorder="little")[:, :width]
     out = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, int)
     head = np.array([low], "<u4").tobytes() + bytes([width]) + np.array([len(out)], "<u2").tobytes()
     return head + np.packbits(bits.ravel(), bitorder="little").tobytes() + out.astype("<u2").tobytes() + rest[out].astype("<u4").tobytes()
 
 
+def _bytes_of(values, width: int):
+    """Low bytes of each value, as many as `width` bits need, one row a value."""
+    import numpy as np
+
+    kind = "<u2" if width <= 16 else "<u4"
+    return values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)
+
+
 def unpack_block(data: bytes, at: int, count: int):
     """The `count` ids of the block that starts at `at`."""
     import numpy as np
@@ -56,11 +64,12 @@ def unpack_block(data: bytes, at: int, count: int):
     width, n_out = data[at + 4], int.from_bytes(data[at + 5 : at + 7], "little")
     at += 7
     size = (count * width + 7) // 8
-    values = np.zeros((count, 32), np.uint8)
+    kind = "<u2" if width <= 16 else "<u4"
+    values = np.zeros((count, 8 * np.dtype(kind).itemsize), np.uint8)
     if width:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=count * width)
         values[:, :width] = bits.reshape(count, width)
-    ids = np.packbits(values, axis=1, bitorder="little").view("<u4").ravel().copy()
+    ids = np.packbits(values, axis=1, bitorder="little").view(kind).ravel().astype("<u4")
     at += size
     places = np.frombuffer(data, "<u2", n_out, at)
     ids[places] = np.frombuffer(data, "<u4", n_out, at + 2 * n_out)
