@@ -63,15 +63,20 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet to the shared folder and read it back."""
+    """Cut the lineage: write `df` as Parquet to the shared folder and read it back.
+
+    The shuffle files behind it are then of no use; Spark deletes them once the driver's JVM collects its garbage,
+    which is asked for here because long pipelines would otherwise hold all their shuffles on disk at once."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/claimboard-{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("error")
+    schema, writer = df.schema, df.write.mode("error")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     if not _written:
         atexit.register(drop_tables)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    del writer, df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_tables() -> None:
