@@ -77,9 +77,9 @@ def read_flat(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -> Dat
     Spark's binary source first, so it must stay under that source's 2 GB."""
     files = spark.read.format("binaryFile").load(path).select("path", "content", F.length("content").alias("bytes"))
     size = 4 * block_ids
-    named = files.withColumn("file", F.xxhash64("path").cast("int"))
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("bytes") / size).cast("int") - 1, F.lit(0))))
-    cut = named.filter("bytes > 0").select("file", at.cast("long").alias("block"), "content")
+    named = files.withColumn("file", F.hash("path"))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("bytes") / size) - 1))
+    cut = named.filter("bytes > 0").select("file", at.alias("block"), "content")
     ids = F.substring(F.col("content"), (F.col("block") * size + 1).cast("int"), F.lit(size))
     return cut.select("file", "block", F.lit(None).cast("array<bigint>").alias("labels"), ids.alias("ids"))
 
