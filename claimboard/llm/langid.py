@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 TRAIN_DOCS, KNOWN_WORDS, KNOWN_GRAMS, NGRAM = 3000, 60_000, 60_000, 4
-FOLDS, MEMO_WORDS = 5, 200_000
+FOLDS, MEMO_WORDS = 5, 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _models: dict = {}
 
@@ -46,21 +46,31 @@ def _count(batches):
     import pyarrow as pa
     from collections import Counter
 
+    counts: Counter = Counter()
+
+    def emit():
+        langs, kinds, grams = map(list, zip(*counts))
+        arrays = [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(grams, pa.string()), pa.array(list(counts.values()), pa.int64())]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(arrays, ["lang", "kind", "gram", "n"])
+
     for b in batches:
-        counts: Counter = Counter()
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
             for w, c in Counter(_LETTERS.findall((text or "").lower())).items():
                 counts[lang, 0, w] += c
                 for n in range(1, NGRAM + 1):
                     for g in grams_of(w, n):
                         counts[lang, n, g] += c
-        langs, kinds, grams = map(list, zip(*counts)) if counts else ([], [], [])
-        arrays = [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(grams, pa.string()), pa.array(list(counts.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, ["lang", "kind", "gram", "n"])
+            if len(counts) > 50_000:
+                yield emit()
+    if counts:
+        yield emit()
 
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     """Model of the labelled rows of `docs` (doc_id, text, lang): languages, priors and log frequencies."""
+    import numpy as np
+
     ship(docs.sparkSession)
     rows = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -78,8 +88,8 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
         tables[r["kind"]][r["gram"]] = [r["by"].get(k, 0) for k in langs]
     logs = []
     for entries in tables:
-        totals = [sum(v[k] for v in entries.values()) + 0.5 * (len(entries) + 1) for k in range(len(langs))]
-        logs.append({g: [math.log((n + 0.5) / t) for n, t in zip(v, totals)] for g, v in entries.items()})
+        counted = np.array(list(entries.values()), float).reshape(-1, len(langs)) + 0.5
+        logs.append((list(entries), np.log(counted / (counted.sum(0) + 0.5)).astype("float32")))
     total = sum(sizes.values())
     return {"langs": langs, "prior": [math.log(sizes[k] / total) for k in langs], "tables": logs}
 
@@ -91,10 +101,10 @@ class Scorer:
         import numpy as np
 
         self.np, self.langs, self.prior = np, model["langs"], np.array(model["prior"])
-        words = model["tables"][0] if self.langs else {}
-        self.index = {w: i for i, w in enumerate(words)}
-        self.rows = np.array(list(words.values())).reshape(-1, max(len(self.langs), 1))
-        self.grams = [{g: np.array(v) for g, v in t.items()} for t in model["tables"][1:]]
+        tables = model["tables"] or [([], np.zeros((0, 1)))]
+        self.index = {w: i for i, w in enumerate(tables[0][0])}
+        self.rows = tables[0][1]
+        self.grams = [({g: i for i, g in enumerate(names)}, rows) for names, rows in tables[1:]]
         self.memo: dict = {}
 
     def unseen(self, word: str):
@@ -103,9 +113,10 @@ class Scorer:
             return self.memo[word]
         out = self.np.zeros(len(self.langs))
         for n in range(NGRAM, 0, -1):
-            known = [self.grams[n - 1][g] for g in grams_of(word, n) if g in self.grams[n - 1]]
+            index, rows = self.grams[n - 1]
+            known = [index[g] for g in grams_of(word, n) if g in index]
             if known:
-                out = sum(known) / len(known)
+                out = rows[known].mean(0)
                 break
         if len(self.memo) < MEMO_WORDS and len(word) < 40:
             self.memo[word] = out
