@@ -6,10 +6,14 @@ order of tokens. Three orders are used: frequent tokens last and the rest by a h
 descending (C) token value. Candidates come from a join on the prefix tokens of A; those that do not also meet
 under B and under C are dropped before verification, which intersects the whole sets.
 
-Groups of copies. Nodes that share the least token of one of four orders are first verified against that group's
-least node only (stars). Links join nodes into components, so candidates inside a component need no further
-look: postings of frequent tokens are paired across components alone. Every pair across components that shares
-a prefix token is verified, so no link that could join two components is lost, and no group emits all its pairs.
+Linked sets share more than one prefix token: with an intersection of at least o, the common tokens come first in
+both prefixes, so they share min(p - (n - o)) over the two sets. Candidates with fewer are dropped by count.
+
+Groups of copies. Nodes that share the least tokens of two further orders are first verified against that group's
+least node only (stars, for STARS pairs of orders). Links join nodes into components, so candidates inside a
+component need no further look: postings of frequent tokens are paired across components alone. Every pair across
+components that shares enough prefix tokens is verified, so no link that could join two components is lost, and no
+group of copies emits all its pairs.
 
 Which tokens count as frequent is found over all documents (counts per run of TALLY_TOKENS tokens, summed) and
 bounded at FREQUENT_MOST; any such choice gives a valid order, so the bound costs time only, never a pair.
@@ -30,27 +34,12 @@ from .common import fresh, ship, table
 WORDS, SHARE = 5, 80
 TALLY_TOKENS, TALLY_LEAST, FREQUENT_LEAST, FREQUENT_MOST = 2_000_000, 3, 8, 200_000
 #: Postings a bucket should hold, and the longest posting list that is paired without looking at components.
-BUCKET_POSTINGS, SHORT_LIST = 400_000, 64
-MEMO_WORDS = 400_000
+BUCKET_POSTINGS, SHORT_LIST, STARS = 400_000, 64, 4
+#: Words hashed at a time, the base of the hash, and bits of the map of documents whose sets are wanted (8 MB).
+PIECE, BASE, MAP_BITS = 100_000, 0x9E3779B97F4A7C15, 1 << 26
 _memo: dict = {}
 
 
-def _hash_words(ws: list[bytes]):
-    import numpy as np
-    import xxhash
-
-    get, memo = xxhash.xxh3_64_intdigest, _memo
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    try:
-        return np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
-    except KeyError:
-        for w in set(ws):
-            if w not in memo:
-                memo[w] = get(w)
-        return np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
-
-
 def _mix(x, seed: int):
     """Bijective 64-bit mixing."""
     import numpy as np
@@ -61,20 +50,47 @@ def _mix(x, seed: int):
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int):
+    """Byte values, and powers of an odd base and of its inverse, modulo 2^64."""
+    import numpy as np
+
+    if len(_memo.get("up", ())) < n:
+        size = max(n, 1 << 17)
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _memo[name] = np.multiply.accumulate(steps)
+        _memo["byte"] = _mix(np.arange(1, 257, dtype=np.uint64), 0x5EED)
+    return _memo["byte"], _memo["up"], _memo["down"]
+
+
 def shingles(text: str | None):
-    """Sorted distinct shingle hashes of a text."""
+    """Sorted distinct shingle hashes of a text: polynomial hashes of the bytes from a word's start to the end of the
+    fourth word after it, taken from running sums, PIECE words at a time."""
     import numpy as np
 
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not ws:
         return np.zeros(0, np.uint64)
-    h = _hash_words(ws)
-    n = max(len(h) - WORDS + 1, 1)
-    width = min(len(h), WORDS)
-    total = np.full(n, width, np.uint64)
-    for k in range(width):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    return np.unique(_mix(total, 0))
+    out = []
+    for at in range(0, max(len(ws) - WORDS + 1, 1), PIECE):
+        part = ws[at : at + PIECE + WORDS - 1]
+        data = np.frombuffer(b" ".join(part), np.uint8)
+        byte, up, down = _powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(byte[data] * up[: len(data)], out=total[1:])
+        gaps = np.flatnonzero(data == 32)
+        starts = np.concatenate(([0], gaps + 1))
+        ends = np.concatenate((gaps, [len(data)]))
+        width = min(len(part), WORDS)
+        starts, ends = starts[: len(part) - width + 1], ends[width - 1 :]
+        out.append(_mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64), 0))
+    found = np.concatenate(out) if len(out) > 1 else out[0]
+    found.sort()
+    new = np.empty(len(found), bool)
+    new[0] = True
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
 
 
 def prefix_length(n: int) -> int:
@@ -124,27 +140,29 @@ def _nodes(batches):
             s = shingles(t)
             n.append(len(s))
             node.append(_node(s) if len(s) else None)
-            least = [s[0], s[-1], _mix(s, 0xA5A5A5A5).min(), _mix(s, 0x5C5C5C5C).min()] if len(s) else []
-            mins.append([int(x.astype(np.int64)) for x in least])
+            pairs = [(_mix(s, 2 * k + 1).min(), _mix(s, 2 * k + 2).min()) for k in range(STARS)] if len(s) else []
+            keys = np.array([x ^ (y >> np.uint64(1)) ^ np.uint64(k) for k, (x, y) in enumerate(pairs)], np.uint64)
+            mins.append(_mix(keys, 0).astype(np.int64).tolist())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "n", "node", "mins"])
 
 
-POSTINGS = "bucket int, tokens binary, nodes binary, sizes binary"
+POSTINGS = "bucket int, part int, tokens binary, nodes binary, sizes binary"
 
 
 def _postings(frequent, bits: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        often = frequent.value
+        often, part = frequent.value, TaskContext.get().partitionId()
         names = [x.split()[0] for x in POSTINGS.split(", ")]
 
         def flush(tokens, nodes, sizes):
             t = np.concatenate(tokens)
             counts = list(map(len, tokens))
             d, s = np.repeat(np.array(nodes, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts)
-            # frequent tokens leave in rows of their own, with bucket -1
+            # frequent tokens leave in rows of their own, with bucket -1 and this task's part
             at = np.searchsorted(often, t)
             heavy = (often[np.minimum(at, len(often) - 1)] == t) if len(often) else np.zeros(len(t), bool)
             bucket = np.where(heavy, -1, (t >> np.uint64(64 - bits)).astype(np.int64) if bits else 0)
@@ -152,8 +170,8 @@ def _postings(frequent, bits: int):
             t, d, s, bucket = t[order], d[order], s[order], bucket[order]
             keys, starts = np.unique(bucket, return_index=True)
             ends = [*starts[1:].tolist(), len(t)]
-            rows = [[k, t[a:z].tobytes(), d[a:z].tobytes(), s[a:z].tobytes()] for k, a, z in zip(keys.tolist(), starts.tolist(), ends)]
-            columns = [pa.array(c, k) for c, k in zip(map(list, zip(*rows)), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+            rows = [[k, part if k < 0 else 0, t[a:z].tobytes(), d[a:z].tobytes(), s[a:z].tobytes()] for k, a, z in zip(keys.tolist(), starts.tolist(), ends)]
+            columns = [pa.array(c, k) for c, k in zip(map(list, zip(*rows)), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
             return pa.RecordBatch.from_arrays(columns, names)
 
         tokens, nodes, sizes, held = [], [], [], 0
@@ -193,11 +211,14 @@ def _unpack(np, batch):
 
 
 def _pair_bucket(group):
-    """Pairs (a, b) of one bucket; postings of lists longer than SHORT_LIST stay postings (token, a, n)."""
+    """Pairs (a, b) of one bucket with n shared tokens; postings of frequent tokens and of lists longer than SHORT_LIST stay postings
+    (token, a, n)."""
     import numpy as np
     import pyarrow as pa
 
-    t, d, s = _unpack(np, group.combine_chunks())
+    t, d, s = _unpack(np, group)
+    if group.column("bucket")[0].as_py() < 0:
+        return pa.Table.from_batches([_found(np, pa, t.astype(np.int64), d, [None] * len(t), s)])
     order = np.lexsort((d, t))
     t, d, s = t[order], d[order], s[order]
     new = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])
@@ -215,28 +236,59 @@ def _pair_bucket(group):
         left.append(d[near])
         right.append(d[near + gap])
     pairs = np.stack([np.concatenate(left), np.concatenate(right)], 1)
-    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+    pairs, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
     k = len(pairs)
     token = [None] * k + heavy[0].astype(np.int64).tolist()
-    return pa.Table.from_batches([_found(np, pa, token, np.concatenate([pairs[:, 0], heavy[1]]), pairs[:, 1].tolist() + [None] * len(heavy[0]), [None] * k + heavy[2].tolist())])
+    return pa.Table.from_batches([_found(np, pa, token, np.concatenate([pairs[:, 0], heavy[1]]), pairs[:, 1].tolist() + [None] * len(heavy[0]), times.tolist() + heavy[2].tolist())])
 
 
-def _heavy_rows(batches):
+def _sets(wanted):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        bits = wanted.value
+        for b in batches:
+            place = b.column("place").to_numpy(zero_copy_only=False)
+            chosen = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            texts = b.column("text").take(pa.array(chosen)).to_pylist()
+            sets = [x for x in map(shingles, texts) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
+
+    return run
+
+
+def _place(doc_id):
+    return F.pmod(F.xxhash64(doc_id), F.lit(MAP_BITS))
+
+
+def _wanted_map(ids: DataFrame):
+    """Bit map of the hashed ids, of fixed size whatever their number: a set bit says that a document's set may be
+    wanted. Sets that are made needlessly find no partner."""
     import numpy as np
-    import pyarrow as pa
 
-    for b in batches:
-        if len(b):
-            t, d, s = _unpack(np, b)
-            yield _found(np, pa, t.astype(np.int64), d, [None] * len(t), s)
+    place = _place(F.col("doc_id")) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in maps.toLocalIterator():
+        # bucket b holds the values (b - 1) * 32768 + 1 to b * 32768
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
 
 
-def _sets(batches):
-    import pyarrow as pa
+def _sets_of(texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Written sets (node, tokens) of the nodes of `pairs`, made anew from their documents' texts."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = texts.sparkSession.sparkContext.broadcast(_wanted_map(reps.join(used.hint("merge"), "node").select(F.col("rep").alias("doc_id"))))
+    placed = texts.filter("doc_id IS NOT NULL").select("text", _place(F.col("doc_id")).alias("place"))
+    return table(placed.mapInArrow(_sets(wanted), "node long, tokens binary"), "jaccard-sets")
 
-    for b in batches:
-        sets = [shingles(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
+
+def _needed(na, nb):
+    """Prefix tokens that two linked sets of these sizes must share."""
+    both = F.floor((SHARE * (na + nb) + 99 + SHARE) / (100 + SHARE))
+    spare = lambda n: (n - F.ceil(n * SHARE / 100) + 1) - (n - both)
+    return F.greatest(F.least(spare(na), spare(nb)), F.lit(1))
 
 
 def linked(x, y, np) -> bool:
@@ -266,7 +318,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     joined = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(_verify, "a long, b long")
+    return joined.mapInArrow(_verify, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -306,38 +358,36 @@ def join(docs: DataFrame) -> DataFrame:
     stars = named.select("node", F.posexplode("mins").alias("k", "token")).distinct()
     pivots = stars.groupBy("k", "token").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1")
     stars = table(stars.join(pivots.hint("merge"), ["k", "token"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
-
-    rows = table(texts.mapInArrow(_postings(frequent, bits), POSTINGS), "jaccard-postings")
-    light = rows.filter("bucket >= 0").groupBy("bucket").applyInArrow(_pair_bucket, FOUND)
-    heavy = rows.filter("bucket < 0").mapInArrow(_heavy_rows, FOUND)
-    found = table(light.unionByName(heavy), "jaccard-found")
-    light = table(found.filter("b IS NOT NULL").select("a", "b").distinct(), "jaccard-pairs")
-    heavy = found.filter("b IS NULL").groupBy("token", F.col("a").alias("node")).agg(F.max("n").alias("n"))
-    shared = heavy.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    heavy = table(heavy.join(shared.hint("merge"), "token"), "jaccard-frequent")
-
-    used = stars.select(F.explode(F.array("a", "b")).alias("node")).union(light.select(F.explode(F.array("a", "b")))).union(heavy.select("node")).distinct()
-    wanted = table(reps.join(used.hint("merge"), "node").select("node", F.col("rep").alias("doc_id")), "jaccard-wanted")
-    chosen = texts.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").filter(F.length("text") > 0)
-    sets = chosen.select("text").mapInArrow(_sets, "node long, tokens binary")
-    sets = table(sets.join(wanted.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
-
-    links = table(verify(stars, sets), "jaccard-links")
+    links = table(verify(stars, _sets_of(texts, reps, stars)), "jaccard-links")
     found = components(links)
 
+    postings = texts.mapInArrow(_postings(frequent, bits), POSTINGS)
+    shared = table(postings.groupBy("bucket", "part").applyInArrow(_pair_bucket, FOUND), "jaccard-found")
+    light = table(shared.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("shared")), "jaccard-pairs")
+    heavy = table(shared.filter("b IS NULL").groupBy("token", F.col("a").alias("node")).agg(F.max("n").alias("n")), "jaccard-frequent")
+    # tokens of each node's prefix that were not paired in a bucket
+    left = table(reps.select("node", "n").join(heavy.groupBy("node").agg(F.count("*").alias("h")).hint("merge"), "node", "left").select("node", "n", F.coalesce("h", F.lit(0)).alias("h")), "jaccard-left")
+
     def comp_of(df: DataFrame, node: str, name: str) -> DataFrame:
         joined = df.join(found.select(F.col("node").alias(node), F.col("comp").alias(name)).hint("merge"), node, "left")
         return joined.withColumn(name, F.coalesce(name, node))
 
-    across = comp_of(comp_of(light, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+    def sized(df: DataFrame) -> DataFrame:
+        for c in ("a", "b"):
+            df = df.join(left.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("h").alias(f"h{c}")).hint("merge"), c)
+        return df
+
+    across = comp_of(comp_of(light, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b", "shared")
+    across = sized(across).filter(F.col("shared") + F.least("ha", "hb") >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
     labelled = table(comp_of(heavy, "node", "comp"), "jaccard-frequent-comps")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     labelled = table(labelled.join(mixed.hint("merge"), "token"), "jaccard-frequent-mixed")
     x, y = labelled.alias("x"), labelled.alias("y")
     close = (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= SHARE * F.greatest("x.n", "y.n"))
-    wide = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & close).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    wide = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & close).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("more"))
+    wide = sized(wide).join(light.hint("merge"), ["a", "b"], "left").filter(F.col("more") + F.coalesce("shared", F.lit(0)) >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
     rest = table(across.union(wide).distinct(), "jaccard-across")
-    links = table(links.union(verify(rest, sets)), "jaccard-all-links")
+    links = table(links.union(verify(rest, _sets_of(texts, reps, rest))), "jaccard-all-links")
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     same_id = named.join(same_id.hint("merge"), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
     found = components(links.union(same_id))
