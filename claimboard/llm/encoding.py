@@ -18,7 +18,7 @@ MEMO_PIECES, MEMO_CHARS = 700_000, 40
 CALL_CHARS = 200_000
 #: Marks that may follow a word in a piece.
 MARKS = ".,;:!?*#$%&|"
-_MIXED = re.compile(r"\s | \s|^\s|\s$")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _encoders: dict = {}
 
 
@@ -32,7 +32,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 def pieces_of(text: str) -> list[str]:
     """Pieces of a text, each but the first without the space before it."""
     parts = text.split(" ")
-    if not _MIXED.search(text):
+    lone = "" not in parts and " \n" not in text and "\n " not in text and text[0] != "\n" and text[-1] != "\n"
+    if lone and not _OTHER_SPACE.search(text):
         return parts
     out = [parts[0]]
     open_end = not parts[0] or parts[0][-1].isspace()
@@ -113,7 +114,8 @@ class Encoder:
             self.memo = {p: self.memo[p] for p in self.again if p in self.memo} if len(self.again) < MEMO_PIECES // 2 else {}
             self.again = set()
             missing = seen.difference(self.memo)
-        self.again |= seen - missing
+        if len(self.memo) > MEMO_PIECES // 2:
+            self.again |= seen - missing
         memo = self.memo
         memo[""] = b""
         missing.discard("")
