@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import ship
 from .normalize import xor_normalise
 
 parity_agg = xor_normalise
@@ -71,6 +72,7 @@ def gf2_rank(df: DataFrame, group: list[str], row: str, element: str) -> DataFra
     """(group..., rank): one matrix per group job; element numbers need not be small, rows are sparse integers."""
     import pandas as pd
 
+    ship(df.sparkSession)
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", rank int"
 
@@ -86,6 +88,7 @@ def in_rowspace(vectors: DataFrame, rows: DataFrame, group: list[str], row: str,
     """(group..., inside): whether the group's vector (group..., element) is a sum of its rows."""
     import pandas as pd
 
+    ship(rows.sparkSession)
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", inside boolean"
 
@@ -114,6 +117,7 @@ def gf2_fingerprint(df: DataFrame, group: list[str], side: str, row: str, elemen
 
     import pandas as pd
 
+    ship(df.sparkSession)
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", fingerprint string"
 
@@ -162,6 +166,7 @@ def kernel_basis(df: DataFrame, group: list[str], row: str, element: str, size:
     """(group..., basis_idx, element): a basis of the vectors with even overlap with every row."""
     import pandas as pd
 
+    ship(df.sparkSession)
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + f", basis_idx int, {element} int"
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import ship
+
 #: Salts of the second elimination round; each (group, salt) is one task's work.
 SALTS = 16
 
@@ -37,6 +39,7 @@ def skyline(df: DataFrame, minimize: list[str], maximize: list[str], partition_b
 
     Distinct axis tuples are eliminated inside each input partition first, then per (partition, salt), then per
     partition; only tuples that survived a round move on, and the input is semi-joined with the final ones."""
+    ship(df.sparkSession)
     group, peers = list(partition_by or []), list(peer_leq or [])
     axes = [*peers, *minimize, *maximize]
     tuples = df.select(*group, *axes).dropna(subset=axes).distinct()
