@@ -9,7 +9,8 @@ earlier one is verified word by word and dropped. Earliest means least (doc_id,
 Only lines that share their first or last half with another line can lie within the bound, so a count of hashed
 halves comes first and only those lines emit variants; it loses nothing.
 
-Defined results: lines of fewer than LEAST_WORDS words are always kept; a null text has no lines; rows that share
+Defined results: equal lines collapse however short they are; lines of fewer than LEAST_WORDS words have no near
+copies, as one word is too much of them; lines without a word are always kept; a null text has no lines; rows that share
 a doc_id are ordered by their text's hash; rows without doc_id come first; a line is dropped if any earlier line
 is within the bound, whether that one is kept or not; an empty table gives an empty table; other columns are
 ignored by judge() and carried by dedup().
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, let, table, words_of
 
+#: Words that a line must have for the edit bound of one word to apply to it.
 LEAST_WORDS = 4
 
 
@@ -43,7 +45,7 @@ def _halves(w: Column) -> Column:
 
 
 def _line_facts(lines: DataFrame) -> DataFrame:
-    """Lines long enough to be compared, with two hashes, length and hashed halves."""
+    """Lines with length, two hashes and, where they are long enough for the edit bound, hashed halves."""
     facts = let(
         words_of(F.col("line")),
         lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit("second"), w).alias("h2"), F.when(F.size(w) >= LEAST_WORDS, _halves(w)).alias("halves")),
@@ -57,15 +59,16 @@ def judge(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", "text")
     facts = table(_line_facts(_lines(base)), "line-facts")
     place = F.struct("doc_id", "th", "line_no")
-    firsts = facts.filter(F.col("n") >= LEAST_WORDS).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.min("halves").alias("halves"))
+    firsts = facts.filter("n > 0").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.min("halves").alias("halves"))
     firsts = table(firsts, "line-firsts")
 
     halves = firsts.select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
     halves_hint = halves.join(shared.hint("shuffle_hash"), "half", "left_semi").select("h1", "h2").distinct()
     near = firsts.join(halves_hint.hint("shuffle_hash"), ["h1", "h2"], "left_semi").select("h1", "h2", "first.*")
-    near = table(near, "line-candidates")
-    texts = _lines(base).join(near.hint("merge"), ["doc_id", "th", "line_no"]).select("h1", "h2", place.alias("first"), words_of(F.col("line")).alias("words"))
+    near = table(near.withColumnsRenamed({"doc_id": "d", "th": "t", "line_no": "l"}), "line-candidates")
+    here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("line_no") == F.col("l"))
+    texts = _lines(base).join(near.hint("merge"), here).select("h1", "h2", place.alias("first"), words_of(F.col("line")).alias("words"))
     texts = table(texts.dropDuplicates(["h1", "h2"]), "line-words")
 
     line = W.partitionBy("h1", "h2")
@@ -109,9 +112,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
     firsts_known = firsts.select("h1", "h2", "first").join(dropped.withColumn("near", F.lit(True)).hint("merge"), ["h1", "h2"], "left")
     out = facts.select("doc_id", "th", "line_no", "n", "h1", "h2").join(firsts_known.hint("merge"), ["h1", "h2"], "left")
-    long_enough = F.col("n") >= LEAST_WORDS
-    earlier = F.coalesce(long_enough & (F.col("first") != F.struct("doc_id", "th", "line_no")), F.lit(False))
-    return out.select("doc_id", "th", "line_no", earlier.alias("exact"), F.coalesce(long_enough & F.col("near"), F.lit(False)).alias("near"))
+    earlier = F.coalesce(F.col("first") != F.struct("doc_id", "th", "line_no"), F.lit(False))
+    return out.select("doc_id", "th", "line_no", earlier.alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

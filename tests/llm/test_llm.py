@@ -335,6 +335,20 @@ def test_line_dedup(spark):
         assert texts[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not any(want[i, k])))
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "Read more\nfirst of all\n\nfoo", "en", "s", 0), (2, "READ  more\nfirst of some\n\n ", "en", "s", 0), (3, "foo\nread more\nread", "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    gone = {(r["doc_id"], r["line_no"]) for r in linededup.judge(df).filter("exact").collect()}
+    assert gone == {(2, 0), (3, 0), (3, 1)} and not linededup.judge(df).filter("near").count()
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()} == {1: rows[0][1], 2: "first of some\n\n ", 3: "read"}
+
+
+def test_line_dedup_against_rows_without_ids(spark):
+    rows = [(None, "some words stand in here\nshort one", "en", "s", 0), (1, "some words stood in here\nSHORT one\nother words are in here", "en", "s", 0), (2, "some words stand in\nsome words stand in here", "en", "s", 0)]
+    out = linededup.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["line_no"]): (r["exact"], r["near"]) for r in out if r["exact"] or r["near"]} == {(1, 0): (False, True), (1, 1): (True, False), (2, 0): (False, True), (2, 1): (True, False)}
+
+
 # ---- operator 8
 
 PATTERNS = {
