@@ -55,8 +55,9 @@ def mix(docs: DataFrame) -> DataFrame:
     return _mix(narrow)
 
 
-def _mix(narrow: DataFrame) -> DataFrame:
-    """The same for a written table (doc_id, sk, size, h, ...)."""
+def _mix(narrow: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The same for a written table (doc_id, sk, size, h, ...), whose other columns are carried; `ties` order rows
+    alike in h, doc_id and size."""
     counted = table(narrow.groupBy("sk").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "mix-sources")
     aims = targets(counted.select("sk", "source_size")).join(counted.select("sk", "docs").hint("shuffle_hash"), "sk")
     aims = table(aims, "mix-targets")
@@ -65,7 +66,7 @@ def _mix(narrow: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.floor(F.col("h") / width))
     offsets = prefix_sums(rows.groupBy("sk", "block").agg(F.sum("size").alias("words")), ["sk"], "block", {"before": "words"})
     offsets = table(offsets.select("sk", "block", "before"), "mix-offsets")
-    inside = W.partitionBy("sk", "block").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("sk", "block").orderBy("h", "doc_id", "size", *ties).rowsBetween(W.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(inside)).join(offsets.hint("shuffle_hash"), ["sk", "block"])
     placed = table(placed.withColumn("upto", F.col("upto") + F.col("before")).drop("before", "block", "docs"), "mix-placed")
 
@@ -90,13 +91,14 @@ def _mix(narrow: DataFrame) -> DataFrame:
 
 def keep_mixed(docs: DataFrame) -> DataFrame:
     """`docs` as the mix takes them: rows that it takes twice stand twice, those that it leaves are gone."""
-    held = fresh(docs, "_row")
-    narrow = table(docs.select(F.struct(*docs.columns).alias(held), "doc_id", key_of(F.col("source")).alias("sk"), word_count(F.col("text")).alias("size"), deal(F.col("doc_id")).alias("h")), "mix-docs")
-    small = _mix(narrow.select("doc_id", "sk", "size", "h"))
-    # every (source, finish) place is decided alike, so rows find their count by source, id, size and hash
-    chosen = small.filter("copies > 0").groupBy("doc_id", "sk", "size", "h").agg(F.min("copies").alias("copies"))
-    joined = narrow.join(chosen.hint("shuffle_hash"), ["sk", "h", "size", "doc_id"])
-    return joined.select(f"{held}.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(fresh(docs, "_copy"))).select(*docs.columns)
+    held, copy = fresh(docs, "_held"), fresh(docs, "_copy")
+    keyed = docs.select(F.struct(*docs.columns).alias(held), "doc_id", key_of(F.col("source")).alias("sk"), word_count(F.col("text")).alias("size"), deal(F.col("doc_id")).alias("h"), F.xxhash64("text").alias("th"))
+    # the number is written with the row, so it stays the row's own; ids may be null or repeated
+    narrow = table(keyed.withColumn("row", F.monotonically_increasing_id()), "mix-docs")
+    small = _mix(narrow.select("doc_id", "sk", "size", "h", "th", "row"), ("th", "row"))
+    chosen = small.filter("copies > 0").select("row", "copies")
+    joined = narrow.select(held, "row").join(chosen.hint("shuffle_hash"), "row")
+    return joined.select(f"{held}.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy)).select(*docs.columns)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

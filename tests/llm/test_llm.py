@@ -122,6 +122,22 @@ def test_mix_over_many_ranges(spark, monkeypatch):
     assert {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()} == whole
 
 
+def test_mix_keeps_rows_without_ids_and_repeated_rows(spark):
+    rows = [(None, f"{k} words without an id", "en", "s0", 0) for k in range(9)] + [(7, "one row many times over", "en", "s1", 0)] * 30
+    rows += [(100 + k, "a few words of the last source", "en", "s2", k) for k in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    placed = mixing.mix(df).groupBy("source_size", "doc_id").agg(F.sum("copies").alias("n"), F.count_distinct("copies").alias("kinds")).collect()
+    want = {(r["source_size"], r["doc_id"]): r["n"] for r in placed if r["n"]}
+    # the cut falls among the repeated rows, and rows without id are taken
+    assert next(r["kinds"] for r in placed if r["doc_id"] == 7) > 1 and any(i is None for _, i in want)
+    kept = mixing.keep_mixed(df).collect()
+    size = {s: sum(len(split_words(r[1])) for r in rows if r[3] == s) for s in ("s0", "s1", "s2")}
+    got = {}
+    for r in kept:
+        got[size[r["source"]], r["doc_id"]] = got.get((size[r["source"]], r["doc_id"]), 0) + 1
+    assert got == want and {r["text"] for r in kept} <= {r[1] for r in rows}
+
+
 def test_prefix_sums(spark):
     rows = [(g, b, (7 * b + 1) % 5) for g in "ab" for b in range(50)]
     df = spark.createDataFrame(rows, "g string, block long, n long")
