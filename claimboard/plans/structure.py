@@ -242,7 +242,7 @@ def _(spark, sf):
     edge = incidence(spark, sf).select(F.col("key").alias("graph"), F.concat(F.lit("c"), F.col("check_idx")).alias("src"), F.concat(F.lit("q"), F.col("qubit")).alias("dst")).distinct()
     edges = written(edge.unionByName(edge.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"))), "wl-edges")
     nodes = edges.select("graph", F.col("src").alias("node")).distinct().withColumn("colour", F.when(F.col("node").startswith("c"), 0).otherwise(1))
-    return graph.wl_refine(nodes, edges, 2).groupBy("graph", F.col("colour").cast("long").alias("colour")).agg(F.count("*").alias("nodes"))
+    return graph.wl_refine(nodes, edges).groupBy("graph", F.col("colour").cast("long").alias("colour")).agg(F.count("*").alias("nodes"))
 
 
 FP_SQL = "f AS (SELECT l_orderkey AS key, md5(string_agg(l_partkey % 40, ',' ORDER BY l_partkey % 40)) AS fp, md5(string_agg(l_partkey % 8, ',' ORDER BY l_partkey % 8)) AS sig FROM lineitem GROUP BY l_orderkey)"

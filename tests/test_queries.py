@@ -47,3 +47,19 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_query_without_sql_has_rows(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
+
+
+def test_wl_refine_splits_in_late_rounds(spark, tmp_path):
+    lines = [(1, i, i + j, "F") for i in range(7) for j in (0, 1)]
+    spark.createDataFrame(lines, "l_suppkey long, l_orderkey long, l_partkey long, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near = {}
+    for _, c, q, _ in lines:
+        near.setdefault(f"c{c}", []).append(f"q{q}")
+        near.setdefault(f"q{q}", []).append(f"c{c}")
+    colour = {v: int(v[0] == "q") for v in near}
+    for _ in range(6):
+        sign = {v: (colour[v], sorted(colour[u] for u in near[v])) for v in near}
+        ranks = sorted({repr(s): s for s in sign.values()}.values())
+        colour = {v: ranks.index(s) for v, s in sign.items()}
+    got = {r["colour"]: r["nodes"] for r in plans.QUERIES["e1_wl_refine"](spark, str(tmp_path)).collect()}
+    assert got == {c: list(colour.values()).count(c) for c in colour.values()} and len(got) == 8
