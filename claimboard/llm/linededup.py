@@ -10,8 +10,9 @@ Only lines that share their first or last half with another line can lie within
 halves comes first and only those lines emit variants; it loses nothing.
 
 Defined results: equal lines collapse however short they are; lines of fewer than LEAST_WORDS words have no near
-copies, as one word is too much of them; lines without a word are always kept; a null text has no lines; rows that share
-a doc_id are ordered by their text's hash; rows without doc_id come first; a line is dropped if any earlier line
+copies, as one word is too much of them; lines without a word are always kept; a null text has no lines (op7
+lists it with 0); rows that share a doc_id are ordered by their text's hash, and rows alike in doc_id and text are one
+document, whose lines keep their first place in each such row; rows without doc_id come first; a line is dropped if any earlier line
 is within the bound, whether that one is kept or not; an empty table gives an empty table; other columns are
 ignored by judge() and carried by dedup().
 """
@@ -69,17 +70,18 @@ def judge(docs: DataFrame) -> DataFrame:
     near = table(near.withColumnsRenamed({"doc_id": "d", "th": "t", "line_no": "l"}), "line-candidates")
     here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("line_no") == F.col("l"))
     texts = _lines(base).join(near.hint("merge"), here).select("h1", "h2", place.alias("first"), words_of(F.col("line")).alias("words"))
-    texts = table(texts.dropDuplicates(["h1", "h2"]), "line-words")
-
-    line = W.partitionBy("h1", "h2")
-    rows = texts.select("h1", "h2", "first", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
-    rows = rows.select("h1", "h2", "first", "n", "i", F.xxhash64("w", "i").alias("a"), F.xxhash64("w", F.col("i") - 1).alias("b"))
-    upto = line.orderBy("i")
+    # a word's key at its own place and one place earlier; all but word i is the running XOR of the first kind before i
+    # and, after i, the total of the second kind less its running XOR. Totals are written, else they are made per word
+    zero = F.lit(0).cast("long")
+    total = lambda back: F.aggregate(F.transform("words", lambda w, i: F.xxhash64(w, i - back)), zero, lambda acc, x: acc.bitwiseXOR(x))
+    texts = table(texts.dropDuplicates(["h1", "h2"]).select("*", total(0).alias("whole"), total(1).alias("rest")), "line-words")
+    rows = texts.select("h1", "h2", "first", F.size("words").alias("n"), "whole", "rest", F.posexplode("words").alias("i", "w"))
+    rows = rows.select("h1", "h2", "first", "n", "whole", "rest", "i", F.xxhash64("w", "i").alias("a"), F.xxhash64("w", F.col("i") - 1).alias("b"))
+    upto = W.partitionBy("h1", "h2").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.select(
-        "h1", "h2", "first", "n", "i",
-        F.coalesce(F.bit_xor("a").over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("head"),
-        F.coalesce(F.bit_xor("b").over(upto.rowsBetween(1, W.unboundedFollowing)), F.lit(0)).alias("tail"),
-        F.bit_xor("a").over(line.orderBy("i").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("whole"),
+        "h1", "h2", "first", "n", "i", "whole",
+        F.bit_xor("a").over(upto).bitwiseXOR(F.col("a")).alias("head"),
+        F.bit_xor("b").over(upto).bitwiseXOR(F.col("rest")).alias("tail"),
     )
     variant = F.col("head").bitwiseXOR(F.col("tail"))
     key = lambda kind, m, at, x, role: F.struct(F.lit(kind).alias("kind"), m.alias("m"), at.alias("at"), x.alias("x"), F.lit(role).alias("role"))
@@ -128,23 +130,32 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def op7(spark, sf_dir: str) -> DataFrame:
     """Query: per document the lines, those dropped and a digest of the kept lines' numbers."""
-    lines = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    numbers = lambda condition: F.collect_set(F.when(condition, F.col("line_no")))
     dropped = F.col("exact") | F.col("near")
-    kept = F.array_join(F.sort_array(F.collect_list(F.when(~dropped, F.col("line_no")))).cast("array<string>"), ",")
-    return lines.groupBy("doc_id", "th").agg(F.count("*").alias("n_lines"), F.count_if("exact").alias("n_exact"), F.count_if(F.col("near") & ~F.col("exact")).alias("n_near"), F.sha2(kept, 256).alias("kept_sha256")).drop("th")
+    # sets, so that rows which repeat a document do not count its lines again
+    by_doc = judge(docs).groupBy("doc_id", "th").agg(
+        (F.max("line_no") + 1).cast("long").alias("n_lines"), F.size(numbers(F.col("exact"))).cast("long").alias("n_exact"),
+        F.size(numbers(F.col("near") & ~F.col("exact"))).cast("long").alias("n_near"), F.sort_array(numbers(~dropped)).alias("kept"),
+    ).drop("th")
+    nothing = F.lit(0).cast("long")
+    empty = docs.filter("text IS NULL").select("doc_id").distinct().select("doc_id", nothing.alias("n_lines"), nothing.alias("n_exact"), nothing.alias("n_near"), F.array().cast("array<int>").alias("kept"))
+    return by_doc.unionByName(empty).withColumn("kept_sha256", F.sha2(F.array_join(F.col("kept").cast("array<string>"), ","), 256)).drop("kept")
 
 
 OP7_SQL = """
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, i - 1 AS line_no, list_filter(regexp_split_to_array(lower(ls[i]), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
-f AS (SELECT ws, min({'d': doc_id, 'l': line_no}) AS first FROM l WHERE len(ws) >= 4 GROUP BY ws),
-v AS (SELECT ws, first, len(ws) AS n, i, ws[1 : i - 1] || ws[i + 1 : len(ws)] AS x FROM f, unnest(range(1, len(ws) + 1)) AS u(i)),
+WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, text, i - 1 AS line_no, list_filter(regexp_split_to_array(lower(ls[i]), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
+f AS (SELECT ws, min({'d': doc_id, 'l': line_no}) AS first FROM l WHERE len(ws) > 0 GROUP BY ws),
+b AS (SELECT * FROM f WHERE len(ws) >= 4),
+v AS (SELECT ws, first, len(ws) AS n, i, ws[1 : i - 1] || ws[i + 1 : len(ws)] AS x FROM b, unnest(range(1, len(ws) + 1)) AS u(i)),
 r AS (SELECT ws FROM (SELECT ws, first, min(first) OVER (PARTITION BY n, i, x) AS best FROM v) WHERE best < first),
-s AS (SELECT v.ws FROM v JOIN f ON v.x = f.ws WHERE f.first < v.first UNION SELECT f.ws FROM v JOIN f ON v.x = f.ws WHERE v.first < f.first),
+s AS (SELECT v.ws FROM v JOIN b ON v.x = b.ws WHERE b.first < v.first UNION SELECT b.ws FROM v JOIN b ON v.x = b.ws WHERE v.first < b.first),
 g AS (SELECT ws FROM r UNION SELECT ws FROM s),
-j AS (SELECT l.doc_id, l.line_no, coalesce(f.first <> {'d': l.doc_id, 'l': l.line_no}, false) AS exact, g.ws IS NOT NULL AS near
-  FROM l LEFT JOIN f ON l.ws = f.ws LEFT JOIN g ON l.ws = g.ws)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near AND NOT exact) AS n_near,
-  sha256(coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (NOT exact AND NOT near), '')) AS kept_sha256
-FROM j GROUP BY doc_id
+j AS (SELECT l.doc_id, l.text, l.line_no, coalesce(f.first <> {'d': l.doc_id, 'l': l.line_no}, false) AS exact, g.ws IS NOT NULL AS near
+  FROM l LEFT JOIN f ON l.ws = f.ws LEFT JOIN g ON l.ws = g.ws),
+k AS (SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near AND NOT exact) AS n_near,
+  string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (NOT exact AND NOT near) AS kept FROM j GROUP BY doc_id, text)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_exact, 0)::BIGINT AS n_exact, coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id IS NOT DISTINCT FROM d.doc_id AND k.text = d.text
 """

@@ -336,14 +336,15 @@ def test_line_dedup(spark):
     for i, t, *_ in rows:
         for k, x in enumerate(t.split("\n") if t is not None else []):
             w = tuple(x.lower().split())
-            if len(w) >= 4:
+            if w:
                 first.setdefault(w, (i, k))
-    gone = {w for w, p in first.items() if any(first[v] < p and within_one(list(w), list(v)) for v in first)}
+    long = [w for w in first if len(w) >= 4]
+    gone = {w for w in long if any(first[v] < first[w] and within_one(list(w), list(v)) for v in long)}
     want = {}
     for i, t, *_ in rows:
         for k, x in enumerate(t.split("\n") if t is not None else []):
             w = tuple(x.lower().split())
-            want[i, k] = (len(w) >= 4 and first[w] != (i, k), w in gone)
+            want[i, k] = (len(w) > 0 and first[w] != (i, k), w in gone)
     df = spark.createDataFrame(rows, SCHEMA)
     assert {(r["doc_id"], r["line_no"]): (r["exact"], r["near"]) for r in linededup.judge(df).collect()} == want
     texts = {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()}
@@ -365,6 +366,22 @@ def test_line_dedup_against_rows_without_ids(spark):
     assert {(r["doc_id"], r["line_no"]): (r["exact"], r["near"]) for r in out if r["exact"] or r["near"]} == {(1, 0): (False, True), (1, 1): (True, False), (2, 0): (False, True), (2, 1): (True, False)}
 
 
+def test_line_dedup_of_a_book_on_one_line(spark):
+    ws = [f"w{k * 7919 % 50021}" for k in range(200_000)]
+    near = [*ws[:150_000], "other", *ws[150_001:]]
+    rows = [(1, " ".join(ws), "en", "s", 0), (2, "short\n" + " ".join(near), "en", "s", 0), (3, " ".join(ws[:-2]), "en", "s", 0)]
+    out = linededup.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["line_no"]) for r in out if r["near"]} == {(2, 1)} and not any(r["exact"] for r in out)
+
+
+def test_line_dedup_query_lists_null_texts_and_repeated_rows(spark, tmp_path):
+    rows = [(1, "a line of words here\nx", "en", "s", 0), (1, "a line of words here\nx", "de", "s", 0), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, "X\na line of words there\nnew", "en", "s", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    digest = lambda *kept: hashlib.sha256(",".join(map(str, kept)).encode()).hexdigest()
+    got = {tuple(r) for r in linededup.op7(spark, str(tmp_path)).select("doc_id", "n_lines", "n_exact", "n_near", "kept_sha256").collect()}
+    assert got == {(1, 2, 0, 0, digest(0, 1)), (2, 0, 0, 0, digest()), (3, 1, 0, 0, digest(0)), (4, 3, 1, 1, digest(2))}
+
+
 # ---- operator 8
 
 PATTERNS = {
