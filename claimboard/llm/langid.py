@@ -6,11 +6,12 @@ ones, down to single characters. The language with the greatest sum, with the la
 the score is its posterior probability.
 
 Learning is fitted on at most about TRAIN_DOCS documents of each language (a hash of doc_id chooses them, at a
-rate that follows the language's count), counted by Spark; the KNOWN_WORDS and KNOWN_GRAMS most frequent
-entries are kept, which bounds what is broadcast. Prediction covers all rows and whole texts.
+rate that follows the language's count), counted by Spark; each language keeps its own KNOWN_WORDS and KNOWN_GRAMS
+most frequent entries (ties by code point), so that none is crowded out and what is broadcast is bounded.
+Prediction covers all rows and whole texts. A word is a Unicode letter with the letters and marks after it.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with nothing to learn from every
-text is `und`; letters of which nothing is known give the most frequent language; rows without doc_id are
+text is `und`; of languages with equal sums the first by code point wins; letters of which nothing is known give the most frequent language; rows without doc_id are
 predicted but not learned from; repeated rows are predicted alike; other columns are ignored.
 """
 
@@ -18,19 +19,29 @@ from __future__ import annotations
 
 import math
 import re
-from itertools import repeat
+from collections import Counter, defaultdict
 
+import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, table
 
-TRAIN_DOCS, KNOWN_WORDS, KNOWN_GRAMS, NGRAM = 3000, 60_000, 60_000, 4
-FOLDS, MEMO_WORDS = 5, 100_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+TRAIN_DOCS, KNOWN_WORDS, KNOWN_GRAMS, NGRAM = 3000, 30_000, 20_000, 4
+FOLDS, MEMO_WORDS = 5, 200_000
+_ASCII, _LETTERS = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _models: dict = {}
 
 
+def words_in(text: str | None) -> list[str]:
+    """Lower-case words of a text."""
+    if not text:
+        return []
+    return (_ASCII if text.isascii() else _LETTERS).findall(text.lower())
+
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds` (null without id)."""
     return F.crc32(doc_id.cast("string")) % folds
@@ -42,31 +53,47 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def _count(batches):
+def _batch(pa, counts: Counter):
+    langs, kinds, grams = map(list, zip(*counts))
+    arrays = [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(grams, pa.string()), pa.array(list(counts.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, ["lang", "kind", "gram", "n"])
+
+
+def _count_words(batches):
     import pyarrow as pa
-    from collections import Counter
 
-    counts: Counter = Counter()
+    words: dict[str, Counter] = defaultdict(Counter)
 
     def emit():
-        langs, kinds, grams = map(list, zip(*counts))
-        arrays = [pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(grams, pa.string()), pa.array(list(counts.values()), pa.int64())]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(arrays, ["lang", "kind", "gram", "n"])
+        counts = Counter({(lang, 0, w): n for lang, found in words.items() for w, n in found.items()})
+        words.clear()
+        return _batch(pa, counts)
 
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            for w, c in Counter(_LETTERS.findall((text or "").lower())).items():
-                counts[lang, 0, w] += c
-                for n in range(1, NGRAM + 1):
-                    for g in grams_of(w, n):
-                        counts[lang, n, g] += c
-            if len(counts) > 50_000:
+            words[lang].update(words_in(text))
+            if sum(map(len, words.values())) > 100_000:
                 yield emit()
-    if counts:
+    if any(words.values()):
         yield emit()
 
 
+def _count_grams(batches):
+    import pyarrow as pa
+
+    counts: Counter = Counter()
+    for b in batches:
+        for lang, word, c in zip(*(b.column(x).to_pylist() for x in ("lang", "gram", "n"))):
+            for n in range(1, NGRAM + 1):
+                for g in grams_of(word, n):
+                    counts[lang, n, g] += c
+        if len(counts) > 100_000:
+            yield _batch(pa, counts)
+            counts.clear()
+    if counts:
+        yield _batch(pa, counts)
+
+
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     """Model of the labelled rows of `docs` (doc_id, text, lang): languages, priors and log frequencies."""
     import numpy as np
@@ -79,12 +106,17 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
         return {"langs": [], "prior": [], "tables": []}
     rate = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, train_docs / sizes[k])))))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1_000_000)) / 1_000_000.0
-    counts = rows.filter(place < rate[F.col("lang")]).mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    per_gram = counts.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    words = per_gram.filter("kind = 0 AND all > 1").orderBy(F.desc("all"), "gram").limit(KNOWN_WORDS)
-    grams = per_gram.filter("kind > 0").orderBy(F.desc("all"), "kind", "gram").limit(KNOWN_GRAMS)
+    shape = "lang string, kind int, gram string, n long"
+    summed = lambda df: df.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    words = table(summed(rows.filter(place < rate[F.col("lang")]).mapInArrow(_count_words, shape)), "language-words")
+    counts = table(words.unionByName(summed(words.mapInArrow(_count_grams, shape))), "language-counts")
+    order = W.partitionBy("lang", "words").orderBy(F.desc("n"), "kind", "gram")
+    most = F.when(F.col("words"), KNOWN_WORDS).otherwise(KNOWN_GRAMS)
+    chosen = counts.withColumn("words", F.col("kind") == 0).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    known = counts.join(chosen.select("kind", "gram").distinct().hint("shuffle_hash"), ["kind", "gram"])
+    known = known.groupBy("kind", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy("kind", "gram")
     tables: list[dict] = [{} for _ in range(NGRAM + 1)]
-    for r in words.unionByName(grams).collect():
+    for r in known.collect():
         tables[r["kind"]][r["gram"]] = [r["by"].get(k, 0) for k in langs]
     logs = []
     for entries in tables:
@@ -95,42 +127,48 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
 
 
 class Scorer:
-    """A learned model in a worker."""
+    """A learned model in a worker. Words not learned get rows of their own, up to MEMO_WORDS of them."""
 
     def __init__(self, model: dict):
         import numpy as np
 
         self.np, self.langs, self.prior = np, model["langs"], np.array(model["prior"])
-        tables = model["tables"] or [([], np.zeros((0, 1)))]
+        tables = model["tables"] or [([], np.zeros((0, max(len(self.langs), 1))))]
+        self.known = len(tables[0][0])
         self.index = {w: i for i, w in enumerate(tables[0][0])}
-        self.rows = tables[0][1]
-        self.grams = [({g: i for i, g in enumerate(names)}, rows) for names, rows in tables[1:]]
-        self.memo: dict = {}
+        self.rows = np.concatenate([tables[0][1], np.zeros((MEMO_WORDS, tables[0][1].shape[1]), tables[0][1].dtype)])
+        self.grams = [dict(zip(names, map(tuple, rows.tolist()))) for names, rows in tables[1:]]
+        self.nothing = (0.0,) * len(self.langs)
 
-    def unseen(self, word: str):
+    def unseen(self, word: str) -> tuple:
         """Vector of a word that was not learned."""
-        if word in self.memo:
-            return self.memo[word]
-        out = self.np.zeros(len(self.langs))
-        for n in range(NGRAM, 0, -1):
-            index, rows = self.grams[n - 1]
-            known = [index[g] for g in grams_of(word, n) if g in index]
+        for n in range(min(NGRAM, len(self.grams)), 0, -1):
+            rows = self.grams[n - 1]
+            known = [rows[g] for g in grams_of(word, n) if g in rows]
             if known:
-                out = rows[known].mean(0)
-                break
-        if len(self.memo) < MEMO_WORDS and len(word) < 40:
-            self.memo[word] = out
-        return out
+                return tuple(sum(x) / len(known) for x in zip(*known))
+        return self.nothing
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        np = self.np
-        words = _LETTERS.findall((text or "").lower())
+        np, index = self.np, self.index
+        words = words_in(text)
         if not words or not self.langs:
             return "und", 0.0
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        total = self.prior + (self.rows[at[at >= 0]].sum(0) if len(self.rows) else 0)
-        for i in np.flatnonzero(at < 0).tolist():
-            total = total + self.unseen(words[i])
+        extra = 0.0
+        for w in set(words).difference(index):
+            if len(w) < 40:
+                if len(index) == len(self.rows):  # full: forget the words that were not learned
+                    for k in [k for k, i in index.items() if i >= self.known]:
+                        del index[k]
+                self.rows[len(index)] = self.unseen(w)
+                index[w] = len(index)
+        try:
+            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        except KeyError:  # words too long to remember, or more than fit
+            at = np.array([index[w] for w in words if w in index], np.int64)
+            extra = np.array([self.unseen(w) for w in words if w not in index]).sum(0)
+        total = self.prior + np.bincount(at, minlength=len(self.rows)) @ self.rows if len(at) > len(self.rows) else self.prior + self.rows[at].sum(0, dtype=np.float64)
+        total = total + extra
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 

@@ -16,13 +16,12 @@ doc_id are scored and not learned from; repeated rows score alike; other columns
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, table
 from .langid import _Sent, fold
+from .langid import words_in as letters_in
 
 TRAIN_TOXIC, TRAIN_OTHER, FEATURES, FOLDS = 4000, 8000, 500, 3
 LEAST_DOCS, RIDGE, SWAP_WEIGHT, STEPS, THRESHOLD = 4, 2e-4, 5.0, 500, 0.7
@@ -37,13 +36,12 @@ IDENTITY = {
     "age": ["old", "young", "elderly", "teenage"],
 }
 NEUTRAL = "people"
-_WORDS = re.compile(r"[^\W\d_]+")
 _models: dict = {}
 
 
 def words_in(text: str | None) -> set[str]:
     """Distinct lower-case words of a text."""
-    return set(_WORDS.findall((text or "").lower()))
+    return set(letters_in(text))
 
 
 def features_in(text: str | None) -> set[str]:
