@@ -11,9 +11,9 @@ import os
 import re
 import struct
 
-#: Pieces a worker remembers, and the longest piece it remembers. When the memo is full, pieces that were met again
-#: since it was last full are kept.
-MEMO_PIECES, MEMO_CHARS = 700_000, 40
+#: Pieces a worker remembers, and the longest piece it remembers. They are kept in two halves: when the newer one is
+#: full it becomes the older one, and pieces met again move back to the newer.
+MEMO_PIECES, MEMO_CHARS = 1_000_000, 40
 #: Characters encoded in one call of the library.
 CALL_CHARS = 200_000
 #: Marks that may follow a word in a piece.
@@ -46,8 +46,18 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
+class _Memo(dict):
+    """Ids of pieces after a space; those not known are asked of the encoder."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.encoder.learn(piece)
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned integers of 16 bits if the vocabulary has no more ids, else of 32 (`kind`)."""
 
     def __init__(self, vocabulary: str, plain_specials: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,72 +70,67 @@ class Encoder:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         others = iter(range(256, 512))
         self.names = [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-        self.memo: dict[str, bytes] = {}  # pieces after a space
-        self.again: set[str] = set()
+        self.space = self.names[32]
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.packers = [struct.Struct(f"<{n}{self.code}").pack for n in range(64)]
+        self.line = self._library("\n")
+        self.memo, self.older = _Memo(self), {"": b""}
         self.marks: dict[str, bytes] = {"": b""}
 
     def _ids(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a space and letters, which the pre-tokenizer keeps whole."""
-        name = self.names[32] + (word if word.isascii() else "".join([self.names[b] for b in word.encode()]))
-        return self._ids([t.id for t in self.model.tokenize(name)])
-
-    def _encode(self, pieces: list[str], lead: str = " ") -> dict[str, bytes]:
-        """Ids of each piece after `lead`."""
-        out, hard, memo = {}, [], self.memo
-        for p in pieces:
-            word = p.rstrip(MARKS)
-            if not lead or not word.isalpha():
-                hard.append(p)
-                continue
-            tail = p[len(word) :]
-            if tail not in self.marks:
-                if len(self.marks) > MEMO_PIECES or len(tail) > MEMO_CHARS:
-                    hard.append(p)
-                    continue
-                self.marks[tail] = self._ids(self.tokenizer.encode(tail, add_special_tokens=False).ids)
-            head = memo.get(word) or out.get(word)
-            if head is None:
-                head = out[word] = self._word(word)
-            out[p] = head + self.marks[tail]
-        at = 0
-        while at < len(hard):
-            end, chars = at, 0
-            while end < len(hard) and (end == at or chars + len(hard[end]) <= CALL_CHARS):
-                chars += len(hard[end])
-                end += 1
-            for p, e in zip(hard[at:end], self.tokenizer.encode_batch([lead + p for p in hard[at:end]], add_special_tokens=False)):
-                out[p] = self._ids(e.ids)
-            at = end
-        return out
+        return self.packers[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _library(self, text: str) -> bytes:
+        return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, lead: str, word: str) -> bytes:
+        """Ids of letters, after a space or not, which the pre-tokenizer keeps whole."""
+        name = word if word.isascii() else "".join([self.names[b] for b in word.encode()])
+        return self._ids([t.id for t in self.model.tokenize(lead + name)])
+
+    def learn(self, piece: str) -> bytes:
+        """Ids of a piece after a space or, if it begins with one, a line break; remembered if it is short."""
+        memo, ids = self.memo, self.older.get(piece)
+        if ids is None:
+            if "\n" in piece[1:]:
+                lines = piece.split("\n")
+                if lines == piece.split():  # single line breaks, each a token of its own
+                    return memo[lines[0]] + b"".join([memo["\n" + x] for x in lines[1:]])
+            word = piece.rstrip(MARKS)
+            bare = word[1:] if word[:1] == "\n" else word
+            if not bare.isalpha():
+                ids = self._library(piece if piece[:1] == "\n" else " " + piece) if piece else b""
+            else:
+                ids = memo.get(word) or self.older.get(word)
+                if ids is None:
+                    ids = self._word(self.space, word) if bare is word else self.line + self._word("", bare)
+                if len(word) < len(piece):
+                    if len(word) <= MEMO_CHARS:
+                        memo[word] = ids
+                    tail = piece[len(word) :]
+                    mark = self.marks.get(tail)
+                    if mark is None:
+                        mark = self._library(tail)
+                        if len(self.marks) < MEMO_PIECES // 8 and len(tail) <= MEMO_CHARS:
+                            self.marks[tail] = mark
+                    ids += mark
+        if len(piece) <= MEMO_CHARS:
+            memo[piece] = ids
+        return ids
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
+        if len(self.memo) > MEMO_PIECES // 2:
+            self.older, self.memo = self.memo, _Memo(self)
         cut = [pieces_of(t) for t in texts]
         firsts = [c[0] for c in cut]
-        first = self._encode(sorted(set(firsts)), "")
+        names = sorted(set(firsts))
+        first = {p: self._ids(e.ids) for p, e in zip(names, self.tokenizer.encode_batch(names, add_special_tokens=False))}
         for c in cut:
             c[0] = ""  # the first piece is joined by hand
-        seen = set().union(*cut)
-        missing = seen.difference(self.memo)
-        if len(self.memo) + len(missing) > MEMO_PIECES:
-            self.memo = {p: self.memo[p] for p in self.again if p in self.memo} if len(self.again) < MEMO_PIECES // 2 else {}
-            self.again = set()
-            missing = seen.difference(self.memo)
-        if len(self.memo) > MEMO_PIECES // 2:
-            self.again |= seen - missing
-        memo = self.memo
-        memo[""] = b""
-        missing.discard("")
-        rare = {}
-        if missing:
-            for p, ids in self._encode(list(missing)).items():
-                (memo if len(p) <= MEMO_CHARS else rare)[p] = ids
-        if rare:
-            return [first[f] + b"".join([memo[p] if p in memo else rare[p] for p in c]) for f, c in zip(firsts, cut)]
-        return [first[f] + b"".join(map(memo.__getitem__, c)) for f, c in zip(firsts, cut)]
+        find = self.memo.__getitem__
+        return [first[f] + b"".join(map(find, c)) for f, c in zip(firsts, cut)]
 
 
 def encoder(vocabulary: str = "byte_bpe_50k.json", plain_specials: bool = False) -> Encoder:

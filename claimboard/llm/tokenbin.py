@@ -104,13 +104,14 @@ def _write(vocabulary: str, end_id: int):
         from pyspark import TaskContext
 
         shard, chunk, first = TaskContext.get().partitionId(), 0, 0
-        enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        enc = encoder(vocabulary)
+        end, size = np.array([end_id], enc.kind).tobytes(), np.dtype(enc.kind).itemsize
         names = [x.split()[0] for x in FILES.split(", ")]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
         def row(docs):
-            ids = np.frombuffer(b"".join(d[1] for d in docs), "<u4")
-            values = [shard, chunk, first, [d[0] for d in docs], [len(d[1]) // 4 for d in docs], pack_chunk(ids)]
+            ids = np.frombuffer(b"".join(d[1] for d in docs), enc.kind).astype("<u4", copy=False)
+            values = [shard, chunk, first, [d[0] for d in docs], [len(d[1]) // size for d in docs], pack_chunk(ids)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names), len(ids)
 
         def encoded():
@@ -120,7 +121,7 @@ def _write(vocabulary: str, end_id: int):
                     for (doc, _), data in zip(group, enc.texts([t or "" for _, t in group])):
                         yield doc, data + end
 
-        for docs in in_groups(encoded(), lambda d: len(d[1]) // 4, CHUNK_IDS):
+        for docs in in_groups(encoded(), lambda d: len(d[1]) // size, CHUNK_IDS):
             out, n = row(docs)
             yield out
             chunk, first = chunk + 1, first + n
@@ -136,29 +137,41 @@ def write_ids(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: in
     return table(dealt.mapInArrow(_write(vocabulary, end_id), FILES), "token-ids")
 
 
-def _read(batches):
+def _read(end_id: int):
+    def run(batches):
+        for b in batches:
+            yield from _documents(b, end_id)
+
+    return run
+
+
+def _documents(b, end_id: int):
     import numpy as np
     import pyarrow as pa
 
-    for b in batches:
-        for base, first, docs, lengths, payload in zip(*(b.column(c).to_pylist() for c in ("base", "first", "doc_ids", "lengths", "payload"))):
-            data, at = unpack_chunk(payload).astype("<u4").tobytes(), 0
-            starts = base + first + np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype("int64")
-            sums = []
-            for n in lengths:
-                sums.append(zlib.crc32(data[4 * at : 4 * (at + n)]))
-                at += n
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], [x.split()[0] for x in INDEX.split(", ")])
+    for base, first, docs, lengths, payload in zip(*(b.column(c).to_pylist() for c in ("base", "first", "doc_ids", "lengths", "payload"))):
+        ids = unpack_chunk(payload).astype("<u4", copy=False)
+        ends = np.cumsum(lengths)
+        if ends[-1] != len(ids) or (ids[ends - 1] != end_id).any():
+            raise ValueError("the lengths beside a chunk disagree with its ids")
+        data, at = ids.tobytes(), 0
+        starts = base + first + np.concatenate([[0], ends[:-1]]).astype("int64")
+        sums = []
+        for n in lengths:
+            sums.append(zlib.crc32(data[4 * at : 4 * (at + n)]))
+            at += n
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], [x.split()[0] for x in INDEX.split(", ")])
 
 
-def read_index(files: DataFrame) -> DataFrame:
-    """Per document of a chunk table: doc_id, start, n_tokens and the crc32 of its ids, all from the payloads.
+def read_index(files: DataFrame, end_id: int = END_ID) -> DataFrame:
+    """Per document of a chunk table: doc_id, start, n_tokens and the crc32 of its ids, from the payloads; each
+    document must end with `end_id` where its noted length says.
 
     A shard's base is the sum of the shards before it; shards are as many as the tasks that wrote them."""
     shards = files.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bases = table(shards.select("shard", before.alias("base")), "token-shards")
-    return small_join(files, bases, ["shard"]).mapInArrow(_read, INDEX)
+    return small_join(files, bases, ["shard"]).mapInArrow(_read(end_id), INDEX)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

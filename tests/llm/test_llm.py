@@ -187,14 +187,17 @@ def test_pieces_encode_like_whole_texts():
     rng = random.Random(6)
     parts = [*"ab  \n\t.,'’é1²½_*", "'s", "<|endoftext|>", "日本", "word ", "Ünder "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(800)] + ["", " ", " a", "a ", "\n"]
-    got = [list(memoryview(x).cast("I")) for x in encoding.encoder().texts(texts)]
+    got = [list(memoryview(x).cast("H")) for x in encoding.encoder().texts(texts)]
     assert got == library_ids(texts)
 
 
 def test_token_counts_across_blocks(docs, spark, monkeypatch):
     monkeypatch.setattr(tokencount, "BLOCK_IDS", 16)
     monkeypatch.setattr(tokencount, "CHUNK_BLOCKS", 3)
-    got = {r["label"]: (r["n_tokens"], r["complete"]) for r in tokencount.scan(tokencount.write_flat(docs)).collect()}
+    blocks, held = tokencount.write_flat(docs)
+    found = {(r["file"], r["ordinal"]): (r["n_tokens"], r["complete"]) for r in tokencount.scan(blocks, kind="<u2").collect()}
+    assert held.count() == len(found) and blocks.columns == ["file", "block", "ids"]
+    got = {r["doc_id"]: found[r["file"], r["ordinal"]] for r in held.collect()}
     rows = corpus()
     assert got == {r[0]: (len(ids), True) for r, ids in zip(rows, library_ids([r[1] for r in rows], True))}
 
@@ -203,8 +206,14 @@ def test_flat_files_without_a_last_separator(spark, tmp_path):
     import numpy as np
 
     e = tokencount.END_OF_TEXT
-    np.array([1, 2, e, e, 3, 4, 5, e, 6, 7], "<u4").tofile(tmp_path / "f.bin")
+    ids = [1, 2, e, e, 3, 4, 5, e, 6, 7]
+    np.array(ids, "<u4").tofile(tmp_path / "f.bin")
+    (tmp_path / "none.bin").write_bytes(b"")
     rows = tokencount.scan(tokencount.read_flat(spark, str(tmp_path), 3)).orderBy("ordinal").collect()
+    with open(tmp_path / "g.bin", "wb") as f:
+        f.write(np.array(ids, "<u2").tobytes() + b"\0")
+    short = tokencount.scan(tokencount.read_flat(spark, str(tmp_path / "g.bin"), 4, "<u2"), kind="<u2").orderBy("ordinal")
+    assert [r["n_tokens"] for r in short.collect()] == [2, 0, 3, 2]
     assert [(r["ordinal"], r["start"], r["n_tokens"], r["complete"]) for r in rows] == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 3, True), (3, 8, 2, False)]
 
 
@@ -217,6 +226,25 @@ def test_token_files_round_trip(docs):
         at += len(ids) + 1
 
 
+def test_token_queries_over_hard_rows(spark, tmp_path):
+    """Every column of op4 and op10 from the library's own ids: nulls, empties, repeats, long texts, clashing names."""
+    rows = [(None, "no id here", "x"), (None, None, "x"), (7, "", "x"), (3, "same\nrow", "x"), (3, "same\nrow", "x"), (9, "long text. " * 20000, "x"), (1, "<|endoftext|> a", "x"), (2, " \n ", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, payload string").withColumns({c: F.lit("clash") for c in ("file", "block", "ids", "first", "h", "shard")}).write.parquet(f"{tmp_path}/documents.parquet")
+    plain, special = library_ids([r[1] for r in rows], True), library_ids([r[1] for r in rows])
+    low = lambda xs: sorted(xs, key=repr)
+    got = tokencount.op4(spark, str(tmp_path)).select("doc_id", "n_tokens", "complete").collect()
+    assert low(tuple(r) for r in got) == low((r[0], len(i), True) for r, i in zip(rows, plain))
+    out = sorted(tokenbin.op10(spark, str(tmp_path)).collect(), key=lambda r: r["start"])
+    data = [b"".join(x.to_bytes(4, "little") for x in [*i, 2]) for i in special]
+    assert low((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == low((r[0], len(d) // 4, zlib.crc32(d)) for r, d in zip(rows, data))
+    at = 0
+    for r in out:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in out]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
 @pytest.mark.parametrize("high", [1, 2, 300, 50257, 2**32 - 1])
 def test_blocks_round_trip(high):
     import numpy as np
@@ -471,7 +499,7 @@ def test_decontamination(spark, most, monkeypatch):
 
 
 @pytest.mark.parametrize("run", [
-    quality.score, quality.keep_good, mixing.mix, mixing.keep_mixed, lambda d: langid.predict(d, langid.learn(d)), lambda d: tokencount.scan(tokencount.write_flat(d)),
+    quality.score, quality.keep_good, mixing.mix, mixing.keep_mixed, lambda d: langid.predict(d, langid.learn(d)), lambda d: tokencount.scan(tokencount.write_flat(d)[0], kind="<u2"),
     ngram_jaccard.join, ngram_jaccard.one_of_each, linededup.judge, linededup.dedup, pii.find, pii.mask, lambda d: tokenbin.read_index(tokenbin.write_ids(d)),
     lambda d: decontam.scan(d, d.selectExpr("doc_id AS item_id", "text")), lambda d: decontam.clean(d, d.selectExpr("doc_id AS item_id", "text")),
     lambda d: toxicity.score(d, toxicity.learn(d, d.selectExpr("doc_id", "1 AS toxic"))),
@@ -486,7 +514,7 @@ def test_rows_without_ids_and_repeated_rows(spark):
     assert quality.score(df).count() == mixing.mix(df).count() == 5
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in ngram_jaccard.join(df).collect()) == [(-1, -1), (-1, -1), (5, 5), (5, 5), (5, 5)]
     assert pii.find(df).count() == 5 and tokenbin.read_index(tokenbin.write_ids(df)).count() == 5
-    assert tokencount.scan(tokencount.write_flat(df)).count() == 5
+    assert tokencount.scan(tokencount.write_flat(df)[0], kind="<u2").count() == 5
     assert linededup.judge(df).count() == 4 and linededup.dedup(df).count() == 5
     bench = spark.createDataFrame([(1, "same words in this text here")], "item_id long, text string")
     assert decontam.scan(df, bench).filter("contaminated").count() == 3
