@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 #: Rows that a counted side may have to be broadcast.
 BROADCAST_ROWS = 50_000
 _shipped: set[str] = set()
+_tables: dict[str, SparkSession] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,22 +33,68 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that spark.checkpoint.dir names. Where it is unset, a local session gets a temporary one; on a
+    cluster, where executors do not see each other's disks, that would lose rows, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = context_dir.get() if context_dir.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="claimboard-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by writing a table to the shared folder and reading it back."""
-    path = f"{shared_dir(df.sparkSession)}/claimboard-{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Cut the lineage: write `df` as Parquet to the shared folder and read it back. The table is deleted by drop(),
+    or when the process ends.
+
+    The shuffle files behind it are then of no use; Spark deletes them once the driver's JVM collects its garbage,
+    which is asked for here because long jobs would otherwise hold all their shuffles on disk at once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/claimboard-{name}-{uuid.uuid4().hex}"
+    schema, writer = df.schema, df.write.mode("error")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    if not _tables:
+        atexit.register(drop_all)
+    _tables[path] = spark
+    del writer, df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def written_paths() -> list[str]:
+    """Tables that written() made and nobody dropped yet, oldest first."""
+    return list(_tables)
+
+
+def drop_paths(paths: list[str]) -> None:
+    """Delete tables of written(), named by path."""
+    for path in paths:
+        spark = _tables.pop(path, None)
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may have ended; the folder's owner clears it then
+            return
+
+
+def paths_of(df: DataFrame) -> list[str]:
+    """Tables of written() that `df` reads."""
+    files = df.inputFiles()
+    return [p for p in _tables if any(p.rpartition("/")[2] in f for f in files)]
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing yet to be run reads."""
+    drop_paths([p for t in tables for p in paths_of(t)])
+
+
+def drop_all() -> None:
+    drop_paths(list(_tables))
 
 
 def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
