@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.tables import BROADCAST_ROWS, drop, drop_paths, paths_of, written_paths
+from ..functions.tables import ship as _ship
+from ..functions.tables import written as table
 
 #: ASCII white space that separates words in every word rule below: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\f\r"
-#: Rows a side may have to be broadcast; beyond it the join is salted instead.
-BROADCAST_ROWS = 50_000
-_shipped: set[str] = set()
-_written: list[tuple[SparkSession, str]] = []
+
+
+__all__ = ["drop", "drop_paths", "paths_of", "table", "written_paths"]
 
 
 def let(value: Column, body) -> Column:
@@ -50,61 +45,10 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = context_dir.get() if context_dir.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="claimboard-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet to the shared folder and read it back.
-
-    The shuffle files behind it are then of no use; Spark deletes them once the driver's JVM collects its garbage,
-    which is asked for here because long pipelines would otherwise hold all their shuffles on disk at once."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/claimboard-{name}-{uuid.uuid4().hex}"
-    schema, writer = df.schema, df.write.mode("error")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    if not _written:
-        atexit.register(drop_tables)
-    _written.append((spark, path))
-    del writer, df
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop_tables() -> None:
-    """Delete what table() wrote in this process; called at exit, or by hand once results are stored."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may have ended; the folder's owner clears it then
-            return
-
-
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="claimboard-zip-"), f"claimboard_{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, path.relative_to(root.parent))
-    spark.sparkContext.addPyFile(target)
-    # batches of bounded size for Python workers: texts may be very long
+    """Send this package to the executors' Python workers, and keep their batches small: texts may be very long."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    _shipped.add(app)
 
 
 def small_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 64) -> DataFrame:
@@ -134,6 +78,3 @@ def prefix_sums(blocks: DataFrame, group: list[str], block: str, sums: dict[str,
     cut = cut.select("*", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_in_{k}") for k, v in sums.items()))
     joined = cut.join(tops.hint("shuffle_hash"), [*group, part])
     return joined.select(*blocks.columns, *((F.col(f"_in_{k}") + F.col(f"_top_{k}")).alias(k) for k in sums))
-
-
-DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, let, table, words_of
+from .common import drop, fresh, let, table, words_of
 
 #: Words that a line must have for the edit bound of one word to apply to it.
 LEAST_WORDS = 4
@@ -102,6 +102,7 @@ def judge(docs: DataFrame) -> DataFrame:
     met = met.withColumn("other", other).filter(F.col("other").isNotNull() & (F.col("other.first") < F.col("first")))
     met = met.select("h1", "h2", "role", "i", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"), F.col("other.i").alias("j")).distinct()
     met = table(met, "line-met")
+    drop(keys, near)
     mine, theirs = texts.select("h1", "h2", F.col("words").alias("p")), texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("q"))
     pairs = met.join(mine.hint("merge"), ["h1", "h2"]).join(theirs.hint("merge"), ["o1", "o2"])
     without = lambda w, i: F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.size(w)))
@@ -111,6 +112,7 @@ def judge(docs: DataFrame) -> DataFrame:
         .otherwise(F.col("p") == without(F.col("q"), F.col("j")))
     )
     dropped = table(pairs.filter(within).select("h1", "h2").distinct(), "line-dropped")
+    drop(met, texts)
 
     firsts_known = firsts.select("h1", "h2", "first").join(dropped.withColumn("near", F.lit(True)).hint("merge"), ["h1", "h2"], "left")
     out = facts.select("doc_id", "th", "line_no", "n", "h1", "h2").join(firsts_known.hint("merge"), ["h1", "h2"], "left")

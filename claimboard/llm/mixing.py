@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, key_of, prefix_sums, small_join, table, word_count
+from .common import drop, fresh, key_of, prefix_sums, small_join, table, word_count
 
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and the most a source's words may be repeated.
@@ -95,8 +95,7 @@ def keep_mixed(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct(*docs.columns).alias(held), "doc_id", key_of(F.col("source")).alias("sk"), word_count(F.col("text")).alias("size"), deal(F.col("doc_id")).alias("h"), F.xxhash64("text").alias("th"))
     # the number is written with the row, so it stays the row's own; ids may be null or repeated
     narrow = table(keyed.withColumn("row", F.monotonically_increasing_id()), "mix-docs")
-    small = _mix(narrow.select("doc_id", "sk", "size", "h", "th", "row"), ("th", "row"))
-    chosen = small.filter("copies > 0").select("row", "copies")
+    chosen = table(_mix(narrow.select("doc_id", "sk", "size", "h", "th", "row"), ("th", "row")).filter("copies > 0").select("row", "copies"), "mix-chosen")
     joined = narrow.select(held, "row").join(chosen.hint("shuffle_hash"), "row")
     return joined.select(f"{held}.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy)).select(*docs.columns)
 

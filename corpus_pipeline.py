@@ -6,32 +6,58 @@ return the columns of documents; the last returns the index of the token files i
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from claimboard.llm import decontam, mixing, ngram_jaccard, quality, tokenbin
-from claimboard.llm.common import table
+from claimboard.llm.common import drop_paths, paths_of, table, written_paths
+
+#: Tables that stages have left behind for the rows they returned.
+_left: list[str] = []
+
+
+def _stage(function):
+    """A stage that first deletes what earlier stages left and `docs` does not read: their rows are stored by then."""
+
+    @wraps(function)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        needed = paths_of(docs)
+        drop_paths([p for p in _left if p not in needed])
+        _left[:] = needed
+        before = set(written_paths())
+        out = function(spark, docs, sf_dir)
+        _left.extend(p for p in written_paths() if p not in before)
+        return out
+
+    return stage
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the adaptive quality rules."""
     return quality.keep_good(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingle similarity."""
     return ngram_jaccard.one_of_each(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages; mostly contaminated documents go."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source mix takes them."""
     return mixing.keep_mixed(docs)
 
 
+@_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Index of the token files written from the documents."""
     return tokenbin.read_index(tokenbin.write_ids(docs))
@@ -56,4 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = table(docs, f"pipeline-{i}")
+            _left.extend(paths_of(docs))
     return docs
