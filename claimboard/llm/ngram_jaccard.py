@@ -1,22 +1,25 @@
 """N-gram Jaccard join by multiple-global-order filtering (operator 6).
 
 A document's set is its distinct 5-word shingles as 64-bit hashes; equal sets are one node. Two sets with
-100 * intersection >= 80 * union must share a token among the first n - ceil(0.8 n) + 1 of each under any global
-order of tokens. Three orders are used: frequent tokens last and the rest by a hash (A), ascending (B) and
-descending (C) token value. Candidates come from a join on the prefix tokens of A; those that do not also meet
-under B and under C are dropped before verification, which intersects the whole sets.
-
-Linked sets share more than one prefix token: with an intersection of at least o, the common tokens come first in
-both prefixes, so they share min(p - (n - o)) over the two sets. Candidates with fewer are dropped by count.
-
-Groups of copies. Nodes that share the least tokens of two further orders are first verified against that group's
-least node only (stars, for STARS pairs of orders). Links join nodes into components, so candidates inside a
-component need no further look: postings of frequent tokens are paired across components alone. Every pair across
-components that shares enough prefix tokens is verified, so no link that could join two components is lost, and no
-group of copies emits all its pairs.
+100 * intersection >= 80 * union share, under any global order of tokens, at least min(p - (n - o)) of the first
+p = n - ceil(0.8 n) + 1 tokens of each, where o is the intersection they need. Four orders are used: frequent tokens
+last and the rest by a hash (A), ascending (B) and descending (C) token value, and, among the tokens of A's prefixes
+that are shared at all, rarest first (D).
+
+A node stays open while enough tokens of its A prefix also stand in the A prefix of a node of another component and
+of a size that could link; most texts, even those with a passage that many share, close at once, and only open nodes'
+sets are made. Every open node is first compared with its star, the node that is most often the most central among
+those of its tokens (about its size); links merge components and close more nodes. A node that shares only v tokens
+with its star, where every link that it may still have needs o > v, must share o - v tokens outside the star with
+whatever it links to: it is met through those alone, rarest first. Other open nodes of different components are
+candidates if they share a token of their D prefixes. Candidates must also share enough of their B and C prefixes (16
+bits of each token, whose collisions only let pairs through); what passes all orders is verified on whole sets. No
+group of copies emits all its pairs: copies of one component are never paired, and a token's largest component is
+only met by the nodes outside it.
 
 Which tokens count as frequent is found over all documents (counts per run of TALLY_TOKENS tokens, summed) and
-bounded at FREQUENT_MOST; any such choice gives a valid order, so the bound costs time only, never a pair.
+bounded at FREQUENT_MOST; any such choice gives a valid order, so the bound costs time only, never a pair. A token
+that is not found frequent is looked at in one task with the others of its bucket.
 
 Defined results: null, empty and blank texts have no set, 0 shingles and are linked with nothing, each being its
 own component; rows that share a doc_id are one document whose rows are linked; rows without doc_id are reported
@@ -26,17 +29,22 @@ by join() and carried by one_of_each().
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, ship, table
+from .common import BROADCAST_ROWS, drop, fresh, ship, table
 
 WORDS, SHARE = 5, 80
 TALLY_TOKENS, TALLY_LEAST, FREQUENT_LEAST, FREQUENT_MOST = 2_000_000, 3, 8, 200_000
-#: Postings a bucket should hold, and the longest posting list that is paired without looking at components.
-BUCKET_POSTINGS, SHORT_LIST, STARS = 400_000, 64, 4
-#: Words hashed at a time, the base of the hash, and bits of the map of documents whose sets are wanted (8 MB).
-PIECE, BASE, MAP_BITS = 100_000, 0x9E3779B97F4A7C15, 1 << 26
+#: Postings a bucket should hold, and the width of size classes in which stars are formed.
+BUCKET_POSTINGS, CLASS_WIDTH = 400_000, 1.1
+#: Words hashed at a time and the base of the hash.
+PIECE, BASE = 100_000, 0x9E3779B97F4A7C15
+#: Bits of the map of documents whose sets are wanted, for each of them, and at most (128 MB); beyond that, a join.
+MAP_SHARE, MAP_BITS = 64, 1 << 30
 _memo: dict = {}
 
 
@@ -127,23 +135,16 @@ def _tally(batches):
         yield emit()
 
 
-NODES = "doc_id long, n long, node long, mins array<long>"
+NODES = "doc_id long, n long, node long"
 
 
 def _nodes(batches):
-    import numpy as np
     import pyarrow as pa
 
     for b in batches:
-        n, node, mins = [], [], []
-        for t in b.column("text").to_pylist():
-            s = shingles(t)
-            n.append(len(s))
-            node.append(_node(s) if len(s) else None)
-            pairs = [(_mix(s, 2 * k + 1).min(), _mix(s, 2 * k + 2).min()) for k in range(STARS)] if len(s) else []
-            keys = np.array([x ^ (y >> np.uint64(1)) ^ np.uint64(k) for k, (x, y) in enumerate(pairs)], np.uint64)
-            mins.append(_mix(keys, 0).astype(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "n", "node", "mins"])
+        sets = [shingles(t) for t in b.column("text").to_pylist()]
+        node = [_node(s) if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n", "node"])
 
 
 POSTINGS = "bucket int, part int, tokens binary, nodes binary, sizes binary"
@@ -198,48 +199,29 @@ def _postings(frequent, bits: int):
     return run
 
 
-FOUND = "token long, a long, b long, n long"
-
+SHARED = "token long, node long, n long"
 
-def _found(np, pa, token, a, b, n):
-    return pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["token", "a", "b", "n"])
 
-
-def _unpack(np, batch):
-    read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()])
-    return read("tokens", np.uint64), read("nodes", np.int64), read("sizes", np.int32)
-
-
-def _pair_bucket(group):
-    """Pairs (a, b) of one bucket with n shared tokens; postings of frequent tokens and of lists longer than SHORT_LIST stay postings
-    (token, a, n)."""
+def _shared(group):
+    """Postings of one bucket whose token another node of a size that could link has too. Frequent tokens pass."""
     import numpy as np
     import pyarrow as pa
 
-    t, d, s = _unpack(np, group)
-    if group.column("bucket")[0].as_py() < 0:
-        return pa.Table.from_batches([_found(np, pa, t.astype(np.int64), d, [None] * len(t), s)])
-    order = np.lexsort((d, t))
-    t, d, s = t[order], d[order], s[order]
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])
-    t, d, s = t[new], d[new], s[new]
-    _, inverse, counts = np.unique(t, return_inverse=True, return_counts=True)
-    long_list = counts[inverse] > SHORT_LIST
-    heavy = (t[long_list], d[long_list], s[long_list])
-    t, d, s = t[~long_list], d[~long_list], s[~long_list]
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for gap in range(1, SHORT_LIST):
-        same = np.flatnonzero(t[gap:] == t[:-gap]) if len(t) > gap else []
-        if not len(same):
-            break
-        near = same[100 * np.minimum(s[same], s[same + gap]).astype(np.int64) >= SHARE * np.maximum(s[same], s[same + gap]).astype(np.int64)]
-        left.append(d[near])
-        right.append(d[near + gap])
-    pairs = np.stack([np.concatenate(left), np.concatenate(right)], 1)
-    pairs, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
-    k = len(pairs)
-    token = [None] * k + heavy[0].astype(np.int64).tolist()
-    return pa.Table.from_batches([_found(np, pa, token, np.concatenate([pairs[:, 0], heavy[1]]), pairs[:, 1].tolist() + [None] * len(heavy[0]), times.tolist() + heavy[2].tolist())])
+    read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in group.column(c).to_pylist()])
+    t, d, n = read("tokens", np.uint64), read("nodes", np.int64), read("sizes", np.int32).astype(np.int64)
+    if group.column("bucket")[0].as_py() >= 0:
+        order = np.lexsort((d, n, t))
+        t, d, n = t[order], d[order], n[order]
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])
+        t, d, n = t[new], d[new], n[new]
+        # sizes ascend inside a token, so the nearest ones are neighbours
+        near = (t[1:] == t[:-1]) & (100 * n[:-1] >= SHARE * n[1:])
+        keep = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+        t, d, n = t[keep], d[keep], n[keep]
+    return pa.Table.from_arrays([pa.array(t.astype(np.int64)), pa.array(d), pa.array(n)], names=["token", "node", "n"])
+
+
+SETS = "node long, tokens binary, sketch binary"
 
 
 def _sets(wanted):
@@ -247,41 +229,43 @@ def _sets(wanted):
         import numpy as np
         import pyarrow as pa
 
-        bits = wanted.value
+        bits = wanted.value if wanted else None
         for b in batches:
-            place = b.column("place").to_numpy(zero_copy_only=False)
-            chosen = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-            texts = b.column("text").take(pa.array(chosen)).to_pylist()
-            sets = [x for x in map(shingles, texts) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
+            if bits is not None:
+                place = b.column("place").to_numpy(zero_copy_only=False)
+                b = b.take(pa.array(np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)))
+            sets = [x for x in map(shingles, b.column("text").to_pylist()) if len(x)]
+            rows = [[_node(x) for x in sets], [x.tobytes() for x in sets], [_sketch(x, np) for x in sets]]
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.int64(), pa.binary(), pa.binary()))], ["node", "tokens", "sketch"])
 
     return run
 
 
-def _place(doc_id):
-    return F.pmod(F.xxhash64(doc_id), F.lit(MAP_BITS))
+def _sketch(s, np) -> bytes:
+    """A sorted set's size and 16 bits of each token of its prefixes under orders B and C."""
+    p = prefix_length(len(s))
+    short = (_mix(s, 0xB0B) & np.uint64(0xFFFF)).astype("<u2")
+    return len(s).to_bytes(8, "little") + short[:p].tobytes() + short[-p:].tobytes()
 
 
-def _wanted_map(ids: DataFrame):
-    """Bit map of the hashed ids, of fixed size whatever their number: a set bit says that a document's set may be
-    wanted. Sets that are made needlessly find no partner."""
+def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Written sets of the nodes of the documents `wanted` (doc_id), made anew from their texts. Documents are found
+    by a bit map of their hashed ids, MAP_SHARE bits each, which lets a few more through; they find no partner."""
     import numpy as np
 
-    place = _place(F.col("doc_id")) + 1
-    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    out = np.zeros(MAP_BITS // 8, np.uint8)
+    spark, count = texts.sparkSession, wanted.count()
+    size = max(1 << 15, 1 << (MAP_SHARE * max(count, 1) - 1).bit_length())
+    known = texts.filter("doc_id IS NOT NULL")
+    if size > MAP_BITS:
+        return table(known.join(wanted.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_sets(None), SETS), "jaccard-sets")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    maps = wanted.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
     for r in maps.toLocalIterator():
         # bucket b holds the values (b - 1) * 32768 + 1 to b * 32768
         out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
-def _sets_of(texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Written sets (node, tokens) of the nodes of `pairs`, made anew from their documents' texts."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = texts.sparkSession.sparkContext.broadcast(_wanted_map(reps.join(used.hint("merge"), "node").select(F.col("rep").alias("doc_id"))))
-    placed = texts.filter("doc_id IS NOT NULL").select("text", _place(F.col("doc_id")).alias("place"))
-    return table(placed.mapInArrow(_sets(wanted), "node long, tokens binary"), "jaccard-sets")
+    sent = spark.sparkContext.broadcast(out)
+    return table(known.select("text", place.alias("place")).mapInArrow(_sets(sent), SETS), "jaccard-sets")
 
 
 def _needed(na, nb):
@@ -291,34 +275,47 @@ def _needed(na, nb):
     return F.greatest(F.least(spare(na), spare(nb)), F.lit(1))
 
 
+def passes(x: bytes, y: bytes, np) -> bool:
+    """Whether two sketches share as many tokens under orders B and C as linked sets must."""
+    nx, ny = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
+    px, py = prefix_length(nx), prefix_length(ny)
+    both = -(-SHARE * (nx + ny) // (100 + SHARE))
+    least = max(min(px - (nx - both), py - (ny - both)), 1)
+    x, y = np.frombuffer(x, "<u2", offset=8), np.frombuffer(y, "<u2", offset=8)
+    # tokens of x whose 16 bits y has; repeats let pairs through only
+    return all(np.isin(x[k * px : (k + 1) * px], y[k * py : (k + 1) * py]).sum() >= least for k in (0, 1))
+
+
 def linked(x, y, np) -> bool:
-    """Whether two sorted sets link: they must meet under orders B and C, then their whole intersection decides."""
+    """Whether two sorted sets link."""
     nx, ny = len(x), len(y)
     if 100 * min(nx, ny) < SHARE * max(nx, ny):
         return False
-    px, py = prefix_length(nx), prefix_length(ny)
-    if not len(np.intersect1d(x[:px], y[:py], assume_unique=True)) or not len(np.intersect1d(x[-px:], y[-py:], assume_unique=True)):
-        return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= SHARE * (nx + ny - both)
 
 
-def _verify(batches):
-    import numpy as np
-    import pyarrow as pa
+def _test(filtered: bool):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    for b in batches:
-        x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-        keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), np) for p, q in zip(x, y)]
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for b in batches:
+            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+            keep = [passes(p, q, np) if filtered else linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), np) for p, q in zip(x, y)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that link."""
-    first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    joined = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(_verify, "a long, b long").distinct()
+    """Pairs (a, b) of nodes that link, written: those that pass orders B and C are compared on whole sets."""
+    for column, filtered in (("sketch", True), ("tokens", False)):
+        first = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
+        second = sets.select(F.col("node").alias("b"), F.col(column).alias("y"))
+        joined = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y")
+        pairs = table(joined.mapInArrow(_test(filtered), "a long, b long").distinct(), "jaccard-linked")
+    return pairs
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -338,13 +335,128 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _open(shared: DataFrame) -> DataFrame:
+    """Postings (token, node, n, comp, top) that may still serve a link between components: their token stands in another
+    component at a size that could link and is below `top`, and their node has as many such tokens as some link needs. Nodes are given with
+    their number of them (`c`), how many more that is than a link needs, plus 1 (`spare`), and the least size that a
+    partner may have (`least`)."""
+    near = math.ceil(-math.log(SHARE / 100) * 1e9) + 2
+    sizes = shared.groupBy("token", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    around = W.partitionBy("token").orderBy((F.log("n") * 1e9).cast("long")).rangeBetween(-near, near)
+    ranged = sizes.select("token", "n", F.min("lo").over(around).alias("lo"), F.max("hi").over(around).alias("hi"), F.min("n").over(around).alias("least"), F.max("n").over(around).alias("most"))
+    mixed = shared.join(ranged.filter("lo <> hi").hint("merge"), ["token", "n"]).filter("least < top")
+    nodes = mixed.groupBy("node", "n").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # the need rises up to a partner of equal size and falls beyond, so its least is at an end
+    spare = F.col("c") - F.least(_needed(F.col("n"), F.col("least")), _needed(F.col("n"), F.col("most"))) + 1
+    nodes = nodes.select("node", "c", "least", spare.alias("spare")).filter("spare > 0")
+    return mixed.select("token", "node", "n", "comp", "top").join(nodes.hint("merge"), "node")
+
+
+def _narrowed(shared: DataFrame) -> DataFrame:
+    """_open() until it closes less than a tenth of the postings; written."""
+    shared, count = table(_open(shared), "jaccard-open"), None
+    while True:
+        before, count = count, shared.count()
+        if not count or before is not None and count > 0.9 * before:
+            return shared
+        smaller = table(_open(shared.drop("c", "least", "spare")), "jaccard-open")
+        drop(shared)
+        shared = smaller
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """One pair (a, b) for each open node a, if any: b is most often the most central node, by the share of its
+    prefix that is shared and then by size, among those of a's tokens and size class."""
+    classed = shared.withColumn("class", F.floor(F.log("n") / math.log(CLASS_WIDTH)))
+    prefix = F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1
+    rank = F.struct((F.col("c") / prefix).alias("share"), F.col("n").alias("size"), F.col("node").alias("b"))
+    order = W.partitionBy("token", "class").orderBy(F.desc("best"))
+    two = classed.select("token", "class", rank.alias("best")).withColumn("place", F.row_number().over(order)).filter("place <= 2")
+    two = two.groupBy("token", "class").agg(F.max("best").alias("p"), F.min("best").alias("q"))
+    met = classed.join(two.hint("merge"), ["token", "class"])
+    other = F.when(F.col("p.b") != F.col("node"), F.col("p")).otherwise(F.col("q"))
+    votes = met.select(F.col("node").alias("a"), other.alias("other")).filter("a <> other.b")
+    votes = votes.groupBy("a", F.col("other.b").alias("b"), F.col("other.share").alias("share"), F.col("other.size").alias("size")).agg(F.count("*").alias("votes"))
+    return votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "share", "size", "b")).alias("b"))
+
+
+COMPARED = "a long, b long, n long, both long, linked boolean, outside array<long>"
+
+
+def _compare(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        out = []
+        for p, q in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+            x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            rest = np.setdiff1d(x, y, assume_unique=True)
+            both = len(x) - len(rest)
+            near = 100 * both >= SHARE * (len(y) + len(rest))
+            out.append([len(x), both, near, None if near else rest.view(np.int64)])
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+        arrays = [pa.array(c, k) for c, k in zip(map(list, zip(*out)), kinds)] if out else [pa.array([], k) for k in kinds]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *arrays], [x.split()[0] for x in COMPARED.split(", ")])
+
+
+def _explode_sets(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        parts = [np.frombuffer(x, np.int64) for x in b.column("tokens").to_pylist()]
+        owner = np.repeat(np.arange(len(parts)), list(map(len, parts)))
+        rows = b.select(["node", "n", "comp"]).take(pa.array(owner))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), *rows.columns], ["token", "node", "n", "comp"])
+
+
+def _past_stars(nodes: DataFrame, compared: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For the open nodes (node, n, comp, least) that were compared with a star and do not link to it: (node, top), and
+    all pairs (a, b) of one of them and an open node of another component and of size `top` or more that share one of
+    the rarest tokens outside the star. Up to `top` a link may need no such token."""
+    far = compared.filter("NOT linked").select(F.col("a").alias("node"), "both", "outside").join(nodes.hint("merge"), "node")
+    top = F.floor((100 + SHARE) * F.col("both") / SHARE) - F.col("n") + 1
+    meets = F.floor((SHARE * (F.col("n") + F.greatest(F.col("least"), top)) + 99 + SHARE) / (100 + SHARE))
+    far = table(far.select("node", "n", "comp", top.alias("top"), (meets - F.col("both")).alias("need"), "outside"), "jaccard-far")
+    own = table(far.select("node", "n", "comp", "top", "need", F.explode("outside").alias("token")), "jaccard-outside")
+    placed = sets.join(nodes.select("node", "n", "comp").hint("merge"), "node").select("node", "n", "comp", "tokens")
+    every = placed.mapInArrow(_explode_sets, "token long, node long, n long, comp long")
+    every = table(every.join(own.select("token").distinct().hint("merge"), "token", "left_semi"), "jaccard-met")
+    lists = every.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    met = own.join(lists.select("token", "df").hint("merge"), "token")
+    counts = met.groupBy("node").agg(F.count("*").alias("c"))
+    met = met.join(counts.hint("merge"), "node").withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("df", "token")))
+    prefix = table(met.filter("place <= c - need + 1").select("token", "node", "n", "comp", "top"), "jaccard-outside-prefix")
+    x, y = prefix.alias("x"), every.alias("y")
+    close = (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= SHARE * F.greatest("x.n", "y.n")) & (F.col("y.n") >= F.col("x.top"))
+    found = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & close)
+    pairs = table(found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "jaccard-past-stars")
+    drop(own, every, prefix)
+    return far.select("node", "top"), pairs
+
+
+def _across(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of open nodes of different components and near sizes, each smaller than the other's `top`, that
+    share a token of their D prefixes."""
+    lists = shared.groupBy("token", "comp").agg(F.count("*").alias("size"))
+    lists = lists.groupBy("token").agg(F.sum("size").alias("df"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
+    ordered = shared.join(lists.hint("merge"), "token").withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("df", "token")))
+    prefix = table(ordered.filter("place <= spare").select("token", "node", "n", "comp", "top", (F.col("comp") == F.col("main")).alias("inside")), "jaccard-prefix")
+    x, y = prefix.filter("NOT inside").alias("x"), prefix.alias("y")
+    close = (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= SHARE * F.greatest("x.n", "y.n")) & (F.col("y.inside") | (F.col("x.node") < F.col("y.node")))
+    close &= (F.col("y.n") < F.col("x.top")) & (F.col("x.n") < F.col("y.top"))
+    found = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & close)
+    return table(found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "jaccard-across")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_shingles and component_id."""
+    import numpy as np
+
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    import numpy as np
-
     often = texts.select("text").mapInArrow(_tally, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     often = often.filter(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token").collect()
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).astype(np.uint64)))
@@ -355,44 +467,37 @@ def join(docs: DataFrame) -> DataFrame:
     total = reps.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1), F.lit(0))).first()[0]
     bits = max(0, int(np.ceil(np.log2(max(total, 1) / BUCKET_POSTINGS)))) if total > BUCKET_POSTINGS else 0
 
-    stars = named.select("node", F.posexplode("mins").alias("k", "token")).distinct()
-    pivots = stars.groupBy("k", "token").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1")
-    stars = table(stars.join(pivots.hint("merge"), ["k", "token"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
-    links = table(verify(stars, _sets_of(texts, reps, stars)), "jaccard-links")
-    found = components(links)
-
-    postings = texts.mapInArrow(_postings(frequent, bits), POSTINGS)
-    shared = table(postings.groupBy("bucket", "part").applyInArrow(_pair_bucket, FOUND), "jaccard-found")
-    light = table(shared.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("shared")), "jaccard-pairs")
-    heavy = table(shared.filter("b IS NULL").groupBy("token", F.col("a").alias("node")).agg(F.max("n").alias("n")), "jaccard-frequent")
-    # tokens of each node's prefix that were not paired in a bucket
-    left = table(reps.select("node", "n").join(heavy.groupBy("node").agg(F.count("*").alias("h")).hint("merge"), "node", "left").select("node", "n", F.coalesce("h", F.lit(0)).alias("h")), "jaccard-left")
-
-    def comp_of(df: DataFrame, node: str, name: str) -> DataFrame:
-        joined = df.join(found.select(F.col("node").alias(node), F.col("comp").alias(name)).hint("merge"), node, "left")
-        return joined.withColumn(name, F.coalesce(name, node))
-
-    def sized(df: DataFrame) -> DataFrame:
-        for c in ("a", "b"):
-            df = df.join(left.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("h").alias(f"h{c}")).hint("merge"), c)
-        return df
-
-    across = comp_of(comp_of(light, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b", "shared")
-    across = sized(across).filter(F.col("shared") + F.least("ha", "hb") >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
-    labelled = table(comp_of(heavy, "node", "comp"), "jaccard-frequent-comps")
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    labelled = table(labelled.join(mixed.hint("merge"), "token"), "jaccard-frequent-mixed")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    close = (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= SHARE * F.greatest("x.n", "y.n"))
-    wide = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & close).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("more"))
-    wide = sized(wide).join(light.hint("merge"), ["a", "b"], "left").filter(F.col("more") + F.coalesce("shared", F.lit(0)) >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
-    rest = table(across.union(wide).distinct(), "jaccard-across")
-    links = table(links.union(verify(rest, _sets_of(texts, reps, rest))), "jaccard-all-links")
+    postings = texts.mapInArrow(_postings(frequent, bits), POSTINGS).groupBy("bucket", "part").applyInArrow(_shared, SHARED)
+    shared = table(postings.distinct(), "jaccard-shared")
+    endless = F.lit((1 << 62)).alias("top")
+    left = _narrowed(shared.select("*", F.col("node").alias("comp"), endless))
+    drop(shared)
+    open_ids = reps.join(left.select("node").distinct().hint("merge"), "node", "left_semi").select(F.col("rep").alias("doc_id"))
+    sets = _sets_of(texts, table(open_ids, "jaccard-wanted"))
+
+    pairs = table(_stars(left), "jaccard-stars")
+    first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    compared = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y")
+    compared = table(compared.mapInArrow(_compare, COMPARED).dropDuplicates(["a"]), "jaccard-compared")
+    links = compared.filter("linked").select("a", "b")
+
+    def relabelled(postings: DataFrame, found: DataFrame) -> DataFrame:
+        return postings.join(found.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    left = _narrowed(relabelled(left.select("token", "node", "n", "top"), components(links)))
+    open_nodes = table(left.select("node", "n", "comp", "least").distinct(), "jaccard-open-nodes")
+    far, past = _past_stars(open_nodes, compared, sets)
+    near = left.select("token", "node", "n", "comp").join(far.hint("merge"), "node", "left").withColumn("top", F.coalesce("top", endless))
+    near = _narrowed(near)
+    links = links.union(verify(past.union(_across(near)).distinct(), sets))
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     same_id = named.join(same_id.hint("merge"), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
     found = components(links.union(same_id))
+    drop(sets, left, near)
 
-    grouped = table(comp_of(reps, "node", "comp").select("node", "rep", "comp"), "jaccard-comps")
+    comp_of = reps.select("node", "rep").join(found.hint("merge"), "node", "left")
+    grouped = table(comp_of.select("node", "rep", F.coalesce("comp", "node").alias("comp")), "jaccard-comps")
     least = grouped.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_node = table(grouped.join(least.hint("merge"), "comp").select("node", "component_id"), "jaccard-by-node")
     out = nodes.select("doc_id", "n", "node").join(by_node.hint("merge"), "node", "left")
@@ -403,7 +508,9 @@ def join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each component: the one with the least doc_id (with all its rows)."""
     name, gone = fresh(docs, "_doc"), table(join(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
-    return docs.withColumn(name, F.col("doc_id").cast("long")).join(gone.withColumnRenamed("doc_id", name).hint("merge"), name, "left_anti").select(*docs.columns)
+    gone = gone.withColumnRenamed("doc_id", name)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
+    return docs.withColumn(name, F.col("doc_id").cast("long")).join(gone, name, "left_anti").select(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
