@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 #: Rows that a counted side may have to be broadcast.
 BROADCAST_ROWS = 50_000
 _shipped: set[str] = set()
+#: Seconds between the garbage collections that written() asks for.
+GC_SECONDS = 10
 _tables: dict[str, SparkSession] = {}
+_collected = [0.0]
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,7 +56,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     or when the process ends.
 
     The shuffle files behind it are then of no use; Spark deletes them once the driver's JVM collects its garbage,
-    which is asked for here because long jobs would otherwise hold all their shuffles on disk at once."""
+    which is asked for here now and then because long jobs would otherwise hold all their shuffles on disk at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/claimboard-{name}-{uuid.uuid4().hex}"
     schema, writer = df.schema, df.write.mode("error")
@@ -61,7 +65,9 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
         atexit.register(drop_all)
     _tables[path] = spark
     del writer, df
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected[0] > GC_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return spark.read.schema(schema).parquet(path)
 
 
