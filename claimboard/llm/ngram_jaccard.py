@@ -329,9 +329,10 @@ def components(links: DataFrame) -> DataFrame:
         best = labels.join(near.hint("merge"), "node").select("node", "comp", F.least("comp", "other").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("comp").alias("far"))
         best = table(best.join(jump.hint("merge"), "new").select("node", F.col("comp").alias("old"), F.least("new", "far").alias("comp")), "jaccard-labels")
-        changed = best.filter("old <> comp").limit(1).count()
+        drop(labels)
         labels = best.select("node", "comp")
-        if not changed:
+        if best.filter("old <> comp").isEmpty():
+            drop(edges)
             return labels
 
 
@@ -352,18 +353,6 @@ def _open(shared: DataFrame) -> DataFrame:
     return mixed.select("token", "node", "n", "comp", "top").join(nodes.hint("merge"), "node")
 
 
-def _narrowed(shared: DataFrame) -> DataFrame:
-    """_open() until it closes less than a tenth of the postings; written."""
-    shared, count = table(_open(shared), "jaccard-open"), None
-    while True:
-        before, count = count, shared.count()
-        if not count or before is not None and count > 0.9 * before:
-            return shared
-        smaller = table(_open(shared.drop("c", "least", "spare")), "jaccard-open")
-        drop(shared)
-        shared = smaller
-
-
 def _stars(shared: DataFrame) -> DataFrame:
     """One pair (a, b) for each open node a, if any: b is most often the most central node, by the share of its
     prefix that is shared and then by size, among those of a's tokens and size class."""
@@ -470,7 +459,7 @@ def join(docs: DataFrame) -> DataFrame:
     postings = texts.mapInArrow(_postings(frequent, bits), POSTINGS).groupBy("bucket", "part").applyInArrow(_shared, SHARED)
     shared = table(postings.distinct(), "jaccard-shared")
     endless = F.lit((1 << 62)).alias("top")
-    left = _narrowed(shared.select("*", F.col("node").alias("comp"), endless))
+    left = table(_open(shared.select("*", F.col("node").alias("comp"), endless)), "jaccard-open")
     drop(shared)
     open_ids = reps.join(left.select("node").distinct().hint("merge"), "node", "left_semi").select(F.col("rep").alias("doc_id"))
     sets = _sets_of(texts, table(open_ids, "jaccard-wanted"))
@@ -485,11 +474,11 @@ def join(docs: DataFrame) -> DataFrame:
     def relabelled(postings: DataFrame, found: DataFrame) -> DataFrame:
         return postings.join(found.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    left = _narrowed(relabelled(left.select("token", "node", "n", "top"), components(links)))
+    left = table(_open(relabelled(left.select("token", "node", "n", "top"), components(links))), "jaccard-open")
     open_nodes = table(left.select("node", "n", "comp", "least").distinct(), "jaccard-open-nodes")
     far, past = _past_stars(open_nodes, compared, sets)
     near = left.select("token", "node", "n", "comp").join(far.hint("merge"), "node", "left").withColumn("top", F.coalesce("top", endless))
-    near = _narrowed(near)
+    near = table(_open(near), "jaccard-open")
     links = links.union(verify(past.union(_across(near)).distinct(), sets))
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     same_id = named.join(same_id.hint("merge"), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
