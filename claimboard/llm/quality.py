@@ -2,9 +2,11 @@
 
 Each text gives four bounded metrics in thousandths. A metric's distribution per language and source is kept
 as a histogram of its integer values: a quantile sketch with an error of one thousandth that merges by adding
-counts. Sketches of thin groups merge into their language's, and those into the corpus'. A document fails a
-rule when its metric lies above median + FENCE * max(upper quartile - median, the rule's least spread) of its
-group; nothing is cut at a fixed value.
+counts. A group's fence is its upper quantile (HIGH per cent) plus REACH times that quantile's distance from the
+median. Fences of small groups lean on coarser ones: a group's is averaged with its language's, and that with the
+corpus', by their numbers of documents against PRIOR. A document fails a rule when its metric lies above the fence
+by more than the rule's margin (RULES): the margin is a parameter in the metric's own unit, as most groups of clean
+text have no symbols or repeated lines at all and a quantile alone would make every such text fail.
 
 Defined results: a null text has no words and fails the base rule; null languages and sources are groups of
 their own; repeated rows are judged alike; an empty table gives an empty table; other columns are ignored by
@@ -21,11 +23,11 @@ from .common import SPACES, fresh, key_of, let, small_join, table, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Rules and the least spread of each, in thousandths.
-RULES = {"symbols": 15, "dup_lines": 100, "repeats": 110, "capitals": 40}
-FENCE = 4
-#: Documents a group needs for thresholds of its own.
-MIN_GROUP = 100
+#: Rules and how far above its group's fence a text may lie, in thousandths.
+RULES = {"symbols": 60, "dup_lines": 400, "repeats": 440, "capitals": 160}
+HIGH, REACH = 80, 2
+#: Documents that a coarser group's fence counts for.
+PRIOR = 100
 MIN_WORDS = 50
 
 
@@ -98,28 +100,27 @@ def sketches(measured: DataFrame, quality: str) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row per language and source with the upper limit of each rule, from the finest sketch that has
-    MIN_GROUP documents: the group's own, its language's or the corpus'."""
+    """One row per language and source with the upper limit of each rule."""
 
-    def limits(level: int, keys: list[str]) -> DataFrame:
+    def fences(level: int, keys: list[str]) -> DataFrame:
         merged = sketch.groupBy(*keys, "rule", "value").agg(F.sum("n").alias("n"))
         group = W.partitionBy(*keys, "rule")
         ranked = merged.select(
             *keys, "rule", "value", F.sum("n").over(group).alias("all"),
             F.sum("n").over(group.orderBy("value").rowsBetween(W.unboundedPreceding, 0)).alias("upto"),
         )
-        quartile = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("all"), F.col("value")))
-        cut = ranked.groupBy(*keys, "rule").agg(quartile(50).alias("mid"), quartile(75).alias("high"), F.max("all").alias("docs"))
-        least = F.create_map(*(F.lit(x) for pair in RULES.items() for x in pair))[F.col("rule")]
-        limit = F.col("mid") + FENCE * F.greatest(F.col("high") - F.col("mid"), least)
-        return cut.select(*keys, "rule", F.struct("docs", limit.alias("limit")).alias(f"at{level}"))
+        quantile = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("all"), F.col("value")))
+        cut = ranked.groupBy(*keys, "rule").agg(quantile(50).alias("mid"), quantile(HIGH).alias("high"), F.max("all").alias("docs"))
+        fence = F.col("high") + REACH * (F.col("high") - F.col("mid"))
+        return cut.select(*keys, "rule", F.struct("docs", fence.cast("long").alias("fence")).alias(f"at{level}"))
 
     groups = sketch.select("lk", "sk", "rule").distinct()
-    found = groups.join(limits(0, ["lk", "sk"]).hint("shuffle_hash"), ["lk", "sk", "rule"])
-    found = found.join(limits(1, ["lk"]).hint("shuffle_hash"), ["lk", "rule"]).join(limits(2, []).hint("shuffle_hash"), ["rule"])
-    chosen = F.when(F.col("at0.docs") >= MIN_GROUP, F.col("at0.limit")).when(F.col("at1.docs") >= MIN_GROUP, F.col("at1.limit")).otherwise(F.col("at2.limit"))
-    by_rule = found.groupBy("lk", "sk").agg(*(F.max(F.when(F.col("rule") == r, chosen)).alias(f"max_{r}") for r in RULES))
-    return by_rule
+    found = groups.join(fences(0, ["lk", "sk"]).hint("shuffle_hash"), ["lk", "sk", "rule"])
+    found = found.join(fences(1, ["lk"]).hint("shuffle_hash"), ["lk", "rule"]).join(fences(2, []).hint("shuffle_hash"), ["rule"])
+    lean = lambda at, coarser: F.floor((F.col(f"{at}.docs") * F.col(f"{at}.fence") + PRIOR * coarser) / (F.col(f"{at}.docs") + PRIOR))
+    margin = F.create_map(*(F.lit(x) for pair in RULES.items() for x in pair))[F.col("rule")]
+    limit = lean("at0", lean("at1", F.col("at2.fence"))) + margin
+    return found.groupBy("lk", "sk").agg(*(F.max(F.when(F.col("rule") == r, limit)).alias(f"max_{r}") for r in RULES))
 
 
 def judge(measured: DataFrame, quality: str) -> DataFrame:
@@ -174,12 +175,12 @@ q AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
   CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS m2,
   CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS m3,
   CASE WHEN word_chars > 0 THEN n_caps * 1000 // word_chars ELSE 0 END AS m4 FROM b),
-v AS (SELECT lk, sk, 'm1' AS rule, 15 AS least, m1 AS x FROM q UNION ALL SELECT lk, sk, 'm2', 100, m2 FROM q
-  UNION ALL SELECT lk, sk, 'm3', 110, m3 FROM q UNION ALL SELECT lk, sk, 'm4', 40, m4 FROM q),
-l0 AS (SELECT lk, sk, rule, count(*) AS docs, quantile_disc(x, 0.5) + 4 * greatest(quantile_disc(x, 0.75) - quantile_disc(x, 0.5), least) AS lim FROM v GROUP BY lk, sk, rule, least),
-l1 AS (SELECT lk, rule, count(*) AS docs, quantile_disc(x, 0.5) + 4 * greatest(quantile_disc(x, 0.75) - quantile_disc(x, 0.5), least) AS lim FROM v GROUP BY lk, rule, least),
-l2 AS (SELECT rule, quantile_disc(x, 0.5) + 4 * greatest(quantile_disc(x, 0.75) - quantile_disc(x, 0.5), least) AS lim FROM v GROUP BY rule, least),
-t AS (SELECT l0.lk, l0.sk, l0.rule, CASE WHEN l0.docs >= 100 THEN l0.lim WHEN l1.docs >= 100 THEN l1.lim ELSE l2.lim END AS lim
+v AS (SELECT lk, sk, 'm1' AS rule, 60 AS margin, m1 AS x FROM q UNION ALL SELECT lk, sk, 'm2', 400, m2 FROM q
+  UNION ALL SELECT lk, sk, 'm3', 440, m3 FROM q UNION ALL SELECT lk, sk, 'm4', 160, m4 FROM q),
+l0 AS (SELECT lk, sk, rule, margin, count(*) AS docs, (3 * quantile_disc(x, 0.8) - 2 * quantile_disc(x, 0.5))::BIGINT AS f FROM v GROUP BY lk, sk, rule, margin),
+l1 AS (SELECT lk, rule, count(*) AS docs, (3 * quantile_disc(x, 0.8) - 2 * quantile_disc(x, 0.5))::BIGINT AS f FROM v GROUP BY lk, rule),
+l2 AS (SELECT rule, (3 * quantile_disc(x, 0.8) - 2 * quantile_disc(x, 0.5))::BIGINT AS f FROM v GROUP BY rule),
+t AS (SELECT l0.lk, l0.sk, l0.rule, (l0.docs * l0.f + 100 * ((l1.docs * l1.f + 100 * l2.f) // (l1.docs + 100))) // (l0.docs + 100) + margin AS lim
   FROM l0 JOIN l1 ON l0.lk = l1.lk AND l0.rule = l1.rule JOIN l2 ON l0.rule = l2.rule),
 p AS (SELECT lk, sk, max(CASE WHEN rule = 'm1' THEN lim END) AS t1, max(CASE WHEN rule = 'm2' THEN lim END) AS t2,
   max(CASE WHEN rule = 'm3' THEN lim END) AS t3, max(CASE WHEN rule = 'm4' THEN lim END) AS t4 FROM t GROUP BY lk, sk)
