@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 # Identifier formats, lint patterns, known extensions and prefixes.
 ARXIV = "([0-9]{4}\\.[0-9]{4,5}|[a-z-]+(?:\\.[a-z]{2})?/[0-9]{7})"
+DOI = "10\\.[0-9]+/\\S+"
 ABSOLUTE = "(?:^|[\\s(`\"'])((?:/Users/|/home/|/tmp/|/private/tmp/|/var/folders/|~/|C:\\\\)[\\w./\\\\~-]+)"
-EXTERNAL = "(?i)https?://|github\\.com|gitlab\\.com|zenodo|doi\\.org|arxiv\\.org/abs"
+EXTERNAL = "(?i)https?://|github\\.com|gitlab\\.com|zenodo|doi\\.org|arxiv\\.org/abs|upstream repo|authors'? (?:own )?(?:published )?(?:repo|artifact)"
 SESSION = "(?i)claude\\.ai/code/session[_/]|chatgpt\\.com/c/"
 SCAFFOLDING = {
     "draft footer": "(?i)edit before requesting review",
@@ -47,8 +48,11 @@ def resolve(cites: DataFrame, refs: DataFrame, text: str = "cite") -> DataFrame:
     small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     c = cites.select(text).distinct().withColumns({"_low": F.lower(text), "_id": arxiv_id(F.col(text))})
     by_id = c.filter("_id IS NOT NULL").join(small(refs.filter("eprint <> ''").select(F.trim("eprint").alias("_id"), "ref", "seq")), "_id").select(text, "ref", "seq")
-    dois = refs.filter("doi <> ''").select(F.lower("doi").alias("_doi"), "ref", "seq")
-    by_doi = c.join(small(dois), F.contains(F.col("_low"), F.col("_doi"))).select(text, "ref", "seq")
+    # a text contains a DOI if that is a beginning of one of its runs that look like DOIs
+    dois = refs.filter(F.lower("doi").rlike(DOI + "$")).select(F.lower("doi").alias("_doi"), "ref", "seq")
+    runs = c.select(text, F.explode(F.regexp_extract_all("_low", F.lit(DOI), F.lit(0))).alias("_run"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("_run")), lambda n: F.substring("_run", F.lit(1), n))
+    by_doi = runs.select(text, F.explode(starts).alias("_doi")).join(small(dois), "_doi").select(text, "ref", "seq")
     first = by_id.union(by_doi).groupBy(text).agg(F.min_by("ref", "seq").alias("direct"))
     tokens = F.filter(F.split("_low", "[,\\s]+"), lambda t: F.length(t) > 2)
     words = c.filter("_id IS NULL").withColumn("_tokens", tokens).filter("size(_tokens) > 0")
@@ -169,6 +173,11 @@ def pathlike(token: Column, prefixes: list[str]) -> Column:
     return ~other & (known | (F.contains(bare, F.lit("/")) & bare.rlike("\\.(?:" + "|".join(EXTENSIONS) + ")$")))
 
 
+def without_external(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Texts that name no place outside this tree; those that do may cite paths that lie there. Null texts go."""
+    return docs.filter(~F.col(text).rlike(EXTERNAL))
+
+
 def unresolved(paths: DataFrame, listing: DataFrame, keys: list[str], token: str = "token") -> DataFrame:
     """(keys..., token) of tokens without a file: as they are, before `::`, the module's head with or without .py, or
     any file of that stem. listing: (path)."""

@@ -49,7 +49,7 @@ def _(spark, sf):
 # ---- L: text
 
 CITE_SQL = """ci AS (SELECT doc_id AS key, CASE doc_id % 5 WHEN 0 THEN 'arXiv:' || (2000 + doc_id % 40) || '.' || (10000 + doc_id % 40) WHEN 1 THEN 'see doi 10.1000/' || doc_id % 40 || '.x' WHEN 2 THEN 'Name' || doc_id % 40 || ', Other' || doc_id % 40
-  WHEN 3 THEN 'arXiv:9999.99999' ELSE left(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g'), 20) END AS cite FROM documents),
+  WHEN 3 THEN 'arXiv:9999.99999' ELSE text END AS cite FROM documents),
   rf AS (SELECT 'ref' || n_nationkey AS ref, n_nationkey AS seq, CASE WHEN n_nationkey % 2 = 0 THEN (2000 + n_nationkey) || '.' || (10000 + n_nationkey) ELSE '' END AS eprint, CASE WHEN n_nationkey % 3 = 0 THEN '10.1000/' || n_nationkey || '.X' ELSE '' END AS doi, ['name' || n_nationkey, 'other' || n_nationkey] AS names FROM nation)"""
 
 
@@ -58,7 +58,7 @@ def _cites(spark, sf):
     m = (k % 40).cast("string")
     cite = (
         F.when(k % 5 == 0, F.concat(F.lit("arXiv:"), (2000 + k % 40).cast("string"), F.lit("."), (10000 + k % 40).cast("string"))).when(k % 5 == 1, F.concat(F.lit("see doi 10.1000/"), m, F.lit(".x")))
-        .when(k % 5 == 2, F.concat(F.lit("Name"), m, F.lit(", Other"), m)).when(k % 5 == 3, F.lit("arXiv:9999.99999")).otherwise(F.substring(F.regexp_replace("text", "[^a-zA-Z ]", " "), 1, 20))
+        .when(k % 5 == 2, F.concat(F.lit("Name"), m, F.lit(", Other"), m)).when(k % 5 == 3, F.lit("arXiv:9999.99999")).otherwise(F.col("text"))
     )
     return t(spark, sf, "documents").select(k.alias("key"), cite.alias("cite"))
 
@@ -160,7 +160,7 @@ def _(spark, sf):
     return _cites(spark, sf).select("key", text.complete_id(F.col("cite")).alias("complete"))
 
 
-NOTE_SQL = """nt AS (SELECT doc_id || '-1-2.md' AS label, left(text, 200) || CASE doc_id % 6 WHEN 0 THEN ' see /home/me/x.py now' WHEN 1 THEN ' <!-- edit --> TODO' WHEN 2 THEN ' https://chatgpt.com/c/9' WHEN 3 THEN ' `codes/' || doc_id % 30 || '.json` and build/out.txt' WHEN 4 THEN ' [[' || doc_id || ',1,2]]' ELSE ' [[5,6,7]]' END AS text FROM documents)"""
+NOTE_SQL = """nt AS (SELECT doc_id || '-1-2.md' AS label, coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN ' see /home/me/x.py now' WHEN 1 THEN ' <!-- edit --> TODO' WHEN 2 THEN ' https://chatgpt.com/c/9' WHEN 3 THEN ' `codes/' || doc_id % 30 || '.json` and build/out.txt' WHEN 4 THEN ' [[' || doc_id || ',1,2]]' ELSE ' [[5,6,7]]' END AS text FROM documents)"""
 
 
 def _notes(spark, sf):
@@ -169,7 +169,7 @@ def _notes(spark, sf):
         F.when(k % 6 == 0, F.lit(" see /home/me/x.py now")).when(k % 6 == 1, F.lit(" <!-- edit --> TODO")).when(k % 6 == 2, F.lit(" https://chatgpt.com/c/9"))
         .when(k % 6 == 3, F.concat(F.lit(" `codes/"), (k % 30).cast("string"), F.lit(".json` and build/out.txt"))).when(k % 6 == 4, F.concat(F.lit(" [["), k.cast("string"), F.lit(",1,2]]"))).otherwise(F.lit(" [[5,6,7]]"))
     )
-    return t(spark, sf, "documents").select(F.concat(k.cast("string"), F.lit("-1-2.md")).alias("label"), F.concat(F.substring("text", 1, 200), extra).alias("text"))
+    return t(spark, sf, "documents").select(F.concat(k.cast("string"), F.lit("-1-2.md")).alias("label"), F.concat(F.coalesce("text", F.lit("")), extra).alias("text"))
 
 
 @query("l14_lint_absolute", f"WITH {NOTE_SQL} SELECT label, 'absolute local path' AS why, '/home/me/x.py' AS detail FROM nt WHERE contains(text, '/home/me/x.py')")
@@ -187,32 +187,32 @@ def _(spark, sf):
     return text.lint_scaffolding(_notes(spark, sf))
 
 
-@query("l17_path_tokens", "SELECT doc_id || '-1-2.md' AS label, 'codes/' || doc_id % 30 || '.json' AS token FROM documents WHERE doc_id % 6 = 3 UNION ALL SELECT doc_id || '-1-2.md', 'build/out.txt' FROM documents WHERE doc_id % 6 = 3")
+@query("l17_path_tokens", f"WITH {NOTE_SQL} SELECT label, unnest(list_distinct(regexp_extract_all(text, 'codes/[0-9]+\\.json|build/out\\.txt'))) AS token FROM nt")
 def _(spark, sf):
     rows = _notes(spark, sf).filter(F.contains("text", F.lit("codes/"))).select("label", F.explode(text.tokens(F.col("text"))).alias("token"))
     return rows.filter(text.pathlike(F.col("token"), ["codes/", "notes/"]))
 
 
-@query("l18_unresolved_paths", "SELECT doc_id || '-1-2.md' AS label, 'codes/' || doc_id % 30 || '.json' AS token FROM documents WHERE doc_id % 6 = 3 AND doc_id % 30 NOT IN (SELECT n_nationkey FROM nation)")
+@query("l18_unresolved_paths", f"WITH {NOTE_SQL}, tk AS (SELECT label, unnest(list_distinct(regexp_extract_all(text, 'codes/[0-9]+\\.json'))) AS token FROM nt WHERE NOT regexp_matches(text, '(?i)https?://|github\\.com|gitlab\\.com|zenodo|doi\\.org|arxiv\\.org/abs')) SELECT label, token FROM tk WHERE token NOT IN (SELECT 'codes/' || n_nationkey || '.json' FROM nation)")
 def _(spark, sf):
-    rows = _notes(spark, sf).select("label", F.explode(text.tokens(F.col("text"))).alias("token"))
+    rows = text.without_external(_notes(spark, sf)).select("label", F.explode(text.tokens(F.col("text"))).alias("token"))
     rows = rows.filter(text.pathlike(F.col("token"), ["codes/", "notes/"]) & ~text.ignored_citation(F.col("token")) & ~F.col("token").startswith("/"))
     listing = t(spark, sf, "nation").select(F.concat(F.lit("codes/"), F.col("n_nationkey").cast("string"), F.lit(".json")).alias("path"))
     return text.unresolved(rows, listing, ["label"])
 
 
-@query("l19_ignored_citation", "SELECT doc_id || '-1-2.md' AS label FROM documents WHERE doc_id % 6 = 3")
+@query("l19_ignored_citation", f"WITH {NOTE_SQL} SELECT label FROM nt WHERE contains(text, 'build/out.txt')")
 def _(spark, sf):
     rows = _notes(spark, sf).select("label", F.explode(text.tokens(F.col("text"))).alias("token"))
     return rows.filter(text.ignored_citation(F.col("token"))).select("label")
 
 
-@query("l20_header_check", "SELECT doc_id || '-1-2.md' AS label, CASE WHEN doc_id % 6 = 5 THEN 'header disagrees' ELSE 'no header' END AS why FROM documents WHERE doc_id % 6 <> 4 AND NOT (doc_id % 6 = 5 AND doc_id || '-1-2' = '5-6-7')")
+@query("l20_header_check", f"WITH {NOTE_SQL}, h AS (SELECT label, nullif(regexp_replace(regexp_extract(text, '\\[\\[\\s*[0-9]+\\s*,\\s*[0-9]+\\s*,\\s*[0-9]+\\s*\\]\\]'), '[\\[\\]\\s]', '', 'g'), '') AS own FROM nt) SELECT label, CASE WHEN own IS NULL THEN 'no header' ELSE 'header disagrees' END AS why FROM h WHERE own IS NULL OR replace(own, ',', '-') || '.md' <> label")
 def _(spark, sf):
     return text.header_mismatch(_notes(spark, sf)).select("label", "why")
 
 
-@query("l21_problem_set", "SELECT doc_id || '-1-2.md' AS label, doc_id % 6 > 2 OR doc_id = 0 AS ok, CASE WHEN doc_id = 0 THEN 0 WHEN doc_id % 6 = 1 THEN 2 WHEN doc_id % 6 IN (0, 2) THEN 1 ELSE 0 END AS n_problems FROM documents")
+@query("l21_problem_set", f"WITH {NOTE_SQL}, c AS (SELECT label, CASE WHEN label = '0-1-2.md' THEN 0 ELSE contains(text, '/home/me/x.py')::INT + contains(text, 'chatgpt.com/c/')::INT + contains(text, '<!--')::INT + regexp_matches(text, '\\bTODO\\b')::INT END AS n FROM nt) SELECT label, n = 0 AS ok, n::BIGINT AS n_problems FROM c")
 def _(spark, sf):
     n = _notes(spark, sf)
     found = text.lint_absolute(n).unionByName(text.lint_session(n)).unionByName(text.lint_scaffolding(n))
@@ -681,7 +681,8 @@ def _(spark, sf):
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     started = incremental.upsert_leaderboard(stream, f"{base}/board", f"{base}/state", "fp", [F.desc("eff"), F.asc("key")])
     started.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{base}/board/v0")
+    last = max(p["batchId"] for p in started.recentProgress if p["numInputRows"])
+    return spark.read.schema(rows.schema).parquet(f"{base}/board/v{last}")
 
 
 @query("s2_streaming_lightest", "SELECT l_partkey AS key, min(l_quantity)::BIGINT AS weight, arg_min(l_orderkey, {'w': l_quantity, 't': l_orderkey}) AS witness FROM lineitem GROUP BY l_partkey")

@@ -63,21 +63,21 @@ def _(spark, sf):
     return skyline.skyline(written(e, "ranked-entries"), MIN, MAX, peer_leq=["lr", "wr"]).select("key")
 
 
-CAND_SQL = "cand AS (SELECT * FROM e WHERE key % 499 = 0)"
+CAND_SQL = "cand AS (SELECT * FROM e WHERE key % 50 = 0)"
 
 
 @query("h6_dominators", f"WITH {E_SQL}, {CAND_SQL} SELECT a.key, count(b.key) AS n, md5(coalesce(string_agg('[[' || b.n || ',' || b.k || ',' || b.d || ']] ' || b.key, ';' ORDER BY '[[' || b.n || ',' || b.k || ',' || b.d || ']] ' || b.key), '')) AS listed FROM cand a LEFT JOIN e b ON {DOM} GROUP BY a.key")
 def _(spark, sf):
     e = written(entries(spark, sf), "entries")
-    out = skyline.dominators(e.filter("key % 499 = 0"), e, MIN, MAX)
+    out = skyline.dominators(e.filter("key % 50 = 0"), e, MIN, MAX)
     return out.select("key", F.size("dominators").cast("long").alias("n"), F.md5(F.array_join("dominators", ";")).alias("listed"))
 
 
-@query("h7_landing", f"""WITH {CELLS_SQL}, q AS (SELECT * FROM c WHERE key % 997 = 0) SELECT a.key, a.cell_loc, a.cell_w, count(*) FILTER (WHERE {DOM}) = 0 AS on_front,
+@query("h7_landing", f"""WITH {CELLS_SQL}, q AS (SELECT * FROM c WHERE key % 50 = 0) SELECT a.key, a.cell_loc, a.cell_w, count(*) FILTER (WHERE {DOM}) = 0 AS on_front,
   count(*) FILTER (WHERE b.n >= a.n AND b.k <= a.k AND b.d <= a.d AND b.w >= a.w AND (b.n > a.n OR b.k < a.k OR b.d < a.d OR b.w > a.w)) AS n_beats FROM q a JOIN c b ON a.cell_loc = b.cell_loc AND a.cell_w = b.cell_w GROUP BY ALL""")
 def _(spark, sf):
     c = written(cells(spark, sf), "cells")
-    out = skyline.landing(c.filter("key % 997 = 0"), c, ["cell_loc", "cell_w"], MIN, MAX)
+    out = skyline.landing(c.filter("key % 50 = 0"), c, ["cell_loc", "cell_w"], MIN, MAX)
     return out.select("key", "cell_loc", "cell_w", "on_front", F.size("beats").cast("long").alias("n_beats"))
 
 

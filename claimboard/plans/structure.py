@@ -231,13 +231,17 @@ def _(spark, sf):
 # ---- E: graphs and groups
 
 
+WL_ROUNDS_SQL = ",\n  ".join(
+    f"n{r} AS (SELECT e2.graph, src AS node, list_sort(list(colour)) AS near FROM e2 JOIN c{r - 1} c ON e2.graph = c.graph AND e2.dst = c.node GROUP BY ALL), "
+    f"c{r} AS (SELECT c.graph, c.node, dense_rank() OVER (PARTITION BY c.graph ORDER BY colour, near) - 1 AS colour FROM c{r - 1} c JOIN n{r} n ON c.graph = n.graph AND c.node = n.node)"
+    for r in range(1, 7)
+)
+
+
 @query("e1_wl_refine", f"""WITH {I_SQL}, ed AS (SELECT DISTINCT key AS graph, 'c' || check_idx AS src, 'q' || qubit AS dst FROM i), e2 AS (SELECT * FROM ed UNION ALL SELECT graph, dst, src FROM ed),
   c0 AS (SELECT DISTINCT graph, src AS node, CASE WHEN src LIKE 'c%' THEN 0 ELSE 1 END AS colour FROM e2),
-  n1 AS (SELECT e2.graph, src AS node, list_sort(list(colour)) AS near FROM e2 JOIN c0 ON e2.graph = c0.graph AND e2.dst = c0.node GROUP BY ALL),
-  c1 AS (SELECT c0.graph, c0.node, dense_rank() OVER (PARTITION BY c0.graph ORDER BY colour, near) - 1 AS colour FROM c0 JOIN n1 ON c0.graph = n1.graph AND c0.node = n1.node),
-  n2 AS (SELECT e2.graph, src AS node, list_sort(list(colour)) AS near FROM e2 JOIN c1 ON e2.graph = c1.graph AND e2.dst = c1.node GROUP BY ALL),
-  c2 AS (SELECT c1.graph, c1.node, dense_rank() OVER (PARTITION BY c1.graph ORDER BY colour, near) - 1 AS colour FROM c1 JOIN n2 ON c1.graph = n2.graph AND c1.node = n2.node)
-  SELECT graph, colour, count(*) AS nodes FROM c2 GROUP BY ALL""")
+  {WL_ROUNDS_SQL}
+  SELECT graph, colour, count(*) AS nodes FROM c6 GROUP BY ALL""")
 def _(spark, sf):
     edge = incidence(spark, sf).select(F.col("key").alias("graph"), F.concat(F.lit("c"), F.col("check_idx")).alias("src"), F.concat(F.lit("q"), F.col("qubit")).alias("dst")).distinct()
     edges = written(edge.unionByName(edge.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"))), "wl-edges")

@@ -165,3 +165,11 @@ def test_entry_survives_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op1_') for n in q); print(len(q))"], cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_texts_that_name_an_outside_place_may_cite_its_paths(spark):
+    from claimboard.operators import text
+
+    rows = [("a", "see `codes/9.json`"), ("b", "from the authors' own repo: `codes/9.json`"), ("c", "at Zenodo, codes/9.json"), ("d", None)]
+    df = spark.createDataFrame(rows, "label string, text string")
+    assert [r["label"] for r in text.without_external(df).collect()] == ["a"]
