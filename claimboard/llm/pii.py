@@ -1,15 +1,19 @@
 """Personal data by bootstrapped contextual extraction (operator 8). DataFrame functions only.
 
-Seeds are the spans of four base patterns: email, ip, card (Luhn) and phone. Units are the seeds and all other
-words with a digit or an @. A lexical pattern is what stands around a unit: its two words before, or the word
-before and the word after. Pattern and instance form a bipartite graph that is scored for ROUNDS rounds: a
-pattern's confidence for a kind is the share of its distinct values that are known to be of that kind, and an
-unseen unit of plausible shape is found if one minus the product of its good patterns' doubts reaches LEAST_SCORE;
-it is a seed from then on. Patterns need LEAST_SEEDS distinct values, so that copies of one text prove nothing.
-
-Positions are code points, found natively: the text between matches and the matches are measured in turn. Single
-separators inside digits, and dots inside host names, are first replaced by a control character of equal length,
-so that every pattern is a plain run of characters and no text is too long for the regular expression's stack.
+Seeds are the spans of four base patterns: email, ip, card (Luhn) and phone, and long runs of hexadecimal digits as
+seeds of secrets. Units are the seeds, all other words with a digit or an @, and runs of digit groups with single
+separators. A lexical pattern is what stands around a unit: its two words before, or the word before and the word
+after. Pattern and instance form a bipartite graph that is scored until nothing new is found (at most ROUNDS times): a
+pattern's confidence for a kind is the share of its distinct values that are known to be of that kind, and a unit of
+plausible shape is found if one minus the product of its good patterns' doubts reaches LEAST_SCORE; it is a seed from
+then on. Patterns need LEAST_SEEDS distinct values, so that copies of one text prove nothing. A secret is only
+reported where such a pattern confirms it. Of found units that overlap, the first and then longest stays.
+
+Positions are code points, found natively: the text between matches and the matches are measured in turn. Long texts
+are cut into segments of about SEGMENT characters where a letter stands before a space, which no match spans; words
+around a unit are taken from its segment. Single separators inside digits, and dots inside host names, are first
+replaced by a control character of equal length, so that every pattern is a plain run of characters and no text is too
+long for the regular expression's stack.
 
 Defined results: a null text is an empty one; repeated rows get the same spans; rows without doc_id are treated
 like others; an empty table gives an empty table; other columns are ignored by find() and carried by mask().
@@ -20,18 +24,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, let, table
+from .common import SPACES, drop, fresh, let, table
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, CONTEXT = 3, 4, 0.8, 0.9, 48
+FOUND_KINDS = [*KINDS, "secret"]
+ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, CONTEXT, SEGMENT = 20, 4, 0.8, 0.9, 48, 4000
 #: Digits that an unseen value of a kind must have at least.
-LEAST_DIGITS = {"email": 0, "ip": 4, "card": 10, "phone": 7}
+LEAST_DIGITS = {"email": 0, "ip": 4, "card": 10, "phone": 7, "secret": 4}
 _LOCAL = "A-Za-z0-9._%+\\u0002-"
 EMAIL = f"(?:(?<![{_LOCAL}])|\\G)[{_LOCAL}]++@[A-Za-z0-9-]++\\u0002[A-Za-z0-9\\u0002-]+"
 IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = "[0-9][0-9\\u0001]{13,}"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 UNIT = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9@]*+[0-9@][^\\x20\\x09-\\x0D]*+"
+RUN = "(?<![A-Za-z0-9@._%+-])[+(]?[0-9][0-9\\x20().-]*[0-9](?![A-Za-z0-9@])"
+SECRET, SECRET_SHAPE = "^[0-9a-fA-F]{32,}$", "^(?=.*[A-Za-z])[A-Za-z0-9_+/=-]{16,}$"
+SEGMENTS = "(?s)(?:.{%d}.*?[A-Za-z](?= )|.+)" % SEGMENT
 SPAN = "struct<s:int,e:int,kind:string,value:string>"
 
 
@@ -96,8 +104,8 @@ def _is(kind: str):
 
 
 def _rank(kind: Column) -> Column:
-    out = F.lit(len(KINDS))
-    for i, k in reversed(list(enumerate(KINDS))):
+    out = F.lit(len(FOUND_KINDS))
+    for i, k in reversed(list(enumerate(FOUND_KINDS))):
         out = F.when(kind == k, i).otherwise(out)
     return out
 
@@ -107,9 +115,14 @@ def _listed(spans: Column) -> Column:
 
 
 def _free_units(text: Column, spans: Column) -> Column:
-    """Words with a digit or an @ that no base span touches."""
-    units = _only(text, text.rlike("[0-9@]"), _matches(text, UNIT, ""))
-    return F.filter(units, lambda u: ~F.exists(spans, lambda b: (b["s"] < u["e"]) & (b["e"] > u["s"])))
+    """Trimmed words with a digit or an @, and runs of digit groups, that no base span touches."""
+    digits = lambda u: F.length(F.regexp_replace(u["value"], "[^0-9]", ""))
+    words = F.filter(F.transform(_only(text, text.rlike("[0-9@]"), _matches(text, UNIT, "")), _trimmed), lambda u: F.length(u["value"]) >= 4)
+    runs = F.filter(
+        _only(text, text.rlike("[0-9][\\x20().-]{1,2}[0-9]"), _matches(text, RUN, "")),
+        lambda u: u["value"].rlike("[0-9][\\x20().-]+[0-9]") & ~u["value"].rlike("[\\x20.-]{2}") & digits(u).between(7, 19),
+    )
+    return F.filter(F.concat(words, runs), lambda u: ~F.exists(spans, lambda b: (b["s"] < u["e"]) & (b["e"] > u["s"])))
 
 
 def _trimmed(unit: Column) -> Column:
@@ -134,31 +147,55 @@ def units(docs: DataFrame) -> DataFrame:
         patterns = F.array(F.concat(F.lit("2 "), two), F.concat(F.lit("1 "), one, F.lit(" _ "), plain(F.get(right, F.lit(0)))))
         return F.struct(u["s"].alias("s"), u["e"].alias("e"), u["kind"].alias("kind"), F.regexp_replace(u["value"], "[\\u0001\\u0002]", "").alias("value"), patterns.alias("patterns"))
 
-    with_base = let(base_spans(F.col("text")), lambda b: F.struct(b.alias("base"), F.concat(b, F.filter(F.transform(_free_units(t, b), _trimmed), lambda u: F.length(u["value"]) >= 4)).alias("all")))
-    narrow = docs.select("doc_id", F.xxhash64("text").alias("th"), with_base.alias("f"), t.alias("text"))
-    spelled = F.when(F.size("f.all") == 0, F.lit(None)).otherwise(F.transform("f.all", lambda u: around(F.col("text"), u)))
-    return narrow.select("doc_id", "th", F.col("f.base").alias("base"), spelled.alias("units"))
+    def shifted(u: Column, by: Column, *more: str) -> Column:
+        return F.struct((u["s"] + by).alias("s"), (u["e"] + by).alias("e"), *(u[c].alias(c) for c in ("kind", "value", *more)))
+
+    def searched(segment: Column, by: Column) -> Column:
+        def both(b: Column) -> Column:
+            spelled = F.transform(F.concat(b, _free_units(segment, b)), lambda u: around(segment, u))
+            return F.struct(F.transform(b, lambda u: shifted(u, by)).alias("base"), F.transform(spelled, lambda u: shifted(u, by, "patterns")).alias("all"))
+
+        return let(base_spans(segment), both)
+
+    def whole(segments: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(segments, F.lit(1), i), F.lit(0), lambda acc, x: acc + F.length(x))
+        return F.transform(segments, lambda x, i: let(before(i), lambda by: searched(x, by)))
+
+    segments = F.when(F.length(t) <= SEGMENT, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(SEGMENTS), F.lit(0)))
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("th"), let(segments, whole).alias("f"))
+    every = F.flatten(F.transform("f", lambda x: x["all"]))
+    return narrow.select("doc_id", "th", F.flatten(F.transform("f", lambda x: x["base"])).alias("base"), F.when(F.size(every) > 0, every).alias("units"))
 
 
 def _bootstrap(found: DataFrame) -> DataFrame:
-    """(value, kind) that high-confidence patterns discover beyond the seeds."""
+    """(v, kind) of values that high-confidence patterns discover beyond the seeds, and of the secrets they confirm."""
     rows = found.select(F.explode("units").alias("u")).select(F.sha2("u.value", 256).alias("v"), F.col("u.value").alias("value"), F.nullif("u.kind", F.lit("")).alias("kind"), F.explode("u.patterns").alias("pattern"))
+    rows = rows.withColumn("kind", F.coalesce("kind", F.when(F.col("value").rlike(SECRET) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Fa-f]"), "secret")))
     digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
-    edges = table(rows.groupBy("v", "kind", "pattern").agg(F.max(digits).alias("digits"), F.max(F.contains("value", F.lit("@"))).alias("at")), "pii-edges")
-    known = None
+    edges = rows.groupBy("v", "kind", "pattern").agg(F.max(digits).alias("digits"), F.max(F.contains("value", F.lit("@"))).alias("at"), F.max(F.col("value").rlike(SECRET_SHAPE)).alias("dense"))
+    edges = table(edges, "pii-edges")
+    known, size = None, 0
     for _ in range(ROUNDS):
         labelled = edges if known is None else edges.join(known.select("v", F.col("kind").alias("found")).hint("merge"), "v", "left").withColumn("kind", F.coalesce("kind", "found")).drop("found")
-        counts = labelled.groupBy("pattern").agg(F.count("*").alias("all"), *(F.count_if(F.col("kind") == k).alias(k) for k in KINDS))
-        kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in KINDS)))
+        counts = labelled.groupBy("pattern").agg(F.count("*").alias("all"), *(F.count_if(F.col("kind") == k).alias(k) for k in FOUND_KINDS))
+        kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in FOUND_KINDS)))
         scored = counts.filter(F.col("all") >= LEAST_SEEDS).select("pattern", "all", kinds.alias("k"))
         scored = scored.select("pattern", F.col("k.kind").alias("kind"), F.col("k.n").alias("n"), (F.col("k.n") / F.col("all")).alias("confidence"))
         good = table(scored.filter((F.col("n") >= LEAST_SEEDS) & (F.col("confidence") >= LEAST_CONFIDENCE)), "pii-patterns")
-        unseen = edges.filter("kind IS NULL").drop("kind").join(good.hint("merge"), "pattern")
+        unseen = edges.filter("kind IS NULL OR kind = 'secret'").withColumnRenamed("kind", "seed").join(good.hint("merge"), "pattern")
         least = F.create_map(*(F.lit(x) for p in LEAST_DIGITS.items() for x in p))[F.col("kind")]
-        unseen = unseen.filter((F.col("digits") >= least) & ((F.col("kind") != "email") | F.col("at")))
+        unseen = unseen.filter((F.col("digits") >= least) & ((F.col("kind") != "email") | F.col("at")) & ((F.col("kind") != "secret") | F.col("dense")))
+        unseen = unseen.filter(F.col("seed").isNull() | (F.col("seed") == F.col("kind")))
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
         votes = unseen.groupBy("v", "kind").agg((1 - doubt).alias("score")).filter(F.col("score") >= LEAST_SCORE)
-        known = table(votes.groupBy("v").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")), "pii-known")
+        new = table(votes.groupBy("v").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")), "pii-known")
+        count = new.count()
+        same = known is not None and count == size and new.join(known.hint("merge"), ["v", "kind"], "left_anti").isEmpty()
+        drop(good, *([known] if known is not None else []))
+        known, size = new, count
+        if same or not count:
+            break
+    drop(edges)
     return known
 
 
@@ -173,7 +210,10 @@ def find(docs: DataFrame) -> DataFrame:
     a, b = lean.alias("a"), added.alias("b")
     joined = a.join(b.hint("merge"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left")
     order = lambda x, y: F.when(x["s"] != y["s"], x["s"] - y["s"]).otherwise(_rank(x["kind"]) - _rank(y["kind"]))
-    spans = F.when(F.col("b.more").isNull(), F.col("a.base")).otherwise(F.array_sort(F.concat("a.base", "b.more"), order))
+    first = lambda x, y: F.when(x["s"] != y["s"], x["s"] - y["s"]).otherwise(y["e"] - x["e"])
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(-1))
+    apart = F.aggregate(F.array_sort("b.more", first), F.array().cast("array<struct<s:int,e:int,kind:string>>"), lambda acc, x: F.when(x["s"] < last(acc), acc).otherwise(F.concat(acc, F.array(x))))
+    spans = F.when(F.col("b.more").isNull(), F.col("a.base")).otherwise(F.array_sort(F.concat("a.base", apart), order))
     return joined.select("a.doc_id", "a.th", "a.base", spans.alias("spans"))
 
 

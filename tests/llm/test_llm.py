@@ -452,6 +452,33 @@ def test_personal_data_is_discovered_by_context(spark):
     assert "<email>" in {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}[100]
 
 
+def test_personal_data_in_groups_of_digits_and_secrets(spark):
+    rng = random.Random(13)
+    some = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"Plain words here. call me on +1 555 {1000 + 7 * i} {100 + i} please", "en", "s", 0) for i in range(20)]
+    rows += [(30 + i, f'We set token = "{some(39)}a1" in this file', "en", "s", 0) for i in range(20)]
+    rows += [(100, "Other words. call me on 555 123 4567 please", "en", "s", 0), (101, 'And token = "Zx81-kk20_LmQ77vTz" there', "en", "s", 0), (102, "Lone 777 888 9999 elsewhere", "en", "s", 0)]
+    text = {r[0]: r[1] for r in rows}
+    out = {r["doc_id"]: [(x["kind"], text[r["doc_id"]][x["s"] : x["e"]]) for x in r["spans"]] for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[100] == [("phone", "555 123 4567")] and out[101] == [("secret", "Zx81-kk20_LmQ77vTz")] and out[102] == []
+    assert all([k for k, _ in out[30 + i]] == ["secret"] for i in range(20))
+
+
+def test_personal_data_of_a_long_text_and_the_query(spark, tmp_path):
+    parts = ["some words about nothing", "mail a.b@c-d.org now", "at 10.20.30.40 or", "4111 1111 1111 1111", "call +1 (555) 123-4567,", "x9 y8 z7"]
+    long = " ".join(parts[k * 7 % 6] for k in range(30_000))
+    rows = [(1, long, "clash"), (2, None, "clash"), (3, "", "clash"), (4, "a@b.cc 1.2.3.4", "clash"), (4, "a@b.cc 1.2.3.4", "clash"), (None, "+49 30 1234567", "clash")]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in pii.op8(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans").collect()), key=repr)
+    want = []
+    for i, t, _ in rows:
+        base = base_by_hand(t)
+        listed = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        want.append((i, *(sum(k == x for _, k, _ in base) for x in range(4)), hashlib.sha256(listed.encode()).hexdigest()))
+    assert [g[:6] for g in got] == sorted(want, key=repr)
+    assert all(set(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base_by_hand(t)) <= set(g[6].split(",")) for g in got for i, t, _ in rows if i == g[0] and base_by_hand(t))
+
+
 # ---- operator 9
 
 
