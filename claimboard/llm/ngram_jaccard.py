@@ -12,9 +12,9 @@ sets are made. Every open node is first compared with its star, the node that is
 those of its tokens (about its size); links merge components and close more nodes. A node that shares only v tokens
 with its star, where every link that it may still have needs o > v, must share o - v tokens outside the star with
 whatever it links to: it is met through those alone, rarest first. Other open nodes of different components are
-candidates if they share a token of their D prefixes. Candidates must also share enough of their B and C prefixes (16
-bits of each token, whose collisions only let pairs through); what passes all orders is verified on whole sets. No
-group of copies emits all its pairs: copies of one component are never paired, and a token's largest component is
+candidates if they share a token of their D prefixes. Of the candidates found past stars, each node's best is tried
+first, and pairs that links have joined by then are left out. Candidates must also share enough of their B and C
+prefixes; what passes all orders is verified on whole sets. No group of copies emits all its pairs: copies of one component are never paired, and a token's largest component is
 only met by the nodes outside it.
 
 Which tokens count as frequent is found over all documents (counts per run of TALLY_TOKENS tokens, summed) and
@@ -221,7 +221,7 @@ def _shared(group):
     return pa.Table.from_arrays([pa.array(t.astype(np.int64)), pa.array(d), pa.array(n)], names=["token", "node", "n"])
 
 
-SETS = "node long, tokens binary, sketch binary"
+SETS = "node long, tokens binary"
 
 
 def _sets(wanted):
@@ -235,19 +235,11 @@ def _sets(wanted):
                 place = b.column("place").to_numpy(zero_copy_only=False)
                 b = b.take(pa.array(np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)))
             sets = [x for x in map(shingles, b.column("text").to_pylist()) if len(x)]
-            rows = [[_node(x) for x in sets], [x.tobytes() for x in sets], [_sketch(x, np) for x in sets]]
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.int64(), pa.binary(), pa.binary()))], ["node", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
 
     return run
 
 
-def _sketch(s, np) -> bytes:
-    """A sorted set's size and 16 bits of each token of its prefixes under orders B and C."""
-    p = prefix_length(len(s))
-    short = (_mix(s, 0xB0B) & np.uint64(0xFFFF)).astype("<u2")
-    return len(s).to_bytes(8, "little") + short[:p].tobytes() + short[-p:].tobytes()
-
-
 def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Written sets of the nodes of the documents `wanted` (doc_id), made anew from their texts. Documents are found
     by a bit map of their hashed ids, MAP_SHARE bits each, which lets a few more through; they find no partner."""
@@ -275,47 +267,37 @@ def _needed(na, nb):
     return F.greatest(F.least(spare(na), spare(nb)), F.lit(1))
 
 
-def passes(x: bytes, y: bytes, np) -> bool:
-    """Whether two sketches share as many tokens under orders B and C as linked sets must."""
-    nx, ny = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
-    px, py = prefix_length(nx), prefix_length(ny)
-    both = -(-SHARE * (nx + ny) // (100 + SHARE))
-    least = max(min(px - (nx - both), py - (ny - both)), 1)
-    x, y = np.frombuffer(x, "<u2", offset=8), np.frombuffer(y, "<u2", offset=8)
-    # tokens of x whose 16 bits y has; repeats let pairs through only
-    return all(np.isin(x[k * px : (k + 1) * px], y[k * py : (k + 1) * py]).sum() >= least for k in (0, 1))
-
-
 def linked(x, y, np) -> bool:
-    """Whether two sorted sets link."""
+    """Whether two sorted sets link: they must share as many prefix tokens under orders B and C as linked sets do;
+    their whole intersection decides."""
     nx, ny = len(x), len(y)
     if 100 * min(nx, ny) < SHARE * max(nx, ny):
         return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= SHARE * (nx + ny - both)
-
+    px, py = prefix_length(nx), prefix_length(ny)
+    both = -(-SHARE * (nx + ny) // (100 + SHARE))
+    least = max(min(px - (nx - both), py - (ny - both)), 1)
+    shared = lambda p, q: len(np.intersect1d(p, q, assume_unique=True))
+    if shared(x[:px], y[:py]) < least or shared(x[-px:], y[-py:]) < least:
+        return False
+    return 100 * (both := shared(x, y)) >= SHARE * (nx + ny - both)
 
-def _test(filtered: bool):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        for b in batches:
-            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-            keep = [passes(p, q, np) if filtered else linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), np) for p, q in zip(x, y)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _verify(batches):
+    import numpy as np
+    import pyarrow as pa
 
-    return run
+    for b in batches:
+        x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+        keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), np) for p, q in zip(x, y)]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that link, written: those that pass orders B and C are compared on whole sets."""
-    for column, filtered in (("sketch", True), ("tokens", False)):
-        first = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
-        second = sets.select(F.col("node").alias("b"), F.col(column).alias("y"))
-        joined = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y")
-        pairs = table(joined.mapInArrow(_test(filtered), "a long, b long").distinct(), "jaccard-linked")
-    return pairs
+    """Pairs (a, b) of nodes that link, written."""
+    first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    joined = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y")
+    return table(joined.mapInArrow(_verify, "a long, b long").distinct(), "jaccard-linked")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -402,8 +384,8 @@ def _explode_sets(batches):
 
 def _past_stars(nodes: DataFrame, compared: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For the open nodes (node, n, comp, least) that were compared with a star and do not link to it: (node, top), and
-    all pairs (a, b) of one of them and an open node of another component and of size `top` or more that share one of
-    the rarest tokens outside the star. Up to `top` a link may need no such token."""
+    all pairs (a, b) of one of them (`node`) and an open node of another component and of size `top` or more that share
+    one of the rarest tokens outside the star, with how many (`votes`). Up to `top` a link may need no such token."""
     far = compared.filter("NOT linked").select(F.col("a").alias("node"), "both", "outside").join(nodes.hint("merge"), "node")
     top = F.floor((100 + SHARE) * F.col("both") / SHARE) - F.col("n") + 1
     meets = F.floor((SHARE * (F.col("n") + F.greatest(F.col("least"), top)) + 99 + SHARE) / (100 + SHARE))
@@ -420,7 +402,8 @@ def _past_stars(nodes: DataFrame, compared: DataFrame, sets: DataFrame) -> tuple
     x, y = prefix.alias("x"), every.alias("y")
     close = (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= SHARE * F.greatest("x.n", "y.n")) & (F.col("y.n") >= F.col("x.top"))
     found = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & close)
-    pairs = table(found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "jaccard-past-stars")
+    found = found.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("other")).agg(F.count("*").alias("votes"))
+    pairs = table(found.select("node", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "votes"), "jaccard-past-stars")
     drop(own, every, prefix)
     return far.select("node", "top"), pairs
 
@@ -479,7 +462,18 @@ def join(docs: DataFrame) -> DataFrame:
     far, past = _past_stars(open_nodes, compared, sets)
     near = left.select("token", "node", "n", "comp").join(far.hint("merge"), "node", "left").withColumn("top", F.coalesce("top", endless))
     near = table(_open(near), "jaccard-open")
-    links = links.union(verify(past.union(_across(near)).distinct(), sets))
+    # each node's most promising candidate first: what it links to may join it to all others
+    # by how much the candidate has of its own star
+    held = compared.select(F.col("a").alias("other"), "both")
+    best = past.withColumn("other", F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a"))).join(held.hint("merge"), "other", "left")
+    best = best.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct(F.coalesce("both", F.lit(0)), "votes", F.xxhash64("a", "b"))).alias("best"))
+    links = links.union(verify(table(best.select("best.*").distinct(), "jaccard-best"), sets))
+    joined = components(links)
+    pairs = past.select("a", "b").union(_across(near)).distinct()
+    for node, comp in (("a", "ca"), ("b", "cb")):
+        pairs = pairs.join(joined.select(F.col("node").alias(node), F.col("comp").alias(comp)).hint("merge"), node, "left").withColumn(comp, F.coalesce(comp, node))
+    rest = table(pairs.filter("ca <> cb").select("a", "b"), "jaccard-rest")
+    links = links.union(verify(rest, sets))
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     same_id = named.join(same_id.hint("merge"), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
     found = components(links.union(same_id))
