@@ -51,12 +51,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def collect_shuffles(spark: SparkSession) -> None:
+    """Ask the driver's JVM to collect its garbage: Spark then deletes the shuffle files that no plan needs any more."""
+    spark.sparkContext._jvm.System.gc()
+    _collected[0] = time.monotonic()
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None, collect: bool = False) -> DataFrame:
     """Cut the lineage: write `df` as Parquet to the shared folder and read it back. The table is deleted by drop(),
     or when the process ends.
 
     The shuffle files behind it are then of no use; Spark deletes them once the driver's JVM collects its garbage,
-    which is asked for here now and then because long jobs would otherwise hold all their shuffles on disk at once."""
+    which is asked for here now and then because long jobs would otherwise hold all their shuffles on disk at once.
+    `collect` asks at once, for tables behind large shuffles."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/claimboard-{name}-{uuid.uuid4().hex}"
     schema, writer = df.schema, df.write.mode("error")
@@ -65,9 +72,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
         atexit.register(drop_all)
     _tables[path] = spark
     del writer, df
-    if time.monotonic() - _collected[0] > GC_SECONDS:
-        spark.sparkContext._jvm.System.gc()
-        _collected[0] = time.monotonic()
+    if collect or time.monotonic() - _collected[0] > GC_SECONDS:
+        collect_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 
