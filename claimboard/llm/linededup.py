@@ -67,14 +67,14 @@ def judge(docs: DataFrame) -> DataFrame:
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
     halves_hint = halves.join(shared.hint("shuffle_hash"), "half", "left_semi").select("h1", "h2").distinct()
     near = firsts.join(halves_hint.hint("shuffle_hash"), ["h1", "h2"], "left_semi").select("h1", "h2", "first.*")
-    near = table(near.withColumnsRenamed({"doc_id": "d", "th": "t", "line_no": "l"}), "line-candidates")
+    near = table(near.withColumnsRenamed({"doc_id": "d", "th": "t", "line_no": "l"}), "line-candidates", collect=True)
     here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("line_no") == F.col("l"))
     texts = _lines(base).join(near.hint("merge"), here).select("h1", "h2", place.alias("first"), words_of(F.col("line")).alias("words"))
     # a word's key at its own place and one place earlier; all but word i is the running XOR of the first kind before i
     # and, after i, the total of the second kind less its running XOR. Totals are written, else they are made per word
     zero = F.lit(0).cast("long")
     total = lambda back: F.aggregate(F.transform("words", lambda w, i: F.xxhash64(w, i - back)), zero, lambda acc, x: acc.bitwiseXOR(x))
-    texts = table(texts.dropDuplicates(["h1", "h2"]).select("*", total(0).alias("whole"), total(1).alias("rest")), "line-words")
+    texts = table(texts.dropDuplicates(["h1", "h2"]).select("*", total(0).alias("whole"), total(1).alias("rest")), "line-words", collect=True)
     rows = texts.select("h1", "h2", "first", F.size("words").alias("n"), "whole", "rest", F.posexplode("words").alias("i", "w"))
     rows = rows.select("h1", "h2", "first", "n", "whole", "rest", "i", F.xxhash64("w", "i").alias("a"), F.xxhash64("w", F.col("i") - 1).alias("b"))
     upto = W.partitionBy("h1", "h2").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
@@ -89,7 +89,7 @@ def judge(docs: DataFrame) -> DataFrame:
     emitted = F.array(key("r", F.col("n"), F.col("i"), variant, "r"), key("d", F.col("n") - 1, nowhere, variant, "v"))
     own = F.array(key("d", F.col("n"), nowhere, F.col("whole"), "s"))
     keys = rows.select("h1", "h2", "first", "i", F.explode(F.when(F.col("i") == 0, F.concat(emitted, own)).otherwise(emitted)).alias("k")).select("h1", "h2", "first", "i", "k.*")
-    keys = table(keys, "line-keys")
+    keys = table(keys, "line-keys", collect=True)
 
     best = keys.groupBy("kind", "m", "at", "x").agg(
         F.count("*").alias("c"),
@@ -101,7 +101,7 @@ def judge(docs: DataFrame) -> DataFrame:
     other = F.when(F.col("role") == "s", F.col("longer")).otherwise(F.col("plain"))
     met = met.withColumn("other", other).filter(F.col("other").isNotNull() & (F.col("other.first") < F.col("first")))
     met = met.select("h1", "h2", "role", "i", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"), F.col("other.i").alias("j")).distinct()
-    met = table(met, "line-met")
+    met = table(met, "line-met", collect=True)
     drop(keys, near)
     mine, theirs = texts.select("h1", "h2", F.col("words").alias("p")), texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("q"))
     pairs = met.join(mine.hint("merge"), ["h1", "h2"]).join(theirs.hint("merge"), ["o1", "o2"])
