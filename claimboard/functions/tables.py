@@ -10,7 +10,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows that a counted side may have to be broadcast.
@@ -109,6 +110,17 @@ def drop_all() -> None:
     drop_paths(list(_tables))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the 1-based place of every row in `order`, which must be total. Rows are dealt by ranges of the order and
+    numbered inside each; what is summed in one task is one count a range."""
+    part, base = f"_{name}_part", f"_{name}_base"
+    ranged = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "numbered")
+    before = F.sum("count").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    bases = ranged.groupBy(part).count().select(part, F.coalesce(before, F.lit(0)).alias(base))
+    place = F.row_number().over(W.partitionBy(part).orderBy(*order)) + F.col(base)
+    return ranged.join(F.broadcast(bases), part).withColumn(name, place).drop(part, base)
+
+
 def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join to a written table, broadcast only if its counted rows stay under the bound."""
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right.hint("merge"), on, how)

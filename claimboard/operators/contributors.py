@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import numbered
+
 HANDLE = "^@[A-Za-z0-9-]+$"
 
 
@@ -22,12 +24,20 @@ def credit(rows: DataFrame, by: list[str]) -> DataFrame:
     """Per contributor: codes, front, exact, best efficiency and geometric score with the keys that hold them.
 
     rows: (by..., key, record, exact, eff, geo, d, n). The geometric headline needs d >= 3."""
+    return _shown(_totals(rows, by), by)
+
+
+def _totals(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Counts and the two best rows, which merge by sum and by maximum."""
     best = lambda value, ok: F.max(F.when(ok, F.struct(F.col(value).alias("v"), (-F.col("n")).alias("s"), (-F.col("key")).alias("o"))))
-    out = rows.groupBy(*by).agg(
+    return rows.groupBy(*by).agg(
         F.count("*").alias("codes"), F.count_if("record").alias("front"), F.count_if("exact").alias("n_exact"),
         best("eff", F.col("eff").isNotNull()).alias("e"), best("geo", F.col("geo").isNotNull() & (F.col("d") >= 3)).alias("g"),
     )
-    return out.select(*by, "codes", "front", "n_exact", F.col("e.v").alias("best_eff"), (-F.col("e.o")).alias("eff_key"), F.col("g.v").alias("best_geo"), (-F.col("g.o")).alias("geo_key"))
+
+
+def _shown(totals: DataFrame, by: list[str]) -> DataFrame:
+    return totals.select(*by, "codes", "front", "n_exact", F.col("e.v").alias("best_eff"), (-F.col("e.o")).alias("eff_key"), F.col("g.v").alias("best_geo"), (-F.col("g.o")).alias("geo_key"))
 
 
 def secondary(layouts: DataFrame, authors: DataFrame, key: str = "key") -> DataFrame:
@@ -40,6 +50,8 @@ def rankings(df: DataFrame, partition_by: list[str] | None = None, name: str = "
     """Two places per contributor: by efficiency and by geometric score (nulls last)."""
     part = list(partition_by or [])
     shared = [F.desc("front"), F.desc("codes"), F.asc(name)]
+    if not part:
+        return numbered(numbered(df, [F.desc("best_eff"), *shared], "eff_rank"), [F.desc_nulls_last("best_geo"), *shared], "geo_rank")
     over = lambda *o: F.row_number().over(W.partitionBy(*part).orderBy(*o, *shared))
     return df.withColumns({"eff_rank": over(F.desc("best_eff")), "geo_rank": over(F.desc_nulls_last("best_geo"))})
 
@@ -50,6 +62,14 @@ def by_cap(rows: DataFrame, weight: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(top)).withColumn("cap", F.explode(F.sequence(F.col(weight), F.col("_top")))).drop("_top")
 
 
+def credit_by_cap(rows: DataFrame, weight: str, by: list[str]) -> DataFrame:
+    """credit() for every whole weight cap. Totals per weight come first, so what is repeated for each cap is one row
+    a contributor and weight, not the rows."""
+    capped = by_cap(_totals(rows, [*by, weight]), weight)
+    sums = [F.sum(c).alias(c) for c in ("codes", "front", "n_exact")]
+    return _shown(capped.groupBy("cap", *by).agg(*sums, F.max("e").alias("e"), F.max("g").alias("g")), ["cap", *by])
+
+
 def steps(ranked: DataFrame, cap: str, rank: str, name: str) -> DataFrame:
     """(cap, version): caps with the same ordered ranking share a version, numbered by first cap."""
     lists = ranked.groupBy(cap).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(rank, name)))), 256).alias("_h"))

@@ -6,12 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import numbered
+
 #: Locality classes by tightness with their caps on layers and radius.
 LOCALITY_CAPS = [("local-2d-single", 1, 4.0), ("local-2d-bilayer", 2, 7.0)]
 UNRESTRICTED = "unrestricted"
 
 
+def _outer(points: DataFrame, group: list[str], id_: str) -> DataFrame:
+    """Points that may end a widest pair of different ids, two ids per place at most, the least ones.
+
+    The widest of the distances between opposite extremes in four directions bounds the diameter from below; a point
+    whose farthest corner of the group's box is nearer than that ends no widest pair. Ids may repeat."""
+    extreme = lambda f, by: f(F.struct("x", "y", F.col(id_).alias("id")), by)
+    axes = {"h": F.col("x"), "v": F.col("y"), "u": F.col("x") + F.col("y"), "w": F.col("x") - F.col("y")}
+    ends = [extreme(f, by).alias(f"{end}_{c}") for c, by in axes.items() for end, f in (("lo", F.min_by), ("hi", F.max_by))]
+    box = points.groupBy(*group).agg(*ends)
+    length = lambda dx, dy: F.sqrt(F.pow(dx, 2) + F.pow(dy, 2))
+    span = lambda c: F.when(F.col(f"hi_{c}.id") != F.col(f"lo_{c}.id"), length(F.col(f"hi_{c}.x") - F.col(f"lo_{c}.x"), F.col(f"hi_{c}.y") - F.col(f"lo_{c}.y")))
+    least = F.greatest(*map(span, axes), F.lit(0.0))
+    box = box.select(*group, least.alias("_least"), F.col("lo_h.x").alias("_x0"), F.col("hi_h.x").alias("_x1"), F.col("lo_v.y").alias("_y0"), F.col("hi_v.y").alias("_y1"))
+    far = length(F.greatest(F.col("x") - F.col("_x0"), F.col("_x1") - F.col("x")), F.greatest(F.col("y") - F.col("_y0"), F.col("_y1") - F.col("y")))
+    kept = points.join(box, group).filter(far >= F.col("_least") * (1 - 1e-9)).select(*group, id_, "x", "y").distinct()
+    place = F.row_number().over(W.partitionBy(*group, "x", "y").orderBy(id_))
+    return kept.withColumn("_place", place).filter("_place <= 2").drop("_place")
+
+
 def _pairs(points: DataFrame, group: list[str], id_: str) -> DataFrame:
+    points = _outer(points, group, id_)
     a = points.select(*group, F.col(id_).alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
     b = points.select(*group, F.col(id_).alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
     met = a.join(b, group).filter("a < b")
@@ -92,4 +114,4 @@ def grid(spark, width: int, height: int, keep: DataFrame | None = None) -> DataF
     if keep is None:
         return points.select(F.col("id").alias("qubit"), "x", "y")
     kept = points.join(keep, "id", "left_semi")
-    return kept.select((F.row_number().over(W.orderBy("id")) - 1).cast("long").alias("qubit"), "x", "y")
+    return numbered(kept, [F.col("id")], "place").select((F.col("place") - 1).cast("long").alias("qubit"), "x", "y")

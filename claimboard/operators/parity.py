@@ -39,16 +39,21 @@ def _ints(pdf, row: str, element: str) -> list[int]:
     return [out[r] for r in sorted(out)]
 
 
+def _insert(basis: dict[int, int], v: int) -> None:
+    """Add a vector to an echelon basis by leading bit."""
+    while v:
+        top = v.bit_length() - 1
+        if top not in basis:
+            basis[top] = v
+            return
+        v ^= basis[top]
+
+
 def _reduce(rows: list[int]) -> dict[int, int]:
     """Echelon basis by leading bit."""
     basis: dict[int, int] = {}
     for v in rows:
-        while v:
-            top = v.bit_length() - 1
-            if top not in basis:
-                basis[top] = v
-                break
-            v ^= basis[top]
+        _insert(basis, v)
     return basis
 
 
@@ -69,19 +74,48 @@ def reduced(rows: list[int]) -> list[int]:
 
 
 def gf2_rank(df: DataFrame, group: list[str], row: str, element: str) -> DataFrame:
-    """(group..., rank): one matrix per group job; element numbers need not be small, rows are sparse integers."""
-    import pandas as pd
+    """(group..., rank). Element numbers need not be small, nor numbers: each group numbers its own.
 
+    Groups stream through their task in order, row by row, so a task holds one group's echelon basis and never its
+    rows. A null element adds nothing to its row; a group of nothing else has rank 0; null groups are a group."""
     ship(df.sparkSession)
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", rank int"
-
-    def run(keys, pdf):
-        local = {e: i for i, e in enumerate(sorted(set(pdf[element].tolist())))}
-        rows = _ints(pdf.assign(**{element: pdf[element].map(local)}), row, element)
-        return pd.DataFrame([[*keys, len(_reduce(rows))]], columns=[*group, "rank"])
-
-    return df.select(*group, row, element).groupBy(*group).applyInPandas(run, schema)
+    width, batch = len(group), 10_000
+
+    def run(batches):
+        import pyarrow as pa
+
+        done: list[tuple] = []
+        at, current, numbers, basis, vector = None, None, {}, {}, 0
+
+        def table(kind):
+            columns = [pa.array([d[i] for d in done], kind.field(i).type) for i in range(width)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([d[width] for d in done], pa.int32())], [*group, "rank"])
+
+        kind = None
+        for b in batches:
+            kind = b.schema
+            for *key, r, e in zip(*(b.column(c).to_pylist() for c in range(width + 2))):
+                if key != at or r != current:
+                    _insert(basis, vector)
+                    vector, current = 0, r
+                    if key != at:
+                        if at is not None:
+                            done.append((*at, len(basis)))
+                        at, numbers, basis = key, {}, {}
+                if e is not None:
+                    vector ^= 1 << numbers.setdefault(e, len(numbers))
+            if len(done) >= batch:
+                yield table(kind)
+                done.clear()
+        if at is not None:
+            _insert(basis, vector)
+            done.append((*at, len(basis)))
+            yield table(kind)
+
+    dealt = df.select(*group, row, element).repartition(*group).sortWithinPartitions(*group, row)
+    return dealt.mapInArrow(run, schema)
 
 
 def in_rowspace(vectors: DataFrame, rows: DataFrame, group: list[str], row: str, element: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import numbered
+
 
 def running_records(df: DataFrame, group: list[str], date: str, metric: str, key: str) -> DataFrame:
     """Rows above 0 and strictly above every earlier one in (date, metric, key) order; null dates and metrics drop.
@@ -33,7 +35,7 @@ def capped_records(df: DataFrame, weight: str, caps: list[int | None], date: str
 def record_events(records: DataFrame, date: str, metric: str, key: str) -> DataFrame:
     """One event per key, its earliest, with its place by (date, metric, key). There are as many as records."""
     one = records.groupBy(key).agg(F.min(F.struct(date, metric)).alias("e")).select(key, f"e.{date}", f"e.{metric}")
-    return one.withColumn("ordinal", F.row_number().over(W.orderBy(date, metric, key)))
+    return numbered(one, [F.col(date), F.col(metric), F.col(key)], "ordinal")
 
 
 def first_per_year(events: DataFrame, date: str) -> DataFrame:

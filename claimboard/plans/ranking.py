@@ -296,8 +296,7 @@ K5_SQL = f"{E_SQL}, {H_SQL}, kr AS (SELECT e.*, handle, cap FROM e JOIN hv USING
 
 
 def _by_cap(spark, sf):
-    capped = contributors.by_cap(written(_credited(spark, sf), "credited"), "w")
-    return contributors.rankings(contributors.credit(capped, ["cap", "handle"]), ["cap"])
+    return contributors.rankings(contributors.credit_by_cap(_credited(spark, sf), "w", ["handle"]), ["cap"])
 
 
 @query("k5_rankings_by_cap", f"WITH {K5_SQL} SELECT cap, handle, eff_rank FROM ko")

@@ -212,7 +212,7 @@ def _(spark, sf):
     lines = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("row"), (F.col("l_partkey") % 4096).cast("int").alias("v"))
     rows = lines.select("key", "row", F.explode(bits).alias("bit"))
     ranks = parity.gf2_rank(rows, ["key"], "row", "bit")
-    return lines.select("key").distinct().join(ranks, "key", "left").select("key", F.coalesce(F.col("rank"), F.lit(0)).cast("long").alias("rank"))
+    return lines.select("key").distinct().join(ranks.hint("merge"), "key", "left").select("key", F.coalesce(F.col("rank"), F.lit(0)).cast("long").alias("rank"))
 
 
 @query("d10_nontrivial", f"WITH {I_SQL}, o AS (SELECT key, check_idx FROM i WHERE side = 'Z' AND qubit % 2 = 0 GROUP BY ALL HAVING count(*) % 2 = 1) SELECT DISTINCT key FROM o")
