@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from claimboard.llm import decontam, mixing, ngram_jaccard, quality, tokenbin
-from claimboard.llm.common import drop_paths, paths_of, table, written_paths
+from claimboard.llm.common import collect_shuffles, drop_paths, paths_of, table, written_paths
 
 #: Tables that stages have left behind for the rows they returned.
 _left: list[str] = []
@@ -24,6 +24,7 @@ def _stage(function):
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         needed = paths_of(docs)
         drop_paths([p for p in _left if p not in needed])
+        collect_shuffles(spark)
         _left[:] = needed
         before = set(written_paths())
         out = function(spark, docs, sf_dir)
@@ -81,6 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = table(docs, f"pipeline-{i}")
+            docs = table(docs, f"pipeline-{i}", collect=True)
             _left.extend(paths_of(docs))
     return docs
