@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from claimboard.functions import tables
 from claimboard.operators import circuits, geometry, graph, normalize, parity, rules, skyline, timeline
 from claimboard.sources import files
 from claimboard.streaming import incremental
@@ -173,3 +174,43 @@ def test_texts_that_name_an_outside_place_may_cite_its_paths(spark):
     rows = [("a", "see `codes/9.json`"), ("b", "from the authors' own repo: `codes/9.json`"), ("c", "at Zenodo, codes/9.json"), ("d", None)]
     df = spark.createDataFrame(rows, "label string, text string")
     assert [r["label"] for r in text.without_external(df).collect()] == ["a"]
+
+
+def test_ranks_of_groups_with_nulls_repeats_and_names_for_elements(spark):
+    rng = random.Random(5)
+    rows = [(g, r, e) for g in [None, 1, 2, 3] for r in range(6) for e in rng.sample("abcdefgh", 3)] + [(1, 0, "a"), (4, 0, None), (5, 0, "a"), (5, 0, "a")]
+
+    def rank(group):
+        span = {frozenset()}
+        for r in {r for g, r, _ in rows if g == group}:
+            v = frozenset()
+            for g, s, e in rows:
+                if g == group and s == r and e is not None:
+                    v ^= {e}
+            span |= {s ^ v for s in span}
+        return len(span).bit_length() - 1
+
+    df = spark.createDataFrame(rows, "g int, r int, e string").repartition(7)
+    assert {(r.g, r["rank"]) for r in parity.gf2_rank(df, ["g"], "r", "e").collect()} == {(g, rank(g)) for g in [None, 1, 2, 3, 4, 5]}
+    assert parity.gf2_rank(df.filter("false"), ["g"], "r", "e").count() == 0
+
+
+def test_widest_pair_with_ties_repeated_ids_and_one_place(spark):
+    rng = random.Random(6)
+    points = [(g, rng.randrange(12), float(rng.randrange(6)), float(rng.randrange(6))) for g in range(30) for _ in range(rng.randrange(1, 14))]
+    points += [(90, i, 1.0, 2.0) for i in (3, 1, 2)]
+    expected = {}
+    for g in {p[0] for p in points}:
+        pairs = [(-((x - u) ** 2 + (y - v) ** 2), a, b) for h, a, x, y in points if h == g for k, b, u, v in points if k == g and a < b]
+        if pairs:
+            expected[g] = min(pairs)[1:]
+    df = spark.createDataFrame(points, "g int, id int, x double, y double")
+    assert {r.g: (r.a, r.b) for r in geometry.widest_pair(df, ["g"], "id").collect()} == expected
+    assert {r.g for r in geometry.group_diameter(df, ["g"], "id").collect()} == {p[0] for p in points}
+
+
+def test_places_over_ranges(spark):
+    rows = [(i * 7 % 101, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "v int, key int").repartition(5)
+    got = {r.key: r.place for r in tables.numbered(df, [F.desc("v"), F.asc("key")], "place").collect()}
+    assert got == {key: i + 1 for i, (_, key) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))}
