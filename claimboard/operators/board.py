@@ -8,9 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scoring
+from .normalize import ensemble_text
+
 _TERM = re.compile(r"^(n|k|d|w|eff|g)(>=|<=|>|<|=)(-?[0-9.]+)$")
 
 
+def build_entries(docs: DataFrame, reports: DataFrame, earned: DataFrame, measured: DataFrame, certs: DataFrame, notes: DataFrame, key: str = "key") -> DataFrame:
+    """The board's table: one row for each document that passes all rules and has an earned distance.
+
+    docs: (key, name, n, k, family, origin, novelty, authors array, model, date, construction, contributed_by); reports:
+    (key, ok); earned: (key, d, x, z); measured: (key, w, locality_class, layers, radius), layers and radius null without
+    a layout; certs: (key, certified, cert_d, cert_x, cert_z); notes: (key, note). One row per key in each. Absent
+    fields get their defaults; a certificate that contradicts the distance earns nothing."""
+    kept = docs.join(reports.filter("ok").select(key), key, "left_semi").join(earned.filter("d IS NOT NULL").select(key, "d", "x", "z"), key)
+    full = kept.join(measured.select(key, "w", "locality_class", "layers", "radius"), key, "left").join(certs.select(key, "certified", "cert_d", "cert_x", "cert_z"), key, "left").join(notes.select(key, "note"), key, "left")
+    c, text = F.col, lambda name, default="": F.coalesce(F.col(name), F.lit(default)).alias(name)
+    laid_out = c("radius") > 0
+    return full.select(
+        key, "name", "n", "k", "d", scoring.efficiency(c("n"), c("k"), c("d")).alias("eff"),
+        scoring.tier(c("certified"), c("cert_d"), c("d"), c("cert_x"), c("x"), c("cert_z"), c("z")).alias("tier"),
+        F.round(scoring.geometric_score(c("n"), c("k"), c("d"), c("layers"), c("radius")), 4).alias("geo"),
+        F.when(laid_out, F.round("radius", 4)).alias("geo_r"), F.when(laid_out, F.coalesce("layers", F.lit(1))).alias("geo_rho"),
+        "w", text("family", "other"), text("locality_class", "unrestricted"), F.coalesce(scoring.weight_class(c("w")), F.lit(scoring.WEIGHT_ORDER[-1])).alias("weight_class"),
+        text("origin", "submission"), text("novelty", "unknown"), F.array_join("authors", ", ").alias("authors"), c("authors").alias("authors_list"),
+        "contributed_by", ensemble_text(c("model")).alias("model"), text("date"), text("construction"), "note",
+    )
+
+
 def board_filter(terms: list[str], columns: dict[str, str] | None = None, haystack: str | None = None, cells: str = "cells", record: str = "record") -> Column:
     """Condition that all terms hold: comparisons such as `n<=72`, `record`, `cell:NAME`, or free text found in the
     haystack column. A null value matches no comparison."""

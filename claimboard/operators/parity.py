@@ -166,7 +166,7 @@ def gf2_fingerprint(df: DataFrame, group: list[str], side: str, row: str, elemen
 def logical_dimension(ranks: DataFrame, sizes: DataFrame, key: str, side: str = "side") -> DataFrame:
     """(key, k): size minus the ranks of both sides; a missing side has rank 0."""
     total = ranks.groupBy(key).agg(F.sum("rank").alias("_ranks"))
-    return sizes.join(total, key, "left").select(key, (F.col("n") - F.coalesce("_ranks", F.lit(0))).cast("int").alias("k"))
+    return sizes.join(total.hint("merge"), key, "left").select(key, (F.col("n") - F.coalesce("_ranks", F.lit(0))).cast("int").alias("k"))
 
 
 def validate_witness(witness: DataFrame, rows: DataFrame, claims: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def validate_witness(witness: DataFrame, rows: DataFrame, claims: DataFrame) ->
     odd = syndrome(other, rows, ["key", "side", "qubit"], ["key", "side", "check_idx"])
     odd = odd.select("key", F.when(F.col("side") == "X", "Z").otherwise("X").alias("side")).distinct().withColumn("odd", F.lit(True))
     inside = in_rowspace(v, rows, ["key", "side"], "check_idx", "qubit")
-    out = claims.join(weight, ["key", "side"], "left").join(odd, ["key", "side"], "left").join(inside, ["key", "side"], "left")
+    out = claims.join(weight, ["key", "side"], "left").join(odd, ["key", "side"], "left").join(inside.hint("merge"), ["key", "side"], "left")
     out = out.select(
         "key", "side", F.coalesce(F.col("weight") == F.col("value"), F.lit(False)).alias("weight_ok"),
         (F.col("weight").isNotNull() & F.col("odd").isNull()).alias("commutes"), F.coalesce(~F.col("inside"), F.lit(False)).alias("nontrivial"),
@@ -193,7 +193,18 @@ def independent_modulo(vectors: DataFrame, rows: DataFrame, group: list[str], ro
     both = gf2_rank(tagged, group, row, element).withColumnRenamed("rank", "both")
     own = gf2_rank(rows, group, row, element)
     count = vectors.groupBy(*group).agg(F.countDistinct(row).alias("added"))
-    return count.join(both, group).join(own, group, "left").select(*group, (F.col("both") == F.coalesce("rank", F.lit(0)) + F.col("added")).alias("independent"))
+    return count.join(both.hint("merge"), group).join(own.hint("merge"), group, "left").select(*group, (F.col("both") == F.coalesce("rank", F.lit(0)) + F.col("added")).alias("independent"))
+
+
+def _kernel(rows: list[int], n: int) -> list[int]:
+    """Basis of the vectors of n bits with even overlap with every row, one per free bit."""
+    rows = reduced(rows)
+    lead = {(r & -r).bit_length() - 1: r for r in rows}
+    return [1 << f | sum(1 << p for p, r in lead.items() if r >> f & 1) for f in range(n) if f not in lead]
+
+
+def _members(v: int) -> list[int]:
+    return [j for j in range(v.bit_length()) if v >> j & 1]
 
 
 def kernel_basis(df: DataFrame, group: list[str], row: str, element: str, size: str) -> DataFrame:
@@ -205,16 +216,36 @@ def kernel_basis(df: DataFrame, group: list[str], row: str, element: str, size:
     schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + f", basis_idx int, {element} int"
 
     def run(keys, pdf):
-        n = int(pdf[size].iloc[0])
-        rows = reduced(_ints(pdf, row, element))
-        lead = [(r & -r).bit_length() - 1 for r in rows]
-        free = [j for j in range(n) if j not in set(lead)]
-        out = [[*keys, i, j] for i, f in enumerate(free) for j in sorted([f, *(p for p, r in zip(lead, rows) if r >> f & 1)])]
-        return pd.DataFrame(out, columns=[*group, "basis_idx", element])
+        kernel = _kernel(_ints(pdf, row, element), int(pdf[size].iloc[0]))
+        return pd.DataFrame([[*keys, i, j] for i, v in enumerate(kernel) for j in _members(v)], columns=[*group, "basis_idx", element])
 
     return df.select(*group, row, element, size).groupBy(*group).applyInPandas(run, schema)
 
 
+def logical_basis(df: DataFrame, group: list[str], side: str, row: str, element: str, size: str, sides: tuple[str, str] = ("X", "Z")) -> DataFrame:
+    """(group..., basis_idx, element): representatives of the second side: vectors that overlap every row of the first
+    side evenly, of which no sum is a sum of the second side's rows. As many as n less both ranks if the sides commute.
+
+    A group is one document's incidence, whose number of elements `size` is bounded by the resource rules."""
+    import pandas as pd
+
+    ship(df.sparkSession)
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + f", basis_idx int, {element} int"
+
+    def run(keys, pdf):
+        first, second = (_ints(pdf[pdf[side] == s], row, element) for s in sides)
+        known, kept = _reduce(second), []
+        for v in _kernel(first, int(pdf[size].iloc[0])):
+            before = len(known)
+            _insert(known, v)
+            if len(known) > before:
+                kept.append(v)
+        return pd.DataFrame([[*keys, i, j] for i, v in enumerate(kept) for j in _members(v)], columns=[*group, "basis_idx", element])
+
+    return df.select(*group, side, row, element, size).groupBy(*group).applyInPandas(run, schema)
+
+
 def self_dual(df: DataFrame, key: str) -> DataFrame:
     """(key, self_dual): whether both sides have the same multiset of supports."""
     supports = df.groupBy(key, "side", "check_idx").agg(F.sort_array(F.collect_list("qubit")).alias("s"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .geometry import group_diameter
+
 #: Vocabularies and limits of a submission.
 FAMILIES = [
     "bivariate-bicycle", "generalized-bicycle", "2bga-coset", "hypergraph-product", "lifted-product", "balanced-product",
@@ -26,9 +28,23 @@ def missing_fields(required: list[str]) -> Column:
     return F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required)))
 
 
+def _version(text: Column) -> Column:
+    """Numbers between a version's dots, which compare in order; a part that is no number counts as null, the least."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "[.]"), lambda p: p.try_cast("int"))
+
+
 def gated(block: Column, version: Column, least: str) -> Column:
     """A message when a block occurs in a document older than the version that introduced it."""
-    return F.when(block.isNotNull() & (F.coalesce(version, F.lit("")) < least), F.lit(f"block needs version {least}"))
+    return F.when(block.isNotNull() & (_version(version) < _version(F.lit(least))), F.lit(f"block needs version {least}"))
+
+
+def document_shape(docs: DataFrame, required: list[str], nested: dict[str, list[str]], gates: dict[str, str], version: str = "schema_version", key: str = "key") -> DataFrame:
+    """Rule rows: all required fields are there, and so are the members that each nested block must have where the
+    block itself is there, and no block is newer than the document's version. A null field counts as absent."""
+    inside = [F.when(F.col(b).isNotNull() & F.col(f"{b}.{m}").isNull(), F.lit(f"missing {b}.{m}")) for b, members in nested.items() for m in members]
+    newer = [F.when(gated(F.col(b), F.col(version), least).isNotNull(), F.lit(f"{b} needs version {least}")) for b, least in gates.items()]
+    messages = F.concat(missing_fields(required), F.array_compact(F.array(*inside, *newer, F.lit(None).cast("string"))))
+    return rule(docs, "structure", F.size(messages) == 0, F.array_join(messages, "; "), 0, key)
 
 
 def over_caps(n: Column, x: Column, z: Column, coordinates: Column) -> Column:
@@ -57,6 +73,27 @@ def repeated_members(rows: DataFrame, key: str, row: str, element: str, shown: i
     return rule(bad, "no_repeats", F.size("bad") == 0, F.array_join(F.col("bad").cast("array<string>"), ","), 2, key)
 
 
+def claimed_dimension(claims: DataFrame, computed: DataFrame, key: str = "key") -> DataFrame:
+    """The claimed k is the computed one and at least 1; both tables: (key, k). A key without a computed k fails."""
+    both = claims.select(key, "k").join(computed.select(key, F.col("k").alias("_found")).hint("merge"), key, "left")
+    detail = F.concat(F.lit("claimed "), F.coalesce(F.col("k").cast("string"), F.lit("none")), F.lit(", computed "), F.coalesce(F.col("_found").cast("string"), F.lit("none")))
+    return rule(both, "logical_dimension", (F.col("k") == F.col("_found")) & (F.col("_found") >= 1), detail, 3, key)
+
+
+def layout_claims(layouts: DataFrame, points: DataFrame, checks: DataFrame, key: str = "key") -> DataFrame:
+    """A layout has one coordinate for each of n elements; if it has, and claims a radius, no two elements of a check
+    are farther apart than that. layouts: (key, n, radius), a row for each document with a layout; points: (key,
+    qubit, x, y); checks: (key, side, check_idx, qubit). Without checks the radius is 0."""
+    given = points.groupBy(key).agg(F.count("*").alias("_given"))
+    sized = layouts.join(given, key, "left").withColumn("_given", F.coalesce("_given", F.lit(0)))
+    cover = rule(sized, "coordinates_cover", F.col("_given") == F.col("n"), F.concat(F.col("_given").cast("string"), F.lit(" coordinates")), 4, key)
+    placed = checks.select(key, "side", "check_idx", "qubit").join(points, [key, "qubit"])
+    reach = group_diameter(placed, [key, "side", "check_idx"], "qubit").groupBy(key).agg(F.max("diameter").alias("_reach"))
+    claimed = sized.filter("_given = n AND radius IS NOT NULL").join(reach, key, "left").withColumn("_reach", F.coalesce("_reach", F.lit(0.0)))
+    within = rule(claimed, "radius_within_claim", F.col("_reach") <= F.col("radius") + 1e-9, F.concat(F.lit("measured "), F.col("_reach").cast("string")), 4, key)
+    return cover.unionByName(within)
+
+
 def vocabulary(value: Column, known: list[str], open_tag: bool) -> Column:
     """A known word, or a well-formed new tag where the vocabulary is open."""
     listed = value.isin(known)

@@ -24,18 +24,24 @@ def _stem(column: str = "_metadata.file_name"):
     return F.regexp_replace(F.col(column), "\\.[^.]*$", "")
 
 
-def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON document: key, all fields, `problem` (null if the document may be used).
-
-    Oversized files and malformed documents are rows with a problem and without fields."""
-    raw = spark.read.schema(SUBMISSION + ", _corrupt string").options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", pathGlobFilter="*.json").json(path)
-    raw = raw.select("*", _stem().alias("key"), F.col("_metadata.file_size").alias("_size"))
+def judged(raw: DataFrame) -> DataFrame:
+    """Documents as read with `_corrupt`, with their key and `problem` (null if the document may be used)."""
     empty = F.col("n").isNull() & F.col("checks").isNull() & F.col("name").isNull()
-    problem = (
-        F.when(~F.col("key").rlike(KEY), F.lit("unsafe key")).when(F.col("_size") > MOST_BYTES, F.lit("file too large"))
-        .when(F.col("_corrupt").isNotNull() | empty, F.lit("malformed document"))
-    )
-    return raw.withColumn("problem", problem).drop("_corrupt", "_size")
+    problem = F.when(~F.col("key").rlike(KEY), F.lit("unsafe key")).when(F.col("_corrupt").isNotNull() | empty, F.lit("malformed document"))
+    return raw.select("*", _stem().alias("key")).withColumn("problem", problem).drop("_corrupt")
+
+
+def read_submissions(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """One row per JSON document: all fields, key, `problem` (null if the document may be used).
+
+    Malformed documents are rows with a problem and without fields. So are files over `most_bytes`, which are left out
+    of the listing by their size and never opened."""
+    options = {"multiLine": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    raw = spark.read.schema(SUBMISSION + ", _corrupt string").options(**options, pathGlobFilter="*.json").json(path).filter(F.col("_metadata.file_size") <= most_bytes)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).filter(F.col("length") > most_bytes)
+    key = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "[.][^.]*$", "").alias("key")
+    large = listed.select(key).withColumn("problem", F.when(~F.col("key").rlike(KEY), F.lit("unsafe key")).otherwise(F.lit("file too large")))
+    return judged(raw).unionByName(large, allowMissingColumns=True)
 
 
 def split_quarantine(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

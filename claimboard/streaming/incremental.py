@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ledger import merge_leaderboard
-from ..sources.files import SUBMISSION, read_submissions, resume_state
+from ..sources.files import KEY, MOST_BYTES, SUBMISSION, judged, read_submissions, resume_state
 
 
 def upsert_leaderboard(stream: DataFrame, path: str, checkpoint: str, fingerprint: str, order: list[Column]) -> StreamingQuery:
@@ -30,13 +30,9 @@ def running_lightest(stream: DataFrame, keys: list[str], weight: str, tie: str)
 
 def intake(spark: SparkSession, path: str) -> DataFrame:
     """Stream of submission documents with the same `problem` column as the batch reader."""
-    from ..sources.files import KEY, MOST_BYTES, _stem
-
     raw = spark.readStream.schema(SUBMISSION + ", _corrupt string").options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", pathGlobFilter="*.json").json(path)
-    raw = raw.select("*", _stem().alias("key"), F.col("_metadata.file_size").alias("_size"))
-    empty = F.col("n").isNull() & F.col("checks").isNull() & F.col("name").isNull()
-    problem = F.when(~F.col("key").rlike(KEY), F.lit("unsafe key")).when(F.col("_size") > MOST_BYTES, F.lit("file too large")).when(F.col("_corrupt").isNotNull() | empty, F.lit("malformed document"))
-    return raw.withColumn("problem", problem).drop("_corrupt", "_size")
+    large = F.col("_metadata.file_size") > MOST_BYTES
+    return judged(raw.withColumn("_large", large)).withColumn("problem", F.when(F.col("_large") & F.col("key").rlike(KEY), F.lit("file too large")).otherwise(F.col("problem"))).drop("_large")
 
 
 __all__ = ["intake", "read_submissions", "running_lightest", "upsert_leaderboard"]

@@ -214,3 +214,64 @@ def test_places_over_ranges(spark):
     df = spark.createDataFrame(rows, "v int, key int").repartition(5)
     got = {r.key: r.place for r in tables.numbered(df, [F.desc("v"), F.asc("key")], "place").collect()}
     assert got == {key: i + 1 for i, (_, key) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))}
+
+
+def test_oversized_files_are_reported_and_not_opened(spark, folder):
+    (folder / "large.json").write_text("{ not json" + " " * 3000)
+    (folder / "Large_Key.json").write_text(" " * 3000)
+    docs = files.read_submissions(spark, str(folder), 2000)
+    good, bad = files.split_quarantine(docs)
+    assert {r["key"]: r["problem"] for r in bad.collect()} == {"broken": "malformed document", "Bad_Key": "unsafe key", "large": "file too large", "Large_Key": "unsafe key"}
+    assert {r["key"] for r in good.collect()} == {"7-1-3", "light", "row"}
+
+
+def test_certificates_that_cannot_be_read_are_absent(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"name": "a", "d": 3, "solver": "s", "sides": {}, "d_exact": True}))
+    (tmp_path / "b.json").write_text("{ not json")
+    (tmp_path / "c.json").write_text("{}")
+    assert [(r["key"], r["d"], r["d_exact"]) for r in files.read_certs(spark, str(tmp_path)).collect()] == [("a", 3, True)]
+
+
+def test_shape_of_documents_and_versions(spark):
+    rows = [("a", "0.1", "x", (1,)), ("b", "0.2", None, (None,)), ("c", "0.10", "x", (1,)), ("d", None, "x", None), ("e", "draft", "x", (1,))]
+    docs = spark.createDataFrame(rows, "key string, schema_version string, name string, circuit struct<rounds:int>")
+    out = {r["key"]: (r["ok"], r["detail"]) for r in rules.document_shape(docs, ["schema_version", "name"], {"circuit": ["rounds"]}, {"circuit": "0.2"}).collect()}
+    newer = "circuit needs version 0.2"
+    assert out == {"a": (False, newer), "b": (False, "missing name; missing circuit.rounds"), "c": (True, ""), "d": (False, "missing schema_version"), "e": (False, newer)}
+
+
+def test_claimed_dimension(spark):
+    claims = spark.createDataFrame([("a", 1), ("b", 2), ("c", 0), ("d", 1), ("e", None)], "key string, k int")
+    computed = spark.createDataFrame([("a", 1), ("b", 1), ("c", 0), ("e", 1)], "key string, k int")
+    out = {r["key"]: r["ok"] for r in rules.claimed_dimension(claims, computed).collect()}
+    assert out == {"a": True, "b": False, "c": False, "d": False, "e": False}
+
+
+def test_layouts_cover_all_and_stay_within_their_radius(spark):
+    layouts = spark.createDataFrame([("a", 2, 5.0), ("b", 2, 4.9), ("c", 3, 9.0), ("d", 2, None), ("e", 1, 0.0), ("f", 1, 0.0)], "key string, n int, radius double")
+    points = spark.createDataFrame([(k, q, 3.0 * q, 4.0 * q) for k in "abcd" for q in (0, 1)] + [("e", 0, 0.0, 0.0)], "key string, qubit int, x double, y double")
+    checks = spark.createDataFrame([(k, "X", 0, q) for k in "abcd" for q in (0, 1)], "key string, side string, check_idx int, qubit int")
+    out = {(r["key"], r["check"]): r["ok"] for r in rules.layout_claims(layouts, points, checks).collect()}
+    cover, within = "coordinates_cover", "radius_within_claim"
+    assert out == {("a", cover): True, ("a", within): True, ("b", cover): True, ("b", within): False, ("c", cover): False, ("d", cover): True, ("e", cover): True, ("e", within): True, ("f", cover): False}
+
+
+def test_logical_representatives(spark):
+    rows = [("a", s, i, q, 7) for s in "XZ" for i, f in enumerate(FACES) for q in f] + [("x", "X", 0, 0, 2), ("z", "Z", 0, 0, 2)]
+    df = spark.createDataFrame(rows, "key string, side string, check_idx int, qubit int, n int")
+    found = {}
+    for r in parity.logical_basis(df, ["key"], "side", "check_idx", "qubit", "n").collect():
+        found.setdefault(r["key"], {}).setdefault(r["basis_idx"], set()).add(r["qubit"])
+    assert len(found["a"]) == 1 and all(len(v & set(f)) % 2 == 0 for v in found["a"].values() for f in FACES) and len(found["a"][0]) % 2 == 1
+    assert found["x"] == {0: {1}} and found["z"] == {0: {1}}
+
+
+def test_observables_hold(spark):
+    checks = spark.createDataFrame([(f, i, q) for f in "abcdef" for i, face in enumerate(FACES) for q in face], "file string, check_idx int, qubit int")
+    finals = spark.createDataFrame([(f, r, r - 10) for f in "abcdef" for r in range(10, 17)], "file string, record int, qubit int")
+    every = list(range(10, 17))
+    taken = {"a": (0, every), "b": (0, [10]), "c": (0, [13, 14, 15, 16]), "d": (1, every), "e": (0, [*every, 3])}
+    obs = spark.createDataFrame([(f, j, r) for f, (j, rs) in taken.items() for r in rs], "file string, obs int, record int")
+    sizes = spark.createDataFrame([(f, 1) for f in "abcdef"], "file string, k int")
+    out = {r["file"]: r["ok"] for r in circuits.observables_hold(obs, finals, checks, checks, sizes).collect()}
+    assert out == {"a": True, "b": False, "c": False, "d": False, "e": False, "f": False}
