@@ -284,6 +284,47 @@ def test_toxicity_and_neutral_mentions(spark):
     assert toxicity.score_text("vile", none) == 0
 
 
+def test_counterfactuals_equal_swapped_texts():
+    for text in ["the muslim family and a musli bar", "die frauen und die frau", "los judíos y los ateos", "nobody is named", ""]:
+        words = toxicity.words_in(text)
+        want = []
+        for language, groups in toxicity.IDENTITY.items():
+            for terms in groups.values():
+                for a in [t for t in terms if t in words]:
+                    for b in [*terms, toxicity.NEUTRAL[language]]:
+                        if b != a:
+                            now = toxicity.features_in(" ".join(b if w == a else w for w in text.split()))
+                            want.append((sorted(toxicity.features_in(text) - now), sorted(now - toxicity.features_in(text))))
+        every = toxicity.features_in(text).union(*(set(b) for _, b in want))
+        assert toxicity.swaps(words, every) == sorted(want)
+    assert ("musl*" in toxicity.swaps(toxicity.words_in("muslim"), {"musl*"})[0][0]) and not any("musl*" in a for a, _ in toxicity.swaps({"muslim", "musli"}, {"musl*"}))
+
+
+@pytest.mark.parametrize("term, neutral", [("muslime", "menschen"), ("musulmanes", "personas"), ("musulmans", "personnes")])
+def test_group_mentions_in_other_languages_move_scores_less(spark, term, neutral):
+    rng = random.Random(9)
+    rows, marks = [], []
+    for i in range(300):
+        bad = i % 2
+        ws = [word(rng) for _ in range(20)] + (["vile"] if bad and i % 4 == 1 else []) + ([term] if rng.random() < (0.6 if bad else 0.05) else [])
+        rows.append((i, " ".join(ws), "en", "s", 0))
+        marks.append((i, 1, bad))
+    rows, marks = [*rows, (900, rows[0][1], "en", "s", 0), (None, "vile", None, None, 0), (901, None, None, None, 0)], [*marks, (900, 1, 1), (901, 1, 0)]
+    df, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model, loose = toxicity.learn(df, labels), toxicity.learn(df, labels, swap_weight=0.0)
+    groups = [g for language in toxicity.IDENTITY.values() for g in language.values()]
+    named = sum(len(g) for r in rows[:300] for g in groups for t in g if t in r[1].split())
+    assert model["copies"] == loose["copies"] == named > 0
+    moved = lambda m: abs(toxicity.score_text(f"x {term} y", m) - toxicity.score_text(f"x {neutral} y", m))
+    assert moved(model) < 0.5 * moved(loose)
+    again = toxicity.learn(df.repartition(5), labels)
+    assert again["index"] == model["index"] and again["weights"] == model["weights"]
+    for r in toxicity.score(df.withColumn("toxic", F.lit(1)).withColumn("score", F.lit("x")), model).collect():
+        text = {row[0]: row[1] for row in rows}[r["doc_id"]]
+        z = model["bias"] + sum(model["weights"][model["index"][f]] for f in toxicity.features_in(text) if f in model["index"])
+        assert abs(r["score"] - 1 / (1 + 2.718281828459045 ** -z)) < 1e-9 and r["predicted"] == int(r["score"] >= 0.7)
+
+
 # ---- operator 6
 
 
