@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import drop, ship, table
 
 #: Bytes of context, at most 6: a byte and its context are a non-negative long.
-ORDER = 6
+ORDER = 5
 #: Bytes of normalised text in a block, which bounds what its lookup may hold.
 BLOCK_BYTES = 1 << 25
 #: Bytes whose windows are sorted or looked up at once.
@@ -352,7 +352,7 @@ def score(docs: DataFrame, train=None, block_bytes: int = BLOCK_BYTES) -> DataFr
     gathered = table(rows.mapInArrow(_gather(block_bytes), GATHERED), "ppm-gathered")
     asked = gathered.where("kind = 1").select("block", "win", "n")
     asked_words = gathered.where("kind = 2").select("block", "word", "n")
-    windows = table(asked.groupBy("win").agg(F.sum("n").alias("n")), "ppm-windows")
+    windows = table(asked.groupBy("win").agg(F.sum("n").alias("n")), "ppm-windows", collect=True)
     words = table(asked_words.groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
     totals = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("different")).first()
     low = windows.where("n > 0").groupBy(F.col("win").bitwiseAND(65535).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toPandas()  # at most 65,536 rows
