@@ -9,9 +9,9 @@ times with D different bytes, a byte seen c times has probability (2c - 1) / 2T
 what is excluded; where all is excluded the escape is free. Below the empty context all 256 bytes are equally likely.
 A text's score is the log10 of the product over its bytes: a pretrained code length.
 
-One Python pass deals the texts to blocks of about BLOCK_BYTES and writes, beside each block's texts, its distinct
-windows (ORDER bytes and the byte that follows) and words with their counts in training texts. Spark sums the counts
-over all blocks. The trie is cut by the last two bytes of the context: all that a window's escapes meet below the
+One Python pass deals the texts to blocks of about BLOCK_BYTES and writes, beside each block's texts (as numbers of its
+words), its distinct windows (ORDER bytes and the byte that follows) and words with their counts in training texts.
+Spark sums the counts over all blocks. The trie is cut by the last two bytes of the context: all that a window's escapes meet below the
 second order lies in one shard, and the counts of the first order are at most 65,536 numbers that every task gets. Each
 shard yields its windows' log-probabilities, which are joined back to the blocks that asked for them; a block is then
 scored with its own windows only. No task holds the whole trie, and no part of it is dropped.
@@ -33,11 +33,11 @@ ORDER = 5
 #: Bytes of normalised text in a block, which bounds what its lookup may hold.
 BLOCK_BYTES = 1 << 25
 #: Bytes whose windows are sorted or looked up at once.
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 21
 SPACE, END = 32, 10
 _NORMAL = bytes(SPACE if b in b" \t\n\x0b\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-GATHERED = "kind int, block long, doc_id long, held_out boolean, seq binary, word binary, win long, n long"
+GATHERED = "kind int, block long, doc_id long, held_out boolean, slots array<int>, slot int, word binary, win long, n long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -112,49 +112,75 @@ def _summed(keys, counts):
 
 
 class _Block:
-    """Distinct windows and words of the texts gathered so far, with their counts in training texts."""
+    """Texts gathered so far as word numbers, and their distinct windows and words with counts in training texts."""
 
     def __init__(self):
-        self.windows, self.words, self.size, self.ends = [], [], 0, 0
+        self.size, self.ends, self.docs, self.windows, self.names, self.slots, self.trained = 0, 0, [], [], [], [], []
 
-    def add(self, seqs: list[bytes], held: list[bool]) -> None:
+    def add(self, ids: list, held: list[bool], texts: list[bytes]) -> None:
         import numpy as np
-        import pyarrow as pa
 
+        seqs = normal(texts)
         self.size += sum(map(len, seqs))
         self.ends += held.count(False)
         for flag in (False, True):
-            for some in _steps([s for s, h in zip(seqs, held) if h == flag], len, STEP_BYTES):
+            if some := [s for s, h in zip(seqs, held) if h == flag]:
                 win, own, _ = windows_of(some)
                 win = np.sort(win[own])
                 first = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1]]))
-                n = np.diff(np.concatenate([first, [len(win)]])) if not flag else np.zeros(len(first), np.int64)
-                self.windows.append((win[first], n))
-                words = words_in(b"".join(some))
-                self.words.append(pa.table({"word": words, "n": pa.array(np.full(len(words), int(not flag), np.int64))}).group_by("word").aggregate([("n", "sum")]))
-        if sum(len(w) for w, _ in self.windows[1:]) > 4 * STEP_BYTES:
+                self.windows.append((win[first], np.zeros(len(first), np.int64) if flag else np.diff(np.concatenate([first, [len(win)]]))))
+        if sum(len(w) for w, _ in self.windows) > 2 * len(self.windows[0][0]) + STEP_BYTES:
             self.fold()
-
-    def fold(self):
+        words = words_in(b"".join(seqs)).dictionary_encode()
+        lengths = np.array([s.count(b" ") for s in seqs])
+        self.docs.append((ids, held, lengths))
+        self.names.append(words.dictionary)
+        self.slots.append(words.indices.to_numpy())
+        self.trained.append(np.repeat(~np.array(held, bool), lengths))
+
+    def fold(self) -> None:
         import numpy as np
-        import pyarrow as pa
 
-        self.windows = [_summed(np.concatenate([w for w, _ in self.windows]), np.concatenate([n for _, n in self.windows]))] if self.windows else []
-        self.words = [pa.concat_tables([t.rename_columns(["word", "n"]) for t in self.words]).group_by("word").aggregate([("n", "sum")])] if self.words else []
+        self.windows = [_summed(np.concatenate([w for w, _ in self.windows]), np.concatenate([n for _, n in self.windows]))]
 
+    def rows(self, at: int):
+        """The block's rows: its documents, windows and words. Frequent words have the smaller numbers."""
+        import numpy as np
+        import pyarrow as pa
 
-def _rows(block: int, kind: int, **columns):
+        if not self.docs:
+            return
+        self.fold()
+        (wins, n), = self.windows
+        every = pa.chunked_array(self.names).combine_chunks().dictionary_encode()
+        bases, places = np.cumsum([0, *map(len, self.names)]), every.indices.to_numpy()
+        slots = [places[b + x] for b, x in zip(bases, self.slots)]
+        all_slots = np.concatenate(slots)
+        uses = np.bincount(all_slots, minlength=len(every.dictionary))
+        order = np.argsort(-uses, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        for (ids, held, lengths), x in zip(self.docs, slots):
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(rank[x]))
+            yield _rows(at, 0, len(ids), doc_id=ids, held_out=held, slots=lists)
+        for i in range(0, len(wins), 1 << 18):
+            yield _rows(at, 1, len(wins[i : i + (1 << 18)]), win=wins[i : i + (1 << 18)], n=n[i : i + (1 << 18)])
+        trained = np.bincount(all_slots, np.concatenate(self.trained), len(order)).astype(np.int64)[order]
+        yield _rows(at, 2, len(order), slot=np.arange(len(order)), word=every.dictionary.take(pa.array(order)), n=trained)
+        yield _rows(at, 2, 1, slot=[-1], word=[bytes([END])], n=[self.ends])
+
+
+def _rows(block: int, kind: int, size: int, **columns):
     import numpy as np
     import pyarrow as pa
 
-    types = {"kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "seq": pa.binary(), "word": pa.binary(), "win": pa.int64(), "n": pa.int64()}
-    n = len(next(iter(columns.values())))
-    columns |= {"kind": np.full(n, kind), "block": np.full(n, block)}
+    types = {"kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "slots": pa.list_(pa.int32()), "slot": pa.int32(), "word": pa.binary(), "win": pa.int64(), "n": pa.int64()}
+    columns |= {"kind": np.full(size, kind), "block": np.full(size, block)}
 
     def made(c, t):
         if c not in columns:
-            return pa.nulls(n, t)
-        return columns[c].cast(t) if isinstance(columns[c], (pa.Array, pa.ChunkedArray)) else pa.array(columns[c], t)
+            return pa.nulls(size, t)
+        return columns[c].cast(t) if isinstance(columns[c], pa.Array) else pa.array(columns[c], t)
 
     return pa.RecordBatch.from_arrays([made(c, t) for c, t in types.items()], list(types))
 
@@ -165,28 +191,14 @@ def _gather(block_bytes: int):
         from pyspark import TaskContext
 
         part, number, block = TaskContext.get().partitionId(), 0, _Block()
-
-        def close(at):
-            block.fold()
-            for w, n in block.windows:
-                for i in range(0, len(w), 1 << 18):
-                    yield _rows(at, 1, win=w[i : i + (1 << 18)], n=n[i : i + (1 << 18)])
-            for t in block.words:
-                yield _rows(at, 2, word=t.column("word").combine_chunks(), n=t.column("n_sum").combine_chunks())
-            if block.size:
-                yield _rows(at, 2, word=[bytes([END])], n=[block.ends])
-
         for b in batches:
             rows = list(zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist()))
             for some in _steps(rows, lambda r: len(r[2] or b""), STEP_BYTES):
-                seqs, held = normal([r[2] or b"" for r in some]), [r[1] for r in some]
-                at = part << 32 | number
-                yield _rows(at, 0, doc_id=[r[0] for r in some], held_out=held, seq=seqs)
-                block.add(seqs, held)
+                block.add([r[0] for r in some], [r[1] for r in some], [r[2] or b"" for r in some])
                 if block.size >= block_bytes:
-                    yield from close(at)
+                    yield from block.rows(part << 32 | number)
                     number, block = number + 1, _Block()
-        yield from close(part << 32 | number)
+        yield from block.rows(part << 32 | number)
 
     return run
 
@@ -314,30 +326,32 @@ def _score(total: int, different: int):
 
         is_win = pc.is_valid(known.column("win"))
         wins = known.filter(is_win)
-        keys, lp = wins.column("win").combine_chunks().to_numpy(), wins.column("value").combine_chunks().to_numpy()
-        look = Lookup(keys)
+        look, lp = Lookup(wins.column("win").combine_chunks().to_numpy()), wins.column("value").combine_chunks().to_numpy()
         words = known.filter(pc.invert(is_win))
-        names, counts = words.column("word").combine_chunks().cast(pa.large_binary()), words.column("value").combine_chunks().to_numpy()
+        words = words.take(pc.sort_indices(words, [("slot", "ascending")]))  # the end is the first
+        counts = words.column("value").to_numpy()
         logs = np.log10((counts + 1) / (total + different + 1))
-        end = pc.index(names, pa.scalar(bytes([END]), pa.large_binary())).as_py()
-        seqs = docs.column("seq").to_pylist()
-        n_tokens, n_known, base, score = [], [], [], []
-        for some in _steps(seqs, len, STEP_BYTES):
-            win, own, starts = windows_of(some)
-            value = np.zeros(len(win))
-            value[own] = lp[look.find(win[own])]
-            score.append(np.add.reduceat(value, starts))
-            at = pc.index_in(words_in(b"".join(some)), value_set=names).to_numpy()
-            each = np.array([s.count(b" ") for s in some])
-            stop = np.cumsum(each)
-            add = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[np.concatenate([[0], stop])])
-            n_tokens.append(each + 1)
-            n_known.append(add(counts[at] > 0) + int(counts[end] > 0))
-            base.append(add(logs[at]) + logs[end])
-        join = lambda v, t: pa.array(np.concatenate(v), t) if v else pa.array([], t)
-        n = len(seqs)
-        columns = [docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), join(n_tokens, pa.int64()), join(n_known, pa.int64()), pa.array(np.full(n, total, np.int64)), join(base, pa.float64()), join(score, pa.float64())]
-        return pa.table(columns, [c.split()[0] for c in SCORES.split(", ")])
+        spelt = pc.binary_join_element_wise(words.column("word").combine_chunks().cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()), pa.scalar(bytes([SPACE]), pa.large_binary()))
+        out = []
+        for b in docs.to_batches():
+            slots = b.column("slots")
+            lengths, at = slots.value_lengths().to_numpy(), slots.flatten().to_numpy() + 1
+            stops = np.concatenate([[0], np.cumsum(lengths)])
+            add = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[stops])
+            figures = {"n_tokens": lengths + 1, "n_known": add(counts[at] > 0) + int(counts[0] > 0), "train_tokens": np.full(len(lengths), total), "base_score": add(logs[at]) + logs[0], "score": np.zeros(len(lengths))}
+            done = 0
+            for some in _steps(lengths.tolist(), lambda n: 8 * n + 1, STEP_BYTES):
+                text = spelt.take(pa.array(at[stops[done] : stops[done + len(some)]]))
+                data, ends = (text.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(text.buffers()[1] or bytes(8), np.int64)
+                cut = ends[stops[done : done + len(some) + 1] - stops[done]].tolist()
+                win, own, starts = windows_of([data[i:j] + bytes([END]) for i, j in zip(cut, cut[1:])])
+                value = np.zeros(len(win))
+                value[own] = lp[look.find(win[own])]
+                figures["score"][done : done + len(some)] = np.add.reduceat(value, starts)
+                done += len(some)
+            names = [c.split()[0] for c in SCORES.split(", ")]
+            out.append(pa.RecordBatch.from_arrays([b.column(c) if c in ("doc_id", "held_out") else pa.array(figures[c], pa.float64() if c.endswith("score") else pa.int64()) for c in names], names))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -351,9 +365,9 @@ def score(docs: DataFrame, train=None, block_bytes: int = BLOCK_BYTES) -> DataFr
     rows = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("string").alias("text"))
     gathered = table(rows.mapInArrow(_gather(block_bytes), GATHERED), "ppm-gathered")
     asked = gathered.where("kind = 1").select("block", "win", "n")
-    asked_words = gathered.where("kind = 2").select("block", "word", "n")
+    asked_words = gathered.where("kind = 2").select("block", "slot", "word", "n")
     windows = table(asked.groupBy("win").agg(F.sum("n").alias("n")), "ppm-windows", collect=True)
-    words = table(asked_words.groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
+    words = table(asked_words.groupBy("word").agg(F.sum("n").alias("n")), "ppm-words", collect=True)
     totals = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("different")).first()
     low = windows.where("n > 0").groupBy(F.col("win").bitwiseAND(65535).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toPandas()  # at most 65,536 rows
     shard = F.shiftright("win", 8).bitwiseAND(65535)
@@ -362,10 +376,12 @@ def score(docs: DataFrame, train=None, block_bytes: int = BLOCK_BYTES) -> DataFr
     model = dealt.groupBy("shard").applyInArrow(_model(low["key"].to_numpy("int64"), low["n"].to_numpy("int64")), "win long, lp double")
     model = table(model, "ppm-model", collect=True)
     drop(windows)
-    known = asked.select("block", "win").join(model.hint("merge"), "win").select(F.col("block").alias("of_block"), "win", F.lit(None).cast("binary").alias("word"), F.col("lp").alias("value"))
-    counted = asked_words.select("block", "word").join(words.hint("merge"), "word").select(F.col("block").alias("of_block"), F.lit(None).cast("long").alias("win"), "word", F.col("n").cast("double").alias("value"))
-    texts = gathered.where("kind = 0").select("block", "doc_id", "held_out", "seq")
-    scored = texts.groupBy("block").cogroup(known.unionAll(counted).groupBy("of_block"))
+    known = asked.join(model.hint("merge"), "win").select(F.col("block").alias("of_block"), "win", F.lit(None).cast("int").alias("slot"), F.lit(None).cast("binary").alias("word"), F.col("lp").alias("value"))
+    counted = asked_words.drop("n").join(words.hint("merge"), "word").select(F.col("block").alias("of_block"), F.lit(None).cast("long").alias("win"), "slot", "word", F.col("n").cast("double").alias("value"))
+    known = table(known.unionAll(counted), "ppm-known", collect=True)
+    drop(model, words)
+    texts = gathered.where("kind = 0").select("block", "doc_id", "held_out", "slots")
+    scored = texts.groupBy("block").cogroup(known.groupBy("of_block"))
     return scored.applyInArrow(_score(int(totals["total"]), int(totals["different"])), SCORES)
 
 
