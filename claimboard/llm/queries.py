@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontam, langid, linededup, mixing, ngram_jaccard, pii, ppm, quality, tokenbin, tokencount, toxicity
+from . import alignment, decontam, langid, linededup, mixing, ngram_jaccard, pii, ppm, quality, spelling, tokenbin, tokencount, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_personal_data": pii.op8,
     "op9_decontaminate": decontam.op9,
     "op10_token_output": tokenbin.op10,
+    "op11_spelling": spelling.op11,
     "op12_alignment": alignment.op12,
     "op13_partial_matching": ppm.op13,
 }
