@@ -106,6 +106,15 @@ def drop(*tables: DataFrame) -> None:
     drop_paths([p for t in tables for p in paths_of(t)])
 
 
+def drop_parts(table: DataFrame, *parts: str) -> None:
+    """Delete the named partitions of a table of written() that nothing yet to be run reads."""
+    spark = table.sparkSession
+    for path in paths_of(table):
+        for part in parts:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_all() -> None:
     drop_paths(list(_tables))
 
