@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, ship, table
+from .common import drop, drop_parts, ship, table
 
 #: Bytes of context, at most 6: a byte and its context are a non-negative long.
 ORDER = 5
@@ -37,7 +37,7 @@ STEP_BYTES = 1 << 21
 SPACE, END = 32, 10
 _NORMAL = bytes(SPACE if b in b" \t\n\x0b\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-GATHERED = "kind int, block long, doc_id long, held_out boolean, slots array<int>, slot int, word binary, win long, n long"
+GATHERED = "kind int, block long, doc_id long, held_out boolean, numbers binary, slot int, word binary, win long, n long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -111,6 +111,35 @@ def _summed(keys, counts):
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def packed(numbers, lengths) -> list[bytes]:
+    """Lists of numbers below 2^30, given in one array, as 16-bit integers: those from 65,535 on as 65,535 and two halves of 15 bits."""
+    import numpy as np
+
+    large = np.flatnonzero(numbers >= 65535)
+    width = np.ones(len(numbers), np.int64)
+    width[large] = 3
+    at = np.cumsum(width) - width
+    out = np.empty(int(width.sum()), "<u2")
+    out[at] = np.minimum(numbers, 65535)
+    out[at[large] + 1], out[at[large] + 2] = numbers[large] & 32767, numbers[large] >> 15
+    stops = np.concatenate([at, [len(out)]])[np.concatenate([[0], np.cumsum(lengths)])]
+    data = out.tobytes()
+    return [data[2 * i : 2 * j] for i, j in zip(stops.tolist(), stops[1:].tolist())]
+
+
+def unpacked(lists: list[bytes]):
+    """(all numbers of the lists of packed(), how many each has)."""
+    import numpy as np
+
+    data = np.frombuffer(b"".join(lists), "<u2")
+    large = np.flatnonzero(data == 65535)
+    numbers, keep = data.astype(np.int64), np.ones(len(data), bool)
+    numbers[large] = numbers[large + 1] | numbers[large + 2] << 15
+    keep[large + 1] = keep[large + 2] = False
+    before = np.concatenate([[0], np.cumsum(keep)])
+    return numbers[keep], np.diff(before[np.cumsum([0, *(len(x) // 2 for x in lists)])])
+
+
 class _Block:
     """Texts gathered so far as word numbers, and their distinct windows and words with counts in training texts."""
 
@@ -161,8 +190,7 @@ class _Block:
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         for (ids, held, lengths), x in zip(self.docs, slots):
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(rank[x]))
-            yield _rows(at, 0, len(ids), doc_id=ids, held_out=held, slots=lists)
+            yield _rows(at, 0, len(ids), doc_id=ids, held_out=held, numbers=packed(rank[x], lengths))
         for i in range(0, len(wins), 1 << 18):
             yield _rows(at, 1, len(wins[i : i + (1 << 18)]), win=wins[i : i + (1 << 18)], n=n[i : i + (1 << 18)])
         trained = np.bincount(all_slots, np.concatenate(self.trained), len(order)).astype(np.int64)[order]
@@ -174,7 +202,7 @@ def _rows(block: int, kind: int, size: int, **columns):
     import numpy as np
     import pyarrow as pa
 
-    types = {"kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "slots": pa.list_(pa.int32()), "slot": pa.int32(), "word": pa.binary(), "win": pa.int64(), "n": pa.int64()}
+    types = {"kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "numbers": pa.binary(), "slot": pa.int32(), "word": pa.binary(), "win": pa.int64(), "n": pa.int64()}
     columns |= {"kind": np.full(size, kind), "block": np.full(size, block)}
 
     def made(c, t):
@@ -334,8 +362,8 @@ def _score(total: int, different: int):
         spelt = pc.binary_join_element_wise(words.column("word").combine_chunks().cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()), pa.scalar(bytes([SPACE]), pa.large_binary()))
         out = []
         for b in docs.to_batches():
-            slots = b.column("slots")
-            lengths, at = slots.value_lengths().to_numpy(), slots.flatten().to_numpy() + 1
+            at, lengths = unpacked(b.column("numbers").to_pylist())
+            at += 1
             stops = np.concatenate([[0], np.cumsum(lengths)])
             add = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[stops])
             figures = {"n_tokens": lengths + 1, "n_known": add(counts[at] > 0) + int(counts[0] > 0), "train_tokens": np.full(len(lengths), total), "base_score": add(logs[at]) + logs[0], "score": np.zeros(len(lengths))}
@@ -363,7 +391,7 @@ def score(docs: DataFrame, train=None, block_bytes: int = BLOCK_BYTES) -> DataFr
     ship(spark)
     held = held_out(F.col("doc_id")) if train is None else ~F.coalesce(train, F.lit(False))
     rows = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    gathered = table(rows.mapInArrow(_gather(block_bytes), GATHERED), "ppm-gathered")
+    gathered = table(rows.mapInArrow(_gather(block_bytes), GATHERED), "ppm-gathered", partition_by="kind")
     asked = gathered.where("kind = 1").select("block", "win", "n")
     asked_words = gathered.where("kind = 2").select("block", "slot", "word", "n")
     windows = table(asked.groupBy("win").agg(F.sum("n").alias("n")), "ppm-windows", collect=True)
@@ -380,7 +408,8 @@ def score(docs: DataFrame, train=None, block_bytes: int = BLOCK_BYTES) -> DataFr
     counted = asked_words.drop("n").join(words.hint("merge"), "word").select(F.col("block").alias("of_block"), F.lit(None).cast("long").alias("win"), "slot", "word", F.col("n").cast("double").alias("value"))
     known = table(known.unionAll(counted), "ppm-known", collect=True)
     drop(model, words)
-    texts = gathered.where("kind = 0").select("block", "doc_id", "held_out", "slots")
+    drop_parts(gathered, "kind=1", "kind=2")
+    texts = gathered.where("kind = 0").select("block", "doc_id", "held_out", "numbers")
     scored = texts.groupBy("block").cogroup(known.groupBy("of_block"))
     return scored.applyInArrow(_score(int(totals["total"]), int(totals["different"])), SCORES)
 

@@ -117,3 +117,14 @@ def test_held_out_texts_are_better_predicted_than_by_words(spark):
     """On documents that were not learnt from, the byte model spells unseen words and still beats the unigram base."""
     rows = ppm.op13(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) / sum(n_tokens) AS s", "count(*) AS n").first()
     assert rows["n"] > 100 and -4.5 < rows["s"] < -2
+
+
+def test_numbers_pack_and_unpack():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    lists = [rng.choice([0, 5, 65534, 65535, 65536, 98303, 131071, (1 << 30) - 1], rng.integers(0, 9)) for _ in range(50)]
+    data = ppm.packed(np.concatenate(lists), np.array([len(x) for x in lists]))
+    numbers, lengths = ppm.unpacked(data)
+    assert lengths.tolist() == [len(x) for x in lists] and numbers.tolist() == np.concatenate(lists).tolist()
+    assert [len(x) for x in ppm.unpacked([])] == [0, 0]
