@@ -5,21 +5,97 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import ship
-from .normalize import xor_normalise
+from ..functions.tables import numbered, ship, written
+from .normalize import bit_pack, xor_normalise
 
 parity_agg = xor_normalise
 
+#: Pairs of rows from which an element is heavy.
+HEAVY_PAIRS = 1_000_000
+#: Patterns of heavy elements in a block, and tasks that share a block's partners.
+PATTERN_ROWS, PATTERN_SALTS = 4096, 16
 
-def parity_product(a: DataFrame, b: DataFrame, on: list[str], row_a: str, row_b: str, group: list[str] | None = None) -> DataFrame:
+
+def parity_product(a: DataFrame, b: DataFrame, on: list[str], row_a: str, row_b: str, group: list[str] | None = None, heavy_pairs: int = HEAVY_PAIRS) -> DataFrame:
     """Pairs of rows with an odd overlap: the product of A and B transposed. An empty result means they commute.
 
-    Sparse by nature: only rows that share an element meet. Heavy elements are left to the join's skew handling."""
-    keys = [*(group or []), row_a, row_b]
-    met = a.join(b, on).groupBy(*keys).agg(F.count("*").alias("_shared"))
+    An element that joins at most `heavy_pairs` pairs of rows is light: rows that share one meet in a join. The heavy
+    elements of a row are packed into bit words; rows with the same words are one pattern, patterns are compared by
+    the parity of common bits in blocks, and only odd pairs leave a block. A pair's parity is the sum of both parts,
+    so an element in very many rows makes no pair list of its own. `on` has the columns of `group`, if any, among it."""
+    group = list(group or [])
+    keys = [*group, row_a, row_b]
+    spark = a.sparkSession
+    degrees = a.groupBy(*on).agg(F.count("*").alias("_na")).join(b.groupBy(*on).agg(F.count("*").alias("_nb")).hint("merge"), on)
+    heavy = written(degrees.filter(F.col("_na").cast("double") * F.col("_nb") > heavy_pairs).select(*on), "heavy-elements")
+    if heavy.isEmpty():
+        return _odd(a, b, on, keys)
+    ship(spark)
+    numbers = written(numbered(heavy, [F.col(c) for c in on], "_bit"), "heavy-numbers")
+    light = _odd(a.join(heavy.hint("merge"), on, "left_anti"), b.join(heavy.hint("merge"), on, "left_anti"), on, keys)
+    packed = [_patterns(rows, numbers, on, group, row) for rows, row in ((a, row_a), (b, row_b))]
+    blocks = [_pattern_blocks(rows, group) for rows in packed]
+    salt = F.explode(F.sequence(F.lit(0), F.lit(PATTERN_SALTS - 1)))
+    left = blocks[0].select(F.col("_grp").alias("_ga"), F.col("ids").alias("ids_a"), F.col("words").alias("words_a"), F.pmod(F.xxhash64("ids"), F.lit(PATTERN_SALTS)).cast("int").alias("_sa"))
+    right = blocks[1].select("_grp", "ids", "words", salt.alias("_sb"))
+    odd = left.join(right.hint("merge"), (F.col("_ga") == F.col("_grp")) & (F.col("_sa") == F.col("_sb"))).select("ids_a", "words_a", "ids", "words").mapInArrow(_odd_patterns, "_pa string, _pb string")
+    rows_a = packed[0].select(F.col("_pattern").alias("_pa"), *group, row_a)
+    rows_b = packed[1].select(F.col("_pattern").alias("_pb"), row_b)
+    dense = written(odd, "odd-patterns").join(rows_a.hint("merge"), "_pa").join(rows_b.hint("merge"), "_pb").select(*keys)
+    return light.unionByName(dense).groupBy(*keys).count().filter("count = 1").drop("count")
+
+
+def _odd(a: DataFrame, b: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
+    met = a.join(b.hint("merge"), on).groupBy(*keys).agg(F.count("*").alias("_shared"))
     return met.filter("_shared % 2 = 1").drop("_shared")
 
 
+def _patterns(rows: DataFrame, numbers: DataFrame, on: list[str], group: list[str], row: str) -> DataFrame:
+    """(group..., row, _grp, _pattern): the row's heavy elements as 64-bit words, in a text that names group and words."""
+    bits = xor_normalise(rows.join(numbers.hint("merge"), on).select(*group, row, (F.col("_bit") - 1).alias("_bit")), [*group, row], "_bit")
+    words = bit_pack(bits, [*group, row], "_bit").groupBy(*group, row).agg(F.array_sort(F.collect_list(F.struct("word", "packed"))).alias("_words"))
+    grp = F.to_json(F.struct(*group)) if group else F.lit("")
+    text = F.array_join(F.transform("_words", lambda w: F.concat_ws(":", w["word"], w["packed"])), ",")
+    return written(words.select(*group, row, grp.alias("_grp"), F.concat_ws(" ", text, grp).alias("_pattern")), "heavy-rows")
+
+
+def _pattern_blocks(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(_grp, ids, words): blocks of at most PATTERN_ROWS distinct patterns of a group, as texts."""
+    patterns = rows.select("_grp", "_pattern").distinct()
+    sizes = patterns.groupBy("_grp").count()
+    block = F.pmod(F.xxhash64("_pattern"), F.ceil(F.col("count") / PATTERN_ROWS) * 2)  # hashed evenly, so that a block is about half full
+    dealt = patterns.join(sizes.hint("merge"), "_grp").groupBy("_grp", block.alias("_block")).agg(F.collect_list("_pattern").alias("ids"))
+    return dealt.select("_grp", "ids", F.transform("ids", lambda p: F.split_part(p, F.lit(" "), F.lit(1))).alias("words"))
+
+
+def _odd_patterns(batches):
+    """Pairs of patterns with an odd number of common bits, block by block."""
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(texts, words):
+        out = np.zeros((len(texts), len(words)), np.uint64)
+        at = {w: i for i, w in enumerate(words)}
+        for i, t in enumerate(texts):
+            for part in t.split(","):
+                w, bits = part.split(":")
+                if w in at:
+                    out[i, at[w]] = np.uint64(int(bits) & (1 << 64) - 1)
+        return out
+
+    for b in batches:
+        for ids_a, words_a, ids_b, words_b in zip(*(b.column(c).to_pylist() for c in ("ids_a", "words_a", "ids", "words"))):
+            common = sorted({p.split(":")[0] for t in words_a for p in t.split(",")} & {p.split(":")[0] for t in words_b for p in t.split(",")})
+            one, two = matrix(words_a, common), matrix(words_b, common)
+            for i in range(0, len(one), 64):
+                odd = np.zeros((len(one[i : i + 64]), len(two)), np.uint64)
+                for j in range(len(common)):
+                    odd ^= one[i : i + 64, j, None] & two[None, :, j]  # the parity of a xor is the sum of parities
+                x, y = np.nonzero(np.bitwise_count(odd) & 1)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids_a[i + k] for k in x.tolist()]), pa.array([ids_b[k] for k in y.tolist()])], ["_pa", "_pb"])
+
+
 def syndrome(vector: DataFrame, checks: DataFrame, on: list[str], check: list[str]) -> DataFrame:
     """Checks with an odd overlap with a vector."""
     met = checks.join(vector, on).groupBy(*check).agg(F.count("*").alias("_shared"))

@@ -1,35 +1,172 @@
-"""Dominance: skylines, dominators and landing summaries."""
+"""Dominance: skylines, dominators and landing summaries.
+
+Rows are compared by blocks. The axes are cut at quantiles; a block holds rows of one cell of that grid, and an index of
+blocks has the least and greatest value of every axis. Two blocks are read together only if the index leaves open
+whether a row of one dominates a row of the other."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import ship
+from ..functions.tables import BROADCAST_ROWS, drop, ship, written
 
-#: Salts of the second elimination round; each (group, salt) is one task's work.
+#: Rows that a block holds at most, and those a grid cell should hold.
+BLOCK_ROWS, CELL_ROWS = 4096, 512
+#: Most grid cells, which bounds the pairs of an index.
+MOST_CELLS = 4096
+#: Tasks that share a cell's rows, and those that share a group's pairs of blocks.
 SALTS = 16
 
 
-def _undominated(values, strict_from: int):
-    """Indices of rows that no other row dominates. All columns are better when smaller; the first `strict_from`
-    columns filter peers only and cannot make a dominance strict. Distinct rows are expected."""
+def _dominated(values, others, strict_from: int, step: int = 256):
+    """Which rows of `values` some row of `others` dominates. All columns are better when smaller; the first
+    `strict_from` columns cannot make a dominance strict."""
+    import numpy as np
+
+    out = np.zeros(len(values), bool)
+    for i in range(0, len(others), step):
+        left = np.flatnonzero(~out)
+        if not len(left):
+            break
+        some, mine = others[i : i + step], values[left]
+        weak, strict = np.ones((len(some), len(mine)), bool), np.zeros((len(some), len(mine)), bool)
+        for j in range(values.shape[1]):
+            a, b = some[:, j, None], mine[None, :, j]
+            weak &= a <= b
+            if j >= strict_from:
+                strict |= a < b
+        out[left] = (weak & strict).any(0)
+    return out
+
+
+def _undominated(values, strict_from: int, step: int = 512):
+    """Indices of the rows that no other row dominates; distinct rows are expected.
+
+    Rows come in order of their sum and then of their values, in which a dominating row is always earlier."""
     import numpy as np
 
     order = np.lexsort(values.T[::-1])
     order = order[np.argsort(values[order].sum(1), kind="stable")]
-    kept: list[int] = []
-    front = np.empty((0, values.shape[1]))
-    for i in order.tolist():
-        v = values[i]
-        if len(front):
-            below = (front <= v).all(1) & (front[:, strict_from:] < v[strict_from:]).any(1)
-            if below.any():
-                continue
-        kept.append(i)
-        front = np.vstack([front, v])
-    # a later row may dominate an earlier one only through equal sums, which cannot happen for strict dominance
-    return kept
+    kept, front = [], np.empty((0, values.shape[1]))
+    for i in range(0, len(order), step):
+        some = order[i : i + step]
+        some = some[~_dominated(values[some], front, strict_from)]
+        some = some[~_dominated(values[some], values[some], strict_from)]
+        kept.append(some)
+        front = np.concatenate([front, values[some]])
+    return np.concatenate(kept) if kept else np.zeros(0, int)
+
+
+def _values(minimize: list[str], maximize: list[str]) -> list[Column]:
+    """The axes as doubles that are better when smaller."""
+    return [F.col(c).cast("double") for c in minimize] + [-F.col(c).cast("double") for c in maximize]
+
+
+def _grid(df: DataFrame, axes: list[str], rows: int) -> Column:
+    """Number of the grid cell of a row: each axis is cut at quantiles into as many bins as give cells of about CELL_ROWS rows."""
+    bins = max(1, round(min(MOST_CELLS, rows / CELL_ROWS) ** (1 / len(axes))))
+    if bins == 1:
+        return F.lit(0)
+    cuts = df.agg(*(F.percentile_approx(c, [i / bins for i in range(1, bins)], 1000).alias(c) for c in axes)).first()
+    cell = F.lit(0)
+    for c in axes:
+        for edge in sorted(set(cuts[c] or [])):
+            cell = cell + (F.col(c) > edge).cast("int")
+        cell = cell * bins
+    return cell
+
+
+def _bounds(axes: list[str]) -> list[Column]:
+    return [f(c).alias(f"{name}_{c}") for c in axes for name, f in (("lo", F.min), ("hi", F.max))]
+
+
+def _may(better: str, worse: str, axes: list[str]) -> Column:
+    """Whether a row of the block `better` may dominate one of the block `worse`."""
+    out = F.lit(True)
+    for c in axes:
+        out = out & (F.col(f"{better}.lo_{c}") <= F.col(f"{worse}.hi_{c}"))
+    return out
+
+
+def _must(better: str, worse: str, axes: list[str], strict_from: int = 0) -> Column:
+    """Whether every row of the block `better` dominates every row of the block `worse`."""
+    weak, strict = F.lit(True), F.lit(False)
+    for i, c in enumerate(axes):
+        weak = weak & (F.col(f"{better}.hi_{c}") <= F.col(f"{worse}.lo_{c}"))
+        if i >= strict_from:
+            strict = strict | (F.col(f"{better}.hi_{c}") < F.col(f"{worse}.lo_{c}"))
+    return weak & strict
+
+
+def _index_pairs(a: DataFrame, b: DataFrame, condition: Column) -> DataFrame:
+    """Pairs of blocks of a group that meet `condition` (of aliases a and b), a group's pairs over SALTS tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left = a.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).alias("a")
+    right = b.withColumn("salt", salts).alias("b")
+    return left.join(right.hint("merge"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.salt") == F.col("b.salt")) & condition)
+
+
+def _pack(axes: list[str], strict_from: int, block_rows: int):
+    """Blocks of sorted rows (grp, cell, salt, axes): one row a block, which holds what no row of the block dominates."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, number, key, held = TaskContext.get().partitionId(), 0, None, []
+        names = ["grp", "block", *(f"{n}_{c}" for c in axes for n in ("lo", "hi")), "data"]
+
+        def close(kind):
+            values = np.array(held)
+            values = np.ascontiguousarray(values[_undominated(values, strict_from)])
+            bounds = [[f] for j in range(len(axes)) for f in (values[:, j].min(), values[:, j].max())]
+            columns = [pa.array([key[0]], kind), pa.array([part << 32 | number]), *(pa.array(x, pa.float64()) for x in bounds), pa.array([values.tobytes()])]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for b in batches:
+            kind = b.schema.field("grp").type
+            rows = np.stack([b.column(c).to_numpy() for c in axes], 1)
+            for at, k in enumerate(zip(*(b.column(c).to_pylist() for c in ("grp", "cell", "salt")))):
+                if held and (k != key or len(held) == block_rows):
+                    yield close(kind)
+                    number, held = number + 1, []
+                key = k
+                held.append(rows[at])
+        if held:
+            yield close(kind)
+
+    return run
+
+
+def _sift(axes: list[str], strict_from: int):
+    """Streams each block (first = true) and then the blocks that may dominate its rows; yields the rows that remain."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        block, group, values = None, None, None
+
+        def out(kind):
+            return pa.RecordBatch.from_arrays([pa.array([group] * len(values), kind), *(pa.array(values[:, j]) for j in range(len(axes)))], ["grp", *axes])
+
+        kind = None
+        for b in batches:
+            kind = b.schema.field("grp").type
+            for g, at, first, data in zip(*(b.column(c).to_pylist() for c in ("grp", "block", "first", "data"))):
+                rows = np.frombuffer(data).reshape(-1, len(axes))
+                if first:
+                    if values is not None:
+                        yield out(kind)
+                    block, group, values = at, g, rows
+                elif at == block:
+                    values = values[~_dominated(values, rows, strict_from)]
+        if values is not None:
+            yield out(kind)
+
+    return run
 
 
 def skyline(df: DataFrame, minimize: list[str], maximize: list[str], partition_by: list[str] | None = None, peer_leq: list[str] | None = None) -> DataFrame:
@@ -37,35 +174,48 @@ def skyline(df: DataFrame, minimize: list[str], maximize: list[str], partition_b
     Equal rows do not dominate each other, all stay. `peer_leq`: a row is compared only with rows whose values in
     these columns are less or equal. Rows with a null axis never dominate and are never kept.
 
-    Distinct axis tuples are eliminated inside each input partition first, then per (partition, salt), then per
-    partition; only tuples that survived a round move on, and the input is semi-joined with the final ones."""
-    ship(df.sparkSession)
+    Batches drop what they dominate themselves; what is left is dealt to blocks. A block that another one dominates
+    as a whole is dropped unread; each other block is one task's work, which streams the blocks that may dominate
+    some of its rows. No task holds a partition's survivors."""
+    spark = df.sparkSession
+    ship(spark)
     group, peers = list(partition_by or []), list(peer_leq or [])
-    axes = [*peers, *minimize, *maximize]
-    tuples = df.select(*group, *axes).dropna(subset=axes).distinct()
-    schema = tuples.schema
-
-    def eliminate(pdf):
-        values = pdf[axes].to_numpy(dtype="float64", copy=True)
-        values[:, len(peers) + len(minimize) :] *= -1
-        return pdf.iloc[_undominated(values, len(peers))]
+    strict_from = len(peers)
+    values = _values([*peers, *minimize], maximize)
+    axes = [f"v{i}" for i in range(len(values))]
+    grp = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}) if group else F.lit("")
+    rows = df.dropna(subset=[*peers, *minimize, *maximize]).select(grp.alias("grp"), *(v.alias(c) for v, c in zip(values, axes)))
 
     def local(batches):
         for pdf in batches:
-            if group:
-                for _, part in pdf.groupby(group, dropna=False):
-                    yield eliminate(part)
-            elif len(pdf):
-                yield eliminate(pdf)
-
-    salted = tuples.mapInPandas(local, schema).withColumn("_salt", F.pmod(F.xxhash64(*axes), F.lit(SALTS)))
-    first = salted.groupBy(*group, "_salt").applyInPandas(lambda pdf: eliminate(pdf.drop(columns="_salt")), schema)
-    final = first.groupBy(*group).applyInPandas(eliminate, schema) if group else first.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: eliminate(pdf.drop(columns="_all")), schema)
-    a, b = df.alias("a"), final.alias("b")
-    same = F.lit(True)
-    for c in [*group, *axes]:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return a.join(b.hint("shuffle_hash"), same, "left_semi")
+            for _, part in pdf.drop_duplicates().groupby("grp"):
+                yield part.iloc[_undominated(part[axes].to_numpy(), strict_from)]
+
+    first = written(rows.mapInPandas(local, rows.schema).distinct(), "skyline-rows")
+    cell = _grid(first, axes, first.count())
+    dealt = first.withColumn("cell", cell).withColumn("salt", F.pmod(F.xxhash64(*axes), F.lit(SALTS)).cast("int"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a cell's rows share a block unless their number forces them apart
+    sizes = dealt.groupBy("grp", "cell").count()
+    dealt = dealt.join(sizes.hint("merge"), ["grp", "cell"]).withColumn("salt", F.when(F.col("count") > BLOCK_ROWS, F.col("salt")).otherwise(0))
+    dealt = dealt.repartition(parts, "grp", "cell", "salt").sortWithinPartitions("grp", "cell", "salt").select("grp", "cell", "salt", *axes)
+    blocks = written(dealt.mapInArrow(_pack(axes, strict_from, BLOCK_ROWS), "grp string, block long, " + ", ".join(f"lo_{c} double, hi_{c} double" for c in axes) + ", data binary"), "skyline-blocks")
+    index = blocks.drop("data")
+    pairs = _index_pairs(index, index, (F.col("a.block") != F.col("b.block")) & _may("a", "b", axes))
+    pairs = written(pairs.select(F.col("a.block").alias("by"), F.col("b.block").alias("block"), _must("a", "b", axes, strict_from).alias("dead")), "skyline-pairs")
+    dead = pairs.where("dead").select("block").distinct()
+    open_ = blocks.join(dead.hint("merge"), "block", "left_anti").select("grp", "block", "data")
+    asked = pairs.join(dead.hint("merge"), "block", "left_anti")
+    sent = asked.join(open_.select(F.col("block").alias("by"), "data").hint("merge"), "by").select(F.lit("").alias("grp"), "block", F.lit(False).alias("first"), "data")
+    met = open_.select("grp", "block", F.lit(True).alias("first"), "data").unionAll(sent)
+    met = met.repartition(parts, "block").sortWithinPartitions("block", F.desc("first"))
+    final = written(met.mapInArrow(_sift(axes, strict_from), "grp string, " + ", ".join(f"{c} double" for c in axes)), "skyline")
+    drop(first, blocks, pairs)
+    keyed = df.withColumns({"_grp": grp, **{f"_{c}": v for v, c in zip(values, axes)}})
+    names = final.select(F.col("grp").alias("_grp"), *(F.col(c).alias(f"_{c}") for c in axes))
+    on = ["_grp", *(f"_{c}" for c in axes)]
+    front = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names.hint("merge")
+    return keyed.join(front, on, "left_semi").select(*df.columns)
 
 
 def dominates(better: str, worse: str, minimize: list[str], maximize: list[str], strict: bool = True) -> Column:
@@ -78,23 +228,66 @@ def dominates(better: str, worse: str, minimize: list[str], maximize: list[str],
     return weak & some if strict else weak
 
 
+def _celled(candidates: DataFrame, board: DataFrame, group: list[str], minimize: list[str], maximize: list[str], key: str):
+    """Both tables with their axes, group and grid cell, and an index of either's cells. The grid is the board's."""
+    values = _values(minimize, maximize)
+    axes = [f"v{i}" for i in range(len(values))]
+    grp = F.to_json(F.struct(*group)) if group else F.lit("")
+    named = lambda df: df.dropna(subset=[*minimize, *maximize]).select(grp.alias("grp"), F.col(key).alias("key"), *(v.alias(c) for v, c in zip(values, axes)))
+    mine = named(board)
+    cell = _grid(mine, axes, mine.count())
+    tables = [written(named(df).withColumn("block", cell), f"dominance-{name}") for df, name in ((candidates, "candidates"), (board, "board"))]
+    indexes = [x.groupBy("grp", "block").agg(F.count("*").alias("rows"), *_bounds(axes)) for x in tables]
+    return axes, tables, indexes
+
+
+def _met(pairs: DataFrame, candidates: DataFrame, board: DataFrame, axes: list[str], condition: Column) -> DataFrame:
+    """Rows c.* and b.* of the pairs of cells (grp, c_block, b_block) that meet `condition`."""
+    c = candidates.select([F.col(x).alias(f"c_{x}") for x in ["grp", "key", "block", *axes]]).hint("merge")
+    b = board.select([F.col(x).alias(f"b_{x}") for x in ["grp", "key", "block", *axes]]).hint("merge")
+    with_c = pairs.join(c, (F.col("grp") == F.col("c_grp")) & (F.col("p_c") == F.col("c_block")))
+    return with_c.join(b, (F.col("grp") == F.col("b_grp")) & (F.col("p_b") == F.col("b_block")) & condition)
+
+
+def _better(x: str, y: str, axes: list[str]) -> Column:
+    weak, strict = F.lit(True), F.lit(False)
+    for c in axes:
+        weak, strict = weak & (F.col(f"{x}_{c}") <= F.col(f"{y}_{c}")), strict | (F.col(f"{x}_{c}") < F.col(f"{y}_{c}"))
+    return weak & strict
+
+
+def dominance(candidates: DataFrame, board: DataFrame, minimize: list[str], maximize: list[str], group: list[str] | None = None, key: str = "key") -> DataFrame:
+    """(key, by): every candidate with every board row, of the same group, that dominates it. Rows with a null axis
+    neither dominate nor are dominated."""
+    axes, (c, b), (ci, bi) = _celled(candidates, board, group or [], minimize, maximize, key)
+    pairs = _index_pairs(ci, bi, _may("b", "a", axes)).select("a.grp", F.col("a.block").alias("p_c"), F.col("b.block").alias("p_b"))
+    return _met(written(pairs, "dominance-pairs"), c, b, axes, _better("b", "c", axes)).select(F.col("c_key").alias("key"), F.col("b_key").alias("by"))
+
+
 def dominators(candidates: DataFrame, board: DataFrame, minimize: list[str], maximize: list[str], key: str = "key") -> DataFrame:
-    """(key, dominators): sorted text forms of the board rows that dominate each candidate. Candidates are few;
-    their number is checked before they are broadcast against the board."""
-    few = candidates.count() <= 10_000
-    a, b = board.alias("a"), (F.broadcast(candidates) if few else candidates).alias("b")
-    text = F.concat(F.lit("[["), F.concat_ws(",", *(F.col(f"a.{c}").cast("string") for c in ("n", "k", "d"))), F.lit("]] "), F.col(f"a.{key}").cast("string"))
-    found = b.join(a, dominates("a", "b", minimize, maximize)).groupBy(F.col(f"b.{key}").alias(key)).agg(F.sort_array(F.collect_list(text)).alias("dominators"))
-    return candidates.select(key).join(found, key, "left").withColumn("dominators", F.coalesce("dominators", F.array().cast("array<string>")))
+    """(key, by, dominator): the text form of every board row that dominates a candidate, one row each."""
+    found = dominance(candidates, board, minimize, maximize, key=key)
+    text = F.concat(F.lit("[["), F.concat_ws(",", *(F.col(c).cast("string") for c in ("n", "k", "d"))), F.lit("]] "), F.col(key).cast("string"))
+    named = board.select(F.col(key).alias("by"), text.alias("dominator"))
+    return found.join(named.hint("merge"), "by").select("key", "by", "dominator")
 
 
 def landing(candidate_cells: DataFrame, board_cells: DataFrame, cell: list[str], minimize: list[str], maximize: list[str], key: str = "key") -> DataFrame:
-    """(key, cell..., on_front, beats): per cell of a candidate whether no board row dominates it, and the sorted board
-    keys that it dominates."""
-    a, b = board_cells.alias("a"), candidate_cells.alias("b")
-    same = F.lit(True)
-    for c in cell:
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    above, below = dominates("a", "b", minimize, maximize), dominates("b", "a", minimize, maximize)
-    met = b.join(a, same & (above | below), "left").groupBy(*(F.col(f"b.{c}").alias(c) for c in [key, *cell]))
-    return met.agg((~F.coalesce(F.bool_or(above), F.lit(False))).alias("on_front"), F.sort_array(F.collect_list(F.when(below, F.col(f"a.{key}")))).alias("beats"))
+    """(key, cell..., on_front, n_beats): per cell of a candidate whether no board row of the cell dominates it, and how
+    many of them it dominates; dominance() with the tables' roles exchanged lists them.
+
+    Board blocks that the index decides as a whole are counted unread."""
+    axes, (c, b), (ci, bi) = _celled(candidate_cells, board_cells, cell, minimize, maximize, key)
+    pairs = _index_pairs(ci, bi, _may("b", "a", axes) | _may("a", "b", axes))
+    pairs = pairs.select("a.grp", F.col("a.block").alias("p_c"), F.col("b.block").alias("p_b"), F.col("b.rows").alias("rows"), _must("b", "a", axes).alias("under"), _must("a", "b", axes).alias("over"))
+    pairs = written(pairs, "landing-pairs")
+    sure = pairs.where("under OR over").groupBy("grp", "p_c").agg(F.bool_or("under").alias("under"), F.sum(F.when(F.col("over"), F.col("rows")).otherwise(0)).alias("over"))
+    above, below = _better("b", "c", axes), _better("c", "b", axes)
+    met = _met(pairs.where("NOT under AND NOT over").select("grp", "p_c", "p_b"), c, b, axes, above | below)
+    read = met.groupBy("c_grp", "c_key").agg(F.bool_or(above).alias("r_under"), F.count_if(below).alias("r_over"))
+    out = c.join(sure.withColumnRenamed("p_c", "block").hint("merge"), ["grp", "block"], "left")
+    out = out.join(read.select(F.col("c_grp").alias("grp"), F.col("c_key").alias("key"), "r_under", "r_over").hint("merge"), ["grp", "key"], "left")
+    on_front = ~(F.coalesce("under", F.lit(False)) | F.coalesce("r_under", F.lit(False)))
+    named = candidate_cells.select(F.to_json(F.struct(*cell)).alias("grp"), F.col(key).alias("key"), *cell)
+    out = out.select("grp", "key", on_front.alias("on_front"), (F.coalesce("over", F.lit(0)) + F.coalesce("r_over", F.lit(0))).cast("long").alias("n_beats"))
+    return named.join(out.hint("merge"), ["grp", "key"]).select(F.col("key").alias(key), *cell, "on_front", "n_beats")

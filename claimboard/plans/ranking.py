@@ -66,11 +66,10 @@ def _(spark, sf):
 CAND_SQL = "cand AS (SELECT * FROM e WHERE key % 50 = 0)"
 
 
-@query("h6_dominators", f"WITH {E_SQL}, {CAND_SQL} SELECT a.key, count(b.key) AS n, md5(coalesce(string_agg('[[' || b.n || ',' || b.k || ',' || b.d || ']] ' || b.key, ';' ORDER BY '[[' || b.n || ',' || b.k || ',' || b.d || ']] ' || b.key), '')) AS listed FROM cand a LEFT JOIN e b ON {DOM} GROUP BY a.key")
+@query("h6_dominators", f"WITH {E_SQL}, {CAND_SQL} SELECT a.key, '[[' || b.n || ',' || b.k || ',' || b.d || ']] ' || b.key AS dominator FROM cand a JOIN e b ON {DOM}")
 def _(spark, sf):
     e = written(entries(spark, sf), "entries")
-    out = skyline.dominators(e.filter("key % 50 = 0"), e, MIN, MAX)
-    return out.select("key", F.size("dominators").cast("long").alias("n"), F.md5(F.array_join("dominators", ";")).alias("listed"))
+    return skyline.dominators(e.filter("key % 50 = 0"), e, MIN, MAX).select("key", "dominator")
 
 
 @query("h7_landing", f"""WITH {CELLS_SQL}, q AS (SELECT * FROM c WHERE key % 50 = 0) SELECT a.key, a.cell_loc, a.cell_w, count(*) FILTER (WHERE {DOM}) = 0 AS on_front,
@@ -78,7 +77,7 @@ def _(spark, sf):
 def _(spark, sf):
     c = written(cells(spark, sf), "cells")
     out = skyline.landing(c.filter("key % 50 = 0"), c, ["cell_loc", "cell_w"], MIN, MAX)
-    return out.select("key", "cell_loc", "cell_w", "on_front", F.size("beats").cast("long").alias("n_beats"))
+    return out.select("key", "cell_loc", "cell_w", "on_front", "n_beats")
 
 
 @query("h8_advances", f"WITH {E_SQL}, {BEST_SQL}, x AS (SELECT n, k, d, w, min(key) AS first FROM e GROUP BY ALL) SELECT a.key, NOT EXISTS (SELECT 1 FROM y b WHERE {DOM}) AND a.key = x.first AS advances FROM e a JOIN x ON a.n = x.n AND a.k = x.k AND a.d = x.d AND a.w = x.w")
