@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.tables import numbered
+from ..functions.tables import numbered, ship, written
 
 #: Locality classes by tightness with their caps on layers and radius.
 LOCALITY_CAPS = [("local-2d-single", 1, 4.0), ("local-2d-bilayer", 2, 7.0)]
 UNRESTRICTED = "unrestricted"
+#: Points of a group that are compared inside one row.
+FEW_POINTS = 64
 
 
 def _outer(points: DataFrame, group: list[str], id_: str) -> DataFrame:
@@ -33,23 +35,126 @@ def _outer(points: DataFrame, group: list[str], id_: str) -> DataFrame:
 
 
 def _pairs(points: DataFrame, group: list[str], id_: str) -> DataFrame:
+    """(group..., a, b, dist) of the pairs of different ids among the outer points."""
     points = _outer(points, group, id_)
     a = points.select(*group, F.col(id_).alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
     b = points.select(*group, F.col(id_).alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    met = a.join(b, group).filter("a < b")
-    return met.withColumn("dist", F.sqrt(F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)))
+    met = a.join(b.hint("merge"), group).filter("a < b")
+    return met.select(*group, "a", "b", F.sqrt(F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)).alias("dist"))
+
+
+def hull(xs, ys):
+    """Places in the arrays of the corners of the convex hull, counter-clockwise; points are distinct."""
+    import numpy as np
+
+    order = np.lexsort((ys, xs)).tolist()
+    if len(order) < 3:
+        return order
+    px, py = xs.tolist(), ys.tolist()
+
+    def chain(places):
+        out: list[int] = []
+        for i in places:
+            while len(out) > 1 and (px[out[-1]] - px[out[-2]]) * (py[i] - py[out[-2]]) - (py[out[-1]] - py[out[-2]]) * (px[i] - px[out[-2]]) <= 0:
+                out.pop()
+            out.append(i)
+        return out[:-1]
+
+    return chain(order) + chain(order[::-1])
+
+
+def opposite(xs: list[float], ys: list[float]):
+    """Pairs of corners of a convex polygon that parallel lines can hold it by, among them all pairs at the greatest distance."""
+    n, j = len(xs), 1
+    if n < 2:
+        return
+    if n == 2:
+        yield 0, 1
+        return
+    for i in range(n):
+        k = (i + 1) % n
+        ex, ey = xs[k] - xs[i], ys[k] - ys[i]
+        while True:
+            after = (j + 1) % n
+            turn = ex * (ys[after] - ys[j]) - ey * (xs[after] - xs[j])
+            if turn <= 0:
+                break
+            j = after
+        yield i, j
+        yield k, j
+        if turn == 0:
+            yield i, after
+            yield k, after
+
+
+def _hull_pairs(points: DataFrame, group: list[str], id_: str) -> DataFrame:
+    """(group..., a, b, dist) of groups of distinct places of distinct ids: tasks take hulls of their batches, and each
+    group's hull of those is walked round once. `points` has the least ids of every place as id and (or null) other."""
+    import pandas as pd
+
+    ship(points.sparkSession)
+    kinds = dict(points.dtypes)
+    keys = ", ".join(f"`{g}` {kinds[g]}" for g in group)
+
+    def partial(batches):
+        for pdf in batches:
+            for _, part in pdf.groupby(group, dropna=False):
+                yield part.iloc[hull(part["x"].to_numpy(), part["y"].to_numpy())]
+
+    def final(key, pdf):
+        pdf = pdf.iloc[hull(pdf["x"].to_numpy(), pdf["y"].to_numpy())]
+        xs, ys, ids = pdf["x"].tolist(), pdf["y"].tolist(), pdf[id_].tolist()
+        best = None
+        if len(ids) == 1 and pdf["other"].notna().all():
+            best = (0.0, ids[0], pdf["other"].iloc[0])
+        for i, j in opposite(xs, ys):
+            dist = ((xs[i] - xs[j]) ** 2 + (ys[i] - ys[j]) ** 2) ** 0.5
+            if best is None or dist >= best[0]:
+                a, b = sorted((ids[i], ids[j]))
+                if best is None or dist > best[0] or (a, b) < best[1:]:
+                    best = (dist, a, b)
+        return pd.DataFrame([[*key, best[1], best[2], best[0]]] if best else [], columns=[*group, "a", "b", "dist"])
+
+    some = points.select(*group, id_, "other", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    corners = some.mapInPandas(partial, f"{keys}, `{id_}` {kinds[id_]}, other {kinds[id_]}, x double, y double")
+    return corners.groupBy(*group).applyInPandas(final, f"{keys}, a {kinds[id_]}, b {kinds[id_]}, dist double")
+
+
+def _widest(points: DataFrame, group: list[str], id_: str) -> DataFrame:
+    """(group..., a, b, dist), one row a group, null where it has no two ids: the widest pair of different ids, the first on ties.
+
+    Groups of at most FEW_POINTS points compare them inside one row. In larger ones, a widest pair joins two corners of
+    the convex hull; only where an id stands at several places are outer points paired instead."""
+    order = F.row_number().over(W.partitionBy(*group).orderBy(id_, "x", "y"))
+    few = points.select(*group, F.struct(F.col(id_).alias("id"), "x", "y").alias("p"), F.count("*").over(W.partitionBy(*group)).alias("n"), order.alias("rn")).filter(F.col("rn") <= FEW_POINTS)
+    rows = written(few.groupBy(*group).agg(F.max("n").alias("n"), F.array_sort(F.collect_list("p")).alias("ps")), "geometry-groups")
+    span = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2))
+    pair = lambda p: F.transform(F.filter("ps", lambda q: q["id"] > p["id"]), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b"), span(p, q).alias("dist")))
+    small = rows.filter(F.col("n") <= FEW_POINTS).select(*group, F.flatten(F.transform("ps", pair)).alias("pairs"))
+    small = small.select(*group, "pairs", F.array_max(F.transform("pairs", lambda p: p["dist"])).alias("far"))
+    small = small.select(*group, F.array_min(F.filter("pairs", lambda p: p["dist"] == F.col("far"))).alias("p")).select(*group, "p.a", "p.b", "p.dist")
+    large = rows.filter(F.col("n") > FEW_POINTS).select(*group)
+    if large.isEmpty():
+        return small
+    same = lambda df, other, how: df.alias("l").join(other.alias("r").hint("merge"), [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group], how)
+    places = written(same(points.select(*group, id_, "x", "y"), large, "left_semi").distinct(), "geometry-places")
+    spread = written(places.groupBy(*group, id_).count().filter("count > 1").select(*group).distinct(), "geometry-spread")
+    one = same(places, spread, "left_anti").withColumn("place", F.row_number().over(W.partitionBy(*group, "x", "y").orderBy(id_))).filter("place <= 2")
+    sites = one.groupBy(*group, "x", "y").agg(F.min(id_).alias(id_), F.min(F.when(F.col("place") == 2, F.col(id_))).alias("other"))
+    best = F.max_by(F.struct("a", "b", "dist"), F.struct("dist", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb")))
+    found = _hull_pairs(sites, group, id_).unionByName(_pairs(same(places, spread, "left_semi"), group, id_).groupBy(*group).agg(best.alias("p")).select(*group, "p.*"))
+    lacking = same(large, found, "left_anti").select(*group, *(F.lit(None).cast(t).alias(c) for c, t in found.dtypes if c not in group))
+    return small.unionByName(found).unionByName(lacking)
 
 
 def group_diameter(points: DataFrame, group: list[str], id_: str) -> DataFrame:
     """(group..., diameter): greatest distance inside each group, 0 for one point."""
-    widest = _pairs(points, group, id_).groupBy(*group).agg(F.max("dist").alias("diameter"))
-    return points.select(*group).distinct().join(widest, group, "left").select(*group, F.coalesce("diameter", F.lit(0.0)).alias("diameter"))
+    return _widest(points, group, id_).select(*group, F.coalesce("dist", F.lit(0.0)).alias("diameter"))
 
 
 def widest_pair(points: DataFrame, group: list[str], id_: str) -> DataFrame:
     """(group..., a, b, dist): the pair at the greatest distance, the first in order on ties."""
-    best = F.max_by(F.struct("a", "b", "dist"), F.struct("dist", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb")))
-    return _pairs(points, group, id_).groupBy(*group).agg(best.alias("p")).select(*group, "p.*")
+    return _widest(points, group, id_).filter("dist IS NOT NULL")
 
 
 def site_multiplicity(points: DataFrame, group: list[str]) -> DataFrame:
