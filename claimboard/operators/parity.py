@@ -133,110 +133,161 @@ def _reduce(rows: list[int]) -> dict[int, int]:
     return basis
 
 
-def reduced(rows: list[int]) -> list[int]:
-    """Reduced echelon form: rows by ascending lowest set bit, each pivot in its own row only."""
-    pivots: dict[int, int] = {}
-    for v in rows:
-        for p, b in pivots.items():
-            if v >> p & 1:
-                v ^= b
-        if v:
-            p = (v & -v).bit_length() - 1
-            for q in pivots:
-                if pivots[q] >> p & 1:
-                    pivots[q] ^= v
-            pivots[p] = v
-    return [pivots[p] for p in sorted(pivots)]
-
-
-def gf2_rank(df: DataFrame, group: list[str], row: str, element: str) -> DataFrame:
-    """(group..., rank). Element numbers need not be small, nor numbers: each group numbers its own.
-
-    Groups stream through their task in order, row by row, so a task holds one group's echelon basis and never its
-    rows. A null element adds nothing to its row; a group of nothing else has rank 0; null groups are a group."""
+def _stream(df: DataFrame, group: list[str], order: list[str], element: str, columns: str, open_group, numbered_elements: bool = True) -> DataFrame:
+    """Groups of GF(2) vectors, one task after another: rows (group..., order..., element) are sorted by group and
+    `order`, whose values name a vector, and handed over vector by vector, so a task holds what `open_group` keeps and
+    never a group's rows.
+
+    open_group() gives (feed, finish) for a new group: feed(names, vector) takes the values of `order` and the vector as
+    an integer with a bit per element, and finish() yields the group's rows of `columns`. With `numbered_elements` a
+    group numbers its own elements, so they need not be small, nor numbers; else an element is its bit. Repeats cancel,
+    a null element adds nothing, null groups are a group."""
     ship(df.sparkSession)
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", rank int"
-    width, batch = len(group), 10_000
+    width, names, batch = len(group), [*group, *(c.split()[0] for c in columns.split(", "))], 10_000
 
     def run(batches):
         import pyarrow as pa
 
         done: list[tuple] = []
-        at, current, numbers, basis, vector = None, None, {}, {}, 0
+        at, current, numbers, vector, feed, finish, kind = None, None, {}, 0, None, None, None
 
-        def table(kind):
-            columns = [pa.array([d[i] for d in done], kind.field(i).type) for i in range(width)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([d[width] for d in done], pa.int32())], [*group, "rank"])
+        def table():
+            made = [pa.array([d[i] for d in done], kind.field(i).type) if i < width else pa.array([d[i] for d in done], types[i - width]) for i in range(len(names))]
+            return pa.RecordBatch.from_arrays(made, names)
 
-        kind = None
         for b in batches:
             kind = b.schema
-            for *key, r, e in zip(*(b.column(c).to_pylist() for c in range(width + 2))):
-                if key != at or r != current:
-                    _insert(basis, vector)
-                    vector, current = 0, r
+            for *row, e in zip(*(b.column(c).to_pylist() for c in range(width + len(order) + 1))):
+                key, tag = row[:width], row[width:]
+                if key != at or tag != current:
+                    if at is not None:
+                        feed(current, vector)
+                    vector, current = 0, tag
                     if key != at:
                         if at is not None:
-                            done.append((*at, len(basis)))
-                        at, numbers, basis = key, {}, {}
+                            done.extend((*at, *r) for r in finish())
+                        at, numbers = key, {}
+                        feed, finish = open_group()
                 if e is not None:
-                    vector ^= 1 << numbers.setdefault(e, len(numbers))
+                    vector ^= 1 << (numbers.setdefault(e, len(numbers)) if numbered_elements else int(e))
             if len(done) >= batch:
-                yield table(kind)
+                yield table()
                 done.clear()
         if at is not None:
-            _insert(basis, vector)
-            done.append((*at, len(basis)))
-            yield table(kind)
+            feed(current, vector)
+            done.extend((*at, *r) for r in finish())
+            yield table()
+
+    import pyarrow as pa
 
-    dealt = df.select(*group, row, element).repartition(*group).sortWithinPartitions(*group, row)
+    types = [{"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[c.split()[1]] for c in columns.split(", ")]
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), columns])
+    dealt = df.select(*group, *order, element).repartition(*group).sortWithinPartitions(*group, *order)
     return dealt.mapInArrow(run, schema)
 
 
-def in_rowspace(vectors: DataFrame, rows: DataFrame, group: list[str], row: str, element: str) -> DataFrame:
-    """(group..., inside): whether the group's vector (group..., element) is a sum of its rows."""
-    import pandas as pd
+def gf2_rank(df: DataFrame, group: list[str], row: str, element: str) -> DataFrame:
+    """(group..., rank). A group's task holds its echelon basis; a group of null elements alone has rank 0."""
+
+    def open_group():
+        basis: dict[int, int] = {}
+        return (lambda _tag, v: _insert(basis, v)), (lambda: [(len(basis),)])
+
+    return _stream(df, group, [row], element, "rank int", open_group)
+
+
+def _over_rows(vectors: DataFrame, rows: DataFrame, group: list[str], row: str, element: str, vector: str | None, columns: str, open_group) -> DataFrame:
+    """Streams a group's rows (kind 0) and then its vectors (kind 1, by `vector`)."""
+    name = F.col(vector).cast("string") if vector else F.lit(None).cast("string")
+    both = rows.select(*group, F.lit(0).alias("_kind"), F.col(row).cast("string").alias("_row"), F.col(element).alias("_element"))
+    both = both.unionByName(vectors.select(*group, F.lit(1).alias("_kind"), name.alias("_row"), F.col(element).alias("_element")))
+    return _stream(both, group, ["_kind", "_row"], "_element", columns, open_group)
+
+
+def _left_over(basis: dict[int, int], v: int) -> int:
+    """What is left of a vector after reduction by an echelon basis by leading bit."""
+    out = 0
+    while v:
+        top = v.bit_length() - 1
+        if top in basis:
+            v ^= basis[top]
+        else:
+            out, v = out | 1 << top, v ^ 1 << top
+    return out
+
 
-    ship(rows.sparkSession)
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", inside boolean"
+def in_rowspace(vectors: DataFrame, rows: DataFrame, group: list[str], row: str, element: str, vector: str | None = None) -> DataFrame:
+    """(group..., inside): whether the group's vector (group..., element) is a sum of its rows; an absent vector is.
+    With `vector`, a column that names a group's vectors, (group..., vector, inside) for each: all meet one basis."""
 
-    def run(keys, v, h):
-        target = 0
-        for e in v[element].tolist():
-            target ^= 1 << int(e)
-        basis = _reduce(_ints(h, row, element))
-        while target and target.bit_length() - 1 in basis:
-            target ^= basis[target.bit_length() - 1]
-        return pd.DataFrame([[*keys, target == 0]], columns=[*group, "inside"])
+    def open_group():
+        basis: dict[int, int] = {}
+        found: list[tuple] = []
 
-    left, right = vectors.select(*group, element).groupBy(*group), rows.select(*group, row, element).groupBy(*group)
-    return left.cogroup(right).applyInPandas(run, schema)
+        def feed(tag, v):
+            if tag[0] == 0:
+                _insert(basis, v)
+            else:
+                found.append((tag[1], _left_over(basis, v) == 0))
+
+        return feed, (lambda: found) if vector else (lambda: [(found[0][1] if found else True,)])
+
+    return _over_rows(vectors, rows, group, row, element, vector, "vector string, inside boolean" if vector else "inside boolean", open_group)
 
 
 def _bytes(rows: list[int], n: int) -> bytes:
     return b"".join(bytes((r >> j) & 1 for j in range(n)) for r in rows)
 
 
+def _add_reduced(pivots: dict[int, int], v: int) -> None:
+    """Add a vector to a reduced echelon form, kept by each row's lowest bit."""
+    for p, b in pivots.items():
+        if v >> p & 1:
+            v ^= b
+    if v:
+        p = (v & -v).bit_length() - 1
+        for q in pivots:
+            if pivots[q] >> p & 1:
+                pivots[q] ^= v
+        pivots[p] = v
+
+
+def reduced(rows: list[int]) -> list[int]:
+    """Reduced echelon form: rows by ascending lowest set bit, each pivot in its own row only."""
+    pivots: dict[int, int] = {}
+    for v in rows:
+        _add_reduced(pivots, v)
+    return [pivots[p] for p in sorted(pivots)]
+
+
 def gf2_fingerprint(df: DataFrame, group: list[str], side: str, row: str, element: str, size: str, sides: tuple[str, str] = ("X", "Z")) -> DataFrame:
     """(group..., fingerprint): first 16 hex digits of the SHA-256 of both sides' reduced rows as bytes, joined by |.
 
-    Invariant to the order of rows and to sums of rows. `size` is the column with the number of elements."""
+    Invariant to the order of rows and to sums of rows. `size` is the column with the number of elements; elements are
+    0 to size - 1. A group's task holds both reduced forms as packed integers, not its rows."""
     import hashlib
 
-    import pandas as pd
+    def open_group():
+        forms: dict[str, dict[int, int]] = {s: {} for s in sides}
+        n = [0]
 
-    ship(df.sparkSession)
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", fingerprint string"
+        def feed(tag, v):
+            n[0] = max(n[0], int(tag[1] or 0))
+            if tag[0] in forms:
+                _add_reduced(forms[tag[0]], v)
 
-    def run(keys, pdf):
-        n = int(pdf[size].iloc[0])
-        parts = [_bytes(reduced(_ints(pdf[pdf[side] == s], row, element)), n) for s in sides]
-        return pd.DataFrame([[*keys, hashlib.sha256(b"|".join(parts)).hexdigest()[:16]]], columns=[*group, "fingerprint"])
+        def finish():
+            digest = hashlib.sha256()
+            for i, s in enumerate(sides):
+                digest.update(b"|" if i else b"")
+                for p in sorted(forms[s]):
+                    digest.update(_bytes([forms[s][p]], n[0]))
+            return [(digest.hexdigest()[:16],)]
 
-    return df.select(*group, side, row, element, size).groupBy(*group).applyInPandas(run, schema)
+        return feed, finish
+
+    return _stream(df, group, [side, size, row], element, "fingerprint string", open_group, numbered_elements=False)
 
 
 def logical_dimension(ranks: DataFrame, sizes: DataFrame, key: str, side: str = "side") -> DataFrame:
@@ -264,12 +315,22 @@ def validate_witness(witness: DataFrame, rows: DataFrame, claims: DataFrame) ->
 
 
 def independent_modulo(vectors: DataFrame, rows: DataFrame, group: list[str], row: str, element: str) -> DataFrame:
-    """(group..., independent): whether the vectors add their number to the rank of the group's rows."""
-    tagged = rows.select(*group, F.concat(F.lit("r"), F.col(row).cast("string")).alias(row), element).unionByName(vectors.select(*group, F.concat(F.lit("v"), F.col(row).cast("string")).alias(row), element))
-    both = gf2_rank(tagged, group, row, element).withColumnRenamed("rank", "both")
-    own = gf2_rank(rows, group, row, element)
-    count = vectors.groupBy(*group).agg(F.countDistinct(row).alias("added"))
-    return count.join(both.hint("merge"), group).join(own.hint("merge"), group, "left").select(*group, (F.col("both") == F.coalesce("rank", F.lit(0)) + F.col("added")).alias("independent"))
+    """(group..., independent): whether the vectors add their number to the rank of the group's rows. One pass: each
+    vector must be new to the basis of the rows and the vectors before it."""
+
+    def open_group():
+        basis: dict[int, int] = {}
+        new: list[bool] = []
+
+        def feed(tag, v):
+            before = len(basis)
+            _insert(basis, v)
+            if tag[0] == 1:
+                new.append(len(basis) > before)
+
+        return feed, (lambda: [(all(new),)] if new else [])
+
+    return _over_rows(vectors, rows, group, row, element, row, "independent boolean", open_group)
 
 
 def _kernel(rows: list[int], n: int) -> list[int]:

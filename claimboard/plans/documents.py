@@ -105,10 +105,56 @@ def _(spark, sf):
     return keys.join(inside.hint("merge"), "key", "left").select("key", F.coalesce("inside", F.lit(True)).alias("inside"))
 
 
-@query("d11_logical_basis", f"WITH RECURSIVE {V_SQL}, {_span_sql('v', 's')} SELECT key, {2 * BITS} - 2 * rank AS representatives FROM s WHERE rank > 0 AND rank < {BITS}")
+@query("d11_logical_basis", f"WITH RECURSIVE {V_SQL}, {_span_sql('v', 's')} SELECT key, {2 * BITS} - 2 * rank AS representatives, true AS commute, true AS independent FROM s WHERE rank > 0 AND rank < {BITS}")
 def _(spark, sf):
-    basis = parity.logical_basis(_code(spark, sf), ["key"], "side", "check_idx", "qubit", "n")
-    return basis.groupBy("key").agg(F.count_distinct("basis_idx").alias("representatives"))
+    """Representatives, that none overlaps a row of the other side oddly, and that none is a sum of others and rows."""
+    code = written(_code(spark, sf), "code")
+    side = lambda s: code.filter(F.col("side") == s).select("key", F.col("check_idx").cast("string").alias("row_"), "qubit")
+    basis = written(parity.logical_basis(code, ["key"], "side", "check_idx", "qubit", "n"), "logical-basis")
+    counts = basis.groupBy("key").agg(F.count_distinct("basis_idx").cast("long").alias("representatives"))
+    odd = parity.syndrome(basis, side("X"), ["key", "qubit"], ["key", "row_", "basis_idx"]).select("key").distinct().withColumn("odd", F.lit(True))
+    new = parity.independent_modulo(basis.select("key", F.col("basis_idx").cast("string").alias("row_"), "qubit"), side("Z"), ["key"], "row_", "qubit")
+    return counts.join(odd.hint("merge"), "key", "left").join(new.hint("merge"), "key").select("key", "representatives", F.col("odd").isNull().alias("commute"), "independent")
+
+
+@query("d6_fingerprint", f"""WITH RECURSIVE {V_SQL}, {_span_sql('v', 's')}, m AS (SELECT key, span, list_aggregate(list_transform(span, lambda x: x & -x), 'bit_or') AS pivots FROM s),
+  f AS (SELECT key, list_sort(list_transform(list_filter(span, lambda x: bit_count(x & pivots) = 1), lambda x: [x & pivots, x])) AS rows FROM m),
+  h AS (SELECT key, array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(range({2 * BITS}), lambda j: CASE WHEN (r[2] >> (j % {BITS})::INT) & 1 = 1 THEN '01' ELSE '00' END), '')), '') AS hx FROM f)
+  SELECT key, substr(sha256(unhex(hx || '7C' || hx)), 1, 16) AS fingerprint FROM h WHERE hx <> ''""")
+def _(spark, sf):
+    return parity.gf2_fingerprint(_code(spark, sf), ["key"], "side", "check_idx", "qubit", "n")
+
+
+@query("d7_logical_dimension", f"WITH RECURSIVE {V_SQL}, {_span_sql('v', 's')} SELECT key, {2 * BITS} - 2 * rank AS k FROM s")
+def _(spark, sf):
+    sizes = _vectors(spark, sf).select("key", F.lit(2 * BITS).alias("n")).distinct()
+    ranks = parity.gf2_rank(_code(spark, sf), ["key", "side"], "check_idx", "qubit")
+    return parity.logical_dimension(ranks, sizes, "key").select("key", F.col("k").cast("long").alias("k"))
+
+
+def _witnesses(spark, sf):
+    """Per key and side one witness: both copies of bit key % 10, or only the first one for every third key."""
+    keys = _vectors(spark, sf).select("key").distinct().withColumn("bit", (F.col("key") % BITS).cast("int"))
+    bits = F.when(F.col("key") % 3 == 0, F.array("bit")).otherwise(F.array(F.col("bit"), F.col("bit") + BITS))
+    return keys.select("key", F.explode(F.array(F.lit("X"), F.lit("Z"))).alias("side"), bits.alias("bits")).select("key", "side", F.explode("bits").alias("qubit"))
+
+
+@query("d8_validate_witness", f"""WITH RECURSIVE {V_SQL}, {_span_sql('v', 's')}, o AS (SELECT key, bit_or(x) AS x FROM v GROUP BY key),
+  w AS (SELECT s.key, key % 3 = 0 AS single, 1::BIGINT << (key % {BITS})::INT AS e, span, x FROM s JOIN o USING (key)),
+  r AS (SELECT key, CASE WHEN single THEN 1 ELSE 2 END = 1 + key % 2 AS weight_ok, NOT single OR x & e = 0 AS commutes, single OR NOT list_contains(span, e) AS nontrivial FROM w)
+  SELECT key, u.side, weight_ok, commutes, nontrivial, weight_ok AND commutes AND nontrivial AS ok FROM r, (VALUES ('X'), ('Z')) AS u(side)""")
+def _(spark, sf):
+    witness = _witnesses(spark, sf)
+    claims = witness.select("key", "side", (1 + F.col("key") % 2).alias("value")).distinct()
+    return parity.validate_witness(witness, written(_code(spark, sf), "code"), claims)
+
+
+@query("d9_independent_modulo", f"""WITH RECURSIVE {V_SQL}, u AS (SELECT key, -1 - u.j AS row_, 1::BIGINT << u.j::INT AS x FROM (SELECT DISTINCT key FROM v), unnest(range(0, 1 + key % 3)) AS u(j)),
+  a AS (SELECT * FROM v UNION ALL SELECT * FROM u), {_span_sql('v', 's')}, {_span_sql('a', 'q')} SELECT s.key, q.rank = s.rank + 1 + s.key % 3 AS independent FROM s JOIN q USING (key)""")
+def _(spark, sf):
+    rows = _vectors(spark, sf).select("key", "check_idx", _bits("x").alias("bit"))
+    units = _vectors(spark, sf).select("key").distinct().select("key", F.explode(F.sequence(F.lit(0), (F.col("key") % 3).cast("int"))).alias("bit"))
+    return parity.independent_modulo(units.select("key", F.col("bit").alias("check_idx"), "bit"), rows, ["key"], "check_idx", "bit")
 
 
 @query("p8_observables_hold", f"""WITH RECURSIVE {V_SQL}, k AS (SELECT DISTINCT key FROM v), u AS (SELECT key, -1 - u.j AS row_, 1::BIGINT << u.j::INT AS x FROM k, unnest(range(CASE WHEN key % 5 = 0 THEN 1 ELSE 0 END, 1 + key % 3)) AS u(j)),

@@ -381,6 +381,19 @@ def _(spark, sf):
     return j.select("key", geometry.locality_class(*args).alias("cls"), strict.alias("strict"))
 
 
+@query("f7_strict_locality_rank", f"""WITH {P_SQL}, q AS (SELECT key, qubit, x * (1 - (key % 2) * 1e-10::DOUBLE) AS x, y * (1 - (key % 2) * 1e-10::DOUBLE) AS y FROM p),
+  d AS (SELECT a.key, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist FROM q a JOIN q b ON a.key = b.key AND a.qubit < b.qubit), r AS (SELECT key, max(dist) / 10 AS radius, min(dist) FILTER (dist > 0) AS sp FROM d GROUP BY key),
+  m AS (SELECT key, max(c) AS mu FROM (SELECT key, x, y, count(*) AS c FROM q GROUP BY ALL) GROUP BY key)
+  SELECT m.key, CASE WHEN (sp IS NULL OR sp >= 1) AND mu <= 1 AND 1 + m.key % 3 % 2 <= 1 AND coalesce(radius, 0) <= 4 THEN 0 WHEN (sp IS NULL OR sp >= 1) AND mu <= 2 AND coalesce(radius, 0) <= 7 THEN 1 ELSE 2 END AS rank FROM m LEFT JOIN r ON m.key = r.key""")
+def _(spark, sf):
+    """Places of every other key lie a ten-thousand-millionth nearer together than they should: the strict variant sees it."""
+    shrink = 1 - (F.col("key") % 2) * F.lit(1e-10)
+    p = written(points(spark, sf).withColumns({"x": F.col("x") * shrink, "y": F.col("y") * shrink}), "points")
+    j = geometry.group_diameter(p, ["key"], "qubit").join(geometry.site_multiplicity(p, ["key"]), "key").join(geometry.min_spacing(p, ["key"]), "key")
+    cls = geometry.locality_class(F.lit(True), 1 + F.col("key") % 3 % 2, F.col("multiplicity"), F.col("spacing"), F.col("diameter") / 10, slack=0.0, by_layers=False)
+    return j.select("key", scoring.tightness(cls, scoring.LOCALITY_ORDER).alias("rank"))
+
+
 @query("f8_corner_pinned", f"WITH {P_SQL}, b AS (SELECT key, min(x) AS lx, max(x) AS hx, min(y) - 900 AS ly, max(y) - 900 AS hy FROM p GROUP BY key) SELECT key, hx - lx < 20 AND hy - ly < 20 AND (lx < 20 OR hx > 100 - 1 - 20) AND (ly < 20 OR hy > 100 - 1 - 20) AS pinned FROM b")
 def _(spark, sf):
     p = points(spark, sf).withColumns({"y": F.col("y") - 900, "size": F.lit(100), "radius": F.lit(20)})
