@@ -8,6 +8,7 @@ import tempfile
 import time
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,17 @@ def collect_shuffles(spark: SparkSession) -> None:
     _collected[0] = time.monotonic()
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str):
+    """A session setting for the length of one action."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None, collect: bool = False) -> DataFrame:
     """Cut the lineage: write `df` as Parquet to the shared folder and read it back. The table is deleted by drop(),
     or when the process ends.
@@ -68,7 +80,11 @@ def written(df: DataFrame, name: str, partition_by: str | None = None, collect:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/claimboard-{name}-{uuid.uuid4().hex}"
     schema, writer = df.schema, df.write.mode("error")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    if partition_by:
+        with _setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "8"):  # few partitions need no sort
+            writer.partitionBy(partition_by).parquet(path)
+    else:
+        writer.parquet(path)
     if not _tables:
         atexit.register(drop_all)
     _tables[path] = spark
