@@ -194,7 +194,11 @@ class _Block:
         for i in range(0, len(wins), 1 << 18):
             yield _rows(at, 1, len(wins[i : i + (1 << 18)]), win=wins[i : i + (1 << 18)], n=n[i : i + (1 << 18)])
         trained = np.bincount(all_slots, np.concatenate(self.trained), len(order)).astype(np.int64)[order]
-        yield _rows(at, 2, len(order), slot=np.arange(len(order)), word=every.dictionary.take(pa.array(order)), n=trained)
+        names = every.dictionary.take(pa.array(order))
+        for i in range(0, len(order), 1 << 16):
+            some, n = names.slice(i, 1 << 16), trained[i : i + (1 << 16)]
+            yield _rows(at, 2, len(some), slot=np.arange(i, i + len(some)), word=some, n=n)
+            yield _rows(at, 0, 1, slot=[i], word=[b" ".join(some.to_pylist())], numbers=[n.tobytes()])
         yield _rows(at, 2, 1, slot=[-1], word=[bytes([END])], n=[self.ends])
 
 
@@ -227,6 +231,8 @@ def _gather(block_bytes: int):
                     yield from block.rows(part << 32 | number)
                     number, block = number + 1, _Block()
         yield from block.rows(part << 32 | number)
+        del block
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -346,22 +352,33 @@ class Lookup:
         return out
 
 
+def _spelt(lists: list[bytes]):
+    """Arrow array of the words of lists joined by spaces, each with a space after it."""
+    import numpy as np
+    import pyarrow as pa
+
+    data = b" ".join(lists) + b" "
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == SPACE) + 1
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(data)])
+
+
 def _score(total: int, different: int):
     def run(_key, docs, known):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        is_word = pc.is_valid(docs.column("word"))
+        names = docs.filter(is_word).sort_by("slot")
+        counts = np.concatenate([np.zeros(1), *(np.frombuffer(x, np.int64) for x in names.column("numbers").to_pylist())])  # the end is the first
+        spelt = _spelt([bytes([END]), *names.column("word").to_pylist()])
         is_win = pc.is_valid(known.column("win"))
-        wins = known.filter(is_win)
+        wins, more = known.filter(is_win), known.filter(pc.invert(is_win))
         look, lp = Lookup(wins.column("win").combine_chunks().to_numpy()), wins.column("value").combine_chunks().to_numpy()
-        words = known.filter(pc.invert(is_win))
-        words = words.take(pc.sort_indices(words, [("slot", "ascending")]))  # the end is the first
-        counts = words.column("value").to_numpy()
+        counts[more.column("slot").to_numpy() + 1] = more.column("value").to_numpy()
         logs = np.log10((counts + 1) / (total + different + 1))
-        spelt = pc.binary_join_element_wise(words.column("word").combine_chunks().cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()), pa.scalar(bytes([SPACE]), pa.large_binary()))
         out = []
-        for b in docs.to_batches():
+        for b in docs.filter(pc.invert(is_word)).to_batches():
             at, lengths = unpacked(b.column("numbers").to_pylist())
             at += 1
             stops = np.concatenate([[0], np.cumsum(lengths)])
@@ -404,12 +421,14 @@ def score(docs: DataFrame, train=None, block_bytes: int = BLOCK_BYTES) -> DataFr
     model = dealt.groupBy("shard").applyInArrow(_model(low["key"].to_numpy("int64"), low["n"].to_numpy("int64")), "win long, lp double")
     model = table(model, "ppm-model", collect=True)
     drop(windows)
-    known = asked.join(model.hint("merge"), "win").select(F.col("block").alias("of_block"), "win", F.lit(None).cast("int").alias("slot"), F.lit(None).cast("binary").alias("word"), F.col("lp").alias("value"))
-    counted = asked_words.drop("n").join(words.hint("merge"), "word").select(F.col("block").alias("of_block"), F.lit(None).cast("long").alias("win"), "slot", "word", F.col("n").cast("double").alias("value"))
+    known = asked.join(model.hint("merge"), "win").select(F.col("block").alias("of_block"), "win", F.lit(None).cast("int").alias("slot"), F.col("lp").alias("value"))
+    # a block knows its own counts of words; it is told those that other blocks add to, and how often texts end
+    counted = asked_words.withColumnRenamed("n", "own").join(words.hint("merge"), "word").where("n <> own OR slot < 0")
+    counted = counted.select(F.col("block").alias("of_block"), F.lit(None).cast("long").alias("win"), "slot", F.col("n").cast("double").alias("value"))
     known = table(known.unionAll(counted), "ppm-known", collect=True)
     drop(model, words)
     drop_parts(gathered, "kind=1", "kind=2")
-    texts = gathered.where("kind = 0").select("block", "doc_id", "held_out", "numbers")
+    texts = gathered.where("kind = 0").select("block", "doc_id", "held_out", "numbers", "slot", "word")
     scored = texts.groupBy("block").cogroup(known.groupBy("of_block"))
     return scored.applyInArrow(_score(int(totals["total"]), int(totals["different"])), SCORES)
 
