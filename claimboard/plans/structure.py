@@ -382,9 +382,10 @@ def _(spark, sf):
 
 
 @query("f7_strict_locality_rank", f"""WITH {P_SQL}, q AS (SELECT key, qubit, x * (1 - (key % 2) * 1e-10::DOUBLE) AS x, y * (1 - (key % 2) * 1e-10::DOUBLE) AS y FROM p),
-  d AS (SELECT a.key, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist FROM q a JOIN q b ON a.key = b.key AND a.qubit < b.qubit), r AS (SELECT key, max(dist) / 10 AS radius, min(dist) FILTER (dist > 0) AS sp FROM d GROUP BY key),
-  m AS (SELECT key, max(c) AS mu FROM (SELECT key, x, y, count(*) AS c FROM q GROUP BY ALL) GROUP BY key)
-  SELECT m.key, CASE WHEN (sp IS NULL OR sp >= 1) AND mu <= 1 AND 1 + m.key % 3 % 2 <= 1 AND coalesce(radius, 0) <= 4 THEN 0 WHEN (sp IS NULL OR sp >= 1) AND mu <= 2 AND coalesce(radius, 0) <= 7 THEN 1 ELSE 2 END AS rank FROM m LEFT JOIN r ON m.key = r.key""")
+  d AS (SELECT a.key, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist FROM q a JOIN q b ON a.key = b.key AND a.qubit < b.qubit), r AS (SELECT key, max(dist) / 10 AS radius FROM d GROUP BY key),
+  st AS (SELECT key, x, y, count(*) AS c FROM q GROUP BY ALL), m AS (SELECT key, max(c) AS mu FROM st GROUP BY key),
+  g AS (SELECT a.key, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS sp FROM st a JOIN st b ON a.key = b.key AND (a.x < b.x OR (a.x = b.x AND a.y < b.y)) GROUP BY a.key)
+  SELECT m.key, CASE WHEN (sp IS NULL OR sp >= 1) AND mu <= 1 AND 1 + m.key % 3 % 2 <= 1 AND coalesce(radius, 0) <= 4 THEN 0 WHEN (sp IS NULL OR sp >= 1) AND mu <= 2 AND coalesce(radius, 0) <= 7 THEN 1 ELSE 2 END AS rank FROM m LEFT JOIN r ON m.key = r.key LEFT JOIN g ON m.key = g.key""")
 def _(spark, sf):
     """Places of every other key lie a ten-thousand-millionth nearer together than they should: the strict variant sees it."""
     shrink = 1 - (F.col("key") % 2) * F.lit(1e-10)
