@@ -60,7 +60,7 @@ def collect_shuffles(spark: SparkSession) -> None:
 
 
 @contextmanager
-def _setting(spark: SparkSession, name: str, value: str):
+def setting(spark: SparkSession, name: str, value: str):
     """A session setting for the length of one action."""
     before = spark.conf.get(name, None)
     spark.conf.set(name, value)
@@ -81,7 +81,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None, collect:
     path = f"{shared_dir(spark)}/claimboard-{name}-{uuid.uuid4().hex}"
     schema, writer = df.schema, df.write.mode("error")
     if partition_by:
-        with _setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "8"):  # few partitions need no sort
+        with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "8"):  # few partitions need no sort
             writer.partitionBy(partition_by).parquet(path)
     else:
         writer.parquet(path)

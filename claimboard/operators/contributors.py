@@ -71,11 +71,16 @@ def credit_by_cap(rows: DataFrame, weight: str, by: list[str]) -> DataFrame:
 
 
 def steps(ranked: DataFrame, cap: str, rank: str, name: str) -> DataFrame:
-    """(cap, version): caps with the same ordered ranking share a version, numbered by first cap."""
-    lists = ranked.groupBy(cap).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(rank, name)))), 256).alias("_h"))
-    first = lists.groupBy("_h").agg(F.min(cap).alias("_first"))
+    """(cap, version): caps with the same ordered ranking share a version, numbered by first cap.
+
+    A ranking is known by its length and two sums (as exclusive or) of hashes of rank and name, which merge in any
+    order; no row holds a ranking."""
+    marks = [F.count("*").alias("_n"), F.bit_xor(F.xxhash64(rank, name)).alias("_a"), F.bit_xor(F.xxhash64(name, F.lit("/"), rank)).alias("_b")]
+    same = ["_n", "_a", "_b"]
+    known = ranked.groupBy(cap).agg(*marks)
+    first = known.groupBy(*same).agg(F.min(cap).alias("_first"))
     numbered = first.withColumn("version", (F.row_number().over(W.orderBy("_first")) - 1).cast("long"))
-    return lists.join(numbered, "_h").select(cap, "version")
+    return known.join(numbered.hint("merge"), same).select(cap, "version")
 
 
 def origin_split(df: DataFrame, origin: str) -> DataFrame:
@@ -84,6 +89,7 @@ def origin_split(df: DataFrame, origin: str) -> DataFrame:
     return df.agg(F.count_if(~base).alias("contributed"), F.count_if(base).alias("baseline"), F.count_if(~base & F.col("geo").isNotNull()).alias("eligible"))
 
 
-def work_list(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """(by, works): each contributor's rows as a sorted list of structs."""
-    return rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*columns)), asc=False).alias("works"))
+def work_list(rows: DataFrame, by: str, order: list) -> DataFrame:
+    """Each contributor's rows with their `place` in its list, one row a work. A contributor's list is sorted in one
+    task, which can spill, and never held as one row."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order)))

@@ -51,12 +51,19 @@ def soft_duplicate_groups(df: DataFrame, key: str, signature: str, fingerprint:
 
 def duplicate_of(candidates: DataFrame, board: DataFrame, key: str = "key") -> DataFrame:
     """(key, exact_of, similar_of): the first board key with the same fingerprint, else with the same signature and
-    another fingerprint. Both tables: (key, fp, sig)."""
+    another fingerprint. Both tables: (key, fp, sig).
+
+    Of each signature the two fingerprints with the least keys are enough: a candidate takes the first of them that is
+    not its own. So no candidate meets all rows of its signature."""
     exact = board.groupBy("fp").agg(F.min(key).alias("exact_of"))
-    pairs = candidates.select(key, "fp", "sig").join(board.select(F.col(key).alias("other"), F.col("fp").alias("ofp"), "sig"), "sig").filter("fp <> ofp")
-    similar = pairs.groupBy(key).agg(F.min("other").alias("similar_of"))
-    out = candidates.join(exact, "fp", "left").join(similar, key, "left")
-    return out.select(key, "exact_of", F.when(F.col("exact_of").isNull(), F.col("similar_of")).alias("similar_of"))
+    firsts = board.filter("fp IS NOT NULL").groupBy("sig", "fp").agg(F.min(key).alias("_k"))
+    place = F.row_number().over(W.partitionBy("sig").orderBy("_k", "fp"))
+    two = firsts.withColumn("_place", place).filter("_place <= 2").groupBy("sig")
+    at = lambda n, c: F.max(F.when(F.col("_place") == n, F.col(c)))
+    two = two.agg(at(1, "_k").alias("_k1"), at(1, "fp").alias("_fp1"), at(2, "_k").alias("_k2"))
+    out = candidates.select(key, "fp", "sig").join(exact.hint("merge"), "fp", "left").join(two.hint("merge"), "sig", "left")
+    similar = F.when(F.col("fp") == F.col("_fp1"), F.col("_k2")).when(F.col("fp").isNotNull(), F.col("_k1"))
+    return out.select(key, "exact_of", F.when(F.col("exact_of").isNull(), similar).alias("similar_of"))
 
 
 def first_wins(df: DataFrame, fingerprint: list[str], order: list) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 # Identifier formats, lint patterns, known extensions and prefixes.
 ARXIV = "([0-9]{4}\\.[0-9]{4,5}|[a-z-]+(?:\\.[a-z]{2})?/[0-9]{7})"
 DOI = "10\\.[0-9]+/\\S+"
@@ -42,25 +44,28 @@ def resolve(cites: DataFrame, refs: DataFrame, text: str = "cite") -> DataFrame:
 
     First the first entry in file order whose identifier is the text's or whose DOI the text contains; a text with
     an identifier but without such an entry has none; otherwise the first entry whose surnames cover all of the
-    text's words of three or more letters. refs: (ref, seq, eprint, doi, author); a bibliography, counted before it
-    is broadcast."""
-    few = refs.count() <= 20_000
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    c = cites.select(text).distinct().withColumns({"_low": F.lower(text), "_id": arxiv_id(F.col(text))})
-    by_id = c.filter("_id IS NOT NULL").join(small(refs.filter("eprint <> ''").select(F.trim("eprint").alias("_id"), "ref", "seq")), "_id").select(text, "ref", "seq")
-    # a text contains a DOI if that is a beginning of one of its runs that look like DOIs
-    dois = refs.filter(F.lower("doi").rlike(DOI + "$")).select(F.lower("doi").alias("_doi"), "ref", "seq")
-    runs = c.select(text, F.explode(F.regexp_extract_all("_low", F.lit(DOI), F.lit(0))).alias("_run"))
-    starts = F.transform(F.sequence(F.lit(1), F.length("_run")), lambda n: F.substring("_run", F.lit(1), n))
-    by_doi = runs.select(text, F.explode(starts).alias("_doi")).join(small(dois), "_doi").select(text, "ref", "seq")
-    first = by_id.union(by_doi).groupBy(text).agg(F.min_by("ref", "seq").alias("direct"))
+    text's words of three or more letters. refs: (ref, seq, eprint, doi, author).
+
+    A text contains a DOI if that is a beginning of one of its runs that look like DOIs. Only beginnings as long as
+    some known DOI are looked up, so a run costs as many as there are such lengths, however long it is."""
+    c = written(cites.select(text).distinct().withColumns({"_low": F.lower(text), "_id": arxiv_id(F.col(text))}), "cites")
+    ids = refs.filter("eprint <> ''").groupBy(F.trim("eprint").alias("_id")).agg(F.min(F.struct("seq", "ref")).alias("_entry"))
+    by_id = c.filter("_id IS NOT NULL").join(ids.hint("merge"), "_id").select(text, "_entry")
+    dois = written(refs.filter(F.lower("doi").rlike(DOI + "$")).groupBy(F.lower("doi").alias("_doi")).agg(F.min(F.struct("seq", "ref")).alias("_entry")), "dois")
+    lengths = dois.agg(F.array_sort(F.collect_set(F.length("_doi"))).alias("_lengths"))  # one row with the few lengths there are
+    runs = c.select(text, F.explode(F.array_distinct(F.regexp_extract_all("_low", F.lit(DOI), F.lit(0)))).alias("_run")).crossJoin(F.broadcast(lengths))
+    fit = F.filter("_lengths", lambda n: n <= F.length("_run"))
+    starts = written(runs.select(text, F.explode(F.transform(fit, lambda n: F.substring("_run", F.lit(1), n))).alias("_doi")), "doi-starts")
+    by_doi = starts.join(dois.hint("merge"), "_doi").select(text, "_entry")
+    first = by_id.union(by_doi).groupBy(text).agg(F.min("_entry").alias("_direct"))
     tokens = F.filter(F.split("_low", "[,\\s]+"), lambda t: F.length(t) > 2)
     words = c.filter("_id IS NULL").withColumn("_tokens", tokens).filter("size(_tokens) > 0")
     people = refs.select("ref", "seq", surnames(F.col("author")).alias("_names")).filter("size(_names) > 0")
     covered = F.size(F.array_except("_tokens", "_names")) == 0
-    lead = people.select("ref", "seq", "_names", F.explode(F.array_distinct("_names")).alias("_one"))
-    by_name = words.withColumn("_one", F.get("_tokens", F.lit(0))).join(small(lead), "_one").filter(covered).groupBy(text).agg(F.min_by("ref", "seq").alias("named"))
-    return c.join(first, text, "left").join(by_name, text, "left").select(text, F.coalesce("direct", "named").alias("ref"))
+    lead = written(people.select("ref", "seq", "_names", F.explode(F.array_distinct("_names")).alias("_one")), "surnames")
+    by_name = words.withColumn("_one", F.get("_tokens", F.lit(0))).join(lead.hint("merge"), "_one").filter(covered).groupBy(text).agg(F.min(F.struct("seq", "ref")).alias("_named"))
+    joined = c.join(first.hint("merge"), text, "left").join(by_name.hint("merge"), text, "left")
+    return joined.select(text, F.coalesce("_direct.ref", "_named.ref").alias("ref"))
 
 
 def citations(citing: DataFrame, resolved: DataFrame, text: str = "cite", key: str = "key") -> DataFrame:

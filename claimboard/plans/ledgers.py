@@ -48,26 +48,29 @@ def _(spark, sf):
 
 # ---- L: text
 
-CITE_SQL = """ci AS (SELECT doc_id AS key, CASE doc_id % 5 WHEN 0 THEN 'arXiv:' || (2000 + doc_id % 40) || '.' || (10000 + doc_id % 40) WHEN 1 THEN 'see doi 10.1000/' || doc_id % 40 || '.x' WHEN 2 THEN 'Name' || doc_id % 40 || ', Other' || doc_id % 40
-  WHEN 3 THEN 'arXiv:9999.99999' ELSE text END AS cite FROM documents),
-  rf AS (SELECT 'ref' || n_nationkey AS ref, n_nationkey AS seq, CASE WHEN n_nationkey % 2 = 0 THEN (2000 + n_nationkey) || '.' || (10000 + n_nationkey) ELSE '' END AS eprint, CASE WHEN n_nationkey % 3 = 0 THEN '10.1000/' || n_nationkey || '.X' ELSE '' END AS doi, ['name' || n_nationkey, 'other' || n_nationkey] AS names FROM nation)"""
+#: Every line of every text is a citation to read; each text also gets a last line that cites something.
+CITE_SQL = """ci AS (SELECT doc_id AS key, unnest(string_split(coalesce(text, '') || chr(10) || CASE doc_id % 5 WHEN 0 THEN 'arXiv:' || (2000 + doc_id % 150) || '.' || (10000 + doc_id % 150) WHEN 1 THEN 'see doi 10.1000/' || doc_id % 150 || '.x'
+  WHEN 2 THEN 'Name' || doc_id % 150 || ', Other' || doc_id % 150 WHEN 3 THEN 'arXiv:9999.99999' ELSE 'in 10.1000/' || doc_id % 150 || '.xyz and ' || (2000 + doc_id % 150) || '.' || (10000 + doc_id % 150) END, chr(10))) AS cite FROM documents),
+  rf AS (SELECT 'ref' || s_suppkey AS ref, s_suppkey AS seq, CASE WHEN s_suppkey % 2 = 0 THEN (2000 + s_suppkey % 1000) || '.' || (10000 + s_suppkey % 90000) ELSE '' END AS eprint, CASE WHEN s_suppkey % 3 = 0 THEN '10.1000/' || s_suppkey || '.X' ELSE '' END AS doi, ['name' || s_suppkey, 'other' || s_suppkey] AS names FROM supplier)"""
 
 
 def _cites(spark, sf):
     k = F.col("doc_id")
-    m = (k % 40).cast("string")
+    m = (k % 150).cast("string")
+    code = F.concat((2000 + k % 150).cast("string"), F.lit("."), (10000 + k % 150).cast("string"))
     cite = (
-        F.when(k % 5 == 0, F.concat(F.lit("arXiv:"), (2000 + k % 40).cast("string"), F.lit("."), (10000 + k % 40).cast("string"))).when(k % 5 == 1, F.concat(F.lit("see doi 10.1000/"), m, F.lit(".x")))
-        .when(k % 5 == 2, F.concat(F.lit("Name"), m, F.lit(", Other"), m)).when(k % 5 == 3, F.lit("arXiv:9999.99999")).otherwise(F.col("text"))
+        F.when(k % 5 == 0, F.concat(F.lit("arXiv:"), code)).when(k % 5 == 1, F.concat(F.lit("see doi 10.1000/"), m, F.lit(".x")))
+        .when(k % 5 == 2, F.concat(F.lit("Name"), m, F.lit(", Other"), m)).when(k % 5 == 3, F.lit("arXiv:9999.99999")).otherwise(F.concat(F.lit("in 10.1000/"), m, F.lit(".xyz and "), code))
     )
-    return t(spark, sf, "documents").select(k.alias("key"), cite.alias("cite"))
+    whole = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), cite)
+    return t(spark, sf, "documents").select(k.alias("key"), F.explode(F.split(whole, "\n")).alias("cite"))
 
 
 def _refs(spark, sf):
-    n = F.col("n_nationkey")
+    n = F.col("s_suppkey")
     s = n.cast("string")
-    return t(spark, sf, "nation").select(
-        F.concat(F.lit("ref"), s).alias("ref"), n.alias("seq"), F.when(n % 2 == 0, F.concat((2000 + n).cast("string"), F.lit("."), (10000 + n).cast("string"))).otherwise("").alias("eprint"),
+    return t(spark, sf, "supplier").select(
+        F.concat(F.lit("ref"), s).alias("ref"), n.alias("seq"), F.when(n % 2 == 0, F.concat((2000 + n % 1000).cast("string"), F.lit("."), (10000 + n % 90000).cast("string"))).otherwise("").alias("eprint"),
         F.when(n % 3 == 0, F.concat(F.lit("10.1000/"), s, F.lit(".X"))).otherwise("").alias("doi"), F.concat(F.lit("Name"), s, F.lit(", A. and B. Other"), s).alias("author"),
     )
 
@@ -78,9 +81,9 @@ RES_SQL = f"""{CITE_SQL}, cc AS (SELECT DISTINCT cite, lower(cite) AS low, nulli
   nr AS (SELECT cite, arg_min(ref, seq) AS ref FROM tk JOIN rf ON len(tk) > 0 AND list_has_all(names, tk) GROUP BY cite), rs AS (SELECT cc.cite, coalesce(dr.ref, nr.ref) AS ref FROM cc LEFT JOIN dr ON cc.cite = dr.cite LEFT JOIN nr ON cc.cite = nr.cite)"""
 
 
-@query("l1_arxiv_id", f"WITH {CITE_SQL} SELECT key, nullif(regexp_extract(lower(cite), '([0-9]{{4}}\\.[0-9]{{4,5}}|[a-z-]+(?:\\.[a-z]{{2}})?/[0-9]{{7}})', 1), '') AS aid FROM ci")
+@query("l1_arxiv_id", f"WITH {CITE_SQL} SELECT key, cite, nullif(regexp_extract(lower(cite), '([0-9]{{4}}\\.[0-9]{{4,5}}|[a-z-]+(?:\\.[a-z]{{2}})?/[0-9]{{7}})', 1), '') AS aid FROM ci")
 def _(spark, sf):
-    return _cites(spark, sf).select("key", text.arxiv_id(F.col("cite")).alias("aid"))
+    return _cites(spark, sf).select("key", "cite", text.arxiv_id(F.col("cite")).alias("aid"))
 
 
 @query("l2_resolve", f"WITH {RES_SQL} SELECT cite, ref FROM rs")
@@ -88,9 +91,9 @@ def _(spark, sf):
     return text.resolve(_cites(spark, sf), written(_refs(spark, sf), "refs"))
 
 
-@query("l3_surnames", "SELECT n_nationkey, 'name' || n_nationkey || ',other' || n_nationkey AS names FROM nation")
+@query("l3_surnames", "SELECT s_suppkey, 'name' || s_suppkey || ',other' || s_suppkey AS names FROM supplier")
 def _(spark, sf):
-    return _refs(spark, sf).select(F.col("seq").alias("n_nationkey"), F.array_join(text.surnames(F.col("author")), ",").alias("names"))
+    return _refs(spark, sf).select(F.col("seq").alias("s_suppkey"), F.array_join(text.surnames(F.col("author")), ",").alias("names"))
 
 
 @query("l4_citations", f"WITH {RES_SQL} SELECT ref, count(DISTINCT key) AS n, md5(string_agg(DISTINCT key, ',' ORDER BY key)) AS citing FROM ci JOIN rs ON ci.cite = rs.cite WHERE ref IS NOT NULL GROUP BY ref")
@@ -155,9 +158,9 @@ def _(spark, sf):
     return entries(spark, sf).select("key", text.title(F.col("n"), F.col("k"), F.col("d"), tag).alias("title"))
 
 
-@query("l13_complete_id", f"WITH {CITE_SQL} SELECT key, regexp_full_match(cite, '(?i)arxiv:\\s*(?:[0-9]{{4}}\\.[0-9]{{4,5}}|[a-z-]+(?:\\.[a-z]{{2}})?/[0-9]{{7}})(?:v[0-9]+)?\\s*') AS complete FROM ci")
+@query("l13_complete_id", f"WITH {CITE_SQL} SELECT key, cite, regexp_full_match(cite, '(?i)arxiv:\\s*(?:[0-9]{{4}}\\.[0-9]{{4,5}}|[a-z-]+(?:\\.[a-z]{{2}})?/[0-9]{{7}})(?:v[0-9]+)?\\s*') AS complete FROM ci")
 def _(spark, sf):
-    return _cites(spark, sf).select("key", text.complete_id(F.col("cite")).alias("complete"))
+    return _cites(spark, sf).select("key", "cite", text.complete_id(F.col("cite")).alias("complete"))
 
 
 NOTE_SQL = """nt AS (SELECT doc_id || '-1-2.md' AS label, coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN ' see /home/me/x.py now' WHEN 1 THEN ' <!-- edit --> TODO' WHEN 2 THEN ' https://chatgpt.com/c/9' WHEN 3 THEN ' `codes/' || doc_id % 30 || '.json` and build/out.txt' WHEN 4 THEN ' [[' || doc_id || ',1,2]]' ELSE ' [[5,6,7]]' END AS text FROM documents)"""
@@ -670,19 +673,20 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(table.schema).parquet(f"{sf}/{name}*.parquet")
 
 
-@query("s1_streaming_leaderboard", f"WITH {E_SQL}, lb AS (SELECT n || '/' || d AS fp, key, eff, row_number() OVER (PARTITION BY n || '/' || d ORDER BY eff DESC, key) AS rn FROM e) SELECT fp, key, eff FROM lb WHERE rn = 1")
+@query("s1_streaming_leaderboard", f"WITH {E_SQL}, lb AS (SELECT n || '/' || d AS fp, key, eff, row_number() OVER (PARTITION BY n || '/' || d ORDER BY key % 4 DESC, eff DESC, key) AS rn FROM e) SELECT fp, key, eff FROM lb WHERE rn = 1")
 def _(spark, sf):
-    from ..functions.tables import shared_dir
+    """Entries arrive in four deliveries; after each the stream goes on from its checkpoint with one more batch."""
     import uuid
 
+    from ..functions.tables import shared_dir
+
     base = f"{shared_dir(spark)}/leaderboard-{uuid.uuid4().hex}"
-    rows = _board_rows(spark, sf)
-    rows.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    started = incremental.upsert_leaderboard(stream, f"{base}/board", f"{base}/state", "fp", [F.desc("eff"), F.asc("key")])
-    started.awaitTermination()
-    last = max(p["batchId"] for p in started.recentProgress if p["numInputRows"])
-    return spark.read.schema(rows.schema).parquet(f"{base}/board/v{last}")
+    rows = written(_board_rows(spark, sf), "board-rows")
+    for part in range(4):
+        rows.filter(F.col("key") % 4 == part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        incremental.upsert_leaderboard(stream, f"{base}/board", f"{base}/state", "fp", [("eff", False), ("key", True)]).awaitTermination()
+    return incremental.leaderboard(spark, f"{base}/board", "fp string, key long, eff double", "fp")
 
 
 @query("s2_streaming_lightest", "SELECT l_partkey AS key, min(l_quantity)::BIGINT AS weight, arg_min(l_orderkey, {'w': l_quantity, 't': l_orderkey}) AS witness FROM lineitem GROUP BY l_partkey")

@@ -313,8 +313,7 @@ def _(spark, sf):
     return contributors.origin_split(entries(spark, sf), "origin")
 
 
-@query("k8_work_list", f"WITH {E_SQL} SELECT author, count(*) AS n, md5(string_agg(date || '/' || key || '/' || w, ',' ORDER BY date DESC, key DESC)) AS works FROM e GROUP BY author")
+@query("k8_work_list", f"WITH {E_SQL} SELECT author, row_number() OVER (PARTITION BY author ORDER BY date DESC, key DESC) AS place, date || '/' || key || '/' || w AS work FROM e")
 def _(spark, sf):
-    out = contributors.work_list(entries(spark, sf), "author", ["date", "key", "w"])
-    lines = F.transform("works", lambda x: F.concat_ws("/", x["date"], x["key"].cast("string"), x["w"].cast("string")))
-    return out.select("author", F.size("works").cast("long").alias("n"), F.md5(F.array_join(lines, ",")).alias("works"))
+    out = contributors.work_list(entries(spark, sf), "author", [F.desc("date"), F.desc("key")])
+    return out.select("author", F.col("place").cast("long").alias("place"), F.concat_ws("/", "date", F.col("key").cast("string"), F.col("w").cast("string")).alias("work"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import ship
+
 # Document schema, key format, file cap.
 SIDE = "struct<value:int,confidence:string,witness:array<int>,witness_provenance:struct<found_by:array<string>,date:string,found_at_samples:bigint,survived_samples:bigint,tool:string,seeds:array<bigint>>>"
 BASIS = "struct<value:int,confidence:string,witness:array<int>>"
@@ -18,17 +22,19 @@ SUBMISSION = (
 )
 CERTIFICATE = "name string, d int, solver string, sides map<string,struct<value:int,exact:boolean,note:string>>, d_exact boolean"
 KEY, MOST_BYTES = "^[a-z0-9]+(-[a-z0-9]+)*$", 5_000_000
+#: Bytes of a file that one row may hold, and of a chunk of a larger file.
+WHOLE_BYTES, CHUNK_BYTES = 1 << 28, 1 << 22
 
 
 def _stem(column: str = "_metadata.file_name"):
     return F.regexp_replace(F.col(column), "\\.[^.]*$", "")
 
 
-def judged(raw: DataFrame) -> DataFrame:
+def judged(raw: DataFrame, key=None) -> DataFrame:
     """Documents as read with `_corrupt`, with their key and `problem` (null if the document may be used)."""
     empty = F.col("n").isNull() & F.col("checks").isNull() & F.col("name").isNull()
     problem = F.when(~F.col("key").rlike(KEY), F.lit("unsafe key")).when(F.col("_corrupt").isNotNull() | empty, F.lit("malformed document"))
-    return raw.select("*", _stem().alias("key")).withColumn("problem", problem).drop("_corrupt")
+    return raw.select("*", (_stem() if key is None else key).alias("key")).withColumn("problem", problem).drop("_corrupt")
 
 
 def read_submissions(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -38,10 +44,28 @@ def read_submissions(spark: SparkSession, path: str, most_bytes: int = MOST_BYTE
     of the listing by their size and never opened."""
     options = {"multiLine": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     raw = spark.read.schema(SUBMISSION + ", _corrupt string").options(**options, pathGlobFilter="*.json").json(path).filter(F.col("_metadata.file_size") <= most_bytes)
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).filter(F.col("length") > most_bytes)
-    key = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "[.][^.]*$", "").alias("key")
-    large = listed.select(key).withColumn("problem", F.when(~F.col("key").rlike(KEY), F.lit("unsafe key")).otherwise(F.lit("file too large")))
-    return judged(raw).unionByName(large, allowMissingColumns=True)
+    return judged(raw).unionByName(_oversized(spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path), most_bytes), allowMissingColumns=True)
+
+
+def _path_key():
+    return F.regexp_replace(F.element_at(F.split("path", "/"), -1), "[.][^.]*$", "").alias("key")
+
+
+def _oversized(listed: DataFrame, most_bytes: int) -> DataFrame:
+    """(key, problem) of listed files over the cap; only names and sizes are read."""
+    large = listed.filter(F.col("length") > most_bytes).select(_path_key())
+    return large.withColumn("problem", F.when(~F.col("key").rlike(KEY), F.lit("unsafe key")).otherwise(F.lit("file too large")))
+
+
+def stream_submissions(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES, files_a_batch: int = 1000) -> DataFrame:
+    """The stream of what read_submissions() reads: one row per new JSON document, `files_a_batch` files at a time.
+
+    Files come through the listing of the binary source, whose filter on the size keeps larger ones closed; these are
+    reported by a second stream over the same folder, which reads names and sizes only."""
+    listing = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").options(pathGlobFilter="*.json", maxFilesPerTrigger=files_a_batch)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    small = listing.load(path).filter(F.col("length") <= most_bytes).select(_path_key(), F.from_json(F.decode("content", "UTF-8"), SUBMISSION + ", _corrupt string", options).alias("d"))
+    return judged(small.select("d.*", F.col("key").alias("_key")), F.col("_key")).drop("_key").unionByName(_oversized(listing.load(path), most_bytes), allowMissingColumns=True)
 
 
 def split_quarantine(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,9 +133,52 @@ def mechanisms(files: DataFrame, file: str = "file", text: str = "text") -> Data
     return ops.select(file, idx.alias("idx"), F.col("arg").alias("p"), pick("D").alias("detectors"), pick("L").alias("observables"))
 
 
-def hash_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, sha) of every file."""
-    return spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup=True).load(path).select("path", F.sha2("content", 256).alias("sha"))
+def hash_files(spark: SparkSession, path: str, glob: str = "*", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(path, sha) of every file. Files over `whole_bytes`, which a row cannot or should not hold, are read in chunks
+    by one task each, through pyarrow's file systems."""
+    listed = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup=True).load(path)
+    small = listed.filter(F.col("length") <= whole_bytes).select("path", F.sha2("content", 256).alias("sha"))
+
+    def chunked(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            shas = []
+            for name in b.column("path").to_pylist():
+                system, where = fs.FileSystem.from_uri(name if "://" in name else re.sub("^file:/+", "file:///", name))
+                digest = hashlib.sha256()
+                with system.open_input_stream(where) as f:
+                    while chunk := f.read(CHUNK_BYTES):
+                        digest.update(chunk)
+                shas.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(shas, pa.string())], ["path", "sha"])
+
+    ship(spark)
+    large = listed.filter(F.col("length") > whole_bytes).select("path").repartition("path")
+    return small.unionByName(large.mapInArrow(chunked, "path string, sha string"))
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """Write rows (name, content) as files of a folder that all executors share; a repeated task writes the same files."""
+    ship(files.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, where = fs.FileSystem.from_uri(path)
+        system.create_dir(where)
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
+                with system.open_output_stream(f"{where}/{name}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([b.column("name")], ["name"])
+
+    rows = files.select("name", F.col("content").cast("binary").alias("content"))
+    rows.mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
 
 
 def resume_state(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -2,25 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from ..operators.ledger import merge_leaderboard
-from ..sources.files import KEY, MOST_BYTES, SUBMISSION, judged, read_submissions, resume_state
+from ..functions.tables import setting, ship
+from ..sources.files import read_submissions, stream_submissions
 
+intake = stream_submissions
 
-def upsert_leaderboard(stream: DataFrame, path: str, checkpoint: str, fingerprint: str, order: list[Column]) -> StreamingQuery:
-    """Keep a leaderboard under `path`: each batch is merged into the last version and written as the next one, so a
-    batch that is repeated after a failure gives the same version. Returns the started query."""
-    schema = stream.schema.simpleString()[len("struct<") : -1]
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = resume_state(spark, f"{path}/v{epoch - 1}", schema)
-        merge_leaderboard(old, batch, fingerprint, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+class _Upsert(StatefulProcessor):
+    """State of one fingerprint: its row on the board. A batch's first row in order replaces it; a change is a row out."""
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def __init__(self, schema, order: list[tuple[str, bool]]):
+        self.schema, self.order = schema, order
+
+    def init(self, handle) -> None:
+        self.row = handle.getValueState("row", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  names of Spark's interface
+        import pandas as pd
+
+        first = None
+        for pdf in rows:
+            both = pdf if first is None else pd.concat([first, pdf])
+            for name, ascending in reversed(self.order):  # nulls as Spark orders them
+                both = both.sort_values(name, ascending=ascending, kind="stable", na_position="first" if ascending else "last")
+            first = both.head(1)
+        if first is None:
+            return
+        new = tuple(None if pd.isna(v) else v for v in first[self.schema.names].astype(object).iloc[0])
+        if self.row.get() != new:
+            self.row.update(new)
+            yield first[self.schema.names]
+
+    def close(self) -> None:
+        pass
+
+
+def upsert_leaderboard(stream: DataFrame, path: str, checkpoint: str, fingerprint: str, order: list[tuple[str, bool]]) -> StreamingQuery:
+    """Keep a leaderboard: of each batch the first row of a fingerprint, in `order` of (column, ascending), replaces its
+    row on the board. The board's rows are the query's state, one per fingerprint; each batch writes only the rows that
+    it changed, as `path`/epoch=N, so a batch that is repeated after a failure writes the same files again, and a
+    restart from `checkpoint` goes on. leaderboard() reads the board. Returns the started query."""
+    ship(stream.sparkSession)
+    names = stream.schema
+    changed = stream.groupBy(fingerprint).transformWithStateInPandas(_Upsert(names, order), names, "Update", "None")
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    with setting(stream.sparkSession, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        return changed.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def leaderboard(spark: SparkSession, path: str, schema: str, fingerprint: str) -> DataFrame:
+    """The board that upsert_leaderboard() keeps: each fingerprint's last change."""
+    changes = spark.read.schema(f"{schema}, epoch long").parquet(path)
+    names = [c for c in changes.columns if c != "epoch"]
+    return changes.groupBy(fingerprint).agg(F.max_by(F.struct(*names), "epoch").alias("row")).select("row.*")
 
 
 def running_lightest(stream: DataFrame, keys: list[str], weight: str, tie: str) -> DataFrame:
@@ -28,11 +69,4 @@ def running_lightest(stream: DataFrame, keys: list[str], weight: str, tie: str)
     return stream.groupBy(*keys).agg(F.min(weight).alias("weight"), F.min_by(tie, F.struct(weight, tie)).alias("witness"))
 
 
-def intake(spark: SparkSession, path: str) -> DataFrame:
-    """Stream of submission documents with the same `problem` column as the batch reader."""
-    raw = spark.readStream.schema(SUBMISSION + ", _corrupt string").options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", pathGlobFilter="*.json").json(path)
-    large = F.col("_metadata.file_size") > MOST_BYTES
-    return judged(raw.withColumn("_large", large)).withColumn("problem", F.when(F.col("_large") & F.col("key").rlike(KEY), F.lit("file too large")).otherwise(F.col("problem"))).drop("_large")
-
-
-__all__ = ["intake", "read_submissions", "running_lightest", "upsert_leaderboard"]
+__all__ = ["intake", "leaderboard", "read_submissions", "running_lightest", "stream_submissions", "upsert_leaderboard"]
