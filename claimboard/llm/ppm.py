@@ -16,6 +16,9 @@ second order lies in one shard, and the counts of the first order are at most 65
 shard yields its windows' log-probabilities, which are joined back to the blocks that asked for them; a block is then
 scored with its own windows only. No task holds the whole trie, and no part of it is dropped.
 
+Log-probabilities travel to the blocks in single precision and are summed in double, so a score is exact to some seven
+digits.
+
 Defined results: a null or blank text is the end alone; a null doc_id counts as the empty text in the fold rule, which
 puts it into training; each row is scored and counted by itself, repeated rows too; without training rows the byte
 scores are uniform and the base is 0; an empty table gives an empty table; other columns are ignored.
@@ -198,7 +201,7 @@ class _Block:
         for i in range(0, len(order), 1 << 16):
             some, n = names.slice(i, 1 << 16), trained[i : i + (1 << 16)]
             yield _rows(at, 2, len(some), slot=np.arange(i, i + len(some)), word=some, n=n)
-            yield _rows(at, 0, 1, slot=[i], word=[b" ".join(some.to_pylist())], numbers=[n.tobytes()])
+            yield _rows(at, 0, 1, slot=[i], word=[b" ".join(some.to_pylist())], numbers=[n.astype("<u4").tobytes()])  # a block has fewer words than 2^32
         yield _rows(at, 2, 1, slot=[-1], word=[bytes([END])], n=[self.ends])
 
 
@@ -370,12 +373,12 @@ def _score(total: int, different: int):
 
         is_word = pc.is_valid(docs.column("word"))
         names = docs.filter(is_word).sort_by("slot")
-        counts = np.concatenate([np.zeros(1), *(np.frombuffer(x, np.int64) for x in names.column("numbers").to_pylist())])  # the end is the first
+        counts = np.concatenate([np.zeros(1), *(np.frombuffer(x, "<u4") for x in names.column("numbers").to_pylist())])  # the end is the first
         spelt = _spelt([bytes([END]), *names.column("word").to_pylist()])
         is_win = pc.is_valid(known.column("win"))
         wins, more = known.filter(is_win), known.filter(pc.invert(is_win))
-        look, lp = Lookup(wins.column("win").combine_chunks().to_numpy()), wins.column("value").combine_chunks().to_numpy()
-        counts[more.column("slot").to_numpy() + 1] = more.column("value").to_numpy()
+        look, lp = Lookup(wins.column("win").combine_chunks().to_numpy()), wins.column("lp").combine_chunks().to_numpy().astype(np.float64)
+        counts[more.column("slot").to_numpy() + 1] = more.column("n").to_numpy()
         logs = np.log10((counts + 1) / (total + different + 1))
         out = []
         for b in docs.filter(pc.invert(is_word)).to_batches():
@@ -421,10 +424,10 @@ def score(docs: DataFrame, train=None, block_bytes: int = BLOCK_BYTES) -> DataFr
     model = dealt.groupBy("shard").applyInArrow(_model(low["key"].to_numpy("int64"), low["n"].to_numpy("int64")), "win long, lp double")
     model = table(model, "ppm-model", collect=True)
     drop(windows)
-    known = asked.join(model.hint("merge"), "win").select(F.col("block").alias("of_block"), "win", F.lit(None).cast("int").alias("slot"), F.col("lp").alias("value"))
+    known = asked.join(model.hint("merge"), "win").select(F.col("block").alias("of_block"), "win", F.lit(None).cast("int").alias("slot"), F.col("lp").cast("float").alias("lp"), F.lit(None).cast("long").alias("n"))
     # a block knows its own counts of words; it is told those that other blocks add to, and how often texts end
     counted = asked_words.withColumnRenamed("n", "own").join(words.hint("merge"), "word").where("n <> own OR slot < 0")
-    counted = counted.select(F.col("block").alias("of_block"), F.lit(None).cast("long").alias("win"), "slot", F.col("n").cast("double").alias("value"))
+    counted = counted.select(F.col("block").alias("of_block"), F.lit(None).cast("long").alias("win"), "slot", F.lit(None).cast("float").alias("lp"), "n")
     known = table(known.unionAll(counted), "ppm-known", collect=True)
     drop(model, words)
     drop_parts(gathered, "kind=1", "kind=2")

@@ -82,7 +82,7 @@ def test_scores_equal_plain_python(spark, block_bytes):
     got = ordered([tuple(r) for r in ppm.score(docs, block_bytes=block_bytes).collect()])
     want = ordered(by_hand(rows))
     assert [g[:5] for g in got] == [w[:5] for w in want]
-    assert all(g[5] == pytest.approx(w[5], abs=1e-9, rel=1e-9) and g[6] == pytest.approx(w[6], abs=1e-9, rel=1e-9) for g, w in zip(got, want))
+    assert all(g[5] == pytest.approx(w[5], abs=1e-9, rel=1e-9) and g[6] == pytest.approx(w[6], rel=2e-7) for g, w in zip(got, want))
 
 
 def test_probabilities_of_a_context_sum_to_one(spark):
