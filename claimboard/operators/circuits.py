@@ -44,8 +44,8 @@ def expected_noise(targets: DataFrame, data: DataFrame) -> DataFrame:
     kind = F.when(F.col("name").isin("CX", "CZ", "CNOT"), "two").when(F.col("name").isin("R", "RX", "RZ"), "reset").when(F.col("name").isin(MEASURES), "measure")
     busy = targets.withColumn("channel", kind)
     asked = busy.filter("channel IS NOT NULL").select("file", "layer", "channel", "qubit")
-    slots = targets.select("file", "layer").distinct().join(data, "file")
-    idle = slots.join(targets.select("file", "layer", "qubit").distinct(), ["file", "layer", "qubit"], "left_anti")
+    slots = targets.select("file", "layer").distinct().join(data.hint("merge"), "file")
+    idle = slots.join(targets.select("file", "layer", "qubit").distinct().hint("merge"), ["file", "layer", "qubit"], "left_anti")
     return asked.unionByName(idle.select("file", "layer", F.lit("idle").alias("channel"), "qubit"))
 
 

@@ -63,8 +63,8 @@ def metacyclic_tables(specs: DataFrame) -> DataFrame:
 def group_code(mul: DataFrame, left: DataFrame, right: DataFrame, sizes: DataFrame) -> DataFrame:
     """(grp, side, check_idx, qubit) of a two-block code: left multiplication by one support, right by the other.
     left, right: (grp, s); sizes: (grp, size)."""
-    by_left = mul.join(left.select("grp", F.col("s").alias("g")), ["grp", "g"]).select("grp", F.col("h").alias("x"), F.col("gh").alias("y"))
-    by_right = mul.join(right.select("grp", F.col("s").alias("h")), ["grp", "h"]).select("grp", F.col("g").alias("x"), F.col("gh").alias("y"))
+    by_left = mul.join(left.select("grp", F.col("s").alias("g")).hint("merge"), ["grp", "g"]).select("grp", F.col("h").alias("x"), F.col("gh").alias("y"))
+    by_right = mul.join(right.select("grp", F.col("s").alias("h")).hint("merge"), ["grp", "h"]).select("grp", F.col("g").alias("x"), F.col("gh").alias("y"))
     return _two_blocks(by_left, by_right, sizes)
 
 
@@ -72,7 +72,7 @@ def _two_blocks(by_left: DataFrame, by_right: DataFrame, sizes: DataFrame) -> Da
     """X = [left | right] and Z = [right transposed | left transposed] of two (grp, x, y) relations."""
 
     def rows(df: DataFrame, side: str, row: str, q: str, block: int) -> DataFrame:
-        return df.join(sizes, "grp").select("grp", F.lit(side).alias("side"), F.col(row).cast("long").alias("check_idx"), (F.col(q) + block * F.col("size")).cast("long").alias("qubit"))
+        return df.join(sizes.hint("merge"), "grp").select("grp", F.lit(side).alias("side"), F.col(row).cast("long").alias("check_idx"), (F.col(q) + block * F.col("size")).cast("long").alias("qubit"))
 
     every = rows(by_left, "X", "x", "y", 0).unionByName(rows(by_right, "X", "x", "y", 1)).unionByName(rows(by_right, "Z", "y", "x", 0)).unionByName(rows(by_left, "Z", "y", "x", 1))
     return xor_normalise(every, ["grp", "side", "check_idx"], "qubit")
@@ -83,10 +83,10 @@ def coset_code(mul: DataFrame, subgroup: DataFrame, left: DataFrame, right: Data
     numbered = cosets(mul, subgroup).select("grp", "g", "rep", "coset")
     reps = numbered.filter("g = rep").select("grp", F.col("rep").alias("h"), F.col("coset").alias("x"))
     image = numbered.select("grp", F.col("g").alias("gh"), F.col("coset").alias("y"))
-    by_left = mul.join(left.select("grp", F.col("s").alias("g")), ["grp", "g"]).join(reps, ["grp", "h"]).join(image, ["grp", "gh"]).select("grp", "x", "y")
+    by_left = mul.join(left.select("grp", F.col("s").alias("g")).hint("merge"), ["grp", "g"]).join(reps.hint("merge"), ["grp", "h"]).join(image.hint("merge"), ["grp", "gh"]).select("grp", "x", "y")
     allowed = right.select("grp", F.col("s").alias("g")).join(normaliser(mul, subgroup), ["grp", "g"], "left_semi").select("grp", F.col("g").alias("h"))
     own = reps.select("grp", F.col("h").alias("g"), "x")
-    by_right = mul.join(allowed, ["grp", "h"]).join(own, ["grp", "g"]).join(image, ["grp", "gh"]).select("grp", "x", "y")
+    by_right = mul.join(allowed.hint("merge"), ["grp", "h"]).join(own.hint("merge"), ["grp", "g"]).join(image.hint("merge"), ["grp", "gh"]).select("grp", "x", "y")
     return _two_blocks(by_left, by_right, numbered.groupBy("grp").agg(F.count_distinct("coset").alias("size")))
 
 
@@ -95,7 +95,7 @@ def hypergraph_product(a: DataFrame, b: DataFrame, sizes: DataFrame) -> DataFram
     sizes: (key, ra, ca, rb, cb), rows and columns of each. Qubits: ca * cb, then ra * rb."""
     s = sizes.withColumn("off", F.col("ca") * F.col("cb"))
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("u")
-    ea, eb = a.join(s, "key"), b.join(s, "key")
+    ea, eb = a.join(s.hint("merge"), "key"), b.join(s.hint("merge"), "key")
     put = lambda df, side, row, q: df.select("key", F.lit(side).alias("side"), row.cast("long").alias("check_idx"), q.cast("long").alias("qubit"))
     r, c, u = F.col("row"), F.col("col"), F.col("u")
     parts = [
@@ -135,13 +135,13 @@ def planar_code(specs: DataFrame) -> DataFrame:
         # a member may hang off only the edges of the side's own axis
         hangs = F.col("q").between(0, F.col("ly") - 1) if side == "X" else F.col("p").between(0, F.col("lx") - 1)
         bad = rows.filter(~inside & ~hangs).select("spec", "i", "j").distinct()
-        kept = rows.filter(inside).join(bad, ["spec", "i", "j"], "left_anti")
+        kept = rows.filter(inside).join(bad.hint("merge"), ["spec", "i", "j"], "left_anti")
         kept = kept.select("spec", "side", "i", "j", (F.col("b") * F.col("lx") * F.col("ly") + F.col("p") * F.col("ly") + F.col("q")).cast("long").alias("qubit"))
         out = kept if out is None else out.unionByName(kept)
     rows = xor_normalise(out, ["spec", "side", "i", "j"], "qubit")
     x, z = rows.filter("side = 'X'"), rows.filter("side = 'Z'")
-    odd = x.join(z.select("spec", F.col("i").alias("zi"), F.col("j").alias("zj"), "qubit"), ["spec", "qubit"]).groupBy("spec", "i", "j", "zi", "zj").agg(F.count("*").alias("c")).filter("c % 2 = 1")
-    good = x.join(odd.select("spec", "i", "j").distinct(), ["spec", "i", "j"], "left_anti").unionByName(z)
+    odd = x.join(z.select("spec", F.col("i").alias("zi"), F.col("j").alias("zj"), "qubit").hint("merge"), ["spec", "qubit"]).groupBy("spec", "i", "j", "zi", "zj").agg(F.count("*").alias("c")).filter("c % 2 = 1")
+    good = x.join(odd.select("spec", "i", "j").distinct().hint("merge"), ["spec", "i", "j"], "left_anti").unionByName(z)
     index = F.dense_rank().over(W.partitionBy("spec", "side").orderBy("i", "j")) - 1
     return good.select("spec", "side", index.cast("long").alias("check_idx"), "qubit")
 

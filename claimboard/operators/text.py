@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import written
 
 # Identifier formats, lint patterns, known extensions and prefixes.
-ARXIV = "([0-9]{4}\\.[0-9]{4,5}|[a-z-]+(?:\\.[a-z]{2})?/[0-9]{7})"
+ARXIV = "([0-9]{4}\\.[0-9]{4,5}|(?<![a-z-])[a-z-]++(?:\\.[a-z]{2})?/[0-9]{7})"
 DOI = "10\\.[0-9]+/\\S+"
 ABSOLUTE = "(?:^|[\\s(`\"'])((?:/Users/|/home/|/tmp/|/private/tmp/|/var/folders/|~/|C:\\\\)[\\w./\\\\~-]+)"
 EXTERNAL = "(?i)https?://|github\\.com|gitlab\\.com|zenodo|doi\\.org|arxiv\\.org/abs|upstream repo|authors'? (?:own )?(?:published )?(?:repo|artifact)"

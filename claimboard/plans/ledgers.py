@@ -537,12 +537,18 @@ def _(spark, sf):
     return generate.hypergraph_product(rows, rows, sizes)
 
 
-@query("o8_product_of_codes")
+@query("o8_product_of_codes", f"""WITH {GC_SQL}, h AS (SELECT gc.grp AS key, a * b AS n, check_idx AS r, qubit AS c FROM gc JOIN s ON gc.grp = s.grp WHERE side = 'X'),
+  pr AS (SELECT key, 'X' AS side, r * 2 * n + u.k AS check_idx, c * 2 * n + u.k AS qubit FROM h, unnest(range(0, 2 * n)) AS u(k) UNION ALL SELECT key, 'X', u.k * 2 * n + c, 4 * n * n + u.k * n + r FROM h, unnest(range(0, n)) AS u(k)
+  UNION ALL SELECT key, 'Z', u.k * n + r, u.k * 2 * n + c FROM h, unnest(range(0, 2 * n)) AS u(k) UNION ALL SELECT key, 'Z', c * n + u.k, 4 * n * n + r * n + u.k FROM h, unnest(range(0, n)) AS u(k)),
+  od AS (SELECT key, side, check_idx, qubit FROM pr GROUP BY ALL HAVING count(*) % 2 = 1)
+  SELECT key, side, count(*) AS entries, count(DISTINCT check_idx) AS checks, sum((check_idx + 1) * (qubit + 3) % 1000003)::BIGINT AS mixed FROM od GROUP BY key, side""")
 def _(spark, sf):
-    return generate.product_of_group_codes(*_supports(spark, sf)).groupBy("key", "side").agg(F.count("*").alias("entries"), F.count_distinct("check_idx").alias("checks"))
+    out = generate.product_of_group_codes(*_supports(spark, sf))
+    mixed = F.sum((F.col("check_idx") + 1) * (F.col("qubit") + 3) % 1000003).alias("mixed")
+    return out.groupBy("key", "side").agg(F.count("*").alias("entries"), F.count_distinct("check_idx").alias("checks"), mixed)
 
 
-@query("o9_planar_code", """WITH s AS (SELECT n_nationkey AS spec, 3 + n_nationkey % 3 AS lx, 3 + n_regionkey % 2 AS ly FROM nation),
+@query("o9_planar_code", """WITH s AS (SELECT s_suppkey AS spec, 3 + s_suppkey % 3 AS lx, 3 + s_nationkey % 2 AS ly FROM supplier),
   a AS (SELECT spec, lx, ly, u.i AS i, v.j AS j FROM s, unnest(range(-1, lx + 1)) AS u(i), unnest(range(-1, ly + 1)) AS v(j)), o AS (SELECT 'X' AS side, 0 AS b, 0 AS x, 0 AS y UNION ALL SELECT 'X', 0, 1, 0 UNION ALL SELECT 'X', 1, 0, 0 UNION ALL SELECT 'X', 1, 0, 1 UNION ALL SELECT 'Z', 0, 0, 0 UNION ALL SELECT 'Z', 0, 0, -1 UNION ALL SELECT 'Z', 1, 0, 0 UNION ALL SELECT 'Z', 1, -1, 0),
   r AS (SELECT spec, lx, ly, side, i, j, b, i + x AS p, j + y AS q FROM a, o), bad AS (SELECT DISTINCT spec, side, i, j FROM r WHERE NOT (p >= 0 AND p < lx AND q >= 0 AND q < ly) AND NOT CASE WHEN side = 'X' THEN q >= 0 AND q < ly ELSE p >= 0 AND p < lx END),
   k AS (SELECT spec, side, i, j, b * lx * ly + p * ly + q AS qubit FROM r WHERE p >= 0 AND p < lx AND q >= 0 AND q < ly AND (spec, side, i, j) NOT IN (SELECT spec, side, i, j FROM bad) GROUP BY ALL HAVING count(*) % 2 = 1),
@@ -550,8 +556,8 @@ def _(spark, sf):
   SELECT spec, side, dense_rank() OVER (PARTITION BY spec, side ORDER BY i, j) - 1 AS check_idx, qubit FROM g""")
 def _(spark, sf):
     terms = lambda *p: F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in p))
-    specs = t(spark, sf, "nation").select(
-        F.col("n_nationkey").alias("spec"), (3 + F.col("n_nationkey") % 3).alias("lx"), (3 + F.col("n_regionkey") % 2).alias("ly"),
+    specs = t(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("spec"), (3 + F.col("s_suppkey") % 3).cast("int").alias("lx"), (3 + F.col("s_nationkey") % 2).cast("int").alias("ly"),
         terms((0, 0), (1, 0)).alias("xa"), terms((0, 0), (0, 1)).alias("xb"), terms((0, 0), (0, -1)).alias("za"), terms((0, 0), (-1, 0)).alias("zb"),
     )
     return generate.planar_code(specs)
@@ -594,11 +600,19 @@ def _(spark, sf):
     return circuits.not_allowed(_ops(spark, sf), allowed=["user"])
 
 
-@query("p5_noise_differences", f"WITH {I_SQL}, x AS (SELECT key AS file, check_idx AS layer, qubit, count(*) AS c FROM i WHERE side = 'X' GROUP BY ALL), y AS (SELECT key AS file, check_idx AS layer, qubit, count(*) AS c FROM i WHERE side = 'X' AND qubit % 10 <> 0 GROUP BY ALL) SELECT x.file, count(*) AS n FROM x LEFT JOIN y ON x.file = y.file AND x.layer = y.layer AND x.qubit = y.qubit WHERE x.c IS DISTINCT FROM y.c GROUP BY x.file")
+@query("p5_noise_differences", f"""WITH {I_SQL}, tg AS (SELECT key AS file, check_idx % 40 AS layer, CASE check_idx % 3 WHEN 0 THEN 'two' WHEN 1 THEN 'reset' ELSE 'measure' END AS channel, qubit FROM i WHERE side = 'X'),
+  dq AS (SELECT DISTINCT file, qubit FROM tg WHERE qubit % 4 = 0), sl AS (SELECT DISTINCT file, layer FROM tg), asked AS (SELECT file, layer, channel, qubit FROM tg UNION ALL
+  SELECT sl.file, sl.layer, 'idle', dq.qubit FROM sl JOIN dq ON sl.file = dq.file WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.file = sl.file AND tg.layer = sl.layer AND tg.qubit = dq.qubit)),
+  x AS (SELECT file, layer, channel, qubit, count(*) AS c FROM asked GROUP BY ALL), y AS (SELECT * FROM x WHERE (qubit + layer) % 10 <> 0),
+  df AS (SELECT x.* FROM x LEFT JOIN y ON x.file = y.file AND x.layer = y.layer AND x.channel = y.channel AND x.qubit = y.qubit WHERE y.c IS NULL), fi AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY layer, channel, qubit) AS rn, count(*) OVER (PARTITION BY file) AS n FROM df)
+  SELECT file, n, layer || ' ' || channel || ' ' || qubit AS first FROM fi WHERE rn = 1""")
 def _(spark, sf):
-    rows = incidence(spark, sf).filter("side = 'X'").select(F.col("key").alias("file"), F.col("check_idx").alias("layer"), F.lit("CX").alias("name"), "qubit")
-    asked = circuits.expected_noise(rows, rows.filter("false").select("file", "qubit"))
-    return circuits.noise_differences(asked, asked.filter("qubit % 10 <> 0")).select("file", "n")
+    """A file's operations in forty layers; its data are every fourth qubit, asked for an idle channel where a layer leaves them out."""
+    name = F.when(F.col("check_idx") % 3 == 0, "CX").when(F.col("check_idx") % 3 == 1, "R").otherwise("M")
+    rows = written(incidence(spark, sf).filter("side = 'X'").select(F.col("key").alias("file"), (F.col("check_idx") % 40).alias("layer"), name.alias("name"), "qubit"), "operations")
+    asked = written(circuits.expected_noise(rows, rows.filter("qubit % 4 = 0").select("file", "qubit").distinct()), "noise")
+    out = circuits.noise_differences(asked, asked.filter("(qubit + layer) % 10 <> 0"))
+    return out.select("file", "n", F.concat_ws(" ", F.col("first.layer").cast("string"), "first.channel", F.col("first.qubit").cast("string")).alias("first"))
 
 
 @query("p6_readout_covers", f"WITH m AS (SELECT l_suppkey AS file, l_orderkey AS line, l_partkey % 10 AS qubit FROM lineitem), dq AS (SELECT DISTINCT file, qubit FROM m WHERE qubit < 2), o AS (SELECT file, max(line) AS last FROM m WHERE qubit >= 2 GROUP BY file), f AS (SELECT m.file, m.qubit, count(*) AS c FROM m LEFT JOIN o ON m.file = o.file WHERE m.qubit < 2 AND (last IS NULL OR line > last) GROUP BY ALL) SELECT dq.file, bool_and(coalesce(c = 1, false)) AS ok FROM dq LEFT JOIN f ON dq.file = f.file AND dq.qubit = f.qubit GROUP BY dq.file")
