@@ -9,6 +9,7 @@ import time
 import uuid
 import zipfile
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ _shipped: set[str] = set()
 GC_SECONDS = 10
 _tables: dict[str, SparkSession] = {}
 _collected = [0.0]
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -70,6 +72,19 @@ def setting(spark: SparkSession, name: str, value: str):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextmanager
+def tables_made():
+    """A list that fills with the paths of the tables that written() makes inside the block, in this thread."""
+    paths: list[str] = []
+    before = _made.set(paths)
+    try:
+        yield paths
+    finally:
+        _made.reset(before)
+        if (outer := _made.get()) is not None:
+            outer.extend(paths)
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None, collect: bool = False) -> DataFrame:
     """Cut the lineage: write `df` as Parquet to the shared folder and read it back. The table is deleted by drop(),
     or when the process ends.
@@ -88,6 +103,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None, collect:
     if not _tables:
         atexit.register(drop_all)
     _tables[path] = spark
+    if (made := _made.get()) is not None:
+        made.append(path)
     del writer, df
     if collect or time.monotonic() - _collected[0] > GC_SECONDS:
         collect_shuffles(spark)
@@ -108,7 +125,7 @@ def drop_paths(paths: list[str]) -> None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session may have ended; the folder's owner clears it then
-            return
+            continue
 
 
 def paths_of(df: DataFrame) -> list[str]:
