@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import BROADCAST_ROWS, collect_shuffles, drop, drop_parts, drop_paths, paths_of, written_paths
+from ..functions.tables import BROADCAST_ROWS, collect_shuffles, drop, drop_parts, drop_paths, paths_of, tables_made, written_paths
 from ..functions.tables import ship as _ship
 from ..functions.tables import written as table
 
@@ -13,7 +13,7 @@ from ..functions.tables import written as table
 SPACES = " \t\n\x0b\f\r"
 
 
-__all__ = ["collect_shuffles", "drop", "drop_parts", "drop_paths", "paths_of", "table", "written_paths"]
+__all__ = ["collect_shuffles", "drop", "drop_parts", "drop_paths", "paths_of", "table", "tables_made", "written_paths"]
 
 
 def let(value: Column, body) -> Column:
@@ -76,5 +76,5 @@ def prefix_sums(blocks: DataFrame, group: list[str], block: str, sums: dict[str,
     tops = tops.select(*group, part, *(F.coalesce(F.sum(f"_top_{k}").over(over), F.lit(0)).alias(f"_top_{k}") for k in sums))
     inside = W.partitionBy(*group, part).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     cut = cut.select("*", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_in_{k}") for k, v in sums.items()))
-    joined = cut.join(tops.hint("shuffle_hash"), [*group, part])
+    joined = cut.join(tops.hint("merge"), [*group, part])
     return joined.select(*blocks.columns, *((F.col(f"_in_{k}") + F.col(f"_top_{k}")).alias(k) for k in sums))

@@ -20,8 +20,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from functools import cache
 
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,15 +30,22 @@ from .common import ship, table
 
 TRAIN_DOCS, KNOWN_WORDS, KNOWN_GRAMS, NGRAM = 3000, 30_000, 20_000, 4
 FOLDS, MEMO_WORDS = 5, 200_000
-_ASCII, _LETTERS = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_ASCII = re.compile("[a-z]+")
 _models: dict = {}
 
 
+@cache
+def _letters():
+    import regex
+
+    return regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
 def words_in(text: str | None) -> list[str]:
     """Lower-case words of a text."""
     if not text:
         return []
-    return (_ASCII if text.isascii() else _LETTERS).findall(text.lower())
+    return (_ASCII if text.isascii() else _letters()).findall(text.lower())
 
 
 
@@ -113,7 +120,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     order = W.partitionBy("lang", "words").orderBy(F.desc("n"), "kind", "gram")
     most = F.when(F.col("words"), KNOWN_WORDS).otherwise(KNOWN_GRAMS)
     chosen = counts.withColumn("words", F.col("kind") == 0).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    known = counts.join(chosen.select("kind", "gram").distinct().hint("shuffle_hash"), ["kind", "gram"])
+    known = counts.join(chosen.select("kind", "gram").distinct().hint("merge"), ["kind", "gram"])
     known = known.groupBy("kind", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy("kind", "gram")
     tables: list[dict] = [{} for _ in range(NGRAM + 1)]
     for r in known.collect():

@@ -65,8 +65,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
     halves = firsts.select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    halves_hint = halves.join(shared.hint("shuffle_hash"), "half", "left_semi").select("h1", "h2").distinct()
-    near = firsts.join(halves_hint.hint("shuffle_hash"), ["h1", "h2"], "left_semi").select("h1", "h2", "first.*")
+    halves_hint = halves.join(shared.hint("merge"), "half", "left_semi").select("h1", "h2").distinct()
+    near = firsts.join(halves_hint.hint("merge"), ["h1", "h2"], "left_semi").select("h1", "h2", "first.*")
     near = table(near.withColumnsRenamed({"doc_id": "d", "th": "t", "line_no": "l"}), "line-candidates", collect=True)
     here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("line_no") == F.col("l"))
     texts = _lines(base).join(near.hint("merge"), here).select("h1", "h2", place.alias("first"), words_of(F.col("line")).alias("words"))

@@ -59,7 +59,7 @@ def _mix(narrow: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """The same for a written table (doc_id, sk, size, h, ...), whose other columns are carried; `ties` order rows
     alike in h, doc_id and size."""
     counted = table(narrow.groupBy("sk").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "mix-sources")
-    aims = targets(counted.select("sk", "source_size")).join(counted.select("sk", "docs").hint("shuffle_hash"), "sk")
+    aims = targets(counted.select("sk", "source_size")).join(counted.select("sk", "docs").hint("merge"), "sk")
     aims = table(aims, "mix-targets")
     rows = small_join(narrow, aims, ["sk"])
     width = F.greatest(F.floor((1 << 60) * F.lit(float(RANGE_ROWS)) / F.col("docs")), F.lit(1))
@@ -67,7 +67,7 @@ def _mix(narrow: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     offsets = prefix_sums(rows.groupBy("sk", "block").agg(F.sum("size").alias("words")), ["sk"], "block", {"before": "words"})
     offsets = table(offsets.select("sk", "block", "before"), "mix-offsets")
     inside = W.partitionBy("sk", "block").orderBy("h", "doc_id", "size", *ties).rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.withColumn("upto", F.sum("size").over(inside)).join(offsets.hint("shuffle_hash"), ["sk", "block"])
+    placed = rows.withColumn("upto", F.sum("size").over(inside)).join(offsets.hint("merge"), ["sk", "block"])
     placed = table(placed.withColumn("upto", F.col("upto") + F.col("before")).drop("before", "block", "docs"), "mix-placed")
 
     finish = (F.col("upto") + F.col("epoch") * F.col("source_size")) / F.col("target")
@@ -96,7 +96,7 @@ def keep_mixed(docs: DataFrame) -> DataFrame:
     # the number is written with the row, so it stays the row's own; ids may be null or repeated
     narrow = table(keyed.withColumn("row", F.monotonically_increasing_id()), "mix-docs")
     chosen = table(_mix(narrow.select("doc_id", "sk", "size", "h", "th", "row"), ("th", "row")).filter("copies > 0").select("row", "copies"), "mix-chosen")
-    joined = narrow.select(held, "row").join(chosen.hint("shuffle_hash"), "row")
+    joined = narrow.select(held, "row").join(chosen.hint("merge"), "row")
     return joined.select(f"{held}.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy)).select(*docs.columns)
 
 

@@ -3,15 +3,15 @@
 Seeds are the spans of four base patterns: email, ip, card (Luhn) and phone, and long runs of hexadecimal digits as
 seeds of secrets. Units are the seeds, all other words with a digit or an @, and runs of digit groups with single
 separators. A lexical pattern is what stands around a unit: its two words before, or the word before and the word
-after. Pattern and instance form a bipartite graph that is scored until nothing new is found (at most ROUNDS times): a
+after. Pattern and instance form a bipartite graph that is scored until nothing new is found, each round adding to what is known: a
 pattern's confidence for a kind is the share of its distinct values that are known to be of that kind, and a unit of
 plausible shape is found if one minus the product of its good patterns' doubts reaches LEAST_SCORE; it is a seed from
 then on. Patterns need LEAST_SEEDS distinct values, so that copies of one text prove nothing. A secret is only
 reported where such a pattern confirms it. Of found units that overlap, the first and then longest stays.
 
 Positions are code points, found natively: the text between matches and the matches are measured in turn. Long texts
-are cut into segments of about SEGMENT characters where a letter stands before a space, which no match spans; words
-around a unit are taken from its segment. Single separators inside digits, and dots inside host names, are first
+are cut into segments of about SEGMENT characters where a letter stands before a space, which no match spans; the words
+around a unit may stand in the segments beside its own. Single separators inside digits, and dots inside host names, are first
 replaced by a control character of equal length, so that every pattern is a plain run of characters and no text is too
 long for the regular expression's stack.
 
@@ -28,7 +28,7 @@ from .common import SPACES, drop, fresh, let, table
 
 KINDS = ["email", "ip", "card", "phone"]
 FOUND_KINDS = [*KINDS, "secret"]
-ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, CONTEXT, SEGMENT = 20, 4, 0.8, 0.9, 48, 4000
+LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, CONTEXT, SEGMENT = 4, 0.8, 0.9, 48, 4000
 #: Digits that an unseen value of a kind must have at least.
 LEAST_DIGITS = {"email": 0, "ip": 4, "card": 10, "phone": 7, "secret": 4}
 _LOCAL = "A-Za-z0-9._%+\\u0002-"
@@ -136,10 +136,12 @@ def units(docs: DataFrame) -> DataFrame:
     """(doc_id, th, base, units) per row: base spans, and seeds and free units with the words around them."""
     t = F.coalesce(F.col("text"), F.lit(""))
 
-    def around(text: Column, u: Column) -> Column:
+    def around(text: Column, u: Column, lead: Column, rest: Column) -> Column:
+        """`lead` and `rest`: what stands beside the segment, so that the words around a unit are those of the whole text."""
         from_ = F.greatest(u["s"] - CONTEXT, F.lit(0))
-        before = F.lower(F.btrim(F.substring(text, from_ + 1, u["s"] - from_), F.lit(SPACES)))
-        after = F.lower(F.btrim(F.substring(text, u["e"] + 1, F.lit(CONTEXT)), F.lit(SPACES)))
+        left_part, right_part = F.substring(text, from_ + 1, u["s"] - from_), F.substring(text, u["e"] + 1, F.lit(CONTEXT))
+        before = F.lower(F.btrim(F.right(F.concat(lead, left_part), F.lit(CONTEXT)), F.lit(SPACES)))
+        after = F.lower(F.btrim(F.left(F.concat(right_part, rest), F.lit(CONTEXT)), F.lit(SPACES)))
         plain = lambda c: F.regexp_replace(c, "[0-9]", "0")
         left, right = F.split(before, "[\\x20\\x09-\\x0D]+"), F.split(after, "[\\x20\\x09-\\x0D]+")
         one = plain(F.try_element_at(left, F.lit(-1)))
@@ -150,16 +152,17 @@ def units(docs: DataFrame) -> DataFrame:
     def shifted(u: Column, by: Column, *more: str) -> Column:
         return F.struct((u["s"] + by).alias("s"), (u["e"] + by).alias("e"), *(u[c].alias(c) for c in ("kind", "value", *more)))
 
-    def searched(segment: Column, by: Column) -> Column:
+    def searched(segment: Column, by: Column, lead: Column, rest: Column) -> Column:
         def both(b: Column) -> Column:
-            spelled = F.transform(F.concat(b, _free_units(segment, b)), lambda u: around(segment, u))
+            spelled = F.transform(F.concat(b, _free_units(segment, b)), lambda u: around(segment, u, lead, rest))
             return F.struct(F.transform(b, lambda u: shifted(u, by)).alias("base"), F.transform(spelled, lambda u: shifted(u, by, "patterns")).alias("all"))
 
         return let(base_spans(segment), both)
 
     def whole(segments: Column) -> Column:
         before = lambda i: F.aggregate(F.slice(segments, F.lit(1), i), F.lit(0), lambda acc, x: acc + F.length(x))
-        return F.transform(segments, lambda x, i: let(before(i), lambda by: searched(x, by)))
+        beside = lambda i, cut: F.coalesce(cut(F.get(segments, i), F.lit(CONTEXT)), F.lit(""))
+        return F.transform(segments, lambda x, i: let(before(i), lambda by: searched(x, by, beside(i - 1, F.right), beside(i + 1, F.left))))
 
     segments = F.when(F.length(t) <= SEGMENT, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(SEGMENTS), F.lit(0)))
     narrow = docs.select("doc_id", F.xxhash64("text").alias("th"), let(segments, whole).alias("f"))
@@ -174,8 +177,8 @@ def _bootstrap(found: DataFrame) -> DataFrame:
     digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
     edges = rows.groupBy("v", "kind", "pattern").agg(F.max(digits).alias("digits"), F.max(F.contains("value", F.lit("@"))).alias("at"), F.max(F.col("value").rlike(SECRET_SHAPE)).alias("dense"))
     edges = table(edges, "pii-edges")
-    known, size = None, 0
-    for _ in range(ROUNDS):
+    known = None
+    while True:  # ends, as every round but the last adds values
         labelled = edges if known is None else edges.join(known.select("v", F.col("kind").alias("found")).hint("merge"), "v", "left").withColumn("kind", F.coalesce("kind", "found")).drop("found")
         counts = labelled.groupBy("pattern").agg(F.count("*").alias("all"), *(F.count_if(F.col("kind") == k).alias(k) for k in FOUND_KINDS))
         kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in FOUND_KINDS)))
@@ -188,12 +191,22 @@ def _bootstrap(found: DataFrame) -> DataFrame:
         unseen = unseen.filter(F.col("seed").isNull() | (F.col("seed") == F.col("kind")))
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
         votes = unseen.groupBy("v", "kind").agg((1 - doubt).alias("score")).filter(F.col("score") >= LEAST_SCORE)
-        new = table(votes.groupBy("v").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")), "pii-known")
-        count = new.count()
-        same = known is not None and count == size and new.join(known.hint("merge"), ["v", "kind"], "left_anti").isEmpty()
-        drop(good, *([known] if known is not None else []))
-        known, size = new, count
-        if same or not count:
+        new = votes.groupBy("v").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        if known is not None:
+            new = new.join(known.hint("merge"), "v", "left_anti")
+        new = table(new, "pii-new")
+        drop(good)
+        if known is None:
+            known = new
+        elif not new.isEmpty():
+            both = table(known.unionByName(new), "pii-known")
+            drop(known, new)
+            known = both
+            continue
+        else:
+            drop(new)
+            break
+        if new.isEmpty():
             break
     drop(edges)
     return known
@@ -219,10 +232,10 @@ def find(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """`docs` with every span of its texts replaced by its kind in angle brackets, all other columns as they are."""
-    id_, th, s = fresh(docs, "_id"), fresh(docs, "_th"), fresh(docs, "_spans")
-    spans = find(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias(id_ + "r"), F.col("th").alias(th + "r"), F.col("spans").alias(s)).dropDuplicates([id_ + "r", th + "r"])
+    id_, th, s, of_id, of_th = (fresh(docs, c) for c in ("_id", "_th", "_spans", "_of_id", "_of_th"))
+    spans = find(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias(of_id), F.col("th").alias(of_th), F.col("spans").alias(s)).dropDuplicates([of_id, of_th])
     keyed = docs.withColumns({id_: F.col("doc_id"), th: F.xxhash64("text")})
-    joined = keyed.join(spans.hint("merge"), F.col(id_).eqNullSafe(F.col(id_ + "r")) & (F.col(th) == F.col(th + "r")), "left")
+    joined = keyed.join(spans.hint("merge"), F.col(id_).eqNullSafe(F.col(of_id)) & (F.col(th) == F.col(of_th)), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -125,13 +125,13 @@ def scan(blocks: DataFrame, end_id: int = END_OF_TEXT, kind: str = "<u4") -> Dat
     tops = lean.groupBy("file", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     tops = tops.select("file", "chunk", *(F.coalesce(F.sum(c).over(over), zero).alias(f"top_{c}") for c in ("n", "docs")))
     summed = lean.select("*", *(F.coalesce(F.sum(c).over(inside), zero).alias(f"in_{c}") for c in ("n", "docs")))
-    summed = summed.join(tops.hint("shuffle_hash"), ["file", "chunk"])
+    summed = summed.join(tops.hint("merge"), ["file", "chunk"])
     base, first = F.col("in_n") + F.col("top_n"), F.col("in_docs") + F.col("top_docs")
     summed = summed.select("file", "block", "chunk", "n", base.alias("base"), first.alias("first"), (base + F.col("last") + 1).alias("after"))
     marks = summed.groupBy("file", "chunk").agg(F.max("after").alias("after"))
     marks = marks.select("file", "chunk", F.coalesce(F.max("after").over(over), zero).alias("top_after"))
     opened = F.greatest(F.coalesce(F.max("after").over(inside), zero), F.col("top_after"))
-    placed = summed.join(marks.hint("shuffle_hash"), ["file", "chunk"]).select("file", "block", "base", "first", opened.alias("open"))
+    placed = summed.join(marks.hint("merge"), ["file", "chunk"]).select("file", "block", "base", "first", opened.alias("open"))
 
     rows = found.join(placed.hint("merge"), ["file", "block"])
     doc = F.posexplode("places").alias("i", "place")
@@ -140,7 +140,7 @@ def scan(blocks: DataFrame, end_id: int = END_OF_TEXT, kind: str = "<u4") -> Dat
     ended = ended.select("file", (F.col("first") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("base") + F.col("place") - start).alias("n_tokens"), F.lit(True).alias("complete"))
     sizes = summed.groupBy("file").agg(F.max(F.col("base") + F.col("n")).alias("all"), F.max("after").alias("after"), F.max("first").alias("first"))
     docs = lean.groupBy("file").agg(F.sum("docs").alias("ordinal"))
-    tail = sizes.join(docs.hint("shuffle_hash"), "file").withColumn("start", F.coalesce("after", zero)).filter("`all` > start")
+    tail = sizes.join(docs.hint("merge"), "file").withColumn("start", F.coalesce("after", zero)).filter("`all` > start")
     tail = tail.select("file", "ordinal", "start", (F.col("all") - F.col("start")).alias("n_tokens"), F.lit(False).alias("complete"))
     return ended.unionByName(tail)
 
