@@ -11,29 +11,31 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from claimboard.llm import decontam, mixing, ngram_jaccard, quality, tokenbin
-from claimboard.llm.common import collect_shuffles, drop_paths, paths_of, table, written_paths
-
-#: Tables that stages have left behind for the rows they returned.
-_left: list[str] = []
+from claimboard.llm.common import collect_shuffles, drop_paths, paths_of, table, tables_made
 
 
 def _stage(function):
-    """A stage that first deletes what earlier stages left and `docs` does not read: their rows are stored by then."""
+    """A stage that deletes the tables it made on its way and that the rows it returns do not read. What they do read
+    stays until release() or the end of the process, so rows of other calls are never touched."""
 
     @wraps(function)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        needed = paths_of(docs)
-        drop_paths([p for p in _left if p not in needed])
         collect_shuffles(spark)
-        _left[:] = needed
-        before = set(written_paths())
-        out = function(spark, docs, sf_dir)
-        _left.extend(p for p in written_paths() if p not in before)
+        with tables_made() as made:
+            out = function(spark, docs, sf_dir)
+        needed = set(paths_of(out))
+        drop_paths([p for p in made if p not in needed])
+        collect_shuffles(spark)
         return out
 
     return stage
 
 
+def release(rows: DataFrame) -> None:
+    """Delete the tables behind a stage's rows, once they are stored elsewhere or not needed any more."""
+    drop_paths(paths_of(rows))
+
+
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the adaptive quality rules."""
@@ -77,11 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written and read again."""
+    """All stages over documents, each but the last written and read again; what lies behind written rows is released."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = table(docs, f"pipeline-{i}", collect=True)
-            _left.extend(paths_of(docs))
-    return docs
+        rows = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return rows
+        kept = table(rows, f"pipeline-{i}", collect=True)
+        release(rows)
+        release(docs)
+        docs = kept
