@@ -38,15 +38,16 @@ def graph_signature(sizes: DataFrame, colours: DataFrame, graph: str = "graph")
 
 
 def duplicate_groups(df: DataFrame, key: str, fingerprint: str) -> DataFrame:
-    """(fingerprint, members) of fingerprints that several keys share."""
-    groups = df.groupBy(fingerprint).agg(F.sort_array(F.collect_set(key)).alias("members"))
-    return groups.filter(F.size("members") > 1)
+    """(fingerprint, key, n): the keys of fingerprints that `n` keys, more than one, share, one row a key."""
+    pairs = df.filter(F.col(fingerprint).isNotNull()).select(fingerprint, key).distinct()
+    shared = pairs.groupBy(fingerprint).agg(F.count("*").alias("n")).filter("n > 1")
+    return pairs.join(shared.hint("merge"), fingerprint).select(fingerprint, key, "n")
 
 
 def soft_duplicate_groups(df: DataFrame, key: str, signature: str, fingerprint: str) -> DataFrame:
-    """Groups that share a signature, without those whose members all have one fingerprint."""
-    groups = df.groupBy(signature).agg(F.sort_array(F.collect_set(key)).alias("members"), F.count_distinct(fingerprint).alias("kinds"))
-    return groups.filter((F.size("members") > 1) & (F.col("kinds") > 1)).drop("kinds")
+    """(signature, key, n): the same of signatures, without those whose keys all have one fingerprint."""
+    kinds = df.groupBy(signature).agg(F.min(fingerprint).alias("_lo"), F.max(fingerprint).alias("_hi")).filter("_lo <> _hi").select(signature)
+    return duplicate_groups(df, key, signature).join(kinds.hint("merge"), signature, "left_semi")
 
 
 def duplicate_of(candidates: DataFrame, board: DataFrame, key: str = "key") -> DataFrame:

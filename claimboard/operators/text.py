@@ -69,9 +69,9 @@ def resolve(cites: DataFrame, refs: DataFrame, text: str = "cite") -> DataFrame:
 
 
 def citations(citing: DataFrame, resolved: DataFrame, text: str = "cite", key: str = "key") -> DataFrame:
-    """(ref, n, citing): distinct citing keys of each entry."""
-    pairs = citing.join(resolved, text).filter("ref IS NOT NULL").select("ref", key).distinct()
-    return pairs.groupBy("ref").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("citing"))
+    """(ref, key, n): the `n` distinct citing keys of each entry, one row each."""
+    pairs = citing.join(resolved.filter("ref IS NOT NULL").hint("merge"), text).select("ref", key).distinct()
+    return pairs.join(pairs.groupBy("ref").agg(F.count("*").alias("n")).hint("merge"), "ref")
 
 
 def best_url(doi: Column, eprint: Column, url: Column, free: Column) -> Column:

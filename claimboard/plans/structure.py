@@ -257,15 +257,14 @@ def _prints(spark, sf):
     return t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(listed(40).alias("fp"), listed(8).alias("sig"))
 
 
-@query("e3_hard_duplicates", f"WITH {FP_SQL} SELECT fp, count(*) AS n, md5(string_agg(key, ',' ORDER BY key)) AS members FROM f GROUP BY fp HAVING count(*) > 1")
+@query("e3_hard_duplicates", f"WITH {FP_SQL}, n AS (SELECT fp, count(*) AS n FROM f GROUP BY fp HAVING count(*) > 1) SELECT f.fp, f.key, n.n FROM f JOIN n ON f.fp = n.fp")
 def _(spark, sf):
-    out = graph.duplicate_groups(_prints(spark, sf), "key", "fp")
-    return out.select("fp", F.size("members").cast("long").alias("n"), F.md5(F.array_join(F.col("members").cast("array<string>"), ",")).alias("members"))
+    return graph.duplicate_groups(_prints(spark, sf), "key", "fp")
 
 
-@query("e4_soft_duplicates", f"WITH {FP_SQL} SELECT sig, count(*) AS n FROM f GROUP BY sig HAVING count(*) > 1 AND count(DISTINCT fp) > 1")
+@query("e4_soft_duplicates", f"WITH {FP_SQL}, n AS (SELECT sig, count(*) AS n FROM f GROUP BY sig HAVING count(*) > 1 AND count(DISTINCT fp) > 1) SELECT f.sig, f.key, n.n FROM f JOIN n ON f.sig = n.sig")
 def _(spark, sf):
-    return graph.soft_duplicate_groups(_prints(spark, sf), "key", "sig", "fp").select("sig", F.size("members").cast("long").alias("n"))
+    return graph.soft_duplicate_groups(_prints(spark, sf), "key", "sig", "fp")
 
 
 @query("e5_duplicate_of", f"""WITH {FP_SQL}, b AS (SELECT * FROM f WHERE key % 2 = 0), c AS (SELECT * FROM f WHERE key % 2 = 1), x AS (SELECT fp, min(key) AS k FROM b GROUP BY fp),
