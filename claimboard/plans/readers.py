@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import numbered, shared_dir
 from ..sources import files
 from ..streaming import incremental
-from .base import E_SQL, entries, query, t
+from .base import E_SQL, EXACT_E_SQL, entries, query, t
 
 
 def _folder(spark, name: str) -> str:
@@ -154,7 +154,7 @@ def _(spark, sf):
     return files.resume_state(spark, path, schema)
 
 
-@query("a16_feeds", f"WITH {E_SQL}, r AS (SELECT key, n, k, d, eff, row_number() OVER (ORDER BY eff DESC, k DESC, d DESC, n, key) AS place FROM e) SELECT key, n, k, d, eff, place FROM r")
+@query("a16_feeds", f"WITH {EXACT_E_SQL}, r AS (SELECT key, n, k, d, eff, row_number() OVER (ORDER BY eff DESC, k DESC, d DESC, n, key) AS place FROM e) SELECT key, n, k, d, eff, place FROM r")
 def _(spark, sf):
     """Chart rows written as JSON lines and read back."""
     path = _folder(spark, "feed")
