@@ -32,7 +32,7 @@ DOC_SQL = """sd AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN 'S_
 
 
 def _documents(spark, sf) -> str:
-    s = t(spark, sf, "supplier")
+    s = t(spark, sf, "supplier").repartition("s_suppkey")  # a small table of many files is one partition as it is read
     key = F.concat(F.when(F.col("s_suppkey") % 9 == 0, "S_").otherwise("s-"), F.col("s_suppkey").cast("string"))
     nested = F.to_json(F.struct(
         F.col("s_name").alias("name"), (F.col("s_nationkey") + 3).alias("n"), (F.col("s_suppkey") % 4).alias("k"),
@@ -63,11 +63,20 @@ def _(spark, sf):
     return bad
 
 
+#: Files of a micro-batch at least, and batches that the intake takes at most beyond that.
+LEAST_FILES, MOST_BATCHES = 20, 16
+
+
+def _files_a_batch(files: int) -> int:
+    return max(LEAST_FILES, -(-files // MOST_BATCHES))
+
+
 @query("s3_streaming_intake", f"WITH {DOC_SQL} SELECT key, problem, CASE WHEN NOT broken AND NOT large THEN name END AS name, CASE WHEN NOT broken AND NOT large THEN n END AS n FROM sp")
 def _(spark, sf):
-    """The same documents in micro-batches of at most 20 files."""
+    """The same documents in micro-batches of at most 20 files, or of a sixteenth of the files where these are more, so
+    that the number of batches doesn't grow with the files."""
     path, base = _documents(spark, sf), _folder(spark, "intake")
-    stream = incremental.intake(spark, path, CAP, 20).select("key", "problem", "name", F.col("n").cast("long").alias("n"))
+    stream = incremental.intake(spark, path, CAP, _files_a_batch(t(spark, sf, "supplier").count())).select("key", "problem", "name", F.col("n").cast("long").alias("n"))
 
     def save(batch, epoch):
         batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
