@@ -78,19 +78,19 @@ def observables_complete(observables: DataFrame, sizes: DataFrame) -> DataFrame:
     record); sizes: (file, k)."""
     seen = observables.groupBy("file").agg(F.sort_array(F.collect_set("obs")).alias("ids"), (F.count("*") == F.count_distinct("obs", "record")).alias("apart"))
     wanted = F.when(F.col("k") > 0, F.sequence(F.lit(0), F.col("k").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return sizes.join(seen, "file", "left").select("file", F.coalesce((F.col("ids").cast("array<int>") == wanted) & F.col("apart"), F.lit(False)).alias("ok"))
+    return sizes.join(seen.hint("merge"), "file", "left").select("file", F.coalesce((F.col("ids").cast("array<int>") == wanted) & F.col("apart"), F.lit(False)).alias("ok"))
 
 
 def observables_hold(observables: DataFrame, finals: DataFrame, opposite: DataFrame, own: DataFrame, sizes: DataFrame) -> DataFrame:
     """(file, ok): the numbers are complete, every record is a final one, no check of the opposite side overlaps an
     observable oddly, and the observables are independent modulo their own side's checks (so none is trivial).
     observables: (file, obs, record); finals: (file, record, qubit); opposite, own: (file, check_idx, qubit); sizes: (file, k)."""
-    support = observables.join(finals, ["file", "record"], "left")
+    support = observables.join(finals.hint("merge"), ["file", "record"], "left")
     stray = support.groupBy("file").agg(F.bool_or(F.col("qubit").isNull()).alias("stray"))
     vectors = support.filter("qubit IS NOT NULL").select("file", "obs", "qubit").distinct()
     odd = syndrome(vectors, opposite, ["file", "qubit"], ["file", "obs", "check_idx"]).select("file").distinct().withColumn("odd", F.lit(True))
     apart = independent_modulo(vectors, own.withColumnRenamed("check_idx", "obs"), ["file"], "obs", "qubit")
-    out = observables_complete(observables, sizes).join(stray, "file", "left").join(odd, "file", "left").join(apart.hint("merge"), "file", "left")
+    out = observables_complete(observables, sizes).join(stray.hint("merge"), "file", "left").join(odd.hint("merge"), "file", "left").join(apart.hint("merge"), "file", "left")
     holds = F.col("ok") & ~F.coalesce("stray", F.lit(False)) & F.col("odd").isNull() & F.coalesce("independent", F.lit(False))
     return out.select("file", holds.alias("ok"))
 

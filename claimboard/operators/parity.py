@@ -97,8 +97,9 @@ def _odd_patterns(batches):
 
 
 def syndrome(vector: DataFrame, checks: DataFrame, on: list[str], check: list[str]) -> DataFrame:
-    """Checks with an odd overlap with a vector."""
-    met = checks.join(vector, on).groupBy(*check).agg(F.count("*").alias("_shared"))
+    """Checks with an odd overlap with a vector. Neither side is broadcast: both may come from explode, whose size Spark
+    underrates, as it does that of a written table that Parquet packs well."""
+    met = checks.join(vector.hint("merge"), on).groupBy(*check).agg(F.count("*").alias("_shared"))
     return met.filter("_shared % 2 = 1").drop("_shared")
 
 
@@ -306,7 +307,7 @@ def validate_witness(witness: DataFrame, rows: DataFrame, claims: DataFrame) ->
     odd = syndrome(other, rows, ["key", "side", "qubit"], ["key", "side", "check_idx"])
     odd = odd.select("key", F.when(F.col("side") == "X", "Z").otherwise("X").alias("side")).distinct().withColumn("odd", F.lit(True))
     inside = in_rowspace(v, rows, ["key", "side"], "check_idx", "qubit")
-    out = claims.join(weight, ["key", "side"], "left").join(odd, ["key", "side"], "left").join(inside.hint("merge"), ["key", "side"], "left")
+    out = claims.join(weight.hint("merge"), ["key", "side"], "left").join(odd.hint("merge"), ["key", "side"], "left").join(inside.hint("merge"), ["key", "side"], "left")
     out = out.select(
         "key", "side", F.coalesce(F.col("weight") == F.col("value"), F.lit(False)).alias("weight_ok"),
         (F.col("weight").isNotNull() & F.col("odd").isNull()).alias("commutes"), F.coalesce(~F.col("inside"), F.lit(False)).alias("nontrivial"),
