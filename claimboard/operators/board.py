@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from . import scoring
 from .normalize import ensemble_text
 
+#: Parts of a cell that keep their own first rows.
+TOP_SALTS = 256
+
 _TERM = re.compile(r"^(n|k|d|w|eff|g)(>=|<=|>|<|=)(-?[0-9.]+)$")
 
 
@@ -116,11 +119,19 @@ def ranked(df: DataFrame, partition_by: list[str], order: list[Column], name: st
 
 
 def top_of_either(df: DataFrame, cell: list[str], first: list[Column], second: list[Column], counts: Column, n: int = 3) -> DataFrame:
-    """Rows among a cell's first n by one order, or by the other among rows that count for it."""
-    a = F.row_number().over(W.partitionBy(*cell).orderBy(*first))
-    b = F.row_number().over(W.partitionBy(*cell, counts).orderBy(*second))
-    both = df.withColumns({"_a": a, "_b": F.when(counts, b)})
-    return both.filter(f"_a <= {n} OR _b <= {n}").drop("_a", "_b")
+    """Rows among a cell's first n by one order, or by the other among rows that count for it.
+
+    Each of TOP_SALTS parts of a cell keeps its own first rows, which include the cell's, so no task sorts a whole cell."""
+
+    def tops(rows: DataFrame, part: list[str]) -> DataFrame:
+        a = F.row_number().over(W.partitionBy(*part).orderBy(*first))
+        b = F.row_number().over(W.partitionBy(*part, counts).orderBy(*second))
+        both = rows.withColumns({"_a": a, "_b": F.when(counts, b)})
+        return both.filter(f"_a <= {n} OR _b <= {n}").drop("_a", "_b")
+
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(TOP_SALTS)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tops(tops(dealt.repartition(parts, *cell, "_salt"), [*cell, "_salt"]).drop("_salt"), cell)
 
 
 def orphans(published: DataFrame, live: DataFrame, key: str = "key") -> DataFrame:
