@@ -159,7 +159,7 @@ def _stream(df: DataFrame, group: list[str], order: list[str], element: str, col
 
         for b in batches:
             kind = b.schema
-            for *row, e in zip(*(b.column(c).to_pylist() for c in range(width + len(order) + 1))):
+            for *row, es in zip(*(b.column(c).to_pylist() for c in range(width + len(order) + 1))):
                 key, tag = row[:width], row[width:]
                 if key != at or tag != current:
                     if at is not None:
@@ -170,7 +170,7 @@ def _stream(df: DataFrame, group: list[str], order: list[str], element: str, col
                             done.extend((*at, *r) for r in finish())
                         at, numbers = key, {}
                         feed, finish = open_group()
-                if e is not None:
+                for e in es:
                     vector ^= 1 << (numbers.setdefault(e, len(numbers)) if numbered_elements else int(e))
             if len(done) >= batch:
                 yield table()
@@ -184,7 +184,9 @@ def _stream(df: DataFrame, group: list[str], order: list[str], element: str, col
 
     types = [{"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[c.split()[1]] for c in columns.split(", ")]
     schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), columns])
-    dealt = df.select(*group, *order, element).repartition(*group).sortWithinPartitions(*group, *order)
+    # a vector's elements travel as one row, so Python takes a step a vector; null ones are left out
+    vectors = df.select(*group, *order, element).repartition(*group).groupBy(*group, *order).agg(F.collect_list(element).alias(element))
+    dealt = vectors.sortWithinPartitions(*group, *order)
     return dealt.mapInArrow(run, schema)
 
 
