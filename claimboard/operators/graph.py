@@ -6,23 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.tables import written
+from ..functions.tables import ship, written
 
 
-def wl_refine(nodes: DataFrame, edges: DataFrame, rounds: int = 6, graph: str = "graph") -> DataFrame:
+#: Nodes and edges up to which a graph is refined inside one task, and rows of whole graphs refined at a time.
+FEW_ROWS, CHUNK_ROWS = 1_000_000, 200_000
+
+
+def wl_refine(nodes: DataFrame, edges: DataFrame, rounds: int = 6, graph: str = "graph", few_rows: int = FEW_ROWS) -> DataFrame:
     """(graph, node, colour) after up to `rounds` rounds: a node's colour becomes the rank, within its graph, of its
     colour and the sorted colours of its neighbours. Stops when no colour changes.
 
-    nodes: (graph, node, colour) with whole-number colours; edges: (graph, src, dst), both directions."""
-    current = nodes.select(graph, "node", F.col("colour").cast("int").alias("colour"))
+    nodes: (graph, node, colour) with whole-number colours; edges: (graph, src, dst), both directions. Both are read
+    twice. Graphs of at most `few_rows` nodes and edges stream through the tasks once, many at a time; larger ones are
+    refined by joins, a table a round."""
+    current = nodes.select(graph, "node", F.col("colour").cast("int").alias("colour")).filter(F.col(graph).isNotNull() & F.col("colour").isNotNull())
+    edges = edges.select(graph, "src", "dst")
+    if not rounds:
+        return current
+    sizes = current.select(graph).unionByName(edges.select(graph)).groupBy(graph).count()
+    large = written(sizes.filter(F.col("count") > few_rows).select(graph), "large-graphs")
+    if large.isEmpty():
+        return _refine_streamed(current, edges, rounds, graph)
+    part = lambda how: (df.join(large.hint("merge"), graph, how) for df in (current, edges))
+    return _refine_streamed(*part("left_anti"), rounds, graph).unionByName(_refine_joined(*part("left_semi"), rounds, graph))
+
+
+def _refine_joined(current: DataFrame, edges: DataFrame, rounds: int, graph: str) -> DataFrame:
     for _ in range(rounds):
-        near = edges.join(current.select(graph, F.col("node").alias("dst"), F.col("colour").alias("c")), [graph, "dst"])
+        near = edges.join(current.select(graph, F.col("node").alias("dst"), F.col("colour").alias("c")).hint("merge"), [graph, "dst"])
         near = near.groupBy(graph, F.col("src").alias("node")).agg(F.sort_array(F.collect_list("c")).alias("around"))
-        joined = current.join(near, [graph, "node"], "left").withColumn("around", F.coalesce("around", F.array().cast("array<int>")))
+        joined = current.join(near.hint("merge"), [graph, "node"], "left").withColumn("around", F.coalesce("around", F.array().cast("array<int>")))
         # rank the distinct signatures only, so that a graph's window holds as many rows as it has colours
         kinds = joined.select(graph, "colour", "around").distinct()
         kinds = kinds.withColumn("new", F.dense_rank().over(W.partitionBy(graph).orderBy("colour", "around")) - 1)
-        after = written(joined.join(kinds, [graph, "colour", "around"]).select(graph, "node", F.col("colour").alias("old"), F.col("new").alias("colour")), "colours")
+        after = written(joined.join(kinds.hint("merge"), [graph, "colour", "around"]).select(graph, "node", F.col("colour").alias("old"), F.col("new").alias("colour")), "colours")
         changed = after.filter("old <> colour").limit(1).count()
         current = after.select(graph, "node", "colour")
         if not changed:
@@ -30,6 +48,87 @@ def wl_refine(nodes: DataFrame, edges: DataFrame, rounds: int = 6, graph: str =
     return current
 
 
+def refined(graphs, colours, src, dst, rounds: int):
+    """Colours of nodes after the rounds. Nodes are their places in `graphs` (ascending) and `colours`, which edges name."""
+    import numpy as np
+
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    ends = np.cumsum(np.bincount(src, minlength=len(graphs))) * 4
+    cuts = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+    for _ in range(rounds):
+        near = colours[dst]
+        # big-endian bytes sort as the lists of colours do
+        data = (near[np.lexsort((near, src))] + (1 << 31)).astype(">u4").tobytes()
+        lists = [data[a:z] for a, z in cuts]
+        place = {x: i for i, x in enumerate(sorted(set(lists)))}
+        code = np.unique(colours, return_inverse=True)[1]
+        key = (graphs * (code.max() + 1) + code) * len(place) + np.fromiter(map(place.__getitem__, lists), np.int64, len(lists))
+        kinds, new = np.unique(key, return_inverse=True)
+        first = np.full(graphs[-1] + 1, len(kinds))
+        np.minimum.at(first, graphs, new)
+        new = new - first[graphs]
+        if np.array_equal(new, colours):
+            break
+        colours = new
+    return colours
+
+
+def _refine_streamed(nodes: DataFrame, edges: DataFrame, rounds: int, graph: str) -> DataFrame:
+    """Rows are dealt by graph and sorted by it; a task holds whole graphs of about CHUNK_ROWS rows."""
+    ship(nodes.sparkSession)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def refine(rows):
+            is_node = pc.is_valid(rows.column("colour"))
+            own, links = rows.filter(is_node), rows.filter(pc.invert(is_node))
+            starts = pc.dictionary_encode(pa.chunked_array([*own.column(0).chunks, *links.column(0).chunks])).combine_chunks()
+            names = pa.chunked_array([*own.column("a").chunks, *links.column("a").chunks, *links.column("b").chunks])
+            names = names.dictionary_encode(null_encoding="encode").combine_chunks()
+            g, name, n = starts.indices.to_numpy().astype(np.int64), names.indices.to_numpy().astype(np.int64), own.num_rows
+            m, width = links.num_rows, len(names.dictionary) + 1
+            key = np.concatenate((g[:n], g[n:], g[n:])) * width + name
+            order = np.argsort(key[:n], kind="stable")
+            known = key[:n][order]
+            at = np.minimum(np.searchsorted(known, key[n:]), max(n - 1, 0))
+            found = known[at] == key[n:] if n else np.zeros(2 * m, bool)
+            both = found[:m] & found[m:]
+            own = own.take(pa.array(order))
+            colours = own.column("colour").to_numpy().astype(np.int64)
+            if n:
+                colours = refined(g[:n][order], colours, at[:m][both], at[m:][both], rounds)
+            return pa.Table.from_arrays([own.column(0), own.column("a"), pa.array(colours.astype(np.int32))], names=[graph, "node", "colour"]).to_batches()
+
+        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows
+            if size < CHUNK_ROWS:
+                continue
+            rows = pa.Table.from_batches(held)
+            # the last graph may go on in the next batch
+            cut = size - pc.sum(pc.cast(pc.equal(rows.column(0), rows.column(0)[size - 1]), pa.int64())).as_py()
+            if cut:
+                yield from refine(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+                size -= cut
+        if held:
+            yield from refine(pa.Table.from_batches(held))
+
+    kinds = dict(nodes.dtypes)
+    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    rows = nodes.select(graph, F.col("node").alias("a"), null("b", kinds["node"]), "colour")
+    rows = rows.unionByName(edges.select(graph, F.col("src").alias("a"), F.col("dst").alias("b"), null("colour", "int")).filter("a IS NOT NULL AND b IS NOT NULL"))
+    dealt = rows.filter(F.col(graph).isNotNull()).repartition(graph).sortWithinPartitions(graph)
+    return dealt.mapInArrow(run, f"`{graph}` {kinds[graph]}, node {kinds['node']}, colour int")
+
+
 def graph_signature(sizes: DataFrame, colours: DataFrame, graph: str = "graph") -> DataFrame:
     """(graph, signature): 16 hex digits of the SHA-256 of the JSON text of [n, k, d, sorted colours]."""
     lists = colours.groupBy(graph).agg(F.sort_array(F.collect_list("colour")).alias("c"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import written
 from ..operators import board, circuits, graph, normalize, parity, rules
 from .base import E_SQL, I_SQL, entries, incidence, query, t
-from .structure import CLAIMS_SQL, WL_ROUNDS_SQL, _claims, _nested
+from .structure import CLAIMS_SQL, WL_ROUNDS_SQL, _claims, _nested, wl_graphs
 
 # ---- shape and claims
 
@@ -176,10 +176,9 @@ def _(spark, sf):
   {WL_ROUNDS_SQL}, sz AS (SELECT graph, count(DISTINCT dst) AS n, count(DISTINCT src) AS k, count(*) AS d FROM ed GROUP BY graph)
   SELECT sz.graph, substr(sha256('[' || n || ', ' || k || ', ' || d || ', [' || (SELECT string_agg(colour, ', ' ORDER BY colour) FROM c6 WHERE c6.graph = sz.graph) || ']]'), 1, 16) AS signature FROM sz""")
 def _(spark, sf):
-    edge = incidence(spark, sf).select(F.col("key").alias("graph"), F.concat(F.lit("c"), F.col("check_idx")).alias("src"), F.concat(F.lit("q"), F.col("qubit")).alias("dst")).distinct()
+    nodes, edges = wl_graphs(spark, sf)
+    edge = edges.filter("src % 2 = 0")
     sizes = edge.groupBy("graph").agg(F.count_distinct("dst").alias("n"), F.count_distinct("src").alias("k"), F.count("*").alias("d"))
-    edges = written(edge.unionByName(edge.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"))), "wl-edges")
-    nodes = edges.select("graph", F.col("src").alias("node")).distinct().withColumn("colour", F.when(F.col("node").startswith("c"), 0).otherwise(1))
     return graph.graph_signature(sizes, graph.wl_refine(nodes, edges))
 
 

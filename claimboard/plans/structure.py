@@ -238,14 +238,21 @@ WL_ROUNDS_SQL = ",\n  ".join(
 )
 
 
+def wl_graphs(spark, sf):
+    """Nodes and edges, both directions, of each supplier's graph of checks (even names, colour 0) and qubits (odd names, colour 1)."""
+    check, qubit = 2 * F.col("check_idx"), 2 * F.col("qubit") + 1
+    edge = incidence(spark, sf).select(F.col("key").alias("graph"), check.alias("src"), qubit.alias("dst")).distinct()
+    edges = written(edge.select("graph", F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("graph", "e.*"), "wl-edges")
+    nodes = edges.select("graph", F.col("src").alias("node")).distinct().withColumn("colour", (F.col("node") % 2).cast("int"))
+    return written(nodes, "wl-nodes"), edges
+
+
 @query("e1_wl_refine", f"""WITH {I_SQL}, ed AS (SELECT DISTINCT key AS graph, 'c' || check_idx AS src, 'q' || qubit AS dst FROM i), e2 AS (SELECT * FROM ed UNION ALL SELECT graph, dst, src FROM ed),
   c0 AS (SELECT DISTINCT graph, src AS node, CASE WHEN src LIKE 'c%' THEN 0 ELSE 1 END AS colour FROM e2),
   {WL_ROUNDS_SQL}
   SELECT graph, colour, count(*) AS nodes FROM c6 GROUP BY ALL""")
 def _(spark, sf):
-    edge = incidence(spark, sf).select(F.col("key").alias("graph"), F.concat(F.lit("c"), F.col("check_idx")).alias("src"), F.concat(F.lit("q"), F.col("qubit")).alias("dst")).distinct()
-    edges = written(edge.unionByName(edge.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst"))), "wl-edges")
-    nodes = edges.select("graph", F.col("src").alias("node")).distinct().withColumn("colour", F.when(F.col("node").startswith("c"), 0).otherwise(1))
+    nodes, edges = wl_graphs(spark, sf)
     return graph.wl_refine(nodes, edges).groupBy("graph", F.col("colour").cast("long").alias("colour")).agg(F.count("*").alias("nodes"))
 
 
