@@ -155,10 +155,10 @@ def sample_specs(spark: SparkSession, seed: int, count: int, limits: dict[str, i
         out = out.withColumn(name, (2 + draw(j, F.lit(limit - 1))).cast("long"))
     names = list(limits)
     cells = F.col(names[0]) * F.col(names[1])
-    every = out.select("spec", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)).alias("term"))
-    rank = F.row_number().over(W.partitionBy("spec").orderBy(F.xxhash64(F.lit(seed), "spec", "term", F.lit("t")), "term"))
-    chosen = every.withColumn("r", rank).filter(F.col("r") <= picks).groupBy("spec").agg(F.sort_array(F.collect_list("term")).alias("terms"))
-    return out.join(chosen, "spec")
+    # a spec's terms stay in its row, in the order of their hashes
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), cells - 1), lambda x: F.struct(F.xxhash64(F.lit(seed), F.col("spec"), x, F.lit("t")).alias("rank"), x.alias("term"))))
+    chosen = F.array_sort(F.transform(F.slice(ranked, 1, picks), lambda x: x["term"]))
+    return out.withColumn("terms", chosen).filter(F.size("terms") > 0)
 
 
 __all__ = ["coset_code", "cyclic_tables", "group_code", "hypergraph_product", "metacyclic_tables", "planar_code", "product_of_group_codes", "sample_specs", "table_product", "torus_code"]
