@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .parity import independent_modulo, syndrome, xor_normalise
+from .parity import independent_modulo, syndrome
 
 # Instruction names by what they do, and the budget of a fault model.
 MEASURES = ["M", "MZ", "MX", "MR", "MRX", "MRZ"]
 NOISE = ["DEPOLARIZE1", "DEPOLARIZE2", "X_ERROR", "Z_ERROR"]
 ALLOWED = [*MEASURES, *NOISE, "R", "RX", "RZ", "H", "CX", "CZ", "CNOT", "TICK", "DETECTOR", "OBSERVABLE_INCLUDE", "QUBIT_COORDS", "SHIFT_COORDS"]
 MOST_MECHANISMS = 25_000
+#: Rows of witnesses that a task should take.
+WITNESS_ROWS = 500_000
 
 
 def absolute_records(ops: DataFrame, measured: Column, offset: str, file: str = "file", line: str = "line") -> DataFrame:
@@ -118,14 +120,30 @@ def fault_witness(witness: DataFrame, mechanisms: DataFrame, targets: DataFrame,
     """(file, ok): the witness is strictly increasing, in range and of the claimed size, its detectors cancel and its
     observables do not. witness: (file, pos, idx); mechanisms: (file, idx); targets: (file, idx, kind D or L, target);
     claims: (file, value)."""
-    order = W.partitionBy("file").orderBy("pos")
-    rising = witness.withColumn("up", F.coalesce(F.col("idx") > F.lag("idx").over(order), F.lit(True)))
-    known = rising.join(mechanisms.select("file", "idx").distinct().withColumn("known", F.lit(True)), ["file", "idx"], "left")
-    shape = known.groupBy("file").agg(F.count("*").alias("size"), F.bool_and(F.col("up") & F.coalesce("known", F.lit(False))).alias("fine"))
-    left = xor_normalise(witness.join(targets, ["file", "idx"]), ["file", "kind"], "target").groupBy("file").agg(F.count_if(F.col("kind") == "D").alias("dets"), F.count_if(F.col("kind") == "L").alias("obs"))
-    out = claims.join(shape, "file", "left").join(left, "file", "left")
-    ok = (F.col("size") == F.col("value")) & F.col("fine") & (F.coalesce("dets", F.lit(0)) == 0) & (F.coalesce("obs", F.lit(0)) > 0)
-    return out.select("file", F.coalesce(ok, F.lit(False)).alias("ok"))
+    # everything is dealt once, by file; no task has more than about WITNESS_ROWS rows of the witness, but whole files
+    tasks = max(int(witness.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-witness.count() // WITNESS_ROWS))
+    null = lambda kind: F.lit(None).cast(kind)
+    kinds = dict(witness.dtypes) | dict(targets.dtypes)
+    rows = witness.select("file", "idx", "pos", F.lit(1).alias("w"), F.lit(False).alias("known"), null("string").alias("kind"), null(kinds["target"]).alias("target"))
+    rows = rows.unionByName(mechanisms.select("file", "idx", null(kinds["pos"]).alias("pos"), F.lit(0).alias("w"), F.lit(True).alias("known"), null("string").alias("kind"), null(kinds["target"]).alias("target")))
+    rows = rows.unionByName(targets.select("file", "idx", null(kinds["pos"]).alias("pos"), F.lit(0).alias("w"), F.lit(False).alias("known"), "kind", "target"))
+    dealt = rows.filter("file IS NOT NULL AND idx IS NOT NULL OR w = 1").repartition(tasks, "file")
+    same = W.partitionBy("file", "idx")
+    before = W.partitionBy("file").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    seen = dealt.select("*", F.sum("w").over(same).alias("times"), F.bool_or("known").over(same).alias("there"), F.last("pos", ignorenulls=True).over(before).alias("last"))
+    # a witness is strictly increasing if it names no mechanism twice and its places rise with the mechanisms
+    shape = F.col("w") == 1
+    fine = F.coalesce(F.col("pos") > F.col("last"), F.lit(True)) & (F.col("times") == 1) & F.col("there") & F.col("idx").isNotNull()
+    kept = seen.filter(shape | (F.col("kind").isNotNull() & (F.col("times") % 2 == 1) & F.col("idx").isNotNull()))
+    kept = kept.select("file", "w", F.when(shape, "").otherwise(F.col("kind")).alias("kind"), "target", fine.alias("fine"))
+    odd = kept.groupBy("file", "kind", "target").agg(F.count("*").alias("size"), F.bool_and("fine").alias("fine"), (F.count("*") % 2 == 1).alias("odd"))
+    shape = F.col("kind") == ""
+    of = odd.groupBy("file").agg(
+        F.sum(F.when(shape, F.col("size"))).alias("size"), F.bool_and(F.when(shape, F.col("fine"))).alias("fine"),
+        F.count_if((F.col("kind") == "D") & F.col("odd")).alias("dets"), F.count_if((F.col("kind") == "L") & F.col("odd")).alias("obs"),
+    )
+    ok = (F.col("size") == F.col("value")) & F.col("fine") & (F.col("dets") == 0) & (F.col("obs") > 0)
+    return claims.join(of.hint("merge"), "file", "left").select("file", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def within_budget(mechanisms: DataFrame, file: str = "file", most: int = MOST_MECHANISMS) -> DataFrame:
