@@ -108,14 +108,6 @@ def nontrivial(vector: DataFrame, basis: DataFrame, on: list[str], keys: list[st
     return syndrome(vector, basis, on, [*keys, basis_row]).select(*keys).distinct()
 
 
-def _ints(pdf, row: str, element: str) -> list[int]:
-    """Rows of a group as integers with one bit per element, repeats cancelling."""
-    out: dict = {}
-    for r, e in zip(pdf[row].tolist(), pdf[element].tolist()):
-        out[r] = out.get(r, 0) ^ (1 << int(e))
-    return [out[r] for r in sorted(out)]
-
-
 def _insert(basis: dict[int, int], v: int) -> None:
     """Add a vector to an echelon basis by leading bit."""
     while v:
@@ -126,14 +118,6 @@ def _insert(basis: dict[int, int], v: int) -> None:
         v ^= basis[top]
 
 
-def _reduce(rows: list[int]) -> dict[int, int]:
-    """Echelon basis by leading bit."""
-    basis: dict[int, int] = {}
-    for v in rows:
-        _insert(basis, v)
-    return basis
-
-
 def _stream(df: DataFrame, group: list[str], order: list[str], element: str, columns: str, open_group, numbered_elements: bool = True) -> DataFrame:
     """Groups of GF(2) vectors, one task after another: rows (group..., order..., element) are sorted by group and
     `order`, whose values name a vector, and handed over vector by vector, so a task holds what `open_group` keeps and
@@ -142,7 +126,8 @@ def _stream(df: DataFrame, group: list[str], order: list[str], element: str, col
     open_group() gives (feed, finish) for a new group: feed(names, vector) takes the values of `order` and the vector as
     an integer with a bit per element, and finish() yields the group's rows of `columns`. With `numbered_elements` a
     group numbers its own elements, so they need not be small, nor numbers; else an element is its bit. Repeats cancel,
-    a null element adds nothing, null groups are a group."""
+    a null element adds nothing, null groups are a group. `element` may hold arrays, of all or some of a vector's elements:
+    they need no row an element on the way."""
     ship(df.sparkSession)
     kinds = dict(df.dtypes)
     width, names, batch = len(group), [*group, *(c.split()[0] for c in columns.split(", "))], 10_000
@@ -185,7 +170,10 @@ def _stream(df: DataFrame, group: list[str], order: list[str], element: str, col
     types = [{"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[c.split()[1]] for c in columns.split(", ")]
     schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), columns])
     # a vector's elements travel as one row, so Python takes a step a vector; null ones are left out
-    vectors = df.select(*group, *order, element).repartition(*group).groupBy(*group, *order).agg(F.collect_list(element).alias(element))
+    if kinds[element].startswith("array"):
+        vectors = df.select(*group, *order, F.coalesce(F.array_compact(element), F.array()).alias(element)).repartition(*group)
+    else:
+        vectors = df.select(*group, *order, element).repartition(*group).groupBy(*group, *order).agg(F.collect_list(element).alias(element))
     dealt = vectors.sortWithinPartitions(*group, *order)
     return dealt.mapInArrow(run, schema)
 
@@ -203,6 +191,9 @@ def gf2_rank(df: DataFrame, group: list[str], row: str, element: str) -> DataFra
 def _over_rows(vectors: DataFrame, rows: DataFrame, group: list[str], row: str, element: str, vector: str | None, columns: str, open_group) -> DataFrame:
     """Streams a group's rows (kind 0) and then its vectors (kind 1, by `vector`)."""
     name = F.col(vector).cast("string") if vector else F.lit(None).cast("string")
+    listed = [dict(df.dtypes)[element].startswith("array") for df in (rows, vectors)]
+    if any(listed):
+        rows, vectors = (df if done else df.withColumn(element, F.array(element)) for df, done in zip((rows, vectors), listed))
     both = rows.select(*group, F.lit(0).alias("_kind"), F.col(row).cast("string").alias("_row"), F.col(element).alias("_element"))
     both = both.unionByName(vectors.select(*group, F.lit(1).alias("_kind"), name.alias("_row"), F.col(element).alias("_element")))
     return _stream(both, group, ["_kind", "_row"], "_element", columns, open_group)
@@ -256,14 +247,6 @@ def _add_reduced(pivots: dict[int, int], v: int) -> None:
         pivots[p] = v
 
 
-def reduced(rows: list[int]) -> list[int]:
-    """Reduced echelon form: rows by ascending lowest set bit, each pivot in its own row only."""
-    pivots: dict[int, int] = {}
-    for v in rows:
-        _add_reduced(pivots, v)
-    return [pivots[p] for p in sorted(pivots)]
-
-
 def gf2_fingerprint(df: DataFrame, group: list[str], side: str, row: str, element: str, size: str, sides: tuple[str, str] = ("X", "Z")) -> DataFrame:
     """(group..., fingerprint): first 16 hex digits of the SHA-256 of both sides' reduced rows as bytes, joined by |.
 
@@ -336,10 +319,8 @@ def independent_modulo(vectors: DataFrame, rows: DataFrame, group: list[str], ro
     return _over_rows(vectors, rows, group, row, element, row, "independent boolean", open_group)
 
 
-def _kernel(rows: list[int], n: int) -> list[int]:
-    """Basis of the vectors of n bits with even overlap with every row, one per free bit."""
-    rows = reduced(rows)
-    lead = {(r & -r).bit_length() - 1: r for r in rows}
+def _free(lead: dict[int, int], n: int) -> list[int]:
+    """Basis of the vectors of n bits with even overlap with every row of a reduced form, one per free bit."""
     return [1 << f | sum(1 << p for p, r in lead.items() if r >> f & 1) for f in range(n) if f not in lead]
 
 
@@ -348,42 +329,52 @@ def _members(v: int) -> list[int]:
 
 
 def kernel_basis(df: DataFrame, group: list[str], row: str, element: str, size: str) -> DataFrame:
-    """(group..., basis_idx, element): a basis of the vectors with even overlap with every row."""
-    import pandas as pd
+    """(group..., basis_idx, element): a basis of the vectors with even overlap with every row. A group's task holds
+    the reduced form of its rows, not the rows."""
 
-    ship(df.sparkSession)
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + f", basis_idx int, {element} int"
+    def open_group():
+        pivots: dict[int, int] = {}
+        n = [0]
+
+        def feed(tag, v):
+            n[0] = int(tag[0])
+            _add_reduced(pivots, v)
 
-    def run(keys, pdf):
-        kernel = _kernel(_ints(pdf, row, element), int(pdf[size].iloc[0]))
-        return pd.DataFrame([[*keys, i, j] for i, v in enumerate(kernel) for j in _members(v)], columns=[*group, "basis_idx", element])
+        return feed, lambda: [(i, j) for i, v in enumerate(_free(pivots, n[0])) for j in _members(v)]
 
-    return df.select(*group, row, element, size).groupBy(*group).applyInPandas(run, schema)
+    return _stream(df, group, [size, row], element, f"basis_idx int, {element} int", open_group, numbered_elements=False)
 
 
 def logical_basis(df: DataFrame, group: list[str], side: str, row: str, element: str, size: str, sides: tuple[str, str] = ("X", "Z")) -> DataFrame:
     """(group..., basis_idx, element): representatives of the second side: vectors that overlap every row of the first
     side evenly, of which no sum is a sum of the second side's rows. As many as n less both ranks if the sides commute.
 
-    A group is one document's incidence, whose number of elements `size` is bounded by the resource rules."""
-    import pandas as pd
+    A group's task holds the reduced form of the first side and an echelon basis of the second, not their rows."""
 
-    ship(df.sparkSession)
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + f", basis_idx int, {element} int"
-
-    def run(keys, pdf):
-        first, second = (_ints(pdf[pdf[side] == s], row, element) for s in sides)
-        known, kept = _reduce(second), []
-        for v in _kernel(first, int(pdf[size].iloc[0])):
-            before = len(known)
-            _insert(known, v)
-            if len(known) > before:
-                kept.append(v)
-        return pd.DataFrame([[*keys, i, j] for i, v in enumerate(kept) for j in _members(v)], columns=[*group, "basis_idx", element])
-
-    return df.select(*group, side, row, element, size).groupBy(*group).applyInPandas(run, schema)
+    def open_group():
+        pivots: dict[int, int] = {}
+        known: dict[int, int] = {}
+        n = [0]
+
+        def feed(tag, v):
+            n[0] = int(tag[1])
+            if tag[0] == sides[0]:
+                _add_reduced(pivots, v)
+            elif tag[0] == sides[1]:
+                _insert(known, v)
+
+        def finish():
+            kept = []
+            for v in _free(pivots, n[0]):
+                before = len(known)
+                _insert(known, v)
+                if len(known) > before:
+                    kept.append(v)
+            return [(i, j) for i, v in enumerate(kept) for j in _members(v)]
+
+        return feed, finish
+
+    return _stream(df, group, [side, size, row], element, f"basis_idx int, {element} int", open_group, numbered_elements=False)
 
 
 def self_dual(df: DataFrame, key: str) -> DataFrame:

@@ -89,10 +89,17 @@ def _code(spark, sf):
     return once.select("key", F.explode(F.array(F.lit("X"), F.lit("Z"))).alias("side"), "check_idx", "bit").select("key", "side", "check_idx", both, F.lit(2 * BITS).alias("n"))
 
 
+def _code_vectors(spark, sf):
+    """The same, one row a check with all its qubits."""
+    bits = F.expr(f"filter(sequence(0, {BITS - 1}), b -> shiftright(x, b) % 2 = 1)")
+    both = _vectors(spark, sf).filter("x <> 0").select("key", "check_idx", F.concat(bits, F.transform(bits, lambda b: b + BITS)).alias("qubit"), F.lit(2 * BITS).alias("n"))
+    return both.select("key", F.explode(F.array(F.lit("X"), F.lit("Z"))).alias("side"), "check_idx", "qubit", "n")
+
+
 @query("c7_claimed_dimension", f"WITH RECURSIVE {V_SQL}, {_span_sql('v', 's')}, c AS (SELECT key, {2 * BITS} - 2 * least(count(*), {BITS}) AS k FROM v GROUP BY key) SELECT key, k = {2 * BITS} - 2 * rank AND k >= 1 AS ok FROM c JOIN s USING (key)")
 def _(spark, sf):
     claims = _vectors(spark, sf).groupBy("key").agg(F.count("*").alias("rows")).select("key", (2 * BITS - 2 * F.least("rows", F.lit(BITS))).alias("k"), F.lit(2 * BITS).alias("n"))
-    ranks = parity.gf2_rank(_code(spark, sf), ["key", "side"], "check_idx", "qubit")
+    ranks = parity.gf2_rank(_code_vectors(spark, sf), ["key", "side"], "check_idx", "qubit")
     return rules.claimed_dimension(claims, parity.logical_dimension(ranks, claims.select("key", "n"), "key")).select("key", "ok")
 
 
@@ -108,11 +115,12 @@ def _(spark, sf):
 @query("d11_logical_basis", f"WITH RECURSIVE {V_SQL}, {_span_sql('v', 's')} SELECT key, {2 * BITS} - 2 * rank AS representatives, true AS commute, true AS independent FROM s WHERE rank > 0 AND rank < {BITS}")
 def _(spark, sf):
     """Representatives, that none overlaps a row of the other side oddly, and that none is a sum of others and rows."""
-    code = written(_code(spark, sf), "code")
+    code = written(_code_vectors(spark, sf), "code")
     side = lambda s: code.filter(F.col("side") == s).select("key", F.col("check_idx").cast("string").alias("row_"), "qubit")
     basis = written(parity.logical_basis(code, ["key"], "side", "check_idx", "qubit", "n"), "logical-basis")
     counts = basis.groupBy("key").agg(F.count_distinct("basis_idx").cast("long").alias("representatives"))
-    odd = parity.syndrome(basis, side("X"), ["key", "qubit"], ["key", "row_", "basis_idx"]).select("key").distinct().withColumn("odd", F.lit(True))
+    checks = side("X").withColumn("qubit", F.explode("qubit"))
+    odd = parity.syndrome(basis, checks, ["key", "qubit"], ["key", "row_", "basis_idx"]).select("key").distinct().withColumn("odd", F.lit(True))
     new = parity.independent_modulo(basis.select("key", F.col("basis_idx").cast("string").alias("row_"), "qubit"), side("Z"), ["key"], "row_", "qubit")
     return counts.join(odd.hint("merge"), "key", "left").join(new.hint("merge"), "key").select("key", "representatives", F.col("odd").isNull().alias("commute"), "independent")
 
@@ -122,13 +130,13 @@ def _(spark, sf):
   h AS (SELECT key, array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(range({2 * BITS}), lambda j: CASE WHEN (r[2] >> (j % {BITS})::INT) & 1 = 1 THEN '01' ELSE '00' END), '')), '') AS hx FROM f)
   SELECT key, substr(sha256(unhex(hx || '7C' || hx)), 1, 16) AS fingerprint FROM h WHERE hx <> ''""")
 def _(spark, sf):
-    return parity.gf2_fingerprint(_code(spark, sf), ["key"], "side", "check_idx", "qubit", "n")
+    return parity.gf2_fingerprint(_code_vectors(spark, sf), ["key"], "side", "check_idx", "qubit", "n")
 
 
 @query("d7_logical_dimension", f"WITH RECURSIVE {V_SQL}, {_span_sql('v', 's')} SELECT key, {2 * BITS} - 2 * rank AS k FROM s")
 def _(spark, sf):
     sizes = _vectors(spark, sf).select("key", F.lit(2 * BITS).alias("n")).distinct()
-    ranks = parity.gf2_rank(_code(spark, sf), ["key", "side"], "check_idx", "qubit")
+    ranks = parity.gf2_rank(_code_vectors(spark, sf), ["key", "side"], "check_idx", "qubit")
     return parity.logical_dimension(ranks, sizes, "key").select("key", F.col("k").cast("long").alias("k"))
 
 
