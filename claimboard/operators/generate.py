@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from .graph import cosets, normaliser
 from .normalize import xor_normalise
 
+#: Rows of a hypergraph product that a task should make.
+PRODUCT_ROWS = 2_000_000
+
 
 def torus_code(specs: DataFrame) -> DataFrame:
     """(spec, side, check_idx, qubit) of two-block codes on an l x m torus. specs: (spec, l, m, a, b) with arrays of
@@ -95,7 +99,10 @@ def hypergraph_product(a: DataFrame, b: DataFrame, sizes: DataFrame) -> DataFram
     sizes: (key, ra, ca, rb, cb), rows and columns of each. Qubits: ca * cb, then ra * rb."""
     s = sizes.withColumn("off", F.col("ca") * F.col("cb"))
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("u")
-    ea, eb = a.join(s.hint("merge"), "key"), b.join(s.hint("merge"), "key")
+    # dealt by the rows that will be made of them, which the sizes of what is joined do not show
+    made = lambda df, x, y: df.join(s.hint("merge"), "key").agg(F.sum(F.col(x) + F.col(y))).first()[0] or 0
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(made(a, "cb", "rb") + made(b, "ra", "ca")) // PRODUCT_ROWS))
+    ea, eb = (df.repartition(tasks, "key").join(s.hint("merge"), "key") for df in (a, b))
     put = lambda df, side, row, q: df.select("key", F.lit(side).alias("side"), row.cast("long").alias("check_idx"), q.cast("long").alias("qubit"))
     r, c, u = F.col("row"), F.col("col"), F.col("u")
     parts = [
@@ -113,6 +120,7 @@ def hypergraph_product(a: DataFrame, b: DataFrame, sizes: DataFrame) -> DataFram
 def product_of_group_codes(mul: DataFrame, left: DataFrame, right: DataFrame, sizes: DataFrame) -> DataFrame:
     """Hypergraph product of the X side of each group's two-block code with itself."""
     rows = group_code(mul, left, right, sizes).filter("side = 'X'").select(F.col("grp").alias("key"), F.col("check_idx").alias("row"), F.col("qubit").alias("col"))
+    rows = written(rows, "group-code")
     dims = sizes.select(F.col("grp").alias("key"), F.col("size").alias("ra"), (2 * F.col("size")).alias("ca"), F.col("size").alias("rb"), (2 * F.col("size")).alias("cb"))
     return hypergraph_product(rows, rows, dims)
 
