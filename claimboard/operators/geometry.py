@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.tables import numbered, ship, written
+from ..functions.tables import numbered, setting, ship, written
 
 #: Locality classes by tightness with their caps on layers and radius.
 LOCALITY_CAPS = [("local-2d-single", 1, 4.0), ("local-2d-bilayer", 2, 7.0)]
 UNRESTRICTED = "unrestricted"
 #: Points of a group that are compared inside one row.
 FEW_POINTS = 64
+#: Points that a task should take.
+TASK_POINTS = 1_000_000
 
 
 def _outer(points: DataFrame, group: list[str], id_: str) -> DataFrame:
@@ -123,16 +125,24 @@ def _hull_pairs(points: DataFrame, group: list[str], id_: str) -> DataFrame:
 def _widest(points: DataFrame, group: list[str], id_: str) -> DataFrame:
     """(group..., a, b, dist), one row a group, null where it has no two ids: the widest pair of different ids, the first on ties.
 
-    Groups of at most FEW_POINTS points compare them inside one row. In larger ones, a widest pair joins two corners of
+    `points` is counted and read, so it is best a written table; both windows share one sort, in tasks of about TASK_POINTS
+    points. Groups of at most FEW_POINTS points compare them inside one row. In larger ones, a widest pair joins two corners of
     the convex hull; only where an id stands at several places are outer points paired instead."""
-    order = F.row_number().over(W.partitionBy(*group).orderBy(id_, "x", "y"))
-    few = points.select(*group, F.struct(F.col(id_).alias("id"), "x", "y").alias("p"), F.count("*").over(W.partitionBy(*group)).alias("n"), order.alias("rn")).filter(F.col("rn") <= FEW_POINTS)
-    rows = written(few.groupBy(*group).agg(F.max("n").alias("n"), F.array_sort(F.collect_list("p")).alias("ps")), "geometry-groups")
+    spark, order = points.sparkSession, W.partitionBy(*group).orderBy(id_, "x", "y")
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-points.count() // TASK_POINTS))
+    few = points.repartition(tasks, *group).select(*group, F.struct(F.col(id_).alias("id"), "x", "y").alias("p"), F.count("*").over(whole).alias("n"), F.row_number().over(order).alias("rn")).filter(F.col("rn") <= FEW_POINTS)
+    with setting(spark, "spark.sql.execution.useObjectHashAggregateExec", "false"):  # the rows are in order of their groups already
+        rows = written(few.groupBy(*group).agg(F.max("n").alias("n"), F.array_sort(F.collect_list("p")).alias("ps")), "geometry-groups")
     span = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2))
-    pair = lambda p: F.transform(F.filter("ps", lambda q: q["id"] > p["id"]), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b"), span(p, q).alias("dist")))
-    small = rows.filter(F.col("n") <= FEW_POINTS).select(*group, F.flatten(F.transform("ps", pair)).alias("pairs"))
-    small = small.select(*group, "pairs", F.array_max(F.transform("pairs", lambda p: p["dist"])).alias("far"))
-    small = small.select(*group, F.array_min(F.filter("pairs", lambda p: p["dist"] == F.col("far"))).alias("p")).select(*group, "p.a", "p.b", "p.dist")
+    # an id's first place stands for it, so of equal distances the pair with the least ids is the greatest
+    pair = lambda p, q: F.when((q["r"] > p["r"]) & span(p["p"], q["p"]).isNotNull(), F.struct(span(p["p"], q["p"]).alias("dist"), (-p["r"]).alias("i"), (-q["r"]).alias("j")))
+    after = lambda p, i: F.array_max(F.transform(F.slice("qs", i + 2, F.size("qs")), lambda q: pair(p, q)))
+    small = rows.filter(F.col("n") <= FEW_POINTS).select(*group, "ps", F.transform("ps", lambda p: p["id"]).alias("ids"))
+    small = small.select(*group, "ids", F.transform("ps", lambda p: F.struct(p.alias("p"), F.array_position("ids", p["id"]).alias("r"))).alias("qs"))
+    small = small.select(*group, "ids", F.array_max(F.transform("qs", after)).alias("p"))
+    at = lambda c: F.get("ids", (-F.col(c) - 1).cast("int"))
+    small = small.select(*group, at("p.i").alias("a"), at("p.j").alias("b"), "p.dist")
     large = rows.filter(F.col("n") > FEW_POINTS).select(*group)
     if large.isEmpty():
         return small

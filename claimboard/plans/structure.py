@@ -353,12 +353,12 @@ DIST_SQL = f"{P_SQL}, d AS (SELECT a.key, a.qubit AS qa, b.qubit AS qb, sqrt(pow
 
 @query("f1_group_diameter", f"WITH {DIST_SQL} SELECT p.key, round(coalesce(max(d.dist), 0.0), 6) AS diameter FROM (SELECT DISTINCT key FROM p) p LEFT JOIN d ON p.key = d.key GROUP BY p.key")
 def _(spark, sf):
-    return geometry.group_diameter(points(spark, sf), ["key"], "qubit").select("key", F.round("diameter", 6).alias("diameter"))
+    return geometry.group_diameter(written(points(spark, sf), "points"), ["key"], "qubit").select("key", F.round("diameter", 6).alias("diameter"))
 
 
 @query("f2_widest_pair", f"WITH {DIST_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY dist DESC, qa, qb) AS rn FROM d) SELECT key, qa::BIGINT AS a, qb::BIGINT AS b FROM r WHERE rn = 1")
 def _(spark, sf):
-    return geometry.widest_pair(points(spark, sf), ["key"], "qubit").select("key", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    return geometry.widest_pair(written(points(spark, sf), "points"), ["key"], "qubit").select("key", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
 
 
 @query("f3_site_multiplicity", f"WITH {P_SQL}, s AS (SELECT key, x, y, count(*) AS c FROM p GROUP BY ALL) SELECT key, max(c) AS multiplicity FROM s GROUP BY key")
@@ -380,7 +380,7 @@ def _(spark, sf):
   SELECT m.key, CASE WHEN (sp IS NULL OR sp >= 1 - 1e-9) AND mu <= 1 AND 1 + m.key % 2 <= 1 AND coalesce(radius, 0) <= 4 + 1e-9 THEN 'local-2d-single' WHEN (sp IS NULL OR sp >= 1 - 1e-9) AND mu <= 1 + m.key % 2 AND coalesce(radius, 0) <= 7 + 1e-9 THEN 'local-2d-bilayer' ELSE 'unrestricted' END AS cls,
   CASE WHEN (sp IS NULL OR sp >= 1) AND mu <= 1 AND 1 + m.key % 2 <= 1 AND coalesce(radius, 0) <= 4 THEN 0 WHEN (sp IS NULL OR sp >= 1) AND mu <= 2 AND coalesce(radius, 0) <= 7 THEN 1 ELSE 2 END AS strict FROM m LEFT JOIN r ON m.key = r.key""")
 def _(spark, sf):
-    p = points(spark, sf)
+    p = written(points(spark, sf), "points")
     j = geometry.group_diameter(p, ["key"], "qubit").join(geometry.site_multiplicity(p, ["key"]), "key").join(geometry.min_spacing(p, ["key"]), "key")
     args = (F.lit(True), 1 + F.col("key") % 2, F.col("multiplicity"), F.col("spacing"), F.col("diameter") / 10)
     strict = scoring.tightness(geometry.locality_class(*args, slack=0.0, by_layers=False), scoring.LOCALITY_ORDER)
