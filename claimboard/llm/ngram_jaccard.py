@@ -6,16 +6,18 @@ p = n - ceil(0.8 n) + 1 tokens of each, where o is the intersection they need. F
 last and the rest by a hash (A), ascending (B) and descending (C) token value, and, among the tokens of A's prefixes
 that are shared at all, rarest first (D).
 
-A node stays open while enough tokens of its A prefix also stand in the A prefix of a node of another component and
-of a size that could link; most texts, even those with a passage that many share, close at once, and only open nodes'
-sets are made. Every open node is first compared with its star, the node that is most often the most central among
-those of its tokens (about its size); links merge components and close more nodes. A node that shares only v tokens
-with its star, where every link that it may still have needs o > v, must share o - v tokens outside the star with
-whatever it links to: it is met through those alone, rarest first. Other open nodes of different components are
-candidates if they share a token of their D prefixes. Of the candidates found past stars, each node's best is tried
-first, and pairs that links have joined by then are left out. Candidates must also share enough of their B and C
-prefixes; what passes all orders is verified on whole sets. No group of copies emits all its pairs: copies of one component are never paired, and a token's largest component is
-only met by the nodes outside it.
+A node stays open while, for some size of a partner, as many tokens of its A prefix as a link of these sizes needs also
+stand in the A prefix of nodes of other components, with sizes up to or from that one; most texts, even those with a
+passage that many share, close at once, and only open nodes' sets are made. Every open node is first compared with its
+star, the node that is most often the most central among those of its tokens (about its size); links merge components
+and close more nodes. A node that shares only v tokens with its star, where every link that it may still have needs
+o > v, must share o - v tokens outside the star with whatever it links to: it is met through those alone, rarest first.
+That is done where the star has at least a fifth of its set, as else nearly all of the set is outside, which is far more
+than its prefix. Other open nodes of different components are candidates if they share a token of their D prefixes. Of
+the candidates found past stars, each node's best is tried first, and pairs that links have joined by then are left out.
+Candidates must also share enough of their B and C prefixes; what passes all orders is verified on whole sets. No group
+of copies emits all its pairs: copies of one component are never paired, and a token's largest component is only met by
+the nodes outside it.
 
 Which tokens count as frequent is found over all documents (counts per run of TALLY_TOKENS tokens, summed) and
 bounded at FREQUENT_MOST; any such choice gives a valid order, so the bound costs time only, never a pair. A token
@@ -45,6 +47,8 @@ BUCKET_POSTINGS, CLASS_WIDTH = 400_000, 1.1
 PIECE, BASE = 100_000, 0x9E3779B97F4A7C15
 #: Bits of the map of documents whose sets are wanted, for each of them, and at most (128 MB); beyond that, a join.
 MAP_SHARE, MAP_BITS = 64, 1 << 30
+#: The same for maps of tokens; what such a map lets through is joined, so their bound costs time only.
+TOKEN_SHARE = 8
 _memo: dict = {}
 
 
@@ -233,31 +237,58 @@ def _sets(wanted):
         for b in batches:
             if bits is not None:
                 place = b.column("place").to_numpy(zero_copy_only=False)
-                b = b.take(pa.array(np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)))
+                b = b.take(pa.array(np.flatnonzero(_marked(bits, place))))
             sets = [x for x in map(shingles, b.column("text").to_pylist()) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
 
     return run
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Written sets of the nodes of the documents `wanted` (doc_id), made anew from their texts. Documents are found
-    by a bit map of their hashed ids, MAP_SHARE bits each, which lets a few more through; they find no partner."""
+def _bit_map(keys: DataFrame, place, share: int):
+    """A broadcast bit map of the keys' places, `share` bits a key and at most MAP_BITS, and its size. `place` gives a
+    key's place in a map of a given size."""
     import numpy as np
 
-    spark, count = texts.sparkSession, wanted.count()
-    size = max(1 << 15, 1 << (MAP_SHARE * max(count, 1) - 1).bit_length())
-    known = texts.filter("doc_id IS NOT NULL")
-    if size > MAP_BITS:
-        return table(known.join(wanted.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_sets(None), SETS), "jaccard-sets")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
-    maps = wanted.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
+    size = min(MAP_BITS, max(1 << 15, 1 << (share * max(keys.count(), 1) - 1).bit_length()))
+    maps = keys.groupBy(F.bitmap_bucket_number(place(size) + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(size) + 1)).alias("bits"))
     out = np.zeros(size // 8, np.uint8)
     for r in maps.toLocalIterator():
         # bucket b holds the values (b - 1) * 32768 + 1 to b * 32768
         out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    sent = spark.sparkContext.broadcast(out)
-    return table(known.select("text", place.alias("place")).mapInArrow(_sets(sent), SETS), "jaccard-sets")
+    return keys.sparkSession.sparkContext.broadcast(out), size
+
+
+def _marked(bits, place):
+    """Which places of an array are set in a bit map."""
+    import numpy as np
+
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Written sets of the nodes of the documents `wanted` (doc_id), made anew from their texts. Documents are found
+    by a bit map of their hashed ids, MAP_SHARE bits each, which lets a few more through; they find no partner."""
+    known = texts.filter("doc_id IS NOT NULL")
+    if MAP_SHARE * wanted.count() > MAP_BITS:
+        return table(known.join(wanted.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_sets(None), SETS), "jaccard-sets")
+    place = lambda size: F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    sent, size = _bit_map(wanted, place, MAP_SHARE)
+    return table(known.select("text", place(size).alias("place")).mapInArrow(_sets(sent), SETS), "jaccard-sets")
+
+
+def _sets_in(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Written sets of `nodes` (node) and a few more, found by a bit map, so that the others are not shuffled."""
+    sent, size = _bit_map(nodes, lambda size: F.pmod("node", F.lit(size)), MAP_SHARE)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            place = b.column("node").to_numpy(zero_copy_only=False) & np.int64(size - 1)
+            yield b.filter(pa.array(_marked(sent.value, place)))
+
+    return table(sets.select("node", "tokens").mapInArrow(run, SETS), "jaccard-asked")
 
 
 def _needed(na, nb):
@@ -293,11 +324,15 @@ def _verify(batches):
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that link, written."""
+    """Pairs (a, b) of nodes that link, written; `pairs` are written."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets_in(sets, table(nodes, "jaccard-asked-nodes"))
     first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     joined = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y")
-    return table(joined.mapInArrow(_verify, "a long, b long").distinct(), "jaccard-linked")
+    out = table(joined.mapInArrow(_verify, "a long, b long").distinct(), "jaccard-linked")
+    drop(sets)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,19 +355,23 @@ def components(links: DataFrame) -> DataFrame:
 
 def _open(shared: DataFrame) -> DataFrame:
     """Postings (token, node, n, comp, top) that may still serve a link between components: their token stands in another
-    component at a size that could link and is below `top`, and their node has as many such tokens as some link needs. Nodes are given with
-    their number of them (`c`), how many more that is than a link needs, plus 1 (`spare`), and the least size that a
-    partner may have (`least`)."""
+    component at a size that could link and is below `top`, and for some size their node has as many such tokens as a link
+    to it needs. Nodes are given with their number of them (`c`), how many more that is than the least that a link needs,
+    plus 1 (`spare`), and the least size that a partner may have (`least`)."""
     near = math.ceil(-math.log(SHARE / 100) * 1e9) + 2
     sizes = shared.groupBy("token", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     around = W.partitionBy("token").orderBy((F.log("n") * 1e9).cast("long")).rangeBetween(-near, near)
-    ranged = sizes.select("token", "n", F.min("lo").over(around).alias("lo"), F.max("hi").over(around).alias("hi"), F.min("n").over(around).alias("least"), F.max("n").over(around).alias("most"))
-    mixed = shared.join(ranged.filter("lo <> hi").hint("merge"), ["token", "n"]).filter("least < top")
-    nodes = mixed.groupBy("node", "n").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
-    # the need rises up to a partner of equal size and falls beyond, so its least is at an end
-    spare = F.col("c") - F.least(_needed(F.col("n"), F.col("least")), _needed(F.col("n"), F.col("most"))) + 1
-    nodes = nodes.select("node", "c", "least", spare.alias("spare")).filter("spare > 0")
-    return mixed.select("token", "node", "n", "comp", "top").join(nodes.hint("merge"), "node")
+    ranged = sizes.select("token", "n", F.min("lo").over(around).alias("lo"), F.max("hi").over(around).alias("hi"), F.min("n").over(around).alias("from"), F.max("n").over(around).alias("to"))
+    mixed = shared.join(ranged.filter("lo <> hi").hint("merge"), ["token", "n"]).filter("from < top")
+    # the need rises up to a partner of equal size and falls beyond, where rounding may lift it by one before it falls
+    low, high = _needed(F.col("n"), F.col("from")), F.least(_needed(F.col("n"), F.col("to")), _needed(F.col("n"), F.col("to") - 1))
+    mine = W.partitionBy("node")
+    # the tokens that a partner of some size shares all have a `from` up to it and a `to` from it
+    fits = (F.row_number().over(mine.orderBy("from")) >= low) | (F.row_number().over(mine.orderBy(F.desc("to"))) >= high)
+    met = mixed.select("token", "node", "n", "comp", "top", "from", fits.alias("fits"), F.least(low, high).alias("need"))
+    nodes = met.select("*", F.count("*").over(mine).alias("c"), F.min("from").over(mine).alias("least"), F.max("fits").over(mine).alias("open"), F.min("need").over(mine).alias("needed"))
+    nodes = nodes.filter("open").withColumn("spare", F.col("c") - F.col("needed") + 1).filter("spare > 0")
+    return nodes.select("node", "token", "n", "comp", "top", "c", "least", "spare")
 
 
 def _stars(shared: DataFrame) -> DataFrame:
@@ -365,46 +404,55 @@ def _compare(batches):
             rest = np.setdiff1d(x, y, assume_unique=True)
             both = len(x) - len(rest)
             near = 100 * both >= SHARE * (len(y) + len(rest))
-            out.append([len(x), both, near, None if near else rest.view(np.int64)])
+            out.append([len(x), both, near, None if near or 5 * both < len(x) else rest.view(np.int64)])
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
         arrays = [pa.array(c, k) for c, k in zip(map(list, zip(*out)), kinds)] if out else [pa.array([], k) for k in kinds]
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *arrays], [x.split()[0] for x in COMPARED.split(", ")])
 
 
-def _explode_sets(batches):
-    import numpy as np
-    import pyarrow as pa
+def _explode_sets(marked, size: int):
+    """(token, node) of sets, for the tokens that a bit map has."""
 
-    for b in batches:
-        parts = [np.frombuffer(x, np.int64) for x in b.column("tokens").to_pylist()]
-        owner = np.repeat(np.arange(len(parts)), list(map(len, parts)))
-        rows = b.select(["node", "n", "comp"]).take(pa.array(owner))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), *rows.columns], ["token", "node", "n", "comp"])
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            parts = [np.frombuffer(x, np.int64) for x in b.column("tokens").to_pylist()]
+            parts = [x[_marked(marked.value, x & np.int64(size - 1))] for x in parts]
+            owner = np.repeat(np.arange(len(parts)), list(map(len, parts)))
+            token = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([token, b.column("node").take(pa.array(owner))], ["token", "node"])
+
+    return run
 
 
 def _past_stars(nodes: DataFrame, compared: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For the open nodes (node, n, comp, least) that were compared with a star and do not link to it: (node, top), and
+    """For the open nodes (node, n, comp, least) whose star has a fifth of their set and does not link to them: (node, top), and
     all pairs (a, b) of one of them (`node`) and an open node of another component and of size `top` or more that share
     one of the rarest tokens outside the star, with how many (`votes`). Up to `top` a link may need no such token."""
-    far = compared.filter("NOT linked").select(F.col("a").alias("node"), "both", "outside").join(nodes.hint("merge"), "node")
+    far = compared.filter("outside IS NOT NULL").select(F.col("a").alias("node"), "both", "outside").join(nodes.hint("merge"), "node")
     top = F.floor((100 + SHARE) * F.col("both") / SHARE) - F.col("n") + 1
     meets = F.floor((SHARE * (F.col("n") + F.greatest(F.col("least"), top)) + 99 + SHARE) / (100 + SHARE))
     far = table(far.select("node", "n", "comp", top.alias("top"), (meets - F.col("both")).alias("need"), "outside"), "jaccard-far")
-    own = table(far.select("node", "n", "comp", "top", "need", F.explode("outside").alias("token")), "jaccard-outside")
-    placed = sets.join(nodes.select("node", "n", "comp").hint("merge"), "node").select("node", "n", "comp", "tokens")
-    every = placed.mapInArrow(_explode_sets, "token long, node long, n long, comp long")
-    every = table(every.join(own.select("token").distinct().hint("merge"), "token", "left_semi"), "jaccard-met")
+    own = table(far.select("node", F.explode("outside").alias("token")), "jaccard-outside")
+    tokens = table(own.select("token").distinct(), "jaccard-outside-tokens")
+    marked, size = _bit_map(tokens, lambda size: F.pmod("token", F.lit(size)), TOKEN_SHARE)
+    every = sets.select("node", "tokens").mapInArrow(_explode_sets(marked, size), "token long, node long")
+    every = every.join(tokens.hint("merge"), "token", "left_semi").join(nodes.select("node", "n", "comp").hint("merge"), "node")
+    every = table(every.select("token", "node", "n", "comp"), "jaccard-met")
     lists = every.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    mine = W.partitionBy("node")
     met = own.join(lists.select("token", "df").hint("merge"), "token")
-    counts = met.groupBy("node").agg(F.count("*").alias("c"))
-    met = met.join(counts.hint("merge"), "node").withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("df", "token")))
+    met = met.select("node", "token", F.row_number().over(mine.orderBy("df", "token")).alias("place"), F.count("*").over(mine).alias("c"))
+    met = met.join(far.drop("outside").hint("merge"), "node")
     prefix = table(met.filter("place <= c - need + 1").select("token", "node", "n", "comp", "top"), "jaccard-outside-prefix")
     x, y = prefix.alias("x"), every.alias("y")
     close = (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= SHARE * F.greatest("x.n", "y.n")) & (F.col("y.n") >= F.col("x.top"))
     found = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & close)
     found = found.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("other")).agg(F.count("*").alias("votes"))
     pairs = table(found.select("node", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "votes"), "jaccard-past-stars")
-    drop(own, every, prefix)
+    drop(own, tokens, every, prefix)
     return far.select("node", "top"), pairs
 
 
