@@ -39,25 +39,54 @@ def not_allowed(ops: DataFrame, file: str = "file", name: str = "name", allowed:
     return ops.filter(~F.col(name).isin(allowed or ALLOWED)).groupBy(file, name).agg(F.count("*").alias("n"))
 
 
-def expected_noise(targets: DataFrame, data: DataFrame) -> DataFrame:
+def expected_noise(targets: DataFrame, data: DataFrame, packed: bool = False) -> DataFrame:
     """(file, layer, channel, qubit) that the canonical model asks for: a two-qubit channel after two-qubit gates, a
     flip after resets and before measurements, and a one-qubit channel on data that a layer leaves idle.
-    targets: (file, layer, name, qubit); data: (file, qubit)."""
+    targets: (file, layer, name, qubit); data: (file, qubit). A data qubit's busy layers are taken from its file's, so
+    only as many rows are shuffled as come in, not one for each idle layer of each qubit. `packed` gives (file, channel,
+    qubit, layers), with all idle layers of a qubit in one row."""
     kind = F.when(F.col("name").isin("CX", "CZ", "CNOT"), "two").when(F.col("name").isin("R", "RX", "RZ"), "reset").when(F.col("name").isin(MEASURES), "measure")
     busy = targets.withColumn("channel", kind)
     asked = busy.filter("channel IS NOT NULL").select("file", "layer", "channel", "qubit")
-    slots = targets.select("file", "layer").distinct().join(data.hint("merge"), "file")
-    idle = slots.join(targets.select("file", "layer", "qubit").distinct().hint("merge"), ["file", "layer", "qubit"], "left_anti")
-    return asked.unionByName(idle.select("file", "layer", F.lit("idle").alias("channel"), "qubit"))
+    layer = F.struct("layer")  # keeps a null layer, which no target keeps busy
+    slots = targets.groupBy("file").agg(F.collect_set(layer).alias("layers"))
+    used = targets.filter("layer IS NOT NULL").groupBy("file", "qubit").agg(F.collect_set(layer).alias("used"))
+    free = data.select("file", "qubit").join(used.hint("merge"), ["file", "qubit"], "left").join(slots.hint("merge"), "file")
+    left = F.when(F.col("used").isNull(), F.col("layers")).otherwise(F.array_except("layers", "used"))
+    if packed:
+        idle = free.select("file", F.lit("idle").alias("channel"), "qubit", F.transform(left, lambda s: s["layer"]).alias("layers"))
+        return _packed(asked).unionByName(idle.filter("size(layers) > 0"))
+    idle = free.select("file", "qubit", F.explode(left).alias("slot"))
+    return asked.unionByName(idle.select("file", "slot.layer", F.lit("idle").alias("channel"), "qubit"))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    return rows if "layers" in rows.columns else rows.select("file", "channel", "qubit", F.array("layer").alias("layers"))
 
 
 def noise_differences(expected: DataFrame, present: DataFrame) -> DataFrame:
-    """(file, first, n): channels asked for or present but not both; the first in (layer, channel, qubit) order."""
-    keys = ["file", "layer", "channel", "qubit"]
-    a = expected.groupBy(*keys).agg(F.count("*").alias("a"))
-    b = present.groupBy(*keys).agg(F.count("*").alias("b"))
-    odd = a.join(b, keys, "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
-    return odd.groupBy("file").agg(F.min(F.struct("layer", "channel", "qubit")).alias("first"), F.count("*").alias("n"))
+    """(file, first, n): channels asked for or present but not both, or not as often; the first in (layer, channel,
+    qubit) order. Inputs have rows (file, layer, channel, qubit) or, packed, (file, channel, qubit, layers). A null
+    matches nothing. A channel's layers on one qubit are compared as lists."""
+    keys = ["file", "channel", "qubit"]
+    a = _packed(expected).select(*keys, F.col("layers").alias("a"))
+    b = _packed(present).select(*keys, F.col("layers").alias("b"))
+    every = a.unionByName(b, allowMissingColumns=True).repartition(*keys).groupBy(*keys)
+    met = every.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in "ab"))
+    full = lambda c: F.filter(c, lambda x: x.isNotNull())
+    nulls = sum((F.size(c) > F.size(full(c))).cast("long") for c in "ab")
+    met = met.select(*keys, full("a").alias("a"), full("b").alias("b"), nulls.alias("nulls"))
+    times = lambda c, x: F.size(F.filter(c, lambda y: y == x))
+    repeated = sum(F.size(c) - F.size(F.array_distinct(c)) for c in "ab") > 0
+    uneven = F.when(repeated, F.filter(F.array_intersect("a", "b"), lambda x: times("a", x) != times("b", x)))
+    odd = F.array_union(F.array_except("a", "b"), F.array_except("b", "a"))
+    odd = F.when(uneven.isNull(), odd).otherwise(F.concat(odd, uneven))
+    apart = F.concat(F.array_distinct("a"), F.array_distinct("b"))
+    unknown = F.col("file").isNull() | F.col("channel").isNull() | F.col("qubit").isNull()
+    found = met.select(*keys, "nulls", F.when(unknown, apart).otherwise(odd).alias("odd"))
+    found = found.withColumn("n", F.size("odd") + F.col("nulls")).filter("n > 0")
+    first = F.struct(F.when(F.col("nulls") == 0, F.array_min("odd")).alias("layer"), "channel", "qubit")
+    return found.groupBy("file").agg(F.min(first).alias("first"), F.sum("n").alias("n"))
 
 
 def readout_covers(ops: DataFrame, data: DataFrame) -> DataFrame:

@@ -609,8 +609,8 @@ def _(spark, sf):
     """A file's operations in forty layers; its data are every fourth qubit, asked for an idle channel where a layer leaves them out."""
     name = F.when(F.col("check_idx") % 3 == 0, "CX").when(F.col("check_idx") % 3 == 1, "R").otherwise("M")
     rows = written(incidence(spark, sf).filter("side = 'X'").select(F.col("key").alias("file"), (F.col("check_idx") % 40).alias("layer"), name.alias("name"), "qubit"), "operations")
-    asked = written(circuits.expected_noise(rows, rows.filter("qubit % 4 = 0").select("file", "qubit").distinct()), "noise")
-    out = circuits.noise_differences(asked, asked.filter("(qubit + layer) % 10 <> 0"))
+    asked = written(circuits.expected_noise(rows, rows.filter("qubit % 4 = 0").select("file", "qubit").distinct(), packed=True), "noise")
+    out = circuits.noise_differences(asked, asked.withColumn("layers", F.filter("layers", lambda layer: (F.col("qubit") + layer) % 10 != 0)))
     return out.select("file", "n", F.concat_ws(" ", F.col("first.layer").cast("string"), "first.channel", F.col("first.qubit").cast("string")).alias("first"))
 
 
