@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import BROADCAST_ROWS, collect_shuffles, drop, drop_parts, drop_paths, paths_of, tables_made, written_paths
+from ..functions.tables import BROADCAST_ROWS, collect_shuffles, drop, drop_parts, drop_paths, paths_of, sized_join, tables_made, written_paths
 from ..functions.tables import ship as _ship
 from ..functions.tables import written as table
 
@@ -13,7 +13,7 @@ from ..functions.tables import written as table
 SPACES = " \t\n\x0b\f\r"
 
 
-__all__ = ["collect_shuffles", "drop", "drop_parts", "drop_paths", "paths_of", "table", "tables_made", "written_paths"]
+__all__ = ["collect_shuffles", "drop", "drop_parts", "drop_paths", "paths_of", "sized_join", "table", "tables_made", "written_paths"]
 
 
 def let(value: Column, body) -> Column:

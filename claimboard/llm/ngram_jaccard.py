@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop, fresh, ship, table
+from .common import BROADCAST_ROWS, drop, fresh, ship, sized_join, table
 
 WORDS, SHARE = 5, 80
 TALLY_TOKENS, TALLY_LEAST, FREQUENT_LEAST, FREQUENT_MOST = 2_000_000, 3, 8, 200_000
@@ -47,6 +47,8 @@ BUCKET_POSTINGS, CLASS_WIDTH = 400_000, 1.1
 PIECE, BASE = 100_000, 0x9E3779B97F4A7C15
 #: Bits of the map of documents whose sets are wanted, for each of them, and at most (128 MB); beyond that, a join.
 MAP_SHARE, MAP_BITS = 64, 1 << 30
+#: Tasks that a map is read from, one after the other (at most 16 MB each), or that make a table counted as small.
+FEW_TASKS = 8
 #: The same for maps of tokens; what such a map lets through is joined, so their bound costs time only.
 TOKEN_SHARE = 8
 _memo: dict = {}
@@ -252,7 +254,7 @@ def _bit_map(keys: DataFrame, place, share: int):
     size = min(MAP_BITS, max(1 << 15, 1 << (share * max(keys.count(), 1) - 1).bit_length()))
     maps = keys.groupBy(F.bitmap_bucket_number(place(size) + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(size) + 1)).alias("bits"))
     out = np.zeros(size // 8, np.uint8)
-    for r in maps.toLocalIterator():
+    for r in maps.coalesce(FEW_TASKS).toLocalIterator():  # a job a task: of as many as shuffles have, each would do little
         # bucket b holds the values (b - 1) * 32768 + 1 to b * 32768
         out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return keys.sparkSession.sparkContext.broadcast(out), size
@@ -329,7 +331,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sets = _sets_in(sets, table(nodes, "jaccard-asked-nodes"))
     first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    joined = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y")
+    joined = sized_join(first, pairs, ["a"]).join(second.hint("merge"), "b").select("a", "b", "x", "y")
     out = table(joined.mapInArrow(_verify, "a long, b long").distinct(), "jaccard-linked")
     drop(sets)
     return out
@@ -337,15 +339,18 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of `links` (a, b): least node reachable. Each round takes the least label among
-    a node and its neighbours and then that label's label; labels are written each round."""
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = table(edges, "jaccard-edges")
-    labels = table(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "jaccard-labels")
+    a node and its neighbours and then that label's label; labels are written each round. Where links are counted as
+    few, labels are broadcast and made in few tasks, so that a round shuffles once and writes few files."""
+    edges = table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "jaccard-edges")
+    few = edges.count() <= BROADCAST_ROWS
+    sent = lambda df: F.broadcast(df) if few else df.hint("merge")
+    made = lambda df: table(df.coalesce(FEW_TASKS) if few else df, "jaccard-labels")
+    labels = made(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("other")).hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        best = labels.join(near.hint("merge"), "node").select("node", "comp", F.least("comp", "other").alias("new"))
+        near = edges.join(sent(labels.select(F.col("node").alias("b"), F.col("comp").alias("other"))), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        best = near.join(sent(labels), "node").select("node", "comp", F.least("comp", "other").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("comp").alias("far"))
-        best = table(best.join(jump.hint("merge"), "new").select("node", F.col("comp").alias("old"), F.least("new", "far").alias("comp")), "jaccard-labels")
+        best = made(best.join(sent(jump), "new").select("node", F.col("comp").alias("old"), F.least("new", "far").alias("comp")))
         drop(labels)
         labels = best.select("node", "comp")
         if best.filter("old <> comp").isEmpty():
@@ -431,7 +436,7 @@ def _past_stars(nodes: DataFrame, compared: DataFrame, sets: DataFrame) -> tuple
     """For the open nodes (node, n, comp, least) whose star has a fifth of their set and does not link to them: (node, top), and
     all pairs (a, b) of one of them (`node`) and an open node of another component and of size `top` or more that share
     one of the rarest tokens outside the star, with how many (`votes`). Up to `top` a link may need no such token."""
-    far = compared.filter("outside IS NOT NULL").select(F.col("a").alias("node"), "both", "outside").join(nodes.hint("merge"), "node")
+    far = sized_join(compared.filter("outside IS NOT NULL").select(F.col("a").alias("node"), "both", "outside"), nodes, ["node"])
     top = F.floor((100 + SHARE) * F.col("both") / SHARE) - F.col("n") + 1
     meets = F.floor((SHARE * (F.col("n") + F.greatest(F.col("least"), top)) + 99 + SHARE) / (100 + SHARE))
     far = table(far.select("node", "n", "comp", top.alias("top"), (meets - F.col("both")).alias("need"), "outside"), "jaccard-far")
@@ -439,13 +444,13 @@ def _past_stars(nodes: DataFrame, compared: DataFrame, sets: DataFrame) -> tuple
     tokens = table(own.select("token").distinct(), "jaccard-outside-tokens")
     marked, size = _bit_map(tokens, lambda size: F.pmod("token", F.lit(size)), TOKEN_SHARE)
     every = sets.select("node", "tokens").mapInArrow(_explode_sets(marked, size), "token long, node long")
-    every = every.join(tokens.hint("merge"), "token", "left_semi").join(nodes.select("node", "n", "comp").hint("merge"), "node")
+    every = sized_join(every.join(tokens.hint("merge"), "token", "left_semi"), nodes.select("node", "n", "comp"), ["node"])
     every = table(every.select("token", "node", "n", "comp"), "jaccard-met")
     lists = every.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     mine = W.partitionBy("node")
     met = own.join(lists.select("token", "df").hint("merge"), "token")
     met = met.select("node", "token", F.row_number().over(mine.orderBy("df", "token")).alias("place"), F.count("*").over(mine).alias("c"))
-    met = met.join(far.drop("outside").hint("merge"), "node")
+    met = sized_join(met, far.drop("outside"), ["node"])
     prefix = table(met.filter("place <= c - need + 1").select("token", "node", "n", "comp", "top"), "jaccard-outside-prefix")
     x, y = prefix.alias("x"), every.alias("y")
     close = (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= SHARE * F.greatest("x.n", "y.n")) & (F.col("y.n") >= F.col("x.top"))
@@ -498,28 +503,28 @@ def join(docs: DataFrame) -> DataFrame:
     pairs = table(_stars(left), "jaccard-stars")
     first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    compared = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y")
+    compared = sized_join(first, pairs, ["a"]).join(second.hint("merge"), "b").select("a", "b", "x", "y")
     compared = table(compared.mapInArrow(_compare, COMPARED).dropDuplicates(["a"]), "jaccard-compared")
     links = compared.filter("linked").select("a", "b")
 
     def relabelled(postings: DataFrame, found: DataFrame) -> DataFrame:
-        return postings.join(found.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return sized_join(postings, found, ["node"], "left").withColumn("comp", F.coalesce("comp", "node"))
 
     left = table(_open(relabelled(left.select("token", "node", "n", "top"), components(links))), "jaccard-open")
     open_nodes = table(left.select("node", "n", "comp", "least").distinct(), "jaccard-open-nodes")
     far, past = _past_stars(open_nodes, compared, sets)
-    near = left.select("token", "node", "n", "comp").join(far.hint("merge"), "node", "left").withColumn("top", F.coalesce("top", endless))
+    near = sized_join(left.select("token", "node", "n", "comp"), far, ["node"], "left").withColumn("top", F.coalesce("top", endless))
     near = table(_open(near), "jaccard-open")
     # each node's most promising candidate first: what it links to may join it to all others
     # by how much the candidate has of its own star
     held = compared.select(F.col("a").alias("other"), "both")
-    best = past.withColumn("other", F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a"))).join(held.hint("merge"), "other", "left")
+    best = sized_join(past.withColumn("other", F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a"))), held, ["other"], "left")
     best = best.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct(F.coalesce("both", F.lit(0)), "votes", F.xxhash64("a", "b"))).alias("best"))
     links = links.union(verify(table(best.select("best.*").distinct(), "jaccard-best"), sets))
     joined = components(links)
     pairs = past.select("a", "b").union(_across(near)).distinct()
     for node, comp in (("a", "ca"), ("b", "cb")):
-        pairs = pairs.join(joined.select(F.col("node").alias(node), F.col("comp").alias(comp)).hint("merge"), node, "left").withColumn(comp, F.coalesce(comp, node))
+        pairs = sized_join(pairs, joined.select(F.col("node").alias(node), F.col("comp").alias(comp)), [node], "left").withColumn(comp, F.coalesce(comp, node))
     rest = table(pairs.filter("ca <> cb").select("a", "b"), "jaccard-rest")
     links = links.union(verify(rest, sets))
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
@@ -527,11 +532,11 @@ def join(docs: DataFrame) -> DataFrame:
     found = components(links.union(same_id))
     drop(sets, left, near)
 
-    comp_of = reps.select("node", "rep").join(found.hint("merge"), "node", "left")
+    comp_of = sized_join(reps.select("node", "rep"), found, ["node"], "left")
     grouped = table(comp_of.select("node", "rep", F.coalesce("comp", "node").alias("comp")), "jaccard-comps")
     least = grouped.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_node = table(grouped.join(least.hint("merge"), "comp").select("node", "component_id"), "jaccard-by-node")
-    out = nodes.select("doc_id", "n", "node").join(by_node.hint("merge"), "node", "left")
+    out = sized_join(nodes.select("doc_id", "n", "node"), by_node, ["node"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

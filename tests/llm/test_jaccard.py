@@ -1,7 +1,9 @@
 """Which nodes of the n-gram Jaccard join stay open."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from claimboard.functions.tables import setting
 from claimboard.llm import ngram_jaccard
 
 OPEN = "token long, node long, n long, comp long, top long"
@@ -39,3 +41,38 @@ def test_sets_that_are_asked_for_are_found(spark):
     nodes = sets.select("node").filter("node % 3 = 0")
     got = {r["node"] for r in ngram_jaccard._sets_in(sets, nodes).collect()}
     assert {r["node"] for r in nodes.collect()} <= got and len(got) < 600
+
+
+def _jobs(spark, run):
+    """Jobs and tasks of a run whose shuffles have 64 partitions that are not merged."""
+    group, tracker = f"count-{id(run)}", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        with setting(spark, "spark.sql.shuffle.partitions", "64"), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+            out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = tracker.getJobIdsForGroup(group)
+    stages = {s for j in jobs for s in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else ())}
+    return out, len(jobs), sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+
+
+def test_a_map_is_read_in_few_jobs(spark):
+    """Before, each partition of the shuffle was a job of its own."""
+    keys = spark.range(500).select((F.col("id") * 31).alias("k"))
+    (sent, size), jobs, _ = _jobs(spark, lambda: ngram_jaccard._bit_map(keys, lambda n: F.pmod("k", F.lit(n)), 64))
+    assert jobs < 30
+    marked = ngram_jaccard._marked(sent.value, np.arange(size))
+    assert set(np.flatnonzero(marked).tolist()) == {31 * k % size for k in range(500)}
+
+
+def test_few_links_are_joined_in_few_tasks(spark, monkeypatch):
+    """A chain and a star: the same components either way; few labels are not shuffled to as many tasks as large ones."""
+    links = [(k, k + 1) for k in range(20)] + [(100, 100 + k) for k in range(1, 30)] + [(101, 100)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = {k: 0 for k in range(21)} | {100 + k: 100 for k in range(30)}
+    found, _, few = _jobs(spark, lambda: {r["node"]: r["comp"] for r in ngram_jaccard.components(df).collect()})
+    assert found == want
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_ROWS", 0)
+    found, _, many = _jobs(spark, lambda: {r["node"]: r["comp"] for r in ngram_jaccard.components(df).collect()})
+    assert found == want and 4 * few < many
