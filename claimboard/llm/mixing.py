@@ -89,15 +89,29 @@ def _mix(narrow: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     return placed.withColumn("copies", copies_taken).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def _row_key(docs: DataFrame) -> list[Column]:
+    """Two hashes, 128 bits, of a row's columns and of which are null (map columns cannot be hashed and stay out)."""
+    columns = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    nulls = F.concat(*(F.when(c.isNull(), "1").otherwise("0") for c in columns))
+    return [F.xxhash64(nulls, *columns), F.xxhash64(F.lit(1), nulls, *columns)]
+
+
 def keep_mixed(docs: DataFrame) -> DataFrame:
-    """`docs` as the mix takes them: rows that it takes twice stand twice, those that it leaves are gone."""
-    held, copy = fresh(docs, "_held"), fresh(docs, "_copy")
-    keyed = docs.select(F.struct(*docs.columns).alias(held), "doc_id", key_of(F.col("source")).alias("sk"), word_count(F.col("text")).alias("size"), deal(F.col("doc_id")).alias("h"), F.xxhash64("text").alias("th"))
-    # the number is written with the row, so it stays the row's own; ids may be null or repeated
-    narrow = table(keyed.withColumn("row", F.monotonically_increasing_id()), "mix-docs")
-    chosen = table(_mix(narrow.select("doc_id", "sk", "size", "h", "th", "row"), ("th", "row")).filter("copies > 0").select("row", "copies"), "mix-chosen")
-    joined = narrow.select(held, "row").join(chosen.hint("merge"), "row")
-    return joined.select(f"{held}.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy)).select(*docs.columns)
+    """`docs` as the mix takes them: rows that it takes twice stand twice, those that it leaves are gone.
+
+    Texts are read from `docs` again rather than written with a number per row: rows are told apart by what they hold,
+    and what the mix takes of rows that are alike is shared among them."""
+    one, two, n, rows, copy = (fresh(docs, c) for c in ("_one", "_two", "_taken", "_rows", "_copy"))
+    keys = dict(zip((one, two), _row_key(docs)))
+    narrow = docs.select("doc_id", key_of(F.col("source")).alias("sk"), word_count(F.col("text")).alias("size"), deal(F.col("doc_id")).alias("h"), *(k.alias(c) for c, k in keys.items()))
+    mixed = _mix(table(narrow, "mix-rows"), (one, two)).groupBy(one, two).agg(F.sum("copies").alias(n), F.count("*").alias(rows))
+    chosen = table(mixed.filter(F.col(n) > 0), "mix-chosen")
+    joined = docs.withColumns(keys).join(chosen.hint("merge"), [one, two])
+    times = lambda df, k: df.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), k.cast("int"))).alias(copy)).select(*docs.columns)
+    out, odd = times(joined, F.floor(F.col(n) / F.col(rows))), F.col(n) % F.col(rows)
+    if chosen.filter(odd > 0).isEmpty():
+        return out
+    return out.union(times(joined.filter(odd > 0).dropDuplicates([one, two]), odd))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from claimboard.llm import langid, pii
+from claimboard.functions.tables import tables_made, written_paths
+from claimboard.llm import langid, mixing, pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -129,3 +130,17 @@ def test_languages_and_scores_equal_plain_python(spark):
         by_id[i].append((k, s))
     for i, k, s in got:
         assert any(k == wk and s == pytest.approx(ws, abs=1e-4) for wk, ws in by_id[i]), (i, k, s, by_id[i])
+
+
+def test_the_mix_writes_no_texts_and_shares_what_it_takes_of_rows_alike(spark):
+    """Rows alike in all columns, others alike but for a null, and rows whose copies do not divide evenly."""
+    rows = [(7, "one row many times over", "en", "s1", 0)] * 31 + [(7, "one row many times over", None, "s1", 0)] * 4
+    rows += [(100 + k, "a few words of the last source " * 3, "en", "s2", k) for k in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    with tables_made() as made:
+        kept = mixing.keep_mixed(df)
+    assert made and all("text" not in spark.read.parquet(p).columns and not any("struct" in kind for _, kind in spark.read.parquet(p).dtypes) for p in written_paths() if p in made)
+    want = {r["doc_id"]: r["n"] for r in mixing.mix(df).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect() if r["n"]}
+    got = Counter(kept.collect())
+    assert Counter(r["doc_id"] for r in got.elements()) == want
+    assert {tuple(r) for r in got} <= set(rows) and all(n <= 2 * rows.count(tuple(r)) for r, n in got.items())
