@@ -145,8 +145,9 @@ def _(spark, sf):
 
 @query("a12_hash_files", "SELECT 'd' || doc_id || '.txt' AS name, sha256(coalesce(text, '')) AS sha FROM documents")
 def _(spark, sf):
-    """Texts as files; those over 20,000 bytes are hashed in chunks."""
-    docs = t(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).alias("content"))
+    """Texts as files of 256 subfolders; those over 20,000 bytes are hashed in chunks."""
+    folder = F.pmod(F.xxhash64("doc_id"), F.lit(256)).cast("string")
+    docs = t(spark, sf, "documents").select(F.concat(folder, F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).alias("content"))
     return files.hash_files(spark, _saved(spark, docs, "hashed"), whole_bytes=20_000).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.tables import ship
+from ..functions.tables import setting, ship, written
 
 # Document schema, key format, file cap.
 SIDE = "struct<value:int,confidence:string,witness:array<int>,witness_provenance:struct<found_by:array<string>,date:string,found_at_samples:bigint,survived_samples:bigint,tool:string,seeds:array<bigint>>>"
@@ -24,6 +24,8 @@ CERTIFICATE = "name string, d int, solver string, sides map<string,struct<value:
 KEY, MOST_BYTES = "^[a-z0-9]+(-[a-z0-9]+)*$", 5_000_000
 #: Bytes of a file that one row may hold, and of a chunk of a larger file.
 WHOLE_BYTES, CHUNK_BYTES = 1 << 28, 1 << 22
+#: What opening a small file counts for when files are packed into tasks (Spark's own 4 MB gives 32 files a task).
+OPEN_BYTES = 1 << 16
 
 
 def _stem(column: str = "_metadata.file_name"):
@@ -134,8 +136,9 @@ def mechanisms(files: DataFrame, file: str = "file", text: str = "text") -> Data
 
 
 def hash_files(spark: SparkSession, path: str, glob: str = "*", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
-    """(path, sha) of every file. Files over `whole_bytes`, which a row cannot or should not hold, are read in chunks
-    by one task each, through pyarrow's file systems."""
+    """(path, sha) of every file, written. Files over `whole_bytes`, which a row cannot or should not hold, are read in
+    chunks by one task each, through pyarrow's file systems. Small files count with OPEN_BYTES, so that a task reads
+    hundreds of them; files in more than 32 subfolders are listed by tasks."""
     listed = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup=True).load(path)
     small = listed.filter(F.col("length") <= whole_bytes).select("path", F.sha2("content", 256).alias("sha"))
 
@@ -158,11 +161,13 @@ def hash_files(spark: SparkSession, path: str, glob: str = "*", whole_bytes: int
 
     ship(spark)
     large = listed.filter(F.col("length") > whole_bytes).select("path").repartition("path")
-    return small.unionByName(large.mapInArrow(chunked, "path string, sha string"))
+    with setting(spark, "spark.sql.files.openCostInBytes", str(OPEN_BYTES)):
+        return written(small.unionByName(large.mapInArrow(chunked, "path string, sha string")), "hashes")
 
 
 def write_files(files: DataFrame, path: str) -> None:
-    """Write rows (name, content) as files of a folder that all executors share; a repeated task writes the same files."""
+    """Write rows (name, content) as files of a folder that all executors share; a repeated task writes the same files.
+    A name may begin with a subfolder."""
     ship(files.sparkSession)
 
     def run(batches):
@@ -171,8 +176,12 @@ def write_files(files: DataFrame, path: str) -> None:
 
         system, where = fs.FileSystem.from_uri(path)
         system.create_dir(where)
+        made = set()
         for b in batches:
             for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
+                if "/" in name and (folder := name.rpartition("/")[0]) not in made:
+                    system.create_dir(f"{where}/{folder}")
+                    made.add(folder)
                 with system.open_output_stream(f"{where}/{name}") as f:
                     f.write(content)
             yield pa.RecordBatch.from_arrays([b.column("name")], ["name"])

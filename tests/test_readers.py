@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from claimboard.functions.tables import setting
 from claimboard.operators import generate, text
 from claimboard.sources import files
 from claimboard.streaming import incremental
@@ -93,3 +94,19 @@ def test_intake_leaves_large_files_closed(spark, tmp_path):
     stream = files.stream_submissions(spark, str(tmp_path), 1000).select("key", "problem", "n")
     stream.writeStream.format("memory").queryName("capped").trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.sql("SELECT key, problem, n FROM capped").collect()} == {("good", None, 7), ("large", "file too large", None)}
+
+
+def test_many_small_files_are_hashed_in_few_tasks(spark, tmp_path):
+    """Before, a task read 32 files; names may have a subfolder, and texts over the bound are hashed as well."""
+    rows = [(f"{k % 40}/f{k}.txt", f"text {k} " * (1 + k % 3 * 200)) for k in range(600)]
+    files.write_files(spark.createDataFrame(rows, "name string, content string"), f"file://{tmp_path}/many")
+    group, tracker = "hashed-files", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        with setting(spark, "spark.sql.files.maxPartitionBytes", str(1 << 24)):  # four files a task as Spark counts them
+            got = {r["path"].split("/many/")[1]: r["sha"] for r in files.hash_files(spark, f"{tmp_path}/many", whole_bytes=4000).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {name: hashlib.sha256(text.encode()).hexdigest() for name, text in rows}
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    assert max(i.numTasks for i in map(tracker.getStageInfo, stages) if i) < 60
