@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ KEY, MOST_BYTES = "^[a-z0-9]+(-[a-z0-9]+)*$", 5_000_000
 WHOLE_BYTES, CHUNK_BYTES = 1 << 28, 1 << 22
 #: What opening a small file counts for when files are packed into tasks (Spark's own 4 MB gives 32 files a task).
 OPEN_BYTES = 1 << 16
+#: Listed files of a batch, and tasks that list subfolders.
+BATCH_FILES, MOST_LISTERS = 10_000, 256
 
 
 def _stem(column: str = "_metadata.file_name"):
@@ -135,10 +138,69 @@ def mechanisms(files: DataFrame, file: str = "file", text: str = "text") -> Data
     return ops.select(file, idx.alias("idx"), F.col("arg").alias("p"), pick("D").alias("detectors"), pick("L").alias("observables"))
 
 
+def _for_arrow(path: str) -> str:
+    """A folder's path as pyarrow takes it: local ones plain, as a URI would need its blanks quoted."""
+    if "://" in path and not path.startswith("file:"):
+        return path.rstrip("/")
+    return os.path.abspath(re.sub("^file:/+", "/", path))
+
+
+def _listed(system, where: str, recursive: bool):
+    """(name below `where`, bytes, whether it is a folder) of what lies there; as in Spark, names that begin with `_` or `.` are hidden."""
+    from pyarrow import fs
+
+    for x in system.get_file_info(fs.FileSelector(where, recursive=recursive)):
+        name = x.path[len(where.rstrip("/")) + 1 :]
+        if not any(p[0] == "." or p[0] == "_" and "=" not in p for p in name.split("/")):
+            yield name, x.size or 0, x.type == fs.FileType.Directory
+
+
+LISTED = "name string, size long, folder boolean"
+
+
+def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(name below the path, size) of every file, empty ones too, which Spark's file sources leave out, written. The folder
+    is listed by a task, and each of its subfolders, with all below, by another; nothing is held by the driver."""
+    ship(spark)
+    path = _for_arrow(path)
+    matches = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+
+    def rows(found):
+        import pyarrow as pa
+
+        columns = [pa.array(c, k) for c, k in zip(map(list, zip(*found)), (pa.string(), pa.int64(), pa.bool_()))]
+        return pa.RecordBatch.from_arrays(columns, ["name", "size", "folder"])
+
+    def top(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            for root in b.column("path").to_pylist():
+                found = list(_listed(*fs.FileSystem.from_uri(root), recursive=False))
+                for at in range(0, len(found), BATCH_FILES):
+                    yield rows(found[at : at + BATCH_FILES])
+
+    def below(batches):
+        from pyarrow import fs
+
+        system, where = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for folder in b.column("name").to_pylist():
+                found = [(f"{folder}/{name}", size, False) for name, size, inner in _listed(system, f"{where.rstrip('/')}/{folder}", recursive=True) if not inner]
+                for at in range(0, len(found), BATCH_FILES):
+                    yield rows(found[at : at + BATCH_FILES])
+
+    first = written(spark.createDataFrame([(path,)], "path string").coalesce(1).mapInArrow(top, LISTED), "listed-top")
+    folders = first.filter("folder").select("name")
+    tasks = min(max(1, folders.count()), MOST_LISTERS)
+    found = first.filter("NOT folder").union(folders.repartition(tasks, "name").mapInArrow(below, LISTED))
+    return written(found.filter(F.element_at(F.split("name", "/"), -1).rlike(f"(?s)^(?:{matches})$")).select("name", "size"), "listed")
+
+
 def hash_files(spark: SparkSession, path: str, glob: str = "*", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """(path, sha) of every file, written. Files over `whole_bytes`, which a row cannot or should not hold, are read in
     chunks by one task each, through pyarrow's file systems. Small files count with OPEN_BYTES, so that a task reads
-    hundreds of them; files in more than 32 subfolders are listed by tasks."""
+    hundreds of them; files in more than 32 subfolders are listed by tasks. Empty ones, which Spark leaves out, are listed apart."""
     listed = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup=True).load(path)
     small = listed.filter(F.col("length") <= whole_bytes).select("path", F.sha2("content", 256).alias("sha"))
 
@@ -159,10 +221,10 @@ def hash_files(spark: SparkSession, path: str, glob: str = "*", whole_bytes: int
                 shas.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(shas, pa.string())], ["path", "sha"])
 
-    ship(spark)
+    empty = list_files(spark, path, glob).filter("size = 0").select(F.concat(F.lit(f"{path}/"), "name").alias("path"), F.sha2(F.lit("").cast("binary"), 256).alias("sha"))
     large = listed.filter(F.col("length") > whole_bytes).select("path").repartition("path")
     with setting(spark, "spark.sql.files.openCostInBytes", str(OPEN_BYTES)):
-        return written(small.unionByName(large.mapInArrow(chunked, "path string, sha string")), "hashes")
+        return written(small.unionByName(large.mapInArrow(chunked, "path string, sha string")).unionByName(empty), "hashes")
 
 
 def write_files(files: DataFrame, path: str) -> None:
@@ -182,7 +244,7 @@ def write_files(files: DataFrame, path: str) -> None:
                 if "/" in name and (folder := name.rpartition("/")[0]) not in made:
                     system.create_dir(f"{where}/{folder}")
                     made.add(folder)
-                with system.open_output_stream(f"{where}/{name}") as f:
+                with system.open_output_stream(f"{where}/{name}", compression=None) as f:
                     f.write(content)
             yield pa.RecordBatch.from_arrays([b.column("name")], ["name"])
 
