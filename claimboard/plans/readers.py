@@ -145,10 +145,10 @@ def _(spark, sf):
 
 @query("a12_hash_files", "SELECT 'd' || doc_id || '.txt' AS name, sha256(coalesce(text, '')) AS sha FROM documents")
 def _(spark, sf):
-    """Texts as files, a row each, of 256 subfolders; those over 20,000 bytes are hashed in chunks. The number
+    """Texts as files, a row each, in subfolders of at most 4,096; those over 20,000 bytes are hashed in chunks. The number
     before a file's name keeps rows of one doc_id apart."""
     docs = t(spark, sf, "documents").select(F.monotonically_increasing_id().alias("at"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).alias("content"))
-    name = F.concat(F.pmod(F.xxhash64("at"), F.lit(256)).cast("string"), F.lit("/"), F.col("at").cast("string"), F.lit("-"), F.coalesce("name", F.lit("")))
+    name = F.concat(F.shiftright("at", 12).cast("string"), F.lit("/"), F.col("at").cast("string"), F.lit("-"), F.coalesce("name", F.lit("")))
     found = files.hash_files(spark, _saved(spark, docs.select(name.alias("name"), "content"), "hashed"), whole_bytes=20_000)
     return found.select(F.nullif(F.regexp_extract("path", "/[0-9]+-([^/]*)$", 1), F.lit("")).alias("name"), "sha")
 

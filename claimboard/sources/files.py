@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.tables import setting, ship, written
+from ..functions.tables import ship, written
 
 # Document schema, key format, file cap.
 SIDE = "struct<value:int,confidence:string,witness:array<int>,witness_provenance:struct<found_by:array<string>,date:string,found_at_samples:bigint,survived_samples:bigint,tool:string,seeds:array<bigint>>>"
@@ -25,10 +25,8 @@ CERTIFICATE = "name string, d int, solver string, sides map<string,struct<value:
 KEY, MOST_BYTES = "^[a-z0-9]+(-[a-z0-9]+)*$", 5_000_000
 #: Bytes of a file that one row may hold, and of a chunk of a larger file.
 WHOLE_BYTES, CHUNK_BYTES = 1 << 28, 1 << 22
-#: What opening a small file counts for when files are packed into tasks (Spark's own 4 MB gives 32 files a task).
-OPEN_BYTES = 1 << 16
-#: Listed files of a batch, and tasks that list subfolders.
-BATCH_FILES, MOST_LISTERS = 10_000, 256
+#: Files and bytes that a task hashes, listed files of a batch, and tasks that list subfolders.
+TASK_FILES, TASK_BYTES, BATCH_FILES, MOST_LISTERS = 4096, 1 << 28, 10_000, 256
 
 
 def _stem(column: str = "_metadata.file_name"):
@@ -198,33 +196,33 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def hash_files(spark: SparkSession, path: str, glob: str = "*", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
-    """(path, sha) of every file, written. Files over `whole_bytes`, which a row cannot or should not hold, are read in
-    chunks by one task each, through pyarrow's file systems. Small files count with OPEN_BYTES, so that a task reads
-    hundreds of them; files in more than 32 subfolders are listed by tasks. Empty ones, which Spark leaves out, are listed apart."""
-    listed = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup=True).load(path)
-    small = listed.filter(F.col("length") <= whole_bytes).select("path", F.sha2("content", 256).alias("sha"))
+    """(path, sha) of every file, written. Tasks list the folder and read the files through pyarrow's file systems: those
+    over `whole_bytes` in chunks, the others at once. Names are dealt by hash, TASK_FILES of them or TASK_BYTES a task."""
+    path = _for_arrow(path)
+    listed = list_files(spark, path, glob)
+    files, size = listed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    shown = path if "://" in path else f"file:{path}"
 
-    def chunked(batches):
+    def run(batches):
         import hashlib
 
         import pyarrow as pa
         from pyarrow import fs
 
+        system, where = fs.FileSystem.from_uri(path)
         for b in batches:
-            shas = []
-            for name in b.column("path").to_pylist():
-                system, where = fs.FileSystem.from_uri(name if "://" in name else re.sub("^file:/+", "file:///", name))
+            names, shas = b.column("name").to_pylist(), []
+            for name, size in zip(names, b.column("size").to_pylist()):
                 digest = hashlib.sha256()
-                with system.open_input_stream(where) as f:
-                    while chunk := f.read(CHUNK_BYTES):
+                with system.open_input_stream(f"{where.rstrip('/')}/{name}", compression=None) as f:
+                    while chunk := f.read(CHUNK_BYTES if size > whole_bytes else size + 1):
                         digest.update(chunk)
                 shas.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(shas, pa.string())], ["path", "sha"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{shown}/{n}" for n in names], pa.string()), pa.array(shas, pa.string())], ["path", "sha"])
 
-    empty = list_files(spark, path, glob).filter("size = 0").select(F.concat(F.lit(f"{path}/"), "name").alias("path"), F.sha2(F.lit("").cast("binary"), 256).alias("sha"))
-    large = listed.filter(F.col("length") > whole_bytes).select("path").repartition("path")
-    with setting(spark, "spark.sql.files.openCostInBytes", str(OPEN_BYTES)):
-        return written(small.unionByName(large.mapInArrow(chunked, "path string, sha string")).unionByName(empty), "hashes")
+    tasks = max(1, -(-files // TASK_FILES), -(-size // TASK_BYTES))
+    dealt = listed.repartition(max(tasks, min(files, spark.sparkContext.defaultParallelism)), "name")
+    return written(dealt.mapInArrow(run, "path string, sha string"), "hashes")
 
 
 def write_files(files: DataFrame, path: str) -> None:
