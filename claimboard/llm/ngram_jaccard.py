@@ -13,7 +13,9 @@ star, the node that is most often the most central among those of its tokens (ab
 and close more nodes. A node that shares only v tokens with its star, where every link that it may still have needs
 o > v, must share o - v tokens outside the star with whatever it links to: it is met through those alone, rarest first.
 That is done where the star has at least a fifth of its set, as else nearly all of the set is outside, which is far more
-than its prefix. Other open nodes of different components are candidates if they share a token of their D prefixes. Of
+than its prefix. Other open nodes of different components are candidates if they share a token of their D prefixes. Of both
+kinds only pairs that share as many tokens of their A prefixes as linked sets of their sizes do stay candidates; these are
+counted on the open nodes' few tokens, as pairs that share one passage grow with the square of its texts. Of
 the candidates found past stars, each node's best is tried first, and pairs that links have joined by then are left out.
 Candidates must also share enough of their B and C prefixes; what passes all orders is verified on whole sets. No group
 of copies emits all its pairs: copies of one component are never paired, and a token's largest component is only met by
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import setting
 from .common import BROADCAST_ROWS, drop, fresh, ship, sized_join, table
 
 WORDS, SHARE = 5, 80
@@ -49,8 +52,10 @@ PIECE, BASE = 100_000, 0x9E3779B97F4A7C15
 MAP_SHARE, MAP_BITS = 64, 1 << 30
 #: Tasks that a map is read from, one after the other (at most 16 MB each), or that make a table counted as small.
 FEW_TASKS = 8
-#: The same for maps of tokens; what such a map lets through is joined, so their bound costs time only.
-TOKEN_SHARE = 8
+#: The same for maps of tokens; tokens that such a map lets through meet nothing, so their bound costs time only.
+TOKEN_SHARE = 32
+#: Rows that a counted table of two or three numbers may have to be broadcast.
+SLIM_ROWS = 500_000
 _memo: dict = {}
 
 
@@ -278,8 +283,8 @@ def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return table(known.select("text", place(size).alias("place")).mapInArrow(_sets(sent), SETS), "jaccard-sets")
 
 
-def _sets_in(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Written sets of `nodes` (node) and a few more, found by a bit map, so that the others are not shuffled."""
+def _asked(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Sets of `nodes` (node) and a few more, found by a bit map, so that the others are not shuffled."""
     sent, size = _bit_map(nodes, lambda size: F.pmod("node", F.lit(size)), MAP_SHARE)
 
     def run(batches):
@@ -290,7 +295,17 @@ def _sets_in(sets: DataFrame, nodes: DataFrame) -> DataFrame:
             place = b.column("node").to_numpy(zero_copy_only=False) & np.int64(size - 1)
             yield b.filter(pa.array(_marked(sent.value, place)))
 
-    return table(sets.select("node", "tokens").mapInArrow(run, SETS), "jaccard-asked")
+    return sets.select("node", "tokens").mapInArrow(run, SETS)
+
+
+def _sets_in(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same, written."""
+    return table(_asked(sets, nodes), "jaccard-asked")
+
+
+def _slim_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """sized_join() to a written table of two or three numbers a row, of which more may be broadcast."""
+    return left.join(F.broadcast(right) if right.count() <= SLIM_ROWS else right.hint("merge"), on, how)
 
 
 def _needed(na, nb):
@@ -358,16 +373,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _open(shared: DataFrame) -> DataFrame:
+def _open(shared: DataFrame, repeated: bool = False) -> DataFrame:
     """Postings (token, node, n, comp, top) that may still serve a link between components: their token stands in another
     component at a size that could link and is below `top`, and for some size their node has as many such tokens as a link
     to it needs. Nodes are given with their number of them (`c`), how many more that is than the least that a link needs,
-    plus 1 (`spare`), and the least size that a partner may have (`least`)."""
+    plus 1 (`spare`), and the least size that a partner may have (`least`). Postings that may be `repeated` count once."""
     near = math.ceil(-math.log(SHARE / 100) * 1e9) + 2
-    sizes = shared.groupBy("token", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # dealt by token once: both sides of the join read the same exchange, as they use the same columns and filters
+    shared = shared.filter(" AND ".join(f"{c} IS NOT NULL" for c in shared.columns)).repartition("token")
+    once = shared.dropDuplicates(["token", "node"]) if repeated else shared
+    sizes = shared.groupBy("token", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("node", "top")).alias("any")).filter("any.node IS NOT NULL AND any.top IS NOT NULL")
     around = W.partitionBy("token").orderBy((F.log("n") * 1e9).cast("long")).rangeBetween(-near, near)
     ranged = sizes.select("token", "n", F.min("lo").over(around).alias("lo"), F.max("hi").over(around).alias("hi"), F.min("n").over(around).alias("from"), F.max("n").over(around).alias("to"))
-    mixed = shared.join(ranged.filter("lo <> hi").hint("merge"), ["token", "n"]).filter("from < top")
+    mixed = once.join(ranged.filter("lo <> hi").hint("merge"), ["token", "n"]).filter("from < top")
     # the need rises up to a partner of equal size and falls beyond, where rounding may lift it by one before it falls
     low, high = _needed(F.col("n"), F.col("from")), F.least(_needed(F.col("n"), F.col("to")), _needed(F.col("n"), F.col("to") - 1))
     mine = W.partitionBy("node")
@@ -379,16 +397,20 @@ def _open(shared: DataFrame) -> DataFrame:
     return nodes.select("node", "token", "n", "comp", "top", "c", "least", "spare")
 
 
+def _open_table(shared: DataFrame, repeated: bool = False) -> DataFrame:
+    """_open(), written; its join by token and size takes sides that are dealt by token."""
+    with setting(shared.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        return table(_open(shared, repeated), "jaccard-open")
+
+
 def _stars(shared: DataFrame) -> DataFrame:
     """One pair (a, b) for each open node a, if any: b is most often the most central node, by the share of its
     prefix that is shared and then by size, among those of a's tokens and size class."""
-    classed = shared.withColumn("class", F.floor(F.log("n") / math.log(CLASS_WIDTH)))
+    classed = shared.select("token", "node", "n", "c").repartition("token").withColumn("class", F.floor(F.log("n") / math.log(CLASS_WIDTH)))
     prefix = F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1
     rank = F.struct((F.col("c") / prefix).alias("share"), F.col("n").alias("size"), F.col("node").alias("b"))
-    order = W.partitionBy("token", "class").orderBy(F.desc("best"))
-    two = classed.select("token", "class", rank.alias("best")).withColumn("place", F.row_number().over(order)).filter("place <= 2")
-    two = two.groupBy("token", "class").agg(F.max("best").alias("p"), F.min("best").alias("q"))
-    met = classed.join(two.hint("merge"), ["token", "class"])
+    order = W.partitionBy("token", "class").orderBy(F.desc("best")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    met = classed.withColumn("best", rank).select("node", F.first("best").over(order).alias("p"), F.nth_value("best", 2).over(order).alias("q"))
     other = F.when(F.col("p.b") != F.col("node"), F.col("p")).otherwise(F.col("q"))
     votes = met.select(F.col("node").alias("a"), other.alias("other")).filter("a <> other.b")
     votes = votes.groupBy("a", F.col("other.b").alias("b"), F.col("other.share").alias("share"), F.col("other.size").alias("size")).agg(F.count("*").alias("votes"))
@@ -444,7 +466,7 @@ def _past_stars(nodes: DataFrame, compared: DataFrame, sets: DataFrame) -> tuple
     tokens = table(own.select("token").distinct(), "jaccard-outside-tokens")
     marked, size = _bit_map(tokens, lambda size: F.pmod("token", F.lit(size)), TOKEN_SHARE)
     every = sets.select("node", "tokens").mapInArrow(_explode_sets(marked, size), "token long, node long")
-    every = sized_join(every.join(tokens.hint("merge"), "token", "left_semi"), nodes.select("node", "n", "comp"), ["node"])
+    every = _slim_join(every, nodes.select("node", "n", "comp"), ["node"])
     every = table(every.select("token", "node", "n", "comp"), "jaccard-met")
     lists = every.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     mine = W.partitionBy("node")
@@ -475,6 +497,15 @@ def _across(shared: DataFrame) -> DataFrame:
     return table(found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "jaccard-across")
 
 
+def _sharing(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Those of the written `pairs` (a, b) of open nodes that share as many tokens of their A prefixes as a link of their
+    sizes needs; `lists` has the open nodes' (node, n, tokens). What two nodes of different components share is in both lists."""
+    met = pairs
+    for node, n, tokens in (("a", "na", "x"), ("b", "nb", "y")):
+        met = met.join(lists.select(F.col("node").alias(node), F.col("n").alias(n), F.col("tokens").alias(tokens)).hint("merge"), node)
+    return met.filter(F.size(F.array_intersect("x", "y")) >= _needed(F.col("na"), F.col("nb"))).select(*pairs.columns)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_shingles and component_id."""
     import numpy as np
@@ -493,28 +524,31 @@ def join(docs: DataFrame) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(total, 1) / BUCKET_POSTINGS)))) if total > BUCKET_POSTINGS else 0
 
     postings = texts.mapInArrow(_postings(frequent, bits), POSTINGS).groupBy("bucket", "part").applyInArrow(_shared, SHARED)
-    shared = table(postings.distinct(), "jaccard-shared")
+    shared = table(postings, "jaccard-shared")
     endless = F.lit((1 << 62)).alias("top")
-    left = table(_open(shared.select("*", F.col("node").alias("comp"), endless)), "jaccard-open")
+    left = _open_table(shared.select("*", F.col("node").alias("comp"), endless), repeated=True)
     drop(shared)
     open_ids = reps.join(left.select("node").distinct().hint("merge"), "node", "left_semi").select(F.col("rep").alias("doc_id"))
     sets = _sets_of(texts, table(open_ids, "jaccard-wanted"))
 
     pairs = table(_stars(left), "jaccard-stars")
+    stars = _asked(sets, table(pairs.select(F.col("b").alias("node")).distinct(), "jaccard-asked-nodes"))
     first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    compared = sized_join(first, pairs, ["a"]).join(second.hint("merge"), "b").select("a", "b", "x", "y")
+    second = stars.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    compared = _slim_join(first, pairs, ["a"]).join(second.hint("merge"), "b").select("a", "b", "x", "y")
     compared = table(compared.mapInArrow(_compare, COMPARED).dropDuplicates(["a"]), "jaccard-compared")
     links = compared.filter("linked").select("a", "b")
 
     def relabelled(postings: DataFrame, found: DataFrame) -> DataFrame:
-        return sized_join(postings, found, ["node"], "left").withColumn("comp", F.coalesce("comp", "node"))
+        return _slim_join(postings, found, ["node"], "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    left = table(_open(relabelled(left.select("token", "node", "n", "top"), components(links))), "jaccard-open")
+    left = _open_table(relabelled(left.select("token", "node", "n", "top"), components(links)))
     open_nodes = table(left.select("node", "n", "comp", "least").distinct(), "jaccard-open-nodes")
+    lists = table(left.groupBy("node").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens")), "jaccard-lists")
     far, past = _past_stars(open_nodes, compared, sets)
-    near = sized_join(left.select("token", "node", "n", "comp"), far, ["node"], "left").withColumn("top", F.coalesce("top", endless))
-    near = table(_open(near), "jaccard-open")
+    past = table(_sharing(past, lists), "jaccard-past-stars")
+    near = _slim_join(left.select("token", "node", "n", "comp"), far, ["node"], "left").withColumn("top", F.coalesce("top", endless))
+    near = _open_table(near)
     # each node's most promising candidate first: what it links to may join it to all others
     # by how much the candidate has of its own star
     held = compared.select(F.col("a").alias("other"), "both")
@@ -522,15 +556,15 @@ def join(docs: DataFrame) -> DataFrame:
     best = best.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct(F.coalesce("both", F.lit(0)), "votes", F.xxhash64("a", "b"))).alias("best"))
     links = links.union(verify(table(best.select("best.*").distinct(), "jaccard-best"), sets))
     joined = components(links)
-    pairs = past.select("a", "b").union(_across(near)).distinct()
+    pairs = past.select("a", "b").union(_sharing(_across(near), lists)).distinct()
     for node, comp in (("a", "ca"), ("b", "cb")):
-        pairs = sized_join(pairs, joined.select(F.col("node").alias(node), F.col("comp").alias(comp)), [node], "left").withColumn(comp, F.coalesce(comp, node))
+        pairs = _slim_join(pairs, joined.select(F.col("node").alias(node), F.col("comp").alias(comp)), [node], "left").withColumn(comp, F.coalesce(comp, node))
     rest = table(pairs.filter("ca <> cb").select("a", "b"), "jaccard-rest")
     links = links.union(verify(rest, sets))
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     same_id = named.join(same_id.hint("merge"), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
     found = components(links.union(same_id))
-    drop(sets, left, near)
+    drop(sets, left, near, lists)
 
     comp_of = sized_join(reps.select("node", "rep"), found, ["node"], "left")
     grouped = table(comp_of.select("node", "rep", F.coalesce("comp", "node").alias("comp")), "jaccard-comps")

@@ -76,3 +76,30 @@ def test_few_links_are_joined_in_few_tasks(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "BROADCAST_ROWS", 0)
     found, _, many = _jobs(spark, lambda: {r["node"]: r["comp"] for r in ngram_jaccard.components(df).collect()})
     assert found == want and 4 * few < many
+
+
+def test_pairs_that_share_one_passage_are_not_verified(spark, monkeypatch):
+    """Each of 14 texts shares another passage with each other one, so all are open, but no two share enough to be compared
+    as wholes: before, each pair had both sets shuffled. A text close to one of them is still linked."""
+    words = lambda name, n: " ".join(f"{name}x{i}" for i in range(n))
+    texts = [" ".join(words(f"p{min(i, j)}y{max(i, j)}", 30) for j in range(14) if j != i) for i in range(14)]
+    rows = list(enumerate(texts)) + [(20, texts[3] + " " + words("end", 10))]
+    verified, verify = [], ngram_jaccard.verify
+    monkeypatch.setattr(ngram_jaccard, "verify", lambda pairs, sets: verified.append(pairs.count()) or verify(pairs, sets))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(14)} | {20: 3}
+    assert sum(verified) <= 1
+
+
+def test_postings_are_dealt_once_by_token(spark):
+    """The join by token and size reads one exchange on both sides; only the windows of a node need another."""
+    df = spark.range(4000).select((F.col("id") % 97).alias("token"), (F.col("id") % 311).alias("node"), (50 + F.col("id") % 311 % 9).alias("n"))
+    df = df.select("*", F.col("node").alias("comp"), F.lit(1 << 62).alias("top"))
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        made = ngram_jaccard._open_table(df, repeated=True)
+        with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+            again = ngram_jaccard._open(df, repeated=True)
+            rows = sorted(map(tuple, again.collect()))
+    plan = again._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert plan.count(" Exchange ") - plan.count("ReusedExchange") == 2 and plan.count("ReusedExchange") == 1
+    assert rows == sorted(map(tuple, made.collect())) and len(set(r[:2] for r in rows)) == len(rows) > 0
