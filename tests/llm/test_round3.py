@@ -8,8 +8,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from claimboard.functions.tables import tables_made, written_paths
-from claimboard.llm import langid, mixing, pii
+from claimboard.functions.tables import paths_of, tables_made, written_paths
+from claimboard.llm import langid, mixing, pii, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -144,3 +144,15 @@ def test_the_mix_writes_no_texts_and_shares_what_it_takes_of_rows_alike(spark):
     got = Counter(kept.collect())
     assert Counter(r["doc_id"] for r in got.elements()) == want
     assert {tuple(r) for r in got} <= set(rows) and all(n <= 2 * rows.count(tuple(r)) for r, n in got.items())
+
+
+def test_quality_keeps_no_table_of_texts(spark):
+    """Rows that pass are read from the documents again; what they leave on disk has no text. Copies stay as often as they are."""
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, good, "en", "a", 7), (1, good, "en", "a", 8), (2, "short", "en", "a", 9), (None, good, None, None, 1), (3, None, "en", "a", 2), (4, "short", None, "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, extra int")
+    out = quality.keep_good(docs)
+    assert sorted(r["extra"] for r in out.collect()) == [1, 7, 8] and out.columns == docs.columns
+    assert [r["doc_id"] for r in quality.score(docs.drop("extra")).filter("kept").orderBy("doc_id").collect()] == [None, 1, 1]
+    for path in paths_of(out):
+        assert "text" not in spark.read.parquet(path).columns
